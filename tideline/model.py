@@ -82,13 +82,12 @@ def instant_literal(us: int) -> Column:
 
 def clean_labels(labels: Column) -> Column:
     """Drop absent and empty labels: an empty label equals a missing one."""
-    return F.map_filter(labels, lambda _, v: v.isNotNull() & (v != ""))
+    return F.map_filter(labels, lambda _, v: F.coalesce(v, F.lit("")) != "")
 
 
 def label_key(labels: Column) -> Column:
     """Canonical text of a label map."""
-    entries = F.array_sort(F.map_entries(clean_labels(labels)))
-    return F.to_json(F.map_from_entries(entries))
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(clean_labels(labels)))))
 
 
 def labels_of(series_id: Column | str) -> Column:

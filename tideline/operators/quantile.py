@@ -37,9 +37,10 @@ def exact_quantile(df: DataFrame, keys: list[str], value: str, q: float) -> Data
         *keys, value, F.pmod(F.hash(value), F.lit(SALTS)).alias("_salt")
     )
     rows = rows.join(bounds, [*keys, "_salt"])
-    # 0 and 1 are always reached by the extremes themselves
-    above = F.col(value) > F.col("_b")[1] if high < 1 else F.lit(False)
-    below = F.col(value) < F.col("_b")[0] if low > 0 else F.lit(False)
+    # In a small group one rank is more than the margin; it is sorted whole.
+    large = F.col("_n") > ACCURACY
+    above = large & (F.col(value) > F.col("_b")[1]) if high < 1 else F.lit(False)
+    below = large & (F.col(value) < F.col("_b")[0]) if low > 0 else F.lit(False)
     counted = (
         rows.filter(~above)
         .withColumn("_v", F.when(~below, F.col(value)))

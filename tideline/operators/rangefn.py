@@ -4,129 +4,76 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.functions.floats import NAN
 from tideline.model import Grid, micros
 from tideline.operators.quantile import exact_quantile
 from tideline.operators.slices import SERIES, Family, as_vector, in_reach, windows
 
-SECOND = 1_000_000.0
-
-
-def _struct(**fields: Column) -> Column:
-    return F.struct(*[value.alias(name) for name, value in fields.items()])
-
-
-def _masked(value: Column) -> Column:
-    return F.when(~F.isnan(value), value)
-
-
 COUNT = Family(
-    build=lambda: _struct(n=F.count("value")),
-    edge=lambda x, y: _struct(n=F.lit(1).cast("bigint")),
-    merge=lambda a, b: _struct(n=a["n"] + b["n"]),
+    build="named_struct('n', count(value))",
+    edge="named_struct('n', 1L)",
+    merge="named_struct('n', a.n + b.n)",
 )
 SUM = Family(
-    build=lambda: _struct(n=F.count("value"), s=F.sum("value")),
-    edge=lambda x, y: _struct(n=F.lit(1).cast("bigint"), s=y),
-    merge=lambda a, b: _struct(n=a["n"] + b["n"], s=a["s"] + b["s"]),
+    build="named_struct('n', count(value), 's', sum(value))",
+    edge="named_struct('n', 1L, 's', {y})",
+    merge="named_struct('n', a.n + b.n, 's', a.s + b.s)",
 )
 LOW = Family(
-    build=lambda: _struct(s=F.min("value")),
-    edge=lambda x, y: _struct(s=y),
-    merge=lambda a, b: _struct(s=F.least(a["s"], b["s"])),
+    build="named_struct('s', min(value))",
+    edge="named_struct('s', {y})",
+    merge="named_struct('s', least(a.s, b.s))",
 )
-HIGH = Family(
-    build=lambda: _struct(s=F.max(_masked(F.col("value")))),
-    edge=lambda x, y: _struct(s=_masked(y)),
-    merge=lambda a, b: _struct(s=F.greatest(a["s"], b["s"])),
+HIGH = Family(  # NaN is the largest value in Spark; it must not win
+    build="named_struct('s', max(CASE WHEN NOT isnan(value) THEN value END))",
+    edge="named_struct('s', CASE WHEN NOT isnan({y}) THEN {y} END)",
+    merge="named_struct('s', greatest(a.s, b.s))",
 )
 LAST = Family(
-    build=lambda: F.max(F.struct("x", "value")),
-    edge=lambda x, y: _struct(x=x, value=y),
-    merge=lambda a, b: b,
+    build="max(struct(x, value))",
+    edge="named_struct('x', {x}, 'value', {y})",
+    merge="b",
 )
-
-
-def _with_previous(df: DataFrame, keys: list[str]) -> DataFrame:
-    order = Window.partitionBy(*keys).orderBy("x", "value")
-    return df.withColumn("prev", F.lag(F.struct("x", "value")).over(order))
-
-
 COUNTER = Family(
-    prepare=_with_previous,
     ordered=True,
-    build=lambda: _struct(
-        n=F.count("value"),
-        first=F.min(F.struct("x", "value")),
-        last=F.max(F.struct("x", "value")),
-        lost=F.sum(
-            F.when(F.col("value") < F.col("prev.value"), F.col("prev.value")).otherwise(0.0)
-        ),
-        resets=F.count_if(F.col("value") < F.col("prev.value")),
+    build=(
+        "named_struct('n', count(value), 'first', min(struct(x, value)), 'last', max(struct(x, value)),"
+        " 'lost', sum(CASE WHEN value < prev.value THEN prev.value ELSE 0D END),"
+        " 'resets', count_if(value < prev.value))"
     ),
-    edge=lambda x, y: _struct(
-        n=F.lit(1).cast("bigint"),
-        first=_struct(x=x, value=y),
-        last=_struct(x=x, value=y),
-        lost=F.lit(0.0),
-        resets=F.lit(0).cast("bigint"),
+    edge=(
+        "named_struct('n', 1L, 'first', named_struct('x', {x}, 'value', {y}),"
+        " 'last', named_struct('x', {x}, 'value', {y}), 'lost', 0D, 'resets', 0L)"
     ),
-    merge=lambda a, b: _struct(
-        n=a["n"] + b["n"],
-        first=a["first"],
-        last=b["last"],
-        lost=a["lost"]
-        + b["lost"]
-        + F.when(b["first"]["value"] < a["last"]["value"], a["last"]["value"]).otherwise(0.0),
-        resets=a["resets"]
-        + b["resets"]
-        + F.when(b["first"]["value"] < a["last"]["value"], 1).otherwise(0).cast("bigint"),
+    merge=(
+        "named_struct('n', a.n + b.n, 'first', a.first, 'last', b.last, 'lost', a.lost + b.lost"
+        " + CASE WHEN b.first.value < a.last.value THEN a.last.value ELSE 0D END, 'resets',"
+        " a.resets + b.resets + CASE WHEN b.first.value < a.last.value THEN 1L ELSE 0L END)"
     ),
 )
-
 PAIR = Family(
-    prepare=_with_previous,
     ordered=True,
-    build=lambda: _struct(
-        last=F.max(F.struct("x", "value")),
-        prev=F.max_by("prev", F.struct("x", "value")),
-    ),
-    edge=lambda x, y: _struct(
-        last=_struct(x=x, value=y),
-        prev=F.lit(None).cast("struct<x:bigint,value:double>"),
+    build="named_struct('last', max(struct(x, value)), 'prev', max_by(prev, struct(x, value)))",
+    edge=(
+        "named_struct('last', named_struct('x', {x}, 'value', {y}),"
+        " 'prev', CAST(NULL AS struct<x:bigint,value:double>))"
     ),
-    merge=lambda a, b: _struct(last=b["last"], prev=F.coalesce(b["prev"], a["last"])),
+    merge="named_struct('last', b.last, 'prev', coalesce(b.prev, a.last))",
 )
-
-
-def _merge_regression(a: Column, b: Column) -> Column:
-    n = a["n"] + b["n"]
-    dx, dy = b["mx"] - a["mx"], b["my"] - a["my"]
-    weight = a["n"] * b["n"] / n
-    return _struct(
-        n=n,
-        mx=a["mx"] + dx * b["n"] / n,
-        my=a["my"] + dy * b["n"] / n,
-        sxx=a["sxx"] + b["sxx"] + dx * dx * weight,
-        sxy=a["sxy"] + b["sxy"] + dx * dy * weight,
-    )
-
-
-REGRESSION = Family(
-    build=lambda: _struct(
-        n=F.count("value").cast("double"),
-        mx=F.avg(F.col("x") / SECOND),
-        my=F.avg("value"),
-        sxx=F.regr_sxx("value", F.col("x") / SECOND),
-        sxy=F.regr_sxy("value", F.col("x") / SECOND),
+REGRESSION = Family(  # means and centred sums, which merge without cancellation
+    build=(
+        "named_struct('n', CAST(count(value) AS double), 'mx', avg(x / 1e6D), 'my', avg(value),"
+        " 'sxx', regr_sxx(value, x / 1e6D), 'sxy', regr_sxy(value, x / 1e6D))"
     ),
-    edge=lambda x, y: _struct(
-        n=F.lit(1.0), mx=x / SECOND, my=y, sxx=F.lit(0.0), sxy=F.lit(0.0)
+    edge="named_struct('n', 1D, 'mx', {x} / 1e6D, 'my', {y}, 'sxx', 0D, 'sxy', 0D)",
+    merge=(
+        "named_struct('n', a.n + b.n, 'mx', a.mx + (b.mx - a.mx) * b.n / (a.n + b.n),"
+        " 'my', a.my + (b.my - a.my) * b.n / (a.n + b.n),"
+        " 'sxx', a.sxx + b.sxx + (b.mx - a.mx) * (b.mx - a.mx) * a.n * b.n / (a.n + b.n),"
+        " 'sxy', a.sxy + b.sxy + (b.mx - a.mx) * (b.my - a.my) * a.n * b.n / (a.n + b.n))"
     ),
-    merge=_merge_regression,
 )
 
 
@@ -138,7 +85,7 @@ def offset(v: DataFrame, d) -> DataFrame:
 def instant(v: DataFrame, grid: Grid, lookback="5m", shift=0) -> DataFrame:
     """Latest sample of each series within the lookback, at every evaluation."""
     out = windows(v, micros(lookback), grid, LAST, micros(shift))
-    return as_vector(out, F.col("state.value"), keep_name=True)
+    return as_vector(out, "state.value", keep_name=True)
 
 
 def over_time(v: DataFrame, how: str, d, grid: Grid, shift=0, q: float | None = None) -> DataFrame:
@@ -147,12 +94,12 @@ def over_time(v: DataFrame, how: str, d, grid: Grid, shift=0, q: float | None =
     if how == "quantile":
         return _quantile_over_time(v, q, span, grid, off)
     family, value = {
-        "sum": (SUM, F.col("state.s")),
-        "avg": (SUM, F.col("state.s") / F.col("state.n")),
-        "count": (COUNT, F.col("state.n")),
-        "min": (LOW, F.col("state.s")),
-        "max": (HIGH, F.coalesce(F.col("state.s"), F.lit(NAN))),
-        "last": (LAST, F.col("state.value")),
+        "sum": (SUM, "state.s"),
+        "avg": (SUM, "state.s / state.n"),
+        "count": (COUNT, "state.n"),
+        "min": (LOW, "state.s"),
+        "max": (HIGH, "coalesce(state.s, double('NaN'))"),
+        "last": (LAST, "state.value"),
     }[how]
     return as_vector(windows(v, span, grid, family, off), value, keep_name=how == "last")
 
@@ -165,62 +112,63 @@ def _quantile_over_time(v: DataFrame, q: float, d: int, grid: Grid, off: int) ->
     spread = near.select(*SERIES, "value", F.explode(F.sequence(first, last)).alias("j"))
     out = exact_quantile(spread, [*SERIES, "j"], "value", q)
     ts = F.timestamp_micros(F.lit(grid.start) + F.col("j") * F.lit(grid.step))
-    return as_vector(out.withColumn("ts", ts), F.col("value"))
-
-
-def _increase(d: int, origin: int, mode: str) -> Column:
-    """Growth of a counter over the window, extrapolated towards its edges."""
-    first, last, n = F.col("state.first"), F.col("state.last"), F.col("state.n")
-    grown = last["value"] - first["value"] + F.col("state.lost")
-    if mode == "raw":
-        return grown
-    end = (F.unix_micros("ts") - F.lit(origin)).cast("double")
-    covered = (last["x"] - first["x"]) / SECOND
-    gap = covered / (n - 1)
-    to_start = (first["x"] - (end - F.lit(float(d)))) / SECOND
-    to_end = (end - last["x"]) / SECOND
-
-    def reach(distance: Column) -> Column:
-        return F.when(distance >= gap * 1.1, gap / 2).otherwise(distance)
-
-    to_zero = covered * (first["value"] / F.when(grown > 0, grown).otherwise(F.lit(1.0)))
-    start = F.when(
-        (grown > 0) & (first["value"] >= 0), F.least(reach(to_start), to_zero)
-    ).otherwise(reach(to_start))
-    return grown * ((covered + start + reach(to_end)) / covered)
+    return as_vector(out.withColumn("ts", ts), "value")
 
 
 def increase(v: DataFrame, d, grid: Grid, shift=0, mode: str = "extrapolated") -> DataFrame:
-    span, off = micros(d), micros(shift)
-    out = windows(v, span, grid, COUNTER, off).filter(F.col("state.n") > 1)
-    # states measure x from the first window's start on the unshifted axis
-    return as_vector(out, _increase(span, grid.start - span, mode))
+    """Growth of a counter over the window, extrapolated towards its edges.
+
+    The samples are assumed to continue to an edge that is nearer than 1.1 average gaps,
+    else for half a gap; at the start never to before the counter was zero.
+    """
+    span = micros(d)
+    out = windows(v, span, grid, COUNTER, micros(shift)).filter("state.n > 1")
+    out = out.selectExpr(
+        *SERIES,
+        "ts",
+        "state.last.value - state.first.value + state.lost AS grown",
+        "state.first.value AS first",
+        "(state.last.x - state.first.x) / 1e6D AS covered",
+        "(state.last.x - state.first.x) / 1e6D / (state.n - 1) AS gap",
+        # states count x from the first window's start
+        f"(state.first.x - (unix_micros(ts) - {grid.start})) / 1e6D AS to_start",
+        f"(unix_micros(ts) - {grid.start - span} - state.last.x) / 1e6D AS to_end",
+    )
+    if mode == "raw":
+        return as_vector(out, "grown")
+    out = out.selectExpr(
+        "*",
+        "CASE WHEN to_start >= gap * 1.1D THEN gap / 2 ELSE to_start END AS start",
+        "CASE WHEN to_end >= gap * 1.1D THEN gap / 2 ELSE to_end END AS end",
+    )
+    capped = "CASE WHEN grown > 0 AND first >= 0 THEN least(start, covered * (first / grown)) ELSE start END"
+    return as_vector(out, f"grown * ((covered + {capped} + end) / covered)")
 
 
 def rate(v: DataFrame, d, grid: Grid, shift=0, mode: str = "extrapolated") -> DataFrame:
     out = increase(v, d, grid, shift, mode)
-    return out.withColumn("value", F.col("value") / (micros(d) / SECOND))
+    return out.withColumn("value", F.col("value") / (micros(d) / 1e6))
 
 
 def irate(v: DataFrame, d, grid: Grid, shift=0) -> DataFrame:
     """Rate between the last two samples; after a reset the counter restarted from zero."""
-    out = windows(v, micros(d), grid, PAIR, micros(shift)).filter(F.col("state.prev").isNotNull())
-    last, prev = F.col("state.last"), F.col("state.prev")
-    base = F.when(last["value"] < prev["value"], F.lit(0.0)).otherwise(prev["value"])
-    return as_vector(out, (last["value"] - base) / ((last["x"] - prev["x"]) / SECOND))
+    out = windows(v, micros(d), grid, PAIR, micros(shift)).filter("state.prev IS NOT NULL")
+    base = "CASE WHEN state.last.value < state.prev.value THEN 0D ELSE state.prev.value END"
+    return as_vector(
+        out, f"(state.last.value - {base}) / ((state.last.x - state.prev.x) / 1e6D)"
+    )
 
 
 def resets(v: DataFrame, d, grid: Grid, shift=0) -> DataFrame:
-    return as_vector(windows(v, micros(d), grid, COUNTER, micros(shift)), F.col("state.resets"))
+    return as_vector(windows(v, micros(d), grid, COUNTER, micros(shift)), "state.resets")
 
 
 def predict_linear(v: DataFrame, d, seconds: float, grid: Grid, shift=0) -> DataFrame:
     """Least-squares line through the window, read ``seconds`` after the evaluation."""
     span = micros(d)
-    out = windows(v, span, grid, REGRESSION, micros(shift)).filter(F.col("state.n") > 1)
-    at = (F.unix_micros("ts") - F.lit(grid.start - span)) / SECOND
-    slope = F.col("state.sxy") / F.col("state.sxx")
-    return as_vector(out, F.col("state.my") + slope * (at - F.col("state.mx") + seconds))
+    out = windows(v, span, grid, REGRESSION, micros(shift)).filter("state.n > 1")
+    ahead = f"(unix_micros(ts) - {grid.start - span}) / 1e6D + {float(seconds)}D"
+    return as_vector(out, f"state.my + state.sxy / state.sxx * ({ahead} - state.mx)")
 
 
 def subquery(inner: Callable[[Grid], DataFrame], d, step, grid: Grid) -> DataFrame:

@@ -14,14 +14,14 @@ on its right edge for the window that starts there.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
 from dataclasses import dataclass
 from math import gcd
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.model import Grid, instant_literal, labels_of
+from tideline.model import LABELS, Grid, instant_literal
 
 SERIES = ["metric", "series_id"]
 ORDERED_SLICE = 3_600_000_000
@@ -29,28 +29,33 @@ ORDERED_SLICE = 3_600_000_000
 
 @dataclass(frozen=True)
 class Family:
-    """Mergeable window state.
+    """Mergeable window state, as SQL expressions.
 
-    ``build`` makes the aggregate of a slice (after ``prepare``, which may add in-slice
-    columns), ``edge`` the state of the single sample on the slice's right edge and
-    ``merge`` combines an earlier with a later state.  Both states are non-null there.
+    ``build`` aggregates the samples ``(x, value)`` of a slice (with the in-slice
+    predecessor ``prev`` when ``ordered``), ``edge`` is the state of the single sample
+    ``(x, value)`` on the slice's right edge, and ``merge`` combines an earlier state
+    ``a`` with a later state ``b``, both non-null.
     """
 
-    build: Callable[[], Column]
-    edge: Callable[[Column, Column], Column]
-    merge: Callable[[Column, Column], Column]
-    prepare: Callable[[DataFrame, list[str]], DataFrame] | None = None
+    build: str
+    edge: str
+    merge: str
     ordered: bool = False
 
+    def joined(self, older: str, newer: str) -> str:
+        merged = re.sub(r"\b(a|b)\.", lambda m: f"{older if m[1] == 'a' else newer}.", self.merge)
+        merged = newer if merged == "b" else merged
+        return f"CASE WHEN {older} IS NULL THEN {newer} WHEN {newer} IS NULL THEN {older} ELSE {merged} END"
+
 
 def in_reach(v: DataFrame, grid: Grid, d: int, offset: int) -> DataFrame:
     """Samples that some window covers, with ``x`` = microseconds after the first window's start."""
     origin = grid.start - d - offset
     low, high = instant_literal(origin), instant_literal(grid.start + grid.last * grid.step - offset)
     near = v.filter(F.col("ts").between(low, high))
-    near = near.withColumn("x", F.unix_micros("ts") - F.lit(origin))
+    near = near.selectExpr(*SERIES, "value", f"unix_micros(ts) - {origin} AS x")
     if d < grid.step:
-        near = near.filter(F.pmod("x", F.lit(grid.step)) <= d)
+        near = near.filter(f"pmod(x, {grid.step}) <= {d}")
     return near
 
 
@@ -71,87 +76,85 @@ def windows(v: DataFrame, d: int, grid: Grid, family: Family, offset: int = 0) -
     length, stride = d // width, grid.step // width
     last = length + grid.last * stride
 
-    near = in_reach(v, grid, d, offset).select(*SERIES, "x", "value")
     # slice k covers ((k-1)*width, k*width]
-    cut = near.withColumn("k", F.call_function("div", F.col("x") + F.lit(width - 1), F.lit(width)))
-    if family.prepare is not None:
-        cut = family.prepare(cut, [*SERIES, "k"])
-    on_edge = F.col("x") == F.col("k") * F.lit(width)
+    cut = in_reach(v, grid, d, offset).selectExpr(
+        *SERIES, "x", "value", f"(x + {width - 1}) div {width} AS k"
+    )
+    if family.ordered:
+        cut = cut.selectExpr(
+            "*",
+            "lag(struct(x, value)) OVER (PARTITION BY metric, series_id, k ORDER BY x, value) AS prev",
+        )
     partial = cut.groupBy(*SERIES, "k").agg(
-        family.build().alias("state"),
-        F.max(F.when(on_edge, F.struct("value"))).alias("edge"),
+        F.expr(f"{family.build} AS state"),
+        F.expr(f"max(CASE WHEN x = k * {width} THEN struct(value) END) AS edge"),
     )
 
-    by_series = Window.partitionBy(*SERIES).orderBy("k")
-    spread = partial.select(
-        "*", F.lag("k").over(by_series).alias("before"), F.lead("k").over(by_series).alias("after")
-    )
+    by_series = "OVER (PARTITION BY metric, series_id ORDER BY k)"
+    spread = partial.selectExpr("*", f"lag(k) {by_series} AS before", f"lead(k) {by_series} AS after")
     # A gap longer than a window starts a new run; shorter gaps get empty slices.
-    starts = F.col("before").isNull() | (F.col("k") - F.col("before") > length + 1)
-    spread = spread.withColumn("run", F.sum(starts.cast("int")).over(by_series))
-    until = F.least(
-        F.coalesce(F.col("after") - 1, F.lit(last)), F.col("k") + F.lit(length), F.lit(last)
+    starts = f"before IS NULL OR k - before > {length + 1}"
+    until = f"least(coalesce(after - 1, {last}L), k + {length}, {last}L)"
+    spread = spread.selectExpr(
+        *SERIES,
+        "k",
+        "state",
+        "edge",
+        f"sum(CASE WHEN {starts} THEN 1 ELSE 0 END) {by_series} AS run",
+        f"explode(sequence(k, {until})) AS at",
+    )
+    edge = family.edge.replace("{x}", f"(k * {width})").replace("{y}", "edge.value")
+    base = [*SERIES, "run", "at"]
+    frame = spread.selectExpr(
+        *base,
+        "CASE WHEN at = k THEN state END AS block",
+        f"CASE WHEN at = k AND edge IS NOT NULL THEN {edge} END AS edge",
     )
-    spread = spread.withColumn("at", F.explode(F.sequence("k", until)))
-    here = F.col("at") == F.col("k")
-    position = F.col("k") * F.lit(width)
-    frame = spread.select(
+
+    # block spans the last `size` slices, acc the last `covered` ones
+    along = "OVER (PARTITION BY metric, series_id, run ORDER BY at)"
+    size, covered = 1, 0
+    while size <= length:
+        kept, needed = ["edge"], []
+        if length & size:
+            if covered == 0:
+                kept.append(_settled("block", "acc"))
+            else:
+                needed.append(f"lag(block, {covered}) {along} AS part")
+                kept.append(_settled(family.joined("part", "acc"), "acc"))
+            covered += size
+        elif covered:
+            kept.append("acc")
+        if size * 2 <= length:
+            needed.append(f"lag(block, {size}) {along} AS older")
+            kept.append(f"{family.joined('older', 'block')} AS block")
+        frame = frame.selectExpr("*", *needed).selectExpr(*base, *kept)
+        size *= 2
+    tick = f"(at - {length})"
+    frame = frame.selectExpr(*base, "acc", f"lag(edge, {length}) {along} AS before_first")
+    frame = frame.filter(f"{tick} >= 0 AND pmod({tick}, {stride}) = 0")
+    done = frame.selectExpr(
         *SERIES,
-        "run",
-        "at",
-        F.when(here, F.col("state")).alias("b0"),
-        F.when(here & F.col("edge").isNotNull(), family.edge(position, F.col("edge.value"))).alias(
-            "edge"
-        ),
+        f"timestamp_micros({grid.start} + {tick} * {width}) AS ts",
+        _settled(family.joined("before_first", "acc"), "state"),
     )
+    return done.filter("state IS NOT NULL")
+
 
-    along = Window.partitionBy(*SERIES, "run").orderBy("at")
-    result, covered, block = None, 0, 1
-    level = "b0"
-    while block <= length:
-        if length & block:
-            part = F.col(level) if covered == 0 else F.lag(level, covered).over(along)
-            frame = frame.withColumn("part", part)
-            joined = F.col("part") if result is None else _merge(family, F.col("part"), F.col("acc"))
-            frame = _settle(frame, "acc", joined).drop("part")
-            result, covered = "acc", covered + block
-        if block * 2 <= length:
-            frame = frame.withColumn("older", F.lag(level, block).over(along))
-            frame = frame.withColumn("next", _merge(family, F.col("older"), F.col(level)))
-            frame = frame.drop("older", level).withColumnRenamed("next", "b")
-            level = "b"
-        block *= 2
-    frame = frame.withColumn("left", F.lag("edge", length).over(along))
-    frame = _settle(frame, "acc", _merge(family, F.col("left"), F.col("acc")))
-
-    tick = F.col("at") - F.lit(length)
-    hits = frame.filter((tick >= 0) & (F.pmod(tick, F.lit(stride)) == 0) & F.col("acc").isNotNull())
-    ts = F.timestamp_micros(F.lit(grid.start) + tick * F.lit(width))
-    return hits.select(*SERIES, ts.alias("ts"), F.col("acc").alias("state"))
-
-
-def _settle(frame: DataFrame, name: str, value: Column) -> DataFrame:
+def _settled(value: str, name: str) -> str:
     """Set a column behind a generator.
 
     Catalyst would inline a merged state into each of its uses, and merges of merges
     then grow past the limits of generated code.
     """
-    others = [c for c in frame.columns if c != name]
-    return frame.select(*others, F.explode(F.array(value)).alias(name))
-
-
-def _merge(family: Family, older: Column, newer: Column) -> Column:
-    return (
-        F.when(older.isNull(), newer).when(newer.isNull(), older).otherwise(family.merge(older, newer))
-    )
+    return f"explode(array({value})) AS {name}"
 
 
-def as_vector(df: DataFrame, value: Column, keep_name: bool = False) -> DataFrame:
-    metric = F.col("metric") if keep_name else F.lit(None).cast("string")
-    return df.select(
-        metric.alias("metric"),
-        labels_of(F.col("series_id")).alias("labels"),
+def as_vector(df: DataFrame, value: str, keep_name: bool = False) -> DataFrame:
+    return df.selectExpr(
+        "metric" if keep_name else "CAST(NULL AS string) AS metric",
+        f"from_json(series_id, '{LABELS}') AS labels",
         "series_id",
         "ts",
-        value.cast("double").alias("value"),
+        f"CAST({value} AS double) AS value",
     )
