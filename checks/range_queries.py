@@ -138,10 +138,10 @@ for _name, _how, _sql, _d, _span in [
 @query(
     "r10_quantile_over_time",
     f"WITH {COUNTER}, {windowed(6 * HOUR)}"
-    f" SELECT type, {T}, round(quantile_cont(value, 0.9), 4) AS value FROM w GROUP BY type, j",
+    f" SELECT type, {T}, round(quantile_cont(value, 0.9), 8) AS value FROM w GROUP BY type, j",
 )
 def _(t):
-    return out(R.over_time(t.counter, "quantile", "6h", HOURLY, q=0.9), "type", digits=4)
+    return out(R.over_time(t.counter, "quantile", "6h", HOURLY, q=0.9), "type", digits=8)
 
 
 @query(

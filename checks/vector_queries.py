@@ -232,7 +232,7 @@ def _by(name, sql, how, q=None, digits=6):
 
 _by("g2_sum_by", "sum(value)", "sum", digits=4)
 _by("g3_count_by", "count(*)", "count")
-_by("g4_avg_by", "avg(value)", "avg", digits=4)
+_by("g4_avg_by", "avg(value)", "avg", digits=9)
 _by("g5_min_by", "min(value)", "min")
 _by("g6_max_by", "max(value)", "max")
 _by("g7_quantile_by", "quantile_cont(value, 0.95)", "quantile", 0.95, digits=4)
@@ -309,7 +309,7 @@ def _(t):
 
 @query(
     "g10_histogram_mean",
-    "SELECT CAST(epoch(l_shipdate) AS BIGINT) AS t, round(sum(l_extendedprice) / count(*), 2) AS value"
+    "SELECT CAST(epoch(l_shipdate) AS BIGINT) AS t, round(sum(l_extendedprice) / count(*), 7) AS value"
     " FROM lineitem GROUP BY l_shipdate",
 )
 def _(t):
@@ -321,7 +321,7 @@ def _(t):
     flag = {"flag": F.col("l_returnflag")}
     total = samples_from(rows, "price_sum", flag, "l_shipdate", F.col("s"))
     count = samples_from(rows, "price_count", flag, "l_shipdate", F.col("n"))
-    return out(binop("/", G.agg(total, "sum"), G.agg(count, "sum")), digits=2)
+    return out(binop("/", G.agg(total, "sum"), G.agg(count, "sum")), digits=7)
 
 
 @query(
