@@ -375,8 +375,8 @@ SEASON = (
 )
 def _(t):
     daily = G.agg(R.over_time(t.gauge, "sum", "1d", HOURLY), "sum", ["type"])
-    delays = {"1d": "1d", "3d": "3d", "5d": "5d", "7d": "1w"}
-    return out(G.seasonal_low(daily, delays, ["type"], 0.9), "type", digits=4)
+    earlier = {d: R.offset(daily, d) for d in ("1d", "3d", "5d", "7d")}
+    return out(G.seasonal_low(daily, earlier, ["type"], 0.9), "type", digits=4)
 
 
 # --- bucket frames -------------------------------------------------------------------

@@ -9,7 +9,6 @@ from tideline.functions.floats import NAN
 from tideline.model import COLUMNS, Grid, label, label_key, label_map
 from tideline.operators.matching import binop, v_and, v_or_all, v_unless
 from tideline.operators.quantile import exact_quantile
-from tideline.operators.rangefn import offset
 from tideline.operators.relabel import label_set
 from tideline.operators.select import Matcher, eq, select
 from tideline.operators.vector import arith, compare, scalar, with_scalar
@@ -74,10 +73,13 @@ def availability(signals: list[DataFrame], members: DataFrame, excused: DataFram
     return binop("/", agg(worst, "sum"), agg(v_unless(members, excused, on=by[-1:]), "count"))
 
 
-def seasonal_low(v: DataFrame, delays: dict[str, str], by: list[str], fraction: float):
-    """Samples below a fraction of the median of the same series some days earlier."""
-    earlier = [label_set(offset(v, d), "delay", name) for name, d in delays.items()]
-    base = agg(v_or_all(*earlier), "quantile", by, q=0.5)
+def seasonal_low(v: DataFrame, earlier: dict[str, DataFrame], by: list[str], fraction: float):
+    """Samples below a fraction of the median of the same series at earlier times.
+
+    ``earlier`` names the shifted vectors; a ``delay`` label keeps them apart.
+    """
+    parts = [label_set(shifted, "delay", name) for name, shifted in earlier.items()]
+    base = agg(v_or_all(*parts), "quantile", by, q=0.5)
     return binop("<", v, arith(base, "*", fraction))
 
 

@@ -114,9 +114,9 @@ def hide_all(v: DataFrame, what: str) -> DataFrame:
 def null_as_zero(v: DataFrame, grid: Grid) -> DataFrame:
     """Every series at every instant, zero where it has no sample."""
     series = v.groupBy("metric", "series_id").agg(F.first("labels").alias("labels"))
-    tick = F.explode(F.sequence(F.lit(0), F.lit(grid.last)))
+    tick = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(grid.last).cast("bigint")))
     ts = F.timestamp_micros(F.lit(grid.start) + F.col("j") * F.lit(grid.step))
-    zeros = series.withColumn("j", tick.cast("bigint")).select(
+    zeros = series.withColumn("j", tick).select(
         "metric", "labels", "series_id", ts.alias("ts"), F.lit(None).cast("double").alias("value")
     )
     both = v.select(*COLUMNS).unionByName(zeros)
@@ -132,7 +132,6 @@ def series_total(v: DataFrame, by: list[str]) -> DataFrame:
 
 def legend(v: DataFrame, template: str) -> DataFrame:
     """Series name from ``{{label}}`` references."""
-    from tideline.plans.alerts import render_text
 
     return v.withColumn("legend", render_text(template))
 

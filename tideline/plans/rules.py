@@ -215,7 +215,13 @@ def rows_per_count(rows: Selector, counter: Selector, d, shift, below: float) ->
 
 
 def volume_low(selector: Selector, delays: dict[str, str], by: list[str], fraction: float):
-    return lambda ev: seasonal_low(ev.at(selector), delays, by, fraction)
+    """A series below a fraction of its own median some days earlier; ``delays`` by name."""
+
+    def expr(ev: Evaluator) -> DataFrame:
+        earlier = {name: ev.at(selector, shift) for name, shift in delays.items()}
+        return seasonal_low(ev.at(selector), earlier, by, fraction)
+
+    return expr
 
 
 def fleet_unavailable(
