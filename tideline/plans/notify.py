@@ -8,15 +8,19 @@ alerts ends at its next flush.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.model import micros
 
+# Executors need no installed copy of this module: its functions travel with the job.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 GROUP = ["receiver", "group_key"]
 SENT = "receiver string, group_key string, sent_us long, reason string, firing long"
 
@@ -45,43 +49,67 @@ def changes(intervals: DataFrame) -> DataFrame:
     )
 
 
-def walk(events: list[tuple[int, int, int]], timing: Timing, end: int) -> Iterator[tuple]:
-    """Notifications ``(at, reason, firing)`` of one group from ordered ``(at, up, down)``."""
-    firing, i = 0, 0
-    while i < len(events):
-        if firing == 0 and events[i][1] == 0:
-            i += 1
-            continue
-        tick, sent = events[i][0] + timing.group_wait, None
-        while tick <= end:
-            began = ended = 0
-            while i < len(events) and events[i][0] <= tick:
-                _, up, down = events[i]
-                began, ended, firing, i = began + up, ended + down, firing + up - down, i + 1
-            if sent is None:
-                reason = "new" if firing else None
-            elif firing == 0:
-                reason = "resolved" if (ended and timing.send_resolved) else None
-            elif began or (ended and timing.send_resolved):
-                reason = "changed"
-            else:
-                reason = "repeat" if tick - sent >= timing.repeat_interval else None
-            if reason:
-                yield tick, reason, firing
-                sent = tick
-            if firing == 0:
-                break
-            tick = _next_flush(tick, sent, events[i][0] if i < len(events) else None, timing)
-        else:
-            return
+@dataclass
+class GroupState:
+    """Where a group stands: alerts firing, first planned flush, last flush, last notification."""
+
+    firing: int = 0
+    first: int | None = None
+    last: int | None = None
+    sent: int | None = None
+
 
+def next_flush(state: GroupState, event: int | None, timing: Timing) -> int | None:
+    """Next flush at which something can happen, given the next known event."""
+    if state.last is None:
+        return state.first
+    due = None if state.sent is None else state.sent + timing.repeat_interval
+    targets = [x for x in (due, event) if x is not None]
+    if not targets:
+        return None
+    waits = max(1, -(-(min(targets) - state.last) // timing.group_interval))
+    return state.last + waits * timing.group_interval
 
-def _next_flush(tick: int, sent: int, event: int | None, timing: Timing) -> int:
-    """First later flush at which something can happen."""
-    due = sent + timing.repeat_interval
-    target = due if event is None else min(due, event)
-    skipped = max(1, -(-(target - tick) // timing.group_interval))
-    return tick + skipped * timing.group_interval
+
+def advance(state: GroupState, events: list[tuple], until: int, timing: Timing):
+    """Notifications ``(at, reason, firing)`` up to ``until``, and the events left over.
+
+    ``events`` are ``(at, up, down)`` in time order and hold everything up to ``until``.
+    """
+    notes, i = [], 0
+    while True:
+        if state.first is None:
+            while i < len(events) and events[i][1] == 0:
+                i += 1
+            if i == len(events):
+                break
+            state.first = events[i][0] + timing.group_wait
+        tick = next_flush(state, events[i][0] if i < len(events) else None, timing)
+        if tick is None or tick > until:
+            break
+        began = ended = 0
+        while i < len(events) and events[i][0] <= tick:
+            began, ended = began + events[i][1], ended + events[i][2]
+            i += 1
+        state.firing += began - ended
+        reason = _reason(state, began, ended, tick, timing)
+        if reason:
+            notes.append((tick, reason, state.firing))
+            state.sent = tick
+        state.last = tick
+        if state.firing == 0:
+            state.first = state.last = state.sent = None
+    return notes, events[i:]
+
+
+def _reason(state: GroupState, began: int, ended: int, tick: int, timing: Timing) -> str | None:
+    if state.sent is None:
+        return "new" if state.firing else None
+    if state.firing == 0:
+        return "resolved" if timing.send_resolved else None
+    if began or (ended and timing.send_resolved):
+        return "changed"
+    return "repeat" if tick - state.sent >= timing.repeat_interval else None
 
 
 def schedule_notifications(intervals: DataFrame, end, timing: Timing | None = None) -> DataFrame:
@@ -91,7 +119,8 @@ def schedule_notifications(intervals: DataFrame, end, timing: Timing | None = No
     def per_group(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("at")
         events = list(zip(rows["at"].tolist(), rows["up"].tolist(), rows["down"].tolist()))
-        out = [(*key, *note) for note in walk(events, timing, stop)]
+        notes, _ = advance(GroupState(), events, stop, timing)
+        out = [(*key, *note) for note in notes]
         return pd.DataFrame(out, columns=[*GROUP, "sent_us", "reason", "firing"])
 
     sent = changes(intervals).groupBy(*GROUP).applyInPandas(per_group, SENT)

@@ -13,11 +13,15 @@ from tideline.operators.select import Selector, any_of
 
 
 def read_samples(spark: SparkSession, path: str, days: tuple[date, date] | None = None):
-    """Long sample table ``(metric, labels, ts, value[, date])``; ``days`` prunes partitions."""
+    """Long sample table ``(metric, labels, ts, value[, series_id, date])``.
+
+    ``days`` prunes partitions.  A table that stores ``series_id`` is read without
+    computing keys again.
+    """
     df = spark.read.parquet(path)
     if days is not None:
         df = df.filter(F.col("date").between(F.lit(days[0]), F.lit(days[1])))
-    return vector(df)
+    return df.select(*COLUMNS) if "series_id" in df.columns else vector(df)
 
 
 def stream_samples(spark: SparkSession, path: str) -> DataFrame:
@@ -52,15 +56,22 @@ def federate(v: DataFrame, selectors: Iterable[Selector], add_labels: dict[str,
     return rekey(found.withColumn("labels", merge_labels(F.col("labels"), added)))
 
 
-def write_recorded(v: DataFrame, name: str, path: str, files_per_day: int | None = None) -> None:
-    """Append a rule result as a new series, partitioned by day."""
-    out = v.select(F.lit(name).alias("metric"), "labels", "ts", "value")
-    out = out.withColumn("date", F.to_date("ts"))
-    if files_per_day is not None:
-        out = out.repartition(files_per_day, "date", F.hash("ts"))
+def write_samples(v: DataFrame, path: str) -> None:
+    """Append samples partitioned by day, with their keys.
+
+    Rows are sorted by metric and series inside each file, so that row groups can be
+    skipped by metric and the keys compress to runs.
+    """
+    out = v.select("metric", "labels", "series_id", "ts", "value", F.to_date("ts").alias("date"))
+    out = out.sortWithinPartitions("date", "metric", "series_id", "ts")
     out.write.mode("append").partitionBy("date").parquet(path)
 
 
+def write_recorded(v: DataFrame, name: str, path: str) -> None:
+    """Append a rule result as a new series."""
+    write_samples(v.withColumn("metric", F.lit(name)), path)
+
+
 def retain(v: DataFrame, days: int, asof: date) -> DataFrame:
     """Samples of the last ``days`` days; prunes when the table is partitioned by ``date``."""
     oldest = asof - timedelta(days=days)
