@@ -15,33 +15,40 @@ COUNT = Family(
     build="named_struct('n', count(value))",
     edge="named_struct('n', 1L)",
     merge="named_struct('n', a.n + b.n)",
+    gather="named_struct('n', sum(c.n))",
 )
 SUM = Family(
     build="named_struct('n', count(value), 's', sum(value))",
     edge="named_struct('n', 1L, 's', {y})",
     merge="named_struct('n', a.n + b.n, 's', a.s + b.s)",
+    gather="named_struct('n', sum(c.n), 's', sum(c.s))",
 )
 LOW = Family(
     build="named_struct('s', min(value))",
     edge="named_struct('s', {y})",
     merge="named_struct('s', least(a.s, b.s))",
+    gather="named_struct('s', min(c.s))",
 )
 HIGH = Family(  # NaN is the largest value in Spark; it must not win
     build="named_struct('s', max(CASE WHEN NOT isnan(value) THEN value END))",
     edge="named_struct('s', CASE WHEN NOT isnan({y}) THEN {y} END)",
     merge="named_struct('s', greatest(a.s, b.s))",
+    gather="named_struct('s', max(c.s))",
 )
 LAST = Family(
-    build="max(struct(x, value))",
+    build="named_struct('x', max(x), 'value', max_by(value, x))",
     edge="named_struct('x', {x}, 'value', {y})",
     merge="b",
+    gather="named_struct('x', max(c.x), 'value', max_by(c.value, c.x))",
 )
+_FELL = "before_x >= w0 AND c.first.value < before_value"
 COUNTER = Family(
     ordered=True,
     build=(
-        "named_struct('n', count(value), 'first', min(struct(x, value)), 'last', max(struct(x, value)),"
-        " 'lost', sum(CASE WHEN value < prev.value THEN prev.value ELSE 0D END),"
-        " 'resets', count_if(value < prev.value))"
+        "named_struct('n', count(value), 'first', named_struct('x', min(x), 'value', min_by(value, x)),"
+        " 'last', named_struct('x', max(x), 'value', max_by(value, x)),"
+        " 'lost', sum(CASE WHEN value < prev_value THEN prev_value ELSE 0D END),"
+        " 'resets', count_if(value < prev_value))"
     ),
     edge=(
         "named_struct('n', 1L, 'first', named_struct('x', {x}, 'value', {y}),"
@@ -52,15 +59,29 @@ COUNTER = Family(
         " + CASE WHEN b.first.value < a.last.value THEN a.last.value ELSE 0D END, 'resets',"
         " a.resets + b.resets + CASE WHEN b.first.value < a.last.value THEN 1L ELSE 0L END)"
     ),
+    gather=(
+        "named_struct('n', sum(c.n), 'first', named_struct('x', min(c.first.x), 'value', min_by(c.first.value, c.first.x)),"
+        " 'last', named_struct('x', max(c.last.x), 'value', max_by(c.last.value, c.last.x)),"
+        f" 'lost', sum(c.lost + CASE WHEN {_FELL} THEN before_value ELSE 0D END),"
+        f" 'resets', sum(c.resets + CASE WHEN {_FELL} THEN 1L ELSE 0L END))"
+    ),
 )
 PAIR = Family(
     ordered=True,
-    build="named_struct('last', max(struct(x, value)), 'prev', max_by(prev, struct(x, value)))",
+    build=(
+        "named_struct('last', named_struct('x', max(x), 'value', max_by(value, x)),"
+        " 'prev', named_struct('x', max_by(prev_x, x), 'value', max_by(prev_value, x)))"
+    ),
     edge=(
         "named_struct('last', named_struct('x', {x}, 'value', {y}),"
-        " 'prev', CAST(NULL AS struct<x:bigint,value:double>))"
+        " 'prev', named_struct('x', CAST(NULL AS bigint), 'value', CAST(NULL AS double)))"
+    ),
+    merge="named_struct('last', b.last, 'prev', CASE WHEN b.prev.x IS NULL THEN a.last ELSE b.prev END)",
+    gather=(
+        "named_struct('last', named_struct('x', max(c.last.x), 'value', max_by(c.last.value, c.last.x)), 'prev', named_struct("
+        "'x', max_by(coalesce(c.prev.x, CASE WHEN before_x >= w0 THEN before_x END), c.last.x),"
+        " 'value', max_by(CASE WHEN c.prev.x IS NOT NULL THEN c.prev.value WHEN before_x >= w0 THEN before_value END, c.last.x)))"
     ),
-    merge="named_struct('last', b.last, 'prev', coalesce(b.prev, a.last))",
 )
 REGRESSION = Family(  # means and centred sums, which merge without cancellation
     build=(
@@ -152,7 +173,7 @@ def rate(v: DataFrame, d, grid: Grid, shift=0, mode: str = "extrapolated") -> Da
 
 def irate(v: DataFrame, d, grid: Grid, shift=0) -> DataFrame:
     """Rate between the last two samples; after a reset the counter restarted from zero."""
-    out = windows(v, micros(d), grid, PAIR, micros(shift)).filter("state.prev IS NOT NULL")
+    out = windows(v, micros(d), grid, PAIR, micros(shift)).filter("state.prev.x IS NOT NULL")
     base = "CASE WHEN state.last.value < state.prev.value THEN 0D ELSE state.prev.value END"
     return as_vector(
         out, f"(state.last.value - {base}) / ((state.last.x - state.prev.x) / 1e6D)"

@@ -1,15 +1,17 @@
 """Sliding windows over sliced partial states.
 
-A trailing window of ``d`` evaluated every ``s`` is cut into slices that divide
-both.  Samples are folded to one mergeable state per (series, slice), then the
-states are combined along each series by doubling: the state of 2k slices is the
-merge of two states of k slices.  Each evaluation costs ``log2(d / slice)`` merges
-whatever the window length, nothing is subtracted, and the only rows that meet in
-one task are slice states, whose number per series is bounded by the time axis.
-A busy series is spread over its slices in the first stage.
-
-Windows are closed on both ends, so a slice also keeps the sample that lies exactly
-on its right edge for the window that starts there.
+A trailing window of ``d`` evaluated every ``s`` is cut into slices that divide both.
+Samples are first folded to one mergeable state per (series, slice), which spreads a
+busy series over its slices; only slice states, whose number per series is bounded by
+the time axis, meet per series.  They are combined in one of two exact ways:
+
+* a short window (``d / s`` up to ``SPREAD``) repeats each state for the evaluations it
+  belongs to and aggregates, which costs nothing for evaluations without samples;
+* a long window doubles: the state of 2k slices is the merge of two states of k
+  slices, so an evaluation costs ``log2(d / slice)`` merges instead of ``d / s`` rows.
+
+Windows are closed on both ends, so a slice also keeps the sample that lies exactly on
+its right edge, for the window that starts there.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from tideline.model import LABELS, Grid, instant_literal
 
 SERIES = ["metric", "series_id"]
 ORDERED_SLICE = 3_600_000_000
+SPREAD = 64
 
 
 @dataclass(frozen=True)
@@ -32,14 +35,18 @@ class Family:
     """Mergeable window state, as SQL expressions.
 
     ``build`` aggregates the samples ``(x, value)`` of a slice (with the in-slice
-    predecessor ``prev`` when ``ordered``), ``edge`` is the state of the single sample
-    ``(x, value)`` on the slice's right edge, and ``merge`` combines an earlier state
-    ``a`` with a later state ``b``, both non-null.
+    predecessor ``prev_x``, ``prev_value`` when ``ordered``); ``edge`` is the state of the
+    single sample ``(x, value)`` on the slice's right edge; ``merge`` combines an earlier
+    state ``a`` with a later state ``b``, both non-null; ``gather`` aggregates states
+    ``c`` of one window that starts at ``w0``, where an ordered state also has the last
+    sample ``before_x``, ``before_value`` of the series' previous slice.  Aggregates are
+    over plain columns, which keeps them in hash aggregation.
     """
 
     build: str
     edge: str
     merge: str
+    gather: str | None = None
     ordered: bool = False
 
     def joined(self, older: str, newer: str) -> str:
@@ -74,22 +81,64 @@ def windows(v: DataFrame, d: int, grid: Grid, family: Family, offset: int = 0) -
     """``(metric, series_id, ts, state)`` for every evaluation whose window has a sample."""
     width = slice_width(grid, d, family.ordered)
     length, stride = d // width, grid.step // width
-    last = length + grid.last * stride
 
     # slice k covers ((k-1)*width, k*width]
     cut = in_reach(v, grid, d, offset).selectExpr(
         *SERIES, "x", "value", f"(x + {width - 1}) div {width} AS k"
     )
     if family.ordered:
-        cut = cut.selectExpr(
-            "*",
-            "lag(struct(x, value)) OVER (PARTITION BY metric, series_id, k ORDER BY x, value) AS prev",
-        )
+        within = "OVER (PARTITION BY metric, series_id, k ORDER BY x, value)"
+        cut = cut.selectExpr("*", f"lag(x) {within} AS prev_x", f"lag(value) {within} AS prev_value")
     partial = cut.groupBy(*SERIES, "k").agg(
         F.expr(f"{family.build} AS state"),
-        F.expr(f"max(CASE WHEN x = k * {width} THEN struct(value) END) AS edge"),
+        F.expr(f"max(CASE WHEN x = k * {width} THEN value END) AS edge"),
+    )
+    edge = family.edge.replace("{x}", f"(k * {width})").replace("{y}", "edge")
+    partial = partial.selectExpr(
+        *SERIES, "k", "state", f"CASE WHEN edge IS NOT NULL THEN {edge} END AS edge"
+    )
+    if family.gather and d <= SPREAD * grid.step:
+        return _spread(partial, family, length, stride, grid, width)
+    return _doubled(partial, family, length, stride, grid, width)
+
+
+def _spread(partial, family, length, stride, grid, width) -> DataFrame:
+    """Repeat each slice state for the evaluations ``j`` whose window holds it."""
+    if family.ordered:
+        by_series = "OVER (PARTITION BY metric, series_id ORDER BY k)"
+        states = partial.selectExpr(
+            "*",
+            f"lag(state.last.x) {by_series} AS before_x",
+            f"lag(state.last.value) {by_series} AS before_value",
+        )
+        before = ["before_x", "before_value"]
+    else:
+        # all evaluations of a series meet in one place, so repeated states are not shuffled
+        states, before = partial.repartition(*SERIES), []
+    # window j covers slices (j*stride, j*stride + length] and the edge of slice j*stride
+    first = f"greatest(0L, CAST(ceil((k - {length}) / {stride}) AS bigint))"
+    final = f"least({grid.last}L, k div {stride})"
+    states = states.filter(f"{first} <= {final}")
+    each = states.selectExpr(
+        *SERIES, "k", "state", "edge", *before, f"explode(sequence({first}, {final})) AS j"
+    )
+    each = each.selectExpr(
+        *SERIES,
+        "j",
+        f"j * {stride * width} AS w0",
+        *before,
+        f"CASE WHEN k = j * {stride} THEN edge ELSE state END AS c",
+    )
+    found = each.filter("c IS NOT NULL").groupBy(*SERIES, "j").agg(
+        F.expr(f"{family.gather} AS state")
+    )
+    return found.selectExpr(
+        *SERIES, f"timestamp_micros({grid.start} + j * {grid.step}) AS ts", "state"
     )
 
+
+def _doubled(partial, family, length, stride, grid, width) -> DataFrame:
+    last = length + grid.last * stride
     by_series = "OVER (PARTITION BY metric, series_id ORDER BY k)"
     spread = partial.selectExpr("*", f"lag(k) {by_series} AS before", f"lead(k) {by_series} AS after")
     # A gap longer than a window starts a new run; shorter gaps get empty slices.
@@ -103,12 +152,9 @@ def windows(v: DataFrame, d: int, grid: Grid, family: Family, offset: int = 0) -
         f"sum(CASE WHEN {starts} THEN 1 ELSE 0 END) {by_series} AS run",
         f"explode(sequence(k, {until})) AS at",
     )
-    edge = family.edge.replace("{x}", f"(k * {width})").replace("{y}", "edge.value")
     base = [*SERIES, "run", "at"]
     frame = spread.selectExpr(
-        *base,
-        "CASE WHEN at = k THEN state END AS block",
-        f"CASE WHEN at = k AND edge IS NOT NULL THEN {edge} END AS edge",
+        *base, "CASE WHEN at = k THEN state END AS block", "CASE WHEN at = k THEN edge END AS edge"
     )
 
     # block spans the last `size` slices, acc the last `covered` ones
