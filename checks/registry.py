@@ -80,17 +80,15 @@ class Tables:
     @cached_property
     def buckets(self) -> DataFrame:
         """``price_bucket{flag, le}`` per ship day: cumulative counts of extended prices."""
-        bounds = [10000.0, 25000.0, 50000.0, 75000.0, 100000.0]
-        price = F.col("l_extendedprice")
-        cells = F.array(
-            *[
-                F.struct(F.lit(f"{int(b)}").alias("le"), (price <= b).cast("int").alias("hit"))
-                for b in bounds
-            ],
-            F.struct(F.lit("+Inf").alias("le"), F.lit(1).alias("hit")),
+        bounds = [10000, 25000, 50000, 75000, 100000]
+        under = [F.count_if(F.col("l_extendedprice") <= b).alias(f"le{b}") for b in bounds]
+        wide = self.lineitem.groupBy("l_shipdate", "l_returnflag").agg(
+            *under, F.count(F.lit(1)).alias("all")
         )
-        rows = self.lineitem.select("l_shipdate", "l_returnflag", F.explode(cells).alias("c"))
-        counts = rows.groupBy("l_shipdate", "l_returnflag", "c.le").agg(F.sum("c.hit").alias("n"))
+        cells = [F.struct(F.lit(str(b)).alias("le"), F.col(f"le{b}").alias("n")) for b in bounds]
+        cells.append(F.struct(F.lit("+Inf").alias("le"), F.col("all").alias("n")))
+        counts = wide.select("l_shipdate", "l_returnflag", F.explode(F.array(*cells)).alias("c"))
+        counts = counts.select("l_shipdate", "l_returnflag", "c.le", "c.n")
         return samples_from(
             counts, "price_bucket", {"flag": F.col("l_returnflag"), "le": F.col("le")}, "l_shipdate", F.col("n")
         )

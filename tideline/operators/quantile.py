@@ -27,15 +27,15 @@ def exact_quantile(df: DataFrame, keys: list[str], value: str, q: float) -> Data
         return df.select(*keys).distinct().withColumn(value, edge)
 
     low, high = max(0.0, q - MARGIN), min(1.0, q + MARGIN)
+    # Both passes start from the same projection, so their common shuffles are reused.
+    df = df.select(*keys, value).filter(F.col(value).isNotNull())
     bounds = df.groupBy(*keys).agg(
         F.count(value).alias("_n"),
         F.percentile_approx(value, [low, high], ACCURACY).alias("_b"),
     )
     # One salted copy of the bounds per share of the group keeps a large group off one task.
     bounds = bounds.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = df.filter(F.col(value).isNotNull()).select(
-        *keys, value, F.pmod(F.hash(value), F.lit(SALTS)).alias("_salt")
-    )
+    rows = df.select(*keys, value, F.pmod(F.hash(value), F.lit(SALTS)).alias("_salt"))
     rows = rows.join(bounds, [*keys, "_salt"])
     # In a small group one rank is more than the margin; it is sorted whole.
     large = F.col("_n") > ACCURACY

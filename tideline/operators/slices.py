@@ -104,17 +104,19 @@ def windows(v: DataFrame, d: int, grid: Grid, family: Family, offset: int = 0) -
 
 def _spread(partial, family, length, stride, grid, width) -> DataFrame:
     """Repeat each slice state for the evaluations ``j`` whose window holds it."""
+    # All evaluations of a series meet in one place, so repeated states are not shuffled.
+    # The count is explicit: merging partitions by their size before the repeat makes them
+    # too large after it.
+    parts = int(partial.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    states, before = partial.repartition(parts, "series_id"), []
     if family.ordered:
         by_series = "OVER (PARTITION BY metric, series_id ORDER BY k)"
-        states = partial.selectExpr(
+        before = ["before_x", "before_value"]
+        states = states.selectExpr(
             "*",
             f"lag(state.last.x) {by_series} AS before_x",
             f"lag(state.last.value) {by_series} AS before_value",
         )
-        before = ["before_x", "before_value"]
-    else:
-        # all evaluations of a series meet in one place, so repeated states are not shuffled
-        states, before = partial.repartition(*SERIES), []
     # window j covers slices (j*stride, j*stride + length] and the edge of slice j*stride
     first = f"greatest(0L, CAST(ceil((k - {length}) / {stride}) AS bigint))"
     final = f"least({grid.last}L, k div {stride})"
