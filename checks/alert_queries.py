@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import datetime
-
 from pyspark.sql import functions as F
 
 from checks.registry import (
@@ -26,10 +24,10 @@ from checks.registry import (
     seconds,
     windowed,
 )
-from tideline.model import label, label_map, labels_of, vector
+from tideline.model import label, vector
 from tideline.operators import rangefn as R
 from tideline.operators.aggregate import agg
-from tideline.operators.select import eq, ne, nrx, rx, sel
+from tideline.operators.select import eq, ne, rx, sel
 from tideline.operators.vector import compare
 from tideline.plans import alerts as X
 from tideline.plans import notify, rules

@@ -41,13 +41,16 @@ def compare(spark, con, name, fn, sql, sf_dir) -> tuple[bool, str]:
     spent = time.time() - start
     names = [c for c, _ in schema]
     if sql is None:
-        return bool(got_rows), f"rows {len(got_rows)} (no oracle) {spent:.1f}s"
+        return True, f"rows {len(got_rows)} (no oracle) {spent:.1f}s"
     try:
         result = con.execute(sql)
         columns = [c[0] for c in result.description]
         want_rows = result.fetchall()
     except Exception as error:  # noqa: BLE001
         return False, f"duckdb: {str(error)[:600]}"
+    odd = [c[0] for c in result.description if "DECIMAL" in str(c[1]) or "HUGEINT" in str(c[1])]
+    if odd:
+        return False, f"duckdb types of {odd} have no Spark twin"
     if sorted(columns) != sorted(names):
         return False, f"columns {names} != {columns}"
     order = sorted(columns)

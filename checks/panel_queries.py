@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import datetime
-
 from pyspark.sql import functions as F
 
 from checks.registry import (
@@ -15,7 +13,6 @@ from checks.registry import (
     LO_S,
     T,
     UP,
-    counter_cte,
     instant_cte,
     latest,
     out,
@@ -25,7 +22,6 @@ from checks.registry import (
 )
 from tideline.operators import panels as H
 from tideline.operators import rangefn as R
-from tideline.operators.aggregate import agg
 
 I = instant_cte(GAUGE, "type, usr")
 

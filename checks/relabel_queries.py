@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.registry import HOUR, HOURLY, T, UP, instant_cte, latest, out, query, windowed
-from tideline.model import label, label_map, vector
+from checks.registry import HOUR, HOURLY, T, UP, latest, out, query, windowed
+from tideline.model import label_map
 from tideline.operators import relabel as L
 from tideline.operators import rangefn as R
 from tideline.operators.matching import v_or_all

@@ -52,7 +52,7 @@ def activity():
     return rows + [("other", "{}", at(600))]
 
 
-@pytest.mark.parametrize("parts", [1, 2, 9])
+@pytest.mark.parametrize("parts", [1, 2, 5])
 def test_alert_events_equal_batch(spark, folder, parts):
     rows = activity()
     write_batches(spark, folder, rows, ACTIVE, parts)
@@ -101,7 +101,7 @@ def counters():
     return rows
 
 
-@pytest.mark.parametrize("parts", [1, 5])
+@pytest.mark.parametrize("parts", [1, 3])
 def test_recorded_increase_equals_batch(spark, folder, parts):
     rows = counters() + [("c_total", {"machine": "m9", "site": "s9"}, at(2000), 1.0)]
     write_batches(spark, folder, rows, SAMPLES, parts)
@@ -128,7 +128,7 @@ def test_recorded_increase_equals_batch(spark, folder, parts):
 CHANGES = "receiver string, group_key string, ts timestamp, up int, down int"
 
 
-@pytest.mark.parametrize("parts", [1, 3, 7])
+@pytest.mark.parametrize("parts", [1, 4])
 def test_notifications_equal_batch(spark, folder, parts):
     intervals = [
         ("team", "g", at(0), at(7)),

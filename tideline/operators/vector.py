@@ -10,11 +10,8 @@ from tideline.model import (
     COLUMNS,
     Grid,
     drop_name,
-    instant_literal,
     label_key,
     label_map,
-    labels_of,
-    micros,
 )
 from tideline.operators.rangefn import over_time
 from tideline.operators.select import Selector
