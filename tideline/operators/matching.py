@@ -6,11 +6,11 @@ Keys are the evaluation instant plus either the canonical label text or, for
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.functions.floats import arithmetic, ieee_compare
-from tideline.model import COLUMNS, Grid, label, label_key, labels_of
+from tideline.model import COLUMNS, Grid, label, label_key, label_map, labels_of
 from tideline.operators.vector import constant
 
 COMPARISONS = {"==", "!=", ">", "<", ">=", "<="}
@@ -27,19 +27,18 @@ def keyed(v: DataFrame, on: list[str] | None, ignoring: list[str] | None):
     return v.withColumn("_key", F.col("series_id")), ["ts", "_key"]
 
 
-def _single(v: DataFrame, keys: list[str], side: str) -> DataFrame:
-    """One row per key; a second series under the same key is an error, not a choice."""
-    n = F.count(F.lit(1))
+def _single(v: DataFrame, keys: list[str], side: str, named: bool) -> DataFrame:
+    """One row per key; a second series under the same key is an error, not a choice.
 
-    def only(name: str) -> Column:
-        return F.first(name).alias(f"{side}_{name}")
-
-    grouped = v.groupBy(*keys).agg(n.alias("_n"), only("metric"), only("series_id"), only("value"))
+    The aggregation has the join's keys, so it adds no shuffle.
+    """
+    wanted = [F.count(F.lit(1)).alias("_n"), F.first("value").alias("_v")]
+    if named:
+        wanted.append(F.first("metric").alias("_metric"))
     message = F.lit("several series share one match key")
-    checked = F.when(F.col("_n") == 1, F.col(f"{side}_value")).otherwise(
-        F.raise_error(message).cast("double")
-    )
-    return grouped.withColumn(f"{side}_value", checked).drop("_n")
+    checked = F.when(F.col("_n") == 1, F.col("_v")).otherwise(F.raise_error(message).cast("double"))
+    grouped = v.groupBy(*keys).agg(*wanted).withColumn(side, checked)
+    return grouped.drop("_n", "_v")
 
 
 def binop(
@@ -50,26 +49,28 @@ def binop(
     ignoring: list[str] | None = None,
     as_bool: bool = False,
 ) -> DataFrame:
-    """``a op b``; comparisons filter the left side unless ``as_bool``."""
+    """``a op b``; comparisons filter the left side unless ``as_bool``.
+
+    The labels of the result follow from the match key, so only values travel.
+    """
     left, keys = keyed(a, on, ignoring)
     right, _ = keyed(b, on, ignoring)
-    joined = _single(left, keys, "l").join(_single(right, keys, "r"), keys)
-    lv, rv = F.col("l_value"), F.col("r_value")
+    filters = op in COMPARISONS and not as_bool
+    joined = _single(left, keys, "l", named=filters).join(_single(right, keys, "r", named=False), keys)
+    lv, rv = F.col("l"), F.col("r")
     name = F.lit(None).cast("string")
-    if op in COMPARISONS:
-        cond = ieee_compare(op, lv, rv)
-        if as_bool:
-            value = cond.cast("double")
-        else:
-            joined, value, name = joined.filter(cond), lv, F.col("l_metric")
-    else:
+    if op not in COMPARISONS:
         value = arithmetic(op, lv, rv)
-    labels = labels_of("l_series_id")
-    if on is not None:
-        labels = F.map_filter(labels, lambda k, _: k.isin(on) if on else F.lit(False))
-    elif ignoring:
-        labels = F.map_filter(labels, lambda k, _: ~k.isin(ignoring))
-    series = F.col("l_series_id") if on is None and not ignoring else label_key(labels)
+    elif as_bool:
+        value = ieee_compare(op, lv, rv).cast("double")
+    else:
+        joined, value = joined.filter(ieee_compare(op, lv, rv)), lv
+        name = F.col("_metric")
+    if on is None:
+        series, labels = F.col("_key"), labels_of("_key")
+    else:
+        labels = label_map({x: F.col(n) for x, n in zip(on, keys[1:])})
+        series = label_key(labels)
     return joined.select(
         name.alias("metric"),
         labels.alias("labels"),

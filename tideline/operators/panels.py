@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.functions.templates import render_text
-from tideline.model import COLUMNS, Grid, label
+from tideline.model import COLUMNS, Grid, label, labels_of
 from tideline.operators.vector import neg
 
 
@@ -113,17 +113,17 @@ def hide_all(v: DataFrame, what: str) -> DataFrame:
 
 def null_as_zero(v: DataFrame, grid: Grid) -> DataFrame:
     """Every series at every instant, zero where it has no sample."""
-    series = v.groupBy("metric", "series_id").agg(F.first("labels").alias("labels"))
+    series = v.select("metric", "series_id").distinct()
     tick = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(grid.last).cast("bigint")))
     ts = F.timestamp_micros(F.lit(grid.start) + F.col("j") * F.lit(grid.step))
     zeros = series.withColumn("j", tick).select(
-        "metric", "labels", "series_id", ts.alias("ts"), F.lit(None).cast("double").alias("value")
+        "metric", "series_id", ts.alias("ts"), F.lit(None).cast("double").alias("value")
     )
-    both = v.select(*COLUMNS).unionByName(zeros)
+    both = v.select("metric", "series_id", "ts", "value").unionByName(zeros)
     filled = both.groupBy("metric", "series_id", "ts").agg(
-        F.first("labels").alias("labels"), F.coalesce(F.max("value"), F.lit(0.0)).alias("value")
+        F.coalesce(F.max("value"), F.lit(0.0)).alias("value")
     )
-    return filled.select(*COLUMNS)
+    return filled.withColumn("labels", labels_of("series_id")).select(*COLUMNS)
 
 
 def series_total(v: DataFrame, by: list[str]) -> DataFrame:

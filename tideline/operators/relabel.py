@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.model import clean_labels, label, label_key, merge_labels, rekey
+from tideline.model import clean_labels, label, label_key, labels_of, merge_labels, rekey
 from tideline.operators.select import anchored
 
 
@@ -144,13 +144,13 @@ def label_set(v: DataFrame, dst: str, value: str) -> DataFrame:
 
 def check_unique(v: DataFrame) -> DataFrame:
     """Fail when relabelling made two series equal at one instant."""
-    n = F.count(F.lit(1))
     grouped = v.groupBy("ts", "metric", "series_id").agg(
-        n.alias("_n"), F.first("labels").alias("labels"), F.first("value").alias("value")
+        F.count(F.lit(1)).alias("_n"), F.first("value").alias("_v")
     )
     message = F.lit("relabelling produced equal series")
-    value = F.when(F.col("_n") == 1, F.col("value")).otherwise(F.raise_error(message).cast("double"))
-    return grouped.select("metric", "labels", "series_id", "ts", value.alias("value"))
+    value = F.when(F.col("_n") == 1, F.col("_v")).otherwise(F.raise_error(message).cast("double"))
+    labels = labels_of("series_id")
+    return grouped.select("metric", labels.alias("labels"), "series_id", "ts", value.alias("value"))
 
 
 def probe_target_rules(exporter: str, suffix: str | None = None) -> list[Rule]:

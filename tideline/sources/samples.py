@@ -8,7 +8,7 @@ from datetime import date, timedelta
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.model import COLUMNS, SAMPLE_SCHEMA, label_map, merge_labels, rekey, vector
+from tideline.model import COLUMNS, SAMPLE_SCHEMA, label_map, labels_of, merge_labels, rekey, vector
 from tideline.operators.select import Selector, any_of
 
 
@@ -43,10 +43,8 @@ def samples_from(df: DataFrame, metric: str, labels: dict[str, Column], ts, valu
 
 def dedupe_samples(v: DataFrame) -> DataFrame:
     """One sample per series and instant (the largest value)."""
-    best = v.groupBy("metric", "series_id", "ts").agg(
-        F.first("labels").alias("labels"), F.max("value").alias("value")
-    )
-    return best.select(*COLUMNS)
+    best = v.groupBy("metric", "series_id", "ts").agg(F.max("value").alias("value"))
+    return best.withColumn("labels", labels_of("series_id")).select(*COLUMNS)
 
 
 def federate(v: DataFrame, selectors: Iterable[Selector], add_labels: dict[str, str]):
