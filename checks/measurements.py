@@ -124,12 +124,9 @@ AUDIT = (
 
 
 def request_log(t) -> DataFrame:
-    """Request log in daily shards: one request per conversation with its lines."""
-    turns = t.conversations.select(
-        "conv_id", F.struct(F.concat("role", F.lit(": "), "text").alias("logMessage")).alias("entry")
-    )
-    lines = turns.groupBy("conv_id").agg(F.collect_list("entry").alias("line"))
+    """Request log in daily shards: one request per turn, with its lines as an array."""
     start = F.expr("timestamp'2024-01-28 00:05:00' - make_interval(0, 0, 0, 0, 0, CAST(conv_id % 40 AS int))")
-    return lines.select(
-        start.alias("starttime"), F.date_format(start, "yyyyMMdd").alias("table_suffix"), "line"
+    line = F.struct(F.concat("role", F.lit(": "), "text").alias("logMessage"))
+    return t.conversations.select(
+        start.alias("starttime"), F.date_format(start, "yyyyMMdd").alias("table_suffix"), F.array(line).alias("line")
     )

@@ -1,4 +1,4 @@
-"""Range functions against a list-based model, on both plans of the slice kernel."""
+"""Range functions against a list-based model, on every plan of the window kernel."""
 
 import math
 import random
@@ -113,9 +113,11 @@ def expected(series, model, d, grid):
 SHAPES = [("5m", "1m"), ("1m", "1m"), ("7m", "2m"), ("90s", "1m"), ("30s", "2m")]
 
 
-@pytest.mark.parametrize("plan", ["spread", "doubled"])
+@pytest.mark.parametrize("plan", ["direct", "spread", "doubled"])
 @pytest.mark.parametrize("name", list(MODELS))
 def test_against_model(spark, monkeypatch, plan, name):
+    if plan != "direct":
+        monkeypatch.setattr(slices, "DIRECT", 0)
     if plan == "doubled":
         monkeypatch.setattr(slices, "SPREAD", 0)
     series = random_series(7)

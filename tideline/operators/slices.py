@@ -27,6 +27,7 @@ from tideline.model import LABELS, Grid, instant_literal
 
 SERIES = ["metric", "series_id"]
 ORDERED_SLICE = 3_600_000_000
+DIRECT = 8
 SPREAD = 64
 
 
@@ -82,6 +83,9 @@ def windows(v: DataFrame, d: int, grid: Grid, family: Family, offset: int = 0) -
     width = slice_width(grid, d, family.ordered)
     length, stride = d // width, grid.step // width
 
+    if not family.ordered and family.gather and d <= DIRECT * grid.step:
+        return _direct(in_reach(v, grid, d, offset), family, d, grid)
+
     # slice k covers ((k-1)*width, k*width]
     cut = in_reach(v, grid, d, offset).selectExpr(
         *SERIES, "x", "value", f"(x + {width - 1}) div {width} AS k"
@@ -102,6 +106,18 @@ def windows(v: DataFrame, d: int, grid: Grid, family: Family, offset: int = 0) -
     return _doubled(partial, family, length, stride, grid, width)
 
 
+def _direct(near: DataFrame, family: Family, d: int, grid: Grid) -> DataFrame:
+    """Repeat each sample for the evaluations ``j`` whose window holds it."""
+    # window j covers x in [j*step, j*step + d]
+    first = f"CASE WHEN x <= {d} THEN 0L ELSE (x - {d} + {grid.step - 1}) div {grid.step} END"
+    final = f"least({grid.last}L, x div {grid.step})"
+    each = near.selectExpr(*SERIES, "x", "value", f"explode(sequence({first}, {final})) AS j")
+    found = each.groupBy(*SERIES, "j").agg(F.expr(f"{family.build} AS state"))
+    return found.selectExpr(
+        *SERIES, f"timestamp_micros({grid.start} + j * {grid.step}) AS ts", "state"
+    )
+
+
 def _spread(partial, family, length, stride, grid, width) -> DataFrame:
     """Repeat each slice state for the evaluations ``j`` whose window holds it."""
     # All evaluations of a series meet in one place, so repeated states are not shuffled.
