@@ -32,6 +32,7 @@ from tideline.operators.vector import compare
 from tideline.plans import alerts as X
 from tideline.plans import notify, rules
 from tideline.plans.evaluate import AlertRule, Evaluator, eval_rule
+from tideline.sources.samples import samples_from
 
 DAY = 24 * HOUR
 UPS = f"{UP}, {windowed(HOUR)}, {latest('instance, site')}"
@@ -151,10 +152,10 @@ rule(
 )
 rule(
     "rule_counts_differ",
-    f"WITH {GI}, y AS (SELECT type, j, sum(value) AS v FROM i GROUP BY type, j), o AS (SELECT type, us + {14 * HOUR} AS us, value FROM s WHERE usr = '7'),"
-    f" {windowed(HOUR, src='o', name='ow')}, oi AS (SELECT type, j, arg_max(value, us) AS v FROM ow GROUP BY type, j)"
-    f" SELECT type, {T}, round(abs(y.v - oi.v), 6) AS value FROM y JOIN oi USING (type, j) WHERE abs(y.v - oi.v) > 30",
-    rules.counts_differ(VALUE, ["type"], sel("event_value", eq("usr", "7")), ["usr"], "14h", 30),
+    f"WITH {GI}, y AS (SELECT type, j, sum(value) AS v FROM i GROUP BY type, j), {COUNTER.replace('s AS', 'o AS')},"
+    f" {windowed(HOUR, off=14 * HOUR, src='o', name='ow')}, oi AS (SELECT type, j, arg_max(value, us) AS v FROM ow GROUP BY type, j)"
+    f" SELECT type, {T}, round(abs(y.v - oi.v), 6) AS value FROM y JOIN oi USING (type, j) WHERE abs(y.v - oi.v) > 30000",
+    rules.counts_differ(VALUE, ["type"], BUSY, ["usr"], "14h", 30000),
     "type",
 )
 RATIO = f"{GI}, r AS (SELECT a.usr, a.j, a.value / b.value AS r FROM i a JOIN i b ON a.usr = b.usr AND a.j = b.j AND a.type = 'view' AND b.type = 'click')"
@@ -231,14 +232,25 @@ rule(
     "instance",
     "rack",
 )
-rule(
+def _with_hourly_rows(t):
+    """The counters next to one gauge without labels: rows of each hour."""
+    hourly = t.ev.groupBy(F.date_trunc("HOUR", "ts").alias("ts")).agg(F.count(F.lit(1)).alias("n"))
+    rows = samples_from(hourly, "stored_rows", {}, "ts", F.col("n"))
+    return Evaluator(t.counter.unionByName(rows), HOURLY, lookback="1h")
+
+
+@query(
     "rule_rows_per_count",
-    f"WITH {GI}, one AS (SELECT j, count(*) AS n, max(value) AS v FROM i WHERE type = 'view' AND usr = '5' GROUP BY j), {COUNTER.replace('s AS', 'cs AS')},"
-    f" {counter_cte('type', DAY, off=4 * HOUR).replace('FROM s)', 'FROM cs)').replace('w AS', 'cw AS').replace('FROM w)', 'FROM cw)')},"
-    f" tot AS (SELECT j, sum(value) AS v FROM x GROUP BY j) SELECT {T}, round(one.v / tot.v, 9) AS value FROM tot JOIN one USING (j) WHERE one.v / tot.v < 0.75",
-    rules.rows_per_count(sel("event_value", eq("type", "view"), eq("usr", "5")), BUSY, "1d", "4h", 0.75),
-    digits=9,
+    f"WITH {COUNTER}, {counter_cte('type', DAY, off=4 * HOUR)}, tot AS (SELECT j, sum(value) AS v FROM x GROUP BY j),"
+    " h AS (SELECT epoch_us(date_trunc('hour', ts)) AS us, CAST(count(*) AS DOUBLE) AS value FROM events GROUP BY 1),"
+    f" {windowed(HOUR, src='h', name='hw')}, one AS (SELECT j, arg_max(value, us) AS v FROM hw GROUP BY j)"
+    f" SELECT {T}, round(one.v / tot.v, 9) AS value FROM tot JOIN one USING (j) WHERE one.v / tot.v < 0.00004",
 )
+def _(t):
+    expr = rules.rows_per_count(sel("stored_rows"), BUSY, "1d", "4h", 0.00004)
+    return out(expr(_with_hourly_rows(t)), digits=9)
+
+
 rule(
     "rule_volume_low",
     f"WITH {instant_cte(COUNTER, 'type')}, d AS (SELECT type, j + k AS j, value FROM i, (SELECT unnest([24, 72, 120, 168]) AS k)),"

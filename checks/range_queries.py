@@ -32,10 +32,19 @@ from tideline.operators.matching import binop
 DAY = 24 * HOUR
 
 
-@query("r1_grid", f"WITH {GRID} SELECT {T} FROM g, (SELECT count(*) AS n FROM events) WHERE n > 0")
+@query(
+    "r1_grid",
+    f"WITH {GRID}, e AS (SELECT CAST(ceil((epoch_us(ts) - {LO}) / {HOUR}) AS BIGINT) AS j FROM events)"
+    f" SELECT {T}, (SELECT count(*) FROM e WHERE e.j = g.j) AS events FROM g",
+)
 def _(t):
-    some = t.events.agg(F.count(F.lit(1)).alias("n")).filter("n > 0")
-    return HOURLY.instants(t.spark).join(F.broadcast(some)).select(seconds("ts").alias("t"))
+    """Events that came since the previous evaluation, at every evaluation."""
+    tick = F.ceil((F.unix_micros("ts") - F.lit(LO)) / HOUR)
+    seen = t.ev.groupBy(F.timestamp_micros(F.lit(LO) + tick * F.lit(HOUR)).alias("ts")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    joined = HOURLY.instants(t.spark).join(seen, "ts", "left")
+    return joined.select(seconds("ts").alias("t"), F.coalesce("n", F.lit(0)).alias("events"))
 
 
 @query(
@@ -197,6 +206,15 @@ def _(t):
     return out(R.rate(t.counter, window, HOURLY), "type")
 
 
+@query(
+    "f17_unit_conversion",
+    f"WITH {COUNTER}, {counter_cte('type', 2 * HOUR)} SELECT type, {T}, round(8 * value / 7200, 6) AS value FROM x",
+)
+def _(t):
+    """Bytes to bits per second."""
+    return out(A.rarith(8, "*", R.rate(t.counter, "2h", HOURLY)), "type")
+
+
 # --- element-wise --------------------------------------------------------------------
 
 I = instant_cte(GAUGE, "type, usr")
@@ -253,11 +271,11 @@ def _(t):
 
 @query(
     "a12_vector",
-    f"WITH {GRID} SELECT {T}, 999.0::DOUBLE AS value FROM g, (SELECT count(*) AS n FROM events) WHERE n > 0",
+    f"WITH {I} SELECT {T}, round(999 - sum(value), 4) AS value FROM i GROUP BY j",
 )
 def _(t):
-    some = t.events.agg(F.count(F.lit(1)).alias("n")).filter("n > 0")
-    return out(A.constant(HOURLY.instants(t.spark), 999).join(F.broadcast(some)))
+    total = agg(_inst(t), "sum")
+    return out(binop("-", A.constant(HOURLY.instants(t.spark), 999), total), digits=4)
 
 
 TWO = (

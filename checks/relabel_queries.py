@@ -10,6 +10,7 @@ from tideline.operators import relabel as L
 from tideline.operators import rangefn as R
 from tideline.operators.matching import v_or_all
 from tideline.operators.relabel import Rule
+from tideline.sources.targets import expand_groups
 
 HOST = "concat('node', {k} % 4 + 1, '-', CASE {k} % 3 WHEN 0 THEN 'lga' WHEN 1 THEN 'ams' ELSE 'x' END, '0', {n} % 5, '.pop.example.org')"
 # Working labels of a target, valid in both engines.
@@ -249,3 +250,25 @@ def _(t):
     v = R.instant(t.up, HOURLY, "1h")
     parts = [L.label_set(R.offset(v, d), "delay", d) for d in ("1d", "3d")]
     return out(v_or_all(*parts), "instance", "site", "delay")
+
+
+@query(
+    "s3_target_groups",
+    f"WITH {SUPP} SELECT k, module, unnest([address, address || '/backup']) AS address, 'probe' AS job FROM d",
+)
+def _(t):
+    """Target groups as read from files: labels and a list of addresses."""
+    groups = targets(t).select(
+        label_map({"k": F.col("k"), "module": F.col("labels")["module"]}).alias("labels"),
+        F.array(
+            F.col("labels")["__address__"], F.concat(F.col("labels")["__address__"], F.lit("/backup"))
+        ).alias("targets"),
+    )
+    rows = expand_groups(groups, {"job": "probe"})
+    labels = F.col("labels")
+    return rows.select(
+        labels["k"].cast("bigint").alias("k"),
+        labels["module"].alias("module"),
+        labels["__address__"].alias("address"),
+        labels["job"].alias("job"),
+    )

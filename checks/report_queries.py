@@ -1041,6 +1041,20 @@ def _(t):
     return t.orders.select("o_orderkey", F.round(S.safe_divide(F.col("o_totalprice"), F.col("o_custkey") % 3), 6).alias("v"))
 
 
+@query(
+    "f16_text_predicates",
+    "SELECT page_id, url LIKE '%example%' AS a, starts_with(url, 'https') AS b, regexp_matches(url, '[?]page=[0-9]') AS c FROM pages",
+)
+def _(t):
+    url = F.col("url")
+    return t.pages.select(
+        "page_id",
+        url.like("%example%").alias("a"),
+        url.startswith("https").alias("b"),
+        url.rlike("[?]page=[0-9]").alias("c"),
+    )
+
+
 @query(
     "d2_node_name",
     r"SELECT page_id, CASE WHEN regexp_matches(url, '//(m)\.') AND regexp_matches(url, '/([a-z]{2})/') THEN regexp_extract(url, '//(m)\.', 1) || '-' || regexp_extract(url, '/([a-z]{2})/', 1) END AS node FROM pages",
