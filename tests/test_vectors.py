@@ -199,7 +199,7 @@ def test_fleet_rule(spark):
         rows("probe", {"m1": 1, "m2": 1, "m3": 1}, experiment="web", service="s"),
         rows("size", {"m1": 100, "m2": 100}, mount="/d"),
         rows("avail", {"m1": 50, "m2": 1}, mount="/d"),
-        rows("gmx", {"m1": 0, "m3": 1}),
+        rows("maint", {"m1": 0, "m3": 1}),
         rows("node", {"m1": 1, "m2": 1}),
         rows("taint", {"m1": 0}),
     ]
@@ -216,7 +216,7 @@ def test_fleet_rule(spark):
         disk_limit=0.95,
         excluded=[P.sel("taint")],
         own_flags=[],
-        maintenance=P.sel("gmx"),
+        maintenance=P.sel("maint"),
         known=P.sel("node"),
         member="machine",
         below=0.9,
@@ -231,7 +231,7 @@ def test_rule_for_missing_and_sites_down(spark):
     ev = Evaluator(samples, grid())
     down = rules.suppressed(
         rules.gauge(P.sel("probe6", P.eq("v6", "present")), "==", 0),
-        (["machine"], rules.any_expr(rules.gauge(P.sel("probe4"), "==", 0), rules.gauge(P.sel("gmx"), "==", 1))),
+        (["machine"], rules.any_expr(rules.gauge(P.sel("probe4"), "==", 0), rules.gauge(P.sel("maint"), "==", 1))),
     )
     assert values(rules.counted(down, ["site"], ">", 0)(ev), "site") == [("a", 1.0)]
     found = rules.missing(P.sel("x", P.eq("service", "s1")), P.sel("y"), P.sel("probe4"))(ev)

@@ -8,12 +8,25 @@ from pyspark.sql import functions as F
 from tideline.model import micros
 
 
-def coverage(left: DataFrame, right: DataFrame, key: str, by: str) -> DataFrame:
-    """Rows per group and how many of them have a partner (left outer, rows may repeat)."""
-    ids = right.select(F.col(key), F.lit(True).alias("_hit"))
-    joined = left.filter(F.col(key).isNotNull()).join(ids, key, "left")
+def coverage(
+    left: DataFrame,
+    right: DataFrame,
+    key: str,
+    by: str,
+    total: str = "value_total",
+    matching: str = "value_matching",
+) -> DataFrame:
+    """Rows per group and how many of them have a partner.
+
+    Counts are those of the left outer join, in which repeated keys multiply.  Both sides
+    are counted per key first, so the pairs of a frequent key are never made.
+    """
+    mine = left.filter(F.col(key).isNotNull()).groupBy(key, by).agg(F.count(F.lit(1)).alias("_l"))
+    theirs = right.groupBy(key).agg(F.count(F.lit(1)).alias("_r"))
+    joined = mine.join(theirs, key, "left")
     return joined.groupBy(by).agg(
-        F.count(F.lit(1)).alias("value_total"), F.count("_hit").alias("value_matching")
+        F.sum(F.col("_l") * F.coalesce("_r", F.lit(1))).alias(total),
+        F.sum(F.col("_l") * F.coalesce("_r", F.lit(0))).alias(matching),
     )
 
 

@@ -26,6 +26,7 @@ from tideline.functions.scalars import (
     year_before,
 )
 from tideline.operators.joins import (
+    coverage,
     flag_in,
     interval_touch_semi,
     lookup,
@@ -259,11 +260,13 @@ def tests_with_discards(
     rows = rows.filter(F.col("uuid").isNotNull() & (F.col("uuid") != invalid))
     ends = rows.select(node, "uuid", "tstart", "tend").distinct()
     touched = interval_touch_semi(ends, polls, poll).select("uuid")
-    flagged = flag_in(rows.select("uuid", "site", node), touched, "uuid", "discards")
+    # counted before the join, so a repeated id travels as one row
+    counts = rows.groupBy("uuid", "site", node).agg(F.count(F.lit(1)).alias("n"))
+    flagged = flag_in(counts, touched, "uuid", "discards")
     metro = rx_extract(F.col("site"), "([a-z]{3})[0-9]{2}").alias("metro")
+    hit = F.when(F.col("discards") == "true", F.col("n")).otherwise(0)
     out = flagged.groupBy(metro, "site", "node").agg(
-        F.count_if(F.col("discards") == "true").alias("value_with_discards"),
-        F.count(F.lit(1)).alias("value_total"),
+        F.sum(hit).alias("value_with_discards"), F.sum("n").alias("value_total")
     )
     return order_out(out, "metro", "site", "node")
 
@@ -275,11 +278,7 @@ def sidecar_coverage(
     """Tests per site and how many have a trace with the same id, two days ago."""
     day = day_of(asof) - timedelta(days=2)
     left = _on(tests, day).select("id", F.col("server.Site").alias("site"))
-    right = _on(traces, day).select("id", F.lit(True).alias("hit"))
-    joined = left.filter(F.col("id").isNotNull()).join(right, "id", "left")
-    out = joined.groupBy("site").agg(
-        F.count(F.lit(1)).alias("value_total"), F.count("hit").alias("value_matching")
-    )
+    out = coverage(left, _on(traces, day).select("id"), "id", "site")
     return out.filter((F.col("value_total") > more_than) & F.col("site").isNotNull())
 
 
