@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tideline.llm import byte_bpe, mixing, quality, token_counts, url_filter
+from tideline.llm import byte_bpe, mixing, quality, token_counts, url_filter, warc
 from tideline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +42,29 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("__row.page_id", "host", "path", "rule", "verdict", "host_words", "block_score")
 
 
+@query
+def op6_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return warc.round_trip(pages).select(
+        F.col("key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to").cast("long").alias("refers_to"),
+    )
+
+
+ORACLE["op6_warc_segments"] = """
+WITH d AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+h AS (SELECT page_id, CAST(strlen(body) AS BIGINT) AS n, sha1(body) AS x,
+             max(page_id) OVER (PARTITION BY body) AS last FROM d),
+b AS (SELECT page_id, n, last, list_reduce([lpad(upper(to_base(CAST('0x' || substr(x, 1 + 5 * k, 5) AS BIGINT), 32)), 4, '0')
+                                            FOR k IN range(8)], lambda a, c: a || c) AS digits FROM h)
+SELECT page_id, n AS payload_bytes,
+       translate(digits, '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
+       CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> last THEN last END AS refers_to
+FROM b
+"""
+
+
 @query
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
