@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import byte_bpe, mixing, quality, token_counts, url_filter, warc
-from tideline.llm.common import table
+from tideline.llm import byte_bpe, langid, mixing, quality, token_counts, url_filter, warc
+from tideline.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -42,6 +42,14 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("__row.page_id", "host", "path", "rule", "verdict", "host_words", "block_score")
 
 
+@query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    documents = documents.withColumn("held_out", held_out(F.col("doc_id")))
+    model = langid.train(documents.where(~F.col("held_out")))
+    return langid.identify(documents.select("doc_id", "held_out", "text"), model).drop("text")
+
+
 @query
 def op6_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
