@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space between words: blank, tab, line feed, vertical tab, form feed, return.
@@ -63,6 +63,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sample_keys(df: DataFrame, group: str, key: str, limit: int) -> DataFrame:
+    """``group, key`` of at most ``limit`` keys per group, chosen by a hash of the key.
+
+    The keys are drawn from narrow rows and stored, so Spark knows their small size when it joins
+    texts to them, and texts are read twice rather than shuffled.
+    """
+    drawn = df.select(group, key).where(F.col(group).isNotNull() & F.col(key).isNotNull()).distinct()
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.xxhash64(key), key))
+    return stored(drawn.withColumn("__r", rank).where(F.col("__r") <= limit).drop("__r"), "sample")
+
+
 class Memo(dict):
     """Results of a function by key, bounded: two generations of ``limit`` entries at most.
 

@@ -16,9 +16,11 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import sentencepiece
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideline.llm.common import sample_keys
+
 VOCABULARY = "piece_bpe_32k.model"
 START = "▁"
 #: Training sample: texts per language, and characters of the longest text that is taken.
@@ -180,13 +182,11 @@ def fit(pieces: Pieces, langs: list[str], counts: dict[str, np.ndarray]) -> Mode
 def train(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", path: str | None = None) -> Model:
     """Fit on at most ``SAMPLE`` texts per non-null language, chosen by a hash of the key, among
     those of at most ``SAMPLE_CHARS`` characters.  Only their word counts reach the driver."""
-    rows = df.where(F.col(lang).isNotNull() & (F.length(text) <= SAMPLE_CHARS)).select(
-        F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key)).alias("h")
+    rows = df.where(F.length(text) <= SAMPLE_CHARS).select(
+        F.col(lang).alias("lang"), F.col(key).alias("key"), F.col(text).alias("text")
     )
-    # The sample is cut per hash range first, so no language has to pass through one task whole.
-    near = Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("h")
-    some = rows.withColumn("r", F.row_number().over(near)).where(F.col("r") <= SAMPLE).drop("r")
-    chosen = some.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= SAMPLE)
+    drawn = sample_keys(rows, "lang", "key", SAMPLE)
+    chosen = rows.join(drawn, ["lang", "key"]).groupBy("lang", "key").agg(F.min("text").alias("text"))
     words = chosen.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("(\\p{L}+)"))).alias("w"))
     counted = words.groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n")).toPandas()
     langs = sorted(counted["lang"].unique())

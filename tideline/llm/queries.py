@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import byte_bpe, langid, mixing, quality, token_counts, url_filter, warc
+from tideline.llm import byte_bpe, langid, mixing, quality, token_counts, toxicity, url_filter, warc
 from tideline.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,6 +86,13 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents, carry=["doc_id"]).select("__row.doc_id", "size", "source_size", "target", "taken")
 
 
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out(F.col("doc_id")))
+    network = toxicity.train(documents.where(~F.col("held_out")), table(spark, sf_dir, "labels"))
+    return toxicity.score(documents, network).drop("text")
+
+
 @query
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
