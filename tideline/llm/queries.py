@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import byte_bpe, langid, mixing, quality, token_counts, toxicity, url_filter, warc
+from tideline.llm import byte_bpe, langid, lattice, mixing, quality, token_counts, toxicity, url_filter, warc
 from tideline.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +42,13 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("__row.page_id", "host", "path", "rule", "verdict", "host_words", "block_score")
 
 
+@query
+def op3_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    found = lattice.near_duplicates(vectors)
+    return found.select("__row.vec_id", "n_links", "component_id", "kept")
+
+
 @query
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")

@@ -27,7 +27,8 @@ WORDS, GRAMS, WIDTH, UNITS = 1 << 13, 1 << 14, 12, 8
 GRAM_SIZES = (3, 4, 5)
 #: Training sample: texts per label, and words of the longest text that is taken.
 SAMPLE, SAMPLE_WORDS = 1500, 600
-EPOCHS, BATCH, RATE, SEED = 6, 32, 0.01, 7
+#: Updates, texts per update, learning rate and seed.
+UPDATES, BATCH, RATE, SEED = 560, 32, 0.01, 7
 #: Windows per step, and words a worker remembers.
 STEP, REMEMBER = 4096, 200_000
 TOKEN = re.compile(r"[^\W_]+")
@@ -136,14 +137,14 @@ class Network:
         states = np.concatenate([self.run(forward, mask, "f"), self.run(backward, mask, "b")], axis=2)
         return self.pool(states, mask)[0]
 
-    def gradients(self, x: np.ndarray, mask: np.ndarray, labels: np.ndarray) -> tuple[dict, np.ndarray]:
-        """Gradients of the mean cross-entropy, and of the inputs ``x`` (time, windows, width)."""
+    def gradients(self, x: np.ndarray, mask: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[dict, np.ndarray]:
+        """Gradients of the weighted mean cross-entropy, and of the inputs ``x`` (time, windows, width)."""
         w, g = self.w, {}
         gates = dict(zip("fb", self.gates(x), strict=True))
         traces = {"f": [], "b": []}
         states = np.concatenate([self.run(gates[s], mask, s, traces[s]) for s in "fb"], axis=2)
         logit, pooled, share, seen = self.pool(states, mask)
-        d = ((_sigmoid(logit) - labels) / len(labels)).astype(np.float32)
+        d = (weights * (_sigmoid(logit) - labels) / len(labels)).astype(np.float32)
         g["bias"], g["out"] = d.sum(keepdims=True), pooled.T @ d
         d_pooled = d[:, None] * w["out"]
         d_share = (states * d_pooled).sum(axis=2)
@@ -232,7 +233,7 @@ class Scorer:
 
 
 def fit(texts: list[str], labels: np.ndarray) -> Network:
-    """Adam on the highest window of each text, classes weighted by how often they are drawn."""
+    """Adam on the highest window of each text; both labels weigh the same in total."""
     rng = np.random.default_rng(SEED)
     network = Network.fresh(rng)
     split = [tokens(t) for t in texts]
@@ -244,8 +245,10 @@ def fit(texts: list[str], labels: np.ndarray) -> Network:
     words = Words.of(list(vocabulary))
     counts = words.counts()
     ids = [np.fromiter(map(vocabulary.__getitem__, t), dtype=np.int64, count=len(t)) for t in split]
+    share = labels[usable].mean()
+    weights = np.where(labels > 0, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
     step = 0
-    for _ in range(EPOCHS):
+    while step < UPDATES:
         scorer = Scorer(network)
         owner, first, logit = scorer.window_logits([split[i] for i in usable])
         order = np.lexsort((-logit, owner))
@@ -259,7 +262,7 @@ def fit(texts: list[str], labels: np.ndarray) -> Network:
             part = [words.grams[words.starts[i] : words.starts[i] + counts[i]] for i in used]
             sub = Words(words.word[used], np.concatenate(part), np.cumsum(counts[used]) - counts[used])
             x = network.inputs(sub)[back.reshape(at.shape)]
-            grads, d_x = network.gradients(x, mask, labels[own])
+            grads, d_x = network.gradients(x, mask, labels[own], weights[own])
             d_in = np.zeros((len(used), 2 * WIDTH), np.float32)
             np.add.at(d_in, back.ravel(), (d_x * mask).reshape(-1, 2 * WIDTH))
             d_gram = np.repeat(d_in[:, WIDTH:] / counts[used][:, None], counts[used], axis=0)
