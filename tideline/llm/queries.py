@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import byte_bpe, langid, lattice, mixing, quality, token_counts, toxicity, url_filter, warc
+from tideline.llm import byte_bpe, jaccard, langid, lattice, mixing, quality, token_counts, toxicity, url_filter, warc
 from tideline.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,6 +57,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents.select("doc_id", "held_out", "text"), model).drop("text")
 
 
+@query
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard.join(documents).withColumnRenamed("id", "doc_id")
+
+
 @query
 def op6_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
