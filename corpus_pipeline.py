@@ -5,21 +5,48 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tideline.llm import byte_bpe
-from tideline.llm.common import stored, table
+from tideline.llm import byte_bpe, jaccard, mixing, quality, toxicity
+from tideline.llm.common import held_out, stored, table
 
 
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with the ids of their texts and the digests of ids and decoded bytes."""
-    return byte_bpe.round_trip(byte_bpe.encode(docs))
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the base rules or the adaptive thresholds reject."""
+    return quality.keep_good(docs)
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents predicted toxic; learned from labelled documents of the training folds."""
+    network = toxicity.train(docs.where(~held_out(F.col("doc_id"))), table(spark, sf_dir, "labels"))
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), "text")
+    return toxicity.score(rows, network).where("predicted = 0").select("__row.*")
+
+
+def no_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: that of the smallest id."""
+    return jaccard.keep_one(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them, in whole copies."""
+    return mixing.repeat_mixed(docs)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with the ids of their texts, and the digests of ids and decoded bytes."""
+    return byte_bpe.round_trip(docs, ids="ids")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("byte_bpe", encode),
+    ("quality_rules", good_quality),
+    ("toxicity", not_toxic),
+    ("jaccard_join", no_near_duplicates),
+    ("source_mix", mixed),
+    ("byte_bpe", encoded),
 ]
 
-#: Toxicity scores and BPE ids cannot be expressed in SQL.
+#: Toxicity scores and BPE ids cannot be expressed in SQL; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
 
 

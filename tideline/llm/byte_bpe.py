@@ -109,24 +109,28 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", path: str | No
     return df.withColumn(out, run(F.col(ids)))
 
 
-def round_trip(df: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
+def round_trip(df: DataFrame, text: str = "text", ids: str | None = None, path: str | None = None) -> DataFrame:
     """Add ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``: every text encoded, then decoded.
 
-    Ids are hashed as little-endian unsigned 32-bit integers.  Both passes run in one task, so the
-    ids, which are as large as the texts, never leave it.  Nulls and clashes as in ``encode``.
+    Ids are hashed as little-endian unsigned 32-bit integers, and are added too if ``ids`` names a
+    column.  Both passes run in one task, so texts are encoded once and nothing is shuffled.  Nulls
+    and clashes as in ``encode``.
     """
     path = _ranks(path)
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if ids else ""))
     def run(texts: pd.Series) -> pd.DataFrame:
         own = coder(path)
         rows = []
         for t in texts:
             packed = own.encode(t or "")
             decoded = own.decode(packed)
-            rows.append((len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256(decoded).hexdigest()))
-        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-
-    made = ["n_tokens", "ids_sha256", "decoded_sha256"]
-    kept = [F.col(f"`{c}`") for c in df.columns if c not in made]
-    return df.select(*kept, run(F.col(text)).alias("__r")).select(*kept, *[F.col(f"__r.{c}") for c in made])
+            row = len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256(decoded).hexdigest()
+            rows.append((*row, np.frombuffer(packed, dtype="<i4")) if ids else row)
+        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * bool(ids))
+
+    made = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * bool(ids)
+    names = {"ids": ids}
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in {names.get(m, m) for m in made}]
+    done = df.select(*kept, run(F.col(text)).alias("__r"))
+    return done.select(*kept, *[F.col(f"__r.{c}").alias(names.get(c, c)) for c in made])
