@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from checks.registry import (
@@ -17,12 +19,14 @@ from checks.registry import (
     UP,
     counter_cte,
     instant_cte,
+    latest,
     out,
     query,
     seconds,
+    special_text,
     windowed,
 )
-from tideline.model import Grid
+from tideline.model import Grid, label, rekey
 from tideline.operators import rangefn as R
 from tideline.operators import select as P
 from tideline.operators import vector as A
@@ -153,18 +157,69 @@ def _(t):
     return out(R.over_time(t.counter, "quantile", "6h", HOURLY, q=0.9), "type", digits=8)
 
 
+@query(
+    "r10_quantile_over_subquery",
+    f"WITH {GAUGE}, {windowed(3 * HOUR)},"
+    " inner_ AS (SELECT type, usr, j, avg(value) AS value FROM w GROUP BY type, usr, j),"
+    f" again AS (SELECT type, usr, value, unnest(generate_series(j, least({N}, j + 6))) AS k FROM inner_)"
+    f" SELECT type, usr, CAST({LO_S} + k * 3600 AS BIGINT) AS t, round(quantile_cont(value, 0.75), 6) AS value"
+    " FROM again GROUP BY type, usr, k",
+)
+def _(t):
+    """Over a computed vector, which has no metric name."""
+    inner = R.subquery(lambda g: R.over_time(t.gauge, "avg", "3h", g), "6h", "1h", HOURLY)
+    return out(R.over_time(inner, "quantile", "6h", HOURLY, q=0.75), "type", "usr")
+
+
+ODD = Grid.of(datetime(2024, 1, 5), datetime(2024, 1, 5, 6), "61s")
+SEVEN = Grid.of(datetime(2024, 1, 5), datetime(2024, 1, 12), "7m")
+
+
+def _on(grid: Grid, src: str, d: int) -> str:
+    """Samples of ``src`` per evaluation of any grid as CTE ``w``."""
+    return (
+        f"w AS (SELECT *, unnest(generate_series(greatest(0, CAST(ceil((us - {grid.start}) / {grid.step}) AS BIGINT)),"
+        f" least({grid.last}, CAST(floor((us + {d} - {grid.start}) / {grid.step}) AS BIGINT)))) AS j FROM {src}"
+        f" WHERE us BETWEEN {grid.start - d} AND {grid.start + grid.last * grid.step})"
+    )
+
+
+def _tick(grid: Grid) -> str:
+    return f"CAST(({grid.start} + j * {grid.step}) // 1000000 AS BIGINT) AS t"
+
+
+for _name, _grid in (("61s", ODD), ("7m", SEVEN)):
+    query(
+        f"r15_sum_over_time_step_{_name}",
+        f"WITH {GAUGE}, {_on(_grid, 's', DAY)} SELECT type, {_tick(_grid)}, round(sum(value), 4) AS value FROM w GROUP BY type, j",
+    )(lambda t, g=_grid: out(agg(R.over_time(t.gauge, "sum", "1d", g), "sum", ["type"]), "type", digits=4))
+    query(
+        f"r15_increase_step_{_name}",
+        f"WITH {COUNTER}, {_on(_grid, 's', DAY)}, c AS (SELECT type, j, us, value, lag(value) OVER (PARTITION BY type, j ORDER BY us) AS pv FROM w)"
+        f" SELECT type, {_tick(_grid)}, round(arg_max(value, us) - arg_min(value, us) + sum(CASE WHEN value < pv THEN pv ELSE 0 END), 4) AS value"
+        " FROM c GROUP BY type, j HAVING count(*) > 1",
+    )(lambda t, g=_grid: out(R.increase(t.counter, "1d", g, mode="raw"), "type", digits=4))
+
+
 @query(
     "r12_predict_linear",
     f"WITH {GAUGE}, {windowed(DAY)},"
     f" f AS (SELECT type, usr, j, count(*) AS n, regr_slope(value, (us - ({LO} + j * {HOUR})) / 1e6) AS a,"
     f" regr_intercept(value, (us - ({LO} + j * {HOUR})) / 1e6) AS b FROM w GROUP BY type, usr, j)"
-    f" SELECT type, usr, {T}, round(b + a * 3600, 3) AS value FROM f WHERE n > 2",
+    f" SELECT type, usr, {T}, CASE WHEN n > 2 THEN round(b + a * 3600, 3) ELSE 0 END AS value,"
+    " CASE WHEN n = 2 THEN CASE WHEN b + a * 3600 > 1e4 THEN 'above' WHEN b + a * 3600 < -1e4 THEN 'below' ELSE 'near' END ELSE '' END AS two FROM f WHERE n > 1",
 )
 def _(t):
     v = R.predict_linear(t.gauge, "1d", 3600.0, HOURLY)
-    # two samples can be microseconds apart, which no two summations round alike
-    n = R.over_time(t.gauge, "count", "1d", HOURLY)
-    return out(binop("*", v, A.compare(A.compare(n, ">", 2), ">", 2, as_bool=True)), "type", "usr", digits=3)
+    # two samples can be microseconds apart, which no two summations round alike: there the side is compared
+    n = R.over_time(t.gauge, "count", "1d", HOURLY).select("series_id", "ts", F.col("value").alias("n"))
+    both = v.join(n, ["series_id", "ts"])
+    side = F.when(F.col("value") > 1e4, "above").when(F.col("value") < -1e4, "below").otherwise("near")
+    return both.select(
+        label("type").alias("type"), label("usr").alias("usr"), seconds("ts").alias("t"),
+        F.when(F.col("n") > 2, F.round("value", 3)).otherwise(0.0).alias("value"),
+        F.when(F.col("n") == 2, side).otherwise("").alias("two"),
+    )
 
 
 @query(
@@ -289,10 +344,29 @@ def _two(t):
     return R.instant(t.gauge, HOURLY, "6h"), R.over_time(t.gauge, "avg", "6h", HOURLY)
 
 
-@query("a4_binop_one_to_one", f"WITH {TWO} SELECT type, usr, {T}, round(l / r, 6) AS value FROM x WHERE r <> 0")
+@query(
+    "a4_binop_one_to_one",
+    f"WITH {TWO} SELECT type, usr, {T}, CASE WHEN r = 0 AND l = 0 THEN 'NaN' WHEN r = 0 THEN 'Inf'"
+    " ELSE CAST(CAST(round(l / r * 1000) AS BIGINT) AS VARCHAR) END AS value FROM x",
+)
 def _(t):
-    a, b = _two(t)
-    return out(binop("/", a, A.compare(b, "!=", 0)), "type", "usr")
+    found = binop("/", *_two(t))
+    return found.select(label("type").alias("type"), label("usr").alias("usr"), seconds("ts").alias("t"), special_text(F.col("value"), 1000).alias("value"))
+
+
+@query(
+    "a4_unmatched_duplicates",
+    f"WITH {UP}, {windowed(HOUR)}, {latest('instance, site')}, m AS (SELECT instance, j, max(value) AS v, count(*) AS n FROM i WHERE CAST(instance AS INTEGER) < 10 GROUP BY instance, j)"
+    f" SELECT instance, {T}, 2 * v AS value FROM m",
+)
+def _(t):
+    """Series that differ in an ignored label alone are no error while they have no partner."""
+    up = R.instant(t.up, HOURLY, "1h")
+    number = F.col("labels")["instance"].cast("int")
+    other = up.filter(number >= 10).withColumn("labels", F.map_concat("labels", F.create_map(F.lit("copy"), F.lit("b"))))
+    left = up.unionByName(rekey(other))
+    right = up.filter(number < 10)
+    return out(binop("+", left, right, on=["instance"]), "instance")
 
 
 @query("a8_compare_vectors", f"WITH {TWO} SELECT type, usr, {T}, round(l, 6) AS value FROM x WHERE l > r")
@@ -382,11 +456,6 @@ def _(t):
     series = rekey(plain)
     ok = R.over_time(series, "sum", "1h", HOURLY)
     bad = R.over_time(A.rarith(1, "-", series), "sum", "1h", HOURLY)
-    value = F.col("value")
-    text = (
-        F.when(F.isnan(value), "NaN")
-        .when(value == float("inf"), "Inf")
-        .otherwise(F.round(F.when(value == float("inf"), 0.0).otherwise(value) * 1000).cast("bigint").cast("string"))
-    )
+    text = special_text(F.col("value"), 1000)
     found = binop("/", bad, ok)
     return found.select(F.col("labels")["instance"].alias("instance"), seconds("ts").alias("t"), text.alias("value"))

@@ -107,6 +107,16 @@ def out(v: DataFrame, *labels: str, digits: int = 6) -> DataFrame:
     )
 
 
+def special_text(value: Column, scale: int) -> Column:
+    """A value as whole thousandths (or the like), with NaN and infinity by name."""
+    finite = F.when(F.isnan(value) | (F.abs(value) == float("inf")), 0.0).otherwise(value)
+    return (
+        F.when(F.isnan(value), "NaN")
+        .when(value == float("inf"), "Inf")
+        .otherwise(F.round(finite * scale).cast("bigint").cast("string"))
+    )
+
+
 # --- SQL building blocks -------------------------------------------------------------
 
 LO = HOURLY.start

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.registry import HOUR, HOURLY, T, UP, latest, out, query, windowed
-from tideline.model import label_map
+from tideline.model import label_map, rekey
 from tideline.operators import relabel as L
 from tideline.operators import rangefn as R
 from tideline.operators.matching import v_or_all
@@ -63,12 +63,6 @@ _rules(
     [Rule("replace", ("__address__",), "[^.]*-([a-z]{3}[0-9]).*", "${1}", "site")],
     "site",
 )
-_rules(
-    "l2_replace_joined_sources",
-    "SELECT k, CASE WHEN port <> '' THEN regexp_extract(address, '^[^:]+') || ':' || port ELSE address END AS address FROM d",
-    [Rule("replace", ("__address__", "__meta_port"), r"([^:]+)(?::\d+)?;(\d+)", "$1:$2", "__address__")],
-    "__address__",
-)
 _rules(
     "l3_replace_constant",
     "SELECT k, 'inner' AS cluster FROM d",
@@ -112,41 +106,82 @@ _rules(
 _rules(
     "l12_probe_targets",
     "SELECT k, 'exporter:9115' AS address, regexp_replace(address, ':.*', '') AS param_target, module AS param_module, address AS instance FROM d",
-    L.probe_target_rules("exporter:9115", "${1}"),
+    L.probe_target_rules("exporter:9115", "([^:]+).*"),
     "__address__",
     "__param_target",
     "__param_module",
     "instance",
 )
-_rules(
+def _order_labels(t):
+    """Orders as labelled rows: status, priority and the customer's last two digits."""
+    labels = {
+        "state": F.col("o_orderstatus"),
+        "urgency": F.col("o_orderpriority"),
+        "tag_queue": F.concat(F.lit("q"), F.col("o_custkey") % 7),
+        "tag_lane": F.concat(F.lit("lane "), F.col("o_custkey") % 100),
+    }
+    return t.orders.select(F.col("o_orderkey").alias("k"), label_map(labels).alias("labels"))
+
+
+ORDERS = (
+    "d AS (SELECT o_orderkey AS k, o_orderstatus AS state, o_orderpriority AS urgency,"
+    " 'q' || (o_custkey % 7) AS queue, o_custkey % 100 AS lane FROM orders)"
+)
+
+
+@query(
+    "l2_replace_joined_sources",
+    f"WITH {ORDERS} SELECT k, CASE WHEN state IN ('F', 'P') AND lane >= 10 THEN state || (lane % 10) ELSE '' END AS slot FROM d",
+)
+def _(t):
+    rule = Rule("replace", ("state", "tag_lane"), "([FP]);lane [0-9](?<low>[0-9])", "$1${low}", "slot")
+    return show(L.relabel(_order_labels(t), [rule]), "slot")
+
+
+@query(
     "l13_host_labels",
-    "SELECT k, CASE WHEN regexp_matches(address, '-x0') THEN '' ELSE regexp_extract(address, '^(node[1-4])-', 1) END AS machine,"
-    " CASE WHEN regexp_matches(address, '-x0') THEN '' ELSE regexp_extract(address, '-([a-z]{3}[0-9]{2})', 1) END AS site FROM d",
-    L.host_rules("__address__", "(node[1-4])-[a-z]{3}[0-9]{2}.*", "node[1-4]-([a-z]{3}[0-9]{2}).*"),
-    "machine",
-    "site",
+    "SELECT p_partkey AS k, regexp_extract(p_brand, '#(.)', 1) AS machine, regexp_extract(p_type, '^(.*)[A-Z]$', 1) AS site FROM part",
 )
-_rules(
-    "l6_pod_pipeline",
-    "SELECT k, CASE WHEN port <> '' THEN regexp_extract(address, '^[^:]+') || ':' || port ELSE address END AS address, app, ready,"
-    " CASE WHEN kind = 'DaemonSet' THEN regexp_extract(pod, '^(.*)(-[^-]{5})$', 1) ELSE regexp_extract(pod, '^(.*)(-[^-]+)(-[^-]{5})$', 1) END AS deployment,"
-    " 'inner' AS cluster FROM d WHERE scrape = 'true' AND port <> ''",
-    [
-        Rule("replace", ("__meta_ready",), target="ready"),
-        Rule("keep", ("__meta_scrape",), "true"),
-        Rule("keep", ("__meta_port",), r"(\d+)"),
-        Rule("replace", ("__address__", "__meta_port"), r"([^:]+)(?::\d+)?;(\d+)", "$1:$2", "__address__"),
-        Rule("labelmap", (), "__meta_label_(.+)"),
-        Rule("replace", (), ".*", "inner", "cluster"),
-        Rule("replace", ("__meta_kind", "__meta_pod"), "DaemonSet;(.*)(-[^-]{5})", "$1", "deployment"),
-        Rule("replace", ("__meta_kind", "__meta_pod"), "ReplicaSet;(.*)(-[^-]+)(-[^-]{5})", "$1", "deployment"),
-    ],
-    "__address__",
-    "app",
-    "ready",
-    "deployment",
-    "cluster",
+def _(t):
+    named = F.concat(F.col("p_brand"), F.lit(" makes "), F.col("p_type"))
+    rows = t.part.select(F.col("p_partkey").alias("k"), label_map({"name": named}).alias("labels"))
+    return show(L.relabel(rows, L.host_rules("name", "Brand#([0-9]).*", ".* makes (.+).")), "machine", "site")
+
+
+@query(
+    "l6_rule_chain",
+    f"WITH {ORDERS} SELECT k, queue, 'orders' AS origin,"
+    " CASE WHEN state = 'O' THEN substr(urgency, 3) WHEN substr(urgency, 1, 1) IN ('1', '2') THEN 'late ' || substr(urgency, 1, 1) ELSE '' END AS note"
+    " FROM d WHERE state <> 'P' AND lane < 50 AND substr(urgency, 1, 1) <> '5'",
+)
+def _(t):
+    """Constant, copies by name, two alternatives for one label, and filters in between."""
+    rules = [
+        Rule("replace", (), ".*", "orders", "origin"),
+        Rule("drop", ("state",), "P"),
+        Rule("labelmap", (), "tag_(.*)"),
+        Rule("replace", ("urgency", "state"), "([12])-.*;F", "late $1", "note"),
+        Rule("keep", ("lane",), "lane ([0-9]|[1-4][0-9])"),
+        Rule("replace", ("urgency", "state"), "[0-9]-(.*);O", "$1", "note"),
+        Rule("drop", ("urgency",), "5.*"),
+    ]
+    return show(L.relabel(_order_labels(t), rules), "queue", "origin", "note")
+
+
+@query(
+    "l14_missing_group",
+    f"WITH {ORDERS} SELECT k, 'a' || substr(urgency, 1, 1) || 'b' AS code, '$' || state AS price FROM d",
 )
+def _(t):
+    """References to groups that a regex lacks are empty text."""
+    rows = L.relabel(
+        _order_labels(t),
+        [
+            Rule("replace", ("urgency",), "([0-9]).*", "a${1}b$2z", "code"),
+            Rule("replace", ("state",), "(.)", "$$$1", "price"),
+        ],
+    )
+    return show(rows, "code", "price")
 
 
 @query("l11_strip_internal", f"WITH {SUPP} SELECT k, '{{\"module\":\"' || module || '\"}}' AS labels FROM d")
@@ -179,12 +214,12 @@ def _(t):
 
 @query(
     "l7_drop_by_name",
-    "SELECT count(*) AS n FROM events",
+    "SELECT 'event_value' AS metric, event_type AS type, CAST(user_id AS VARCHAR) AS usr, CAST(floor(epoch(ts)) AS BIGINT) AS t, round(value, 6) AS value FROM events",
 )
 def _(t):
     both = t.gauge.unionByName(t.up)
     kept = L.metric_relabel(both, [Rule("drop", ("__name__",), "up")])
-    return kept.agg(F.count(F.lit(1)).alias("n"))
+    return out(kept.withColumn("labels", F.map_concat("labels", F.create_map(F.lit("metric"), F.col("metric")))), "metric", "type", "usr")
 
 
 def _targets_by_site(t):
@@ -224,6 +259,20 @@ def _(t):
     return out(v, "type", "exported_type", "site")
 
 
+@query(
+    "l10_exported_taken",
+    "SELECT 't' || site AS type, event_type AS exported_type, 'x' || site AS exported_exported_type, site, CAST(floor(epoch(ts)) AS BIGINT) AS t, round(value, 6) AS value"
+    f" FROM events JOIN {SITES} ON site = CAST(user_id % 10 AS VARCHAR)",
+)
+def _(t):
+    """The sample has the label and an exported one of that name already."""
+    v = _site_samples(t)
+    own = F.create_map(F.lit("exported_type"), F.col("labels")["type"], F.lit("type"), F.concat(F.lit("x"), F.col("labels")["site"]))
+    rest = F.map_filter("labels", lambda k, _: k != "type")
+    v = rekey(v.withColumn("labels", F.map_concat(rest, own)))
+    return out(L.attach_target_labels(v, _targets_by_site(t), "site"), "type", "exported_type", "exported_exported_type", "site")
+
+
 UPI = f"{UP}, {windowed(HOUR)}, {latest('instance, site')}"
 
 

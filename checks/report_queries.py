@@ -200,7 +200,7 @@ Q10_DAY = "DATE '2001-06-28'"
     f" WHERE date = {Q10_DAY} AND uuid IS NOT NULL AND uuid <> '{INVALID}'),"
     f" sw AS (SELECT machine || '-' || site AS node, ts - INTERVAL 10 SECOND AS s, ts AS e FROM ({flat_sql('orders')}) WHERE date = {Q10_DAY} AND rate > 2000),"
     " hit AS (SELECT DISTINCT uuid FROM te JOIN sw ON te.node = sw.node AND (ts BETWEEN s AND e OR ended BETWEEN s AND e))"
-    " SELECT regexp_extract(site, '([a-z]{3})[0-9]{2}', 1) AS metro, site, CASE WHEN site IS NULL THEN NULL ELSE node END AS node,"
+    " SELECT substr(site, 1, 3) AS metro, site, CASE WHEN site IS NULL THEN NULL ELSE node END AS node,"
     " count(*) FILTER (uuid IN (SELECT uuid FROM hit)) AS value_with_discards, count(*) AS value_total FROM te GROUP BY ALL",
 )
 def _(t):
@@ -212,6 +212,7 @@ def _(t):
         asof=datetime(2001, 6, 30, 12),
         poll=timedelta(seconds=10),
         invalid=INVALID,
+        metro="^(.{3})",
     )
 
 
@@ -322,6 +323,7 @@ STORAGE_PARAMS = {
     "method": "storage.%.%",
     "robots": "%robots.example",
     "days": 3,
+    "dated": "[12][0-9]+/[0-9]+/[0-9]+",
 }
 
 
@@ -528,6 +530,25 @@ def _(t):
     return held.select(F.col("labels")["type"].alias("type"), F.unix_seconds("ts").alias("t"), "value")
 
 
+@query(
+    "s10_report_series_vanishing",
+    "WITH r AS (SELECT user_id, CAST(ts AS DATE) AS d, count(*) AS n FROM events GROUP BY 1, 2),"
+    " x AS (SELECT d, lead(d) OVER (ORDER BY d) AS nd FROM (SELECT DISTINCT d FROM r)),"
+    " g AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-31', INTERVAL 6 HOUR)) AS t)"
+    " SELECT CAST(user_id AS VARCHAR) AS usr, CAST(epoch(t) AS BIGINT) AS t, CAST(n AS DOUBLE) AS value FROM r JOIN x USING (d)"
+    " JOIN g ON t >= CAST(d AS TIMESTAMP) + INTERVAL 1 DAY AND (nd IS NULL OR t < CAST(nd AS TIMESTAMP) + INTERVAL 1 DAY)",
+)
+def _(t):
+    """Users that a day lacks end with that day's run and come back later."""
+    from tideline.model import Grid
+    from tideline.sources.samples import samples_from
+
+    daily = t.ev.groupBy("user_id", F.date_add(F.to_date("ts"), 1).alias("run")).agg(F.count(F.lit(1)).alias("n"))
+    runs = samples_from(daily, "report", {"usr": F.col("user_id")}, "run", F.col("n"))
+    held = report_series(runs, Grid.of(datetime(2024, 1, 1), datetime(2024, 1, 31), "6h"))
+    return held.select(F.col("labels")["usr"].alias("usr"), F.unix_seconds("ts").alias("t"), "value")
+
+
 @query(
     "s15_parameterised_report",
     f"WITH {union_sql('date')} SELECT datatype, count(*) AS value_total FROM u WHERE date = DATE '1999-03-13' GROUP BY datatype",
@@ -649,10 +670,9 @@ def _(t):
     return J.zero_fill(t.documents, counts, ["source"], "n")
 
 
-LIMIT = "(SELECT 1.7 * avg(o_totalprice) FROM orders)"
 TOUCH = (
     "t AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_suppkey % 100 AS node, l_shipdate AS s, l_shipdate + to_hours(CAST(l_quantity AS INTEGER)) AS e FROM lineitem),"
-    f" p AS (SELECT DISTINCT o_custkey % 100 AS node, o_orderdate - INTERVAL 1 DAY AS s, o_orderdate AS e FROM orders WHERE o_totalprice > {LIMIT})"
+    " p AS (SELECT DISTINCT o_custkey % 100 AS node, o_orderdate - INTERVAL 1 DAY AS s, o_orderdate AS e FROM orders)"
 )
 
 
@@ -663,8 +683,7 @@ def _touch_inputs(t):
         "CAST(l_shipdate AS timestamp) AS tstart",
         "CAST(l_shipdate AS timestamp) + make_interval(0, 0, 0, 0, CAST(l_quantity AS int)) AS tend",
     )
-    limit = t.orders.agg((1.7 * F.avg("o_totalprice")).alias("limit"))
-    polls = t.orders.join(F.broadcast(limit), F.col("o_totalprice") > F.col("limit")).selectExpr(
+    polls = t.orders.selectExpr(
         "o_custkey % 100 AS node",
         "CAST(o_orderdate AS timestamp) - INTERVAL 1 DAY AS tstart",
         "CAST(o_orderdate AS timestamp) AS tend",
@@ -674,11 +693,23 @@ def _touch_inputs(t):
 
 @query(
     "j12_interval_touch",
-    f"WITH {TOUCH} SELECT DISTINCT t.id, t.node FROM t JOIN p ON t.node = p.node AND (t.s BETWEEN p.s AND p.e OR t.e BETWEEN p.s AND p.e)",
+    f"WITH {TOUCH} SELECT t.id, t.node FROM t SEMI JOIN p ON t.node = p.node AND (t.s BETWEEN p.s AND p.e OR t.e BETWEEN p.s AND p.e)",
+)
+def _(t):
+    tests_, polls = _touch_inputs(t)
+    return J.interval_touch_semi(tests_, polls, "1d").select("id", "node")
+
+
+@query(
+    "j12_interval_touch_repeated",
+    f"WITH {TOUCH}, r AS (SELECT node, s, e FROM t UNION ALL SELECT node, s, e FROM t) SELECT r.node, CAST(epoch(r.s) AS BIGINT) AS s FROM r"
+    " SEMI JOIN p ON r.node = p.node AND (r.s BETWEEN p.s AND p.e OR r.e BETWEEN p.s AND p.e)",
 )
 def _(t):
+    """Equal rows are all kept."""
     tests_, polls = _touch_inputs(t)
-    return J.interval_touch_semi(tests_, polls, "1d").select("id", "node").distinct()
+    twice = tests_.drop("id").unionByName(tests_.drop("id"))
+    return J.interval_touch_semi(twice, polls, "1d").select("node", F.unix_seconds("tstart").alias("s"))
 
 
 @query(

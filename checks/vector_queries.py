@@ -22,9 +22,10 @@ from checks.registry import (
     out,
     query,
     seconds,
+    special_text,
     windowed,
 )
-from tideline.model import Grid
+from tideline.model import Grid, label
 from tideline.operators import aggregate as G
 from tideline.operators import histogram as H
 from tideline.operators import rangefn as R
@@ -333,11 +334,12 @@ def _(t):
 @query(
     "g12_ratio_by",
     f"WITH {UPS}, k AS (SELECT site, j, sum(value) AS s, sum(value) FILTER (regexp_full_match(instance, '1.')) AS p"
-    f" FROM i GROUP BY site, j) SELECT site, {T}, round(p / s, 6) AS value FROM k WHERE p IS NOT NULL AND s <> 0",
+    f" FROM i GROUP BY site, j) SELECT site, {T}, CASE WHEN s = 0 THEN 'NaN' ELSE CAST(CAST(round(p / s * 1000000) AS BIGINT) AS VARCHAR) END AS value"
+    " FROM k WHERE p IS NOT NULL",
 )
 def _(t):
     found = G.ratio(_up(t), P.rx("instance", "1."), ["site"])
-    return out(found.filter(~F.isnan("value")), "site")
+    return found.select(label("site").alias("site"), seconds("ts").alias("t"), special_text(F.col("value"), 1_000_000).alias("value"))
 
 
 @query(

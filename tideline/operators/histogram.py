@@ -11,9 +11,12 @@ from tideline.model import label, label_key, labels_of
 
 def _bounds(v: DataFrame) -> DataFrame:
     rest = F.map_filter("labels", lambda k, _: k != "le")
-    return v.select(
-        "ts", label_key(rest).alias("gid"), label("le").cast("double").alias("le"), "value"
-    )
+    # A series without a number in ``le`` is no bucket; equal bounds written differently are one.
+    # Dealing rows out by histogram first leaves the windows that follow nothing to shuffle.
+    read = v.select(
+        "ts", label_key(rest).alias("gid"), label("le").try_cast("double").alias("le"), "value"
+    ).filter(F.col("le").isNotNull() & ~F.isnan("le"))
+    return read.repartition("ts", "gid").groupBy("ts", "gid", "le").agg(F.sum("value").alias("value"))
 
 
 def histogram_quantile(v: DataFrame, q: float) -> DataFrame:

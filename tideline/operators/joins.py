@@ -42,18 +42,22 @@ def interval_touch_semi(tests: DataFrame, polls: DataFrame, width, key: str = "n
 
     A test that contains a poll without ending in it does not count.  Both sides are cut
     into time buckets of ``width``: the equi-join key is (node, bucket), which spreads a
-    busy node over time, and the semi join yields each test once without listing pairs.
+    busy node over time, and the semi joins list no pairs.  A test is found by its start or,
+    failing that, by its end, so each row is kept once and equal rows are all kept.
     """
-    points = tests.select("*", F.explode(F.array("tstart", "tend")).alias("_at"))
-    points = points.withColumn("_bucket", _bucket(F.col("_at"), width))
     cut = _bucketed(polls, width, key)
-    touch = (
-        (points[key] == cut["_key"])
-        & (points["_bucket"] == cut["_b"])
-        & (points["_at"] >= cut["_s"])
-        & (points["_at"] <= cut["_e"])
-    )
-    return points.join(cut, touch, "left_semi").drop("_at", "_bucket").distinct()
+
+    def touched(rows: DataFrame, at: str, how: str) -> DataFrame:
+        inside = (
+            (rows[key] == cut["_key"])
+            & (_bucket(rows[at], width) == cut["_b"])
+            & (rows[at] >= cut["_s"])
+            & (rows[at] <= cut["_e"])
+        )
+        return rows.join(cut, inside, how)
+
+    rest = touched(tests, "tstart", "left_anti")
+    return touched(tests, "tstart", "left_semi").unionByName(touched(rest, "tend", "left_semi"))
 
 
 def interval_touch_join(tests: DataFrame, polls: DataFrame, width, key: str = "node") -> DataFrame:

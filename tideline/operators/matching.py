@@ -27,18 +27,25 @@ def keyed(v: DataFrame, on: list[str] | None, ignoring: list[str] | None):
     return v.withColumn("_key", F.col("series_id")), ["ts", "_key"]
 
 
-def _single(v: DataFrame, keys: list[str], side: str, named: bool) -> DataFrame:
-    """One row per key; a second series under the same key is an error, not a choice.
+def _counted(v: DataFrame, keys: list[str], side: str, named: bool) -> DataFrame:
+    """One row per key with the number of its series.
 
     The aggregation has the join's keys, so it adds no shuffle.
     """
-    wanted = [F.count(F.lit(1)).alias("_n"), F.first("value").alias("_v")]
+    wanted = [F.count(F.lit(1)).alias(f"{side}_n"), F.first("value").alias(side)]
     if named:
         wanted.append(F.first("metric").alias("_metric"))
+    return v.groupBy(*keys).agg(*wanted)
+
+
+def _paired(left: DataFrame, right: DataFrame, keys: list[str], named: bool) -> DataFrame:
+    """Values ``l`` and ``r`` per key of both sides; where a key has a partner, a second series
+    under it is an error, not a choice."""
+    joined = _counted(left, keys, "l", named).join(_counted(right, keys, "r", False), keys)
     message = F.lit("several series share one match key")
-    checked = F.when(F.col("_n") == 1, F.col("_v")).otherwise(F.raise_error(message).cast("double"))
-    grouped = v.groupBy(*keys).agg(*wanted).withColumn(side, checked)
-    return grouped.drop("_n", "_v")
+    single = (F.col("l_n") == 1) & (F.col("r_n") == 1)
+    checked = F.when(single, F.col("l")).otherwise(F.raise_error(message).cast("double"))
+    return joined.withColumn("l", checked).drop("l_n", "r_n")
 
 
 def binop(
@@ -56,7 +63,7 @@ def binop(
     left, keys = keyed(a, on, ignoring)
     right, _ = keyed(b, on, ignoring)
     filters = op in COMPARISONS and not as_bool
-    joined = _single(left, keys, "l", named=filters).join(_single(right, keys, "r", named=False), keys)
+    joined = _paired(left, right, keys, named=filters)
     lv, rv = F.col("l"), F.col("r")
     name = F.lit(None).cast("string")
     if op not in COMPARISONS:

@@ -1,63 +1,74 @@
 """Exact quantiles of groups of any size.
 
-``percentile`` keeps a group's distinct values in one buffer.  Here a mergeable
-sketch first brackets the wanted rank; then only the values inside the bracket, a
-small fraction of the group, are sorted, while the others are just counted.  The
-bracket is wider than the sketch's error bound, so the result is exact.
+Equal values are counted first, with partial sums before the shuffle.  Totals per range
+of values, of which a group has a bounded number, tell the range that holds the wanted
+rank; only the values of that range are sorted, and ranges lie in different tasks.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.functions.floats import INF
 
-ACCURACY = 10_000
-MARGIN = 8.0 / ACCURACY
-SALTS = 32
+#: Ranges per doubling of a value.
+RANGES = 1024
 
 
-def exact_quantile(df: DataFrame, keys: list[str], value: str, q: float) -> DataFrame:
-    """Linearly interpolated ``q`` quantile of ``value`` per group, in a column of that name."""
+def value_range(value: Column) -> Column:
+    """Number of a value's range; larger values never lie in a lower range, NaN in the last."""
+    size = F.floor(F.log2(F.nullif(F.abs(value), F.lit(0.0))) * RANGES) + (1 << 24)
+    return (
+        F.when(F.isnan(value), F.lit(1 << 30))
+        .when(F.abs(value) == INF, F.signum(value).cast("long") * (1 << 29))
+        .when(value == 0, F.lit(0))
+        .otherwise(F.signum(value).cast("long") * size)
+        .cast("long")
+    )
+
+
+def exact_quantile(
+    df: DataFrame, keys: list[str], value: str, q: float, weight: str | None = None
+) -> DataFrame:
+    """Linearly interpolated ``q`` quantile of ``value`` per group, in a column of that name.
+
+    Groups with null keys are groups like others.  ``weight`` counts a row several times.
+    """
     if q < 0 or q > 1 or math.isnan(q):
         edge = F.lit(q if math.isnan(q) else math.copysign(INF, q))
         return df.select(*keys).distinct().withColumn(value, edge)
 
-    low, high = max(0.0, q - MARGIN), min(1.0, q + MARGIN)
-    # Both passes start from the same projection, so their common shuffles are reused.
-    df = df.select(*keys, value).filter(F.col(value).isNotNull())
-    bounds = df.groupBy(*keys).agg(
-        F.count(value).alias("_n"),
-        F.percentile_approx(value, [low, high], ACCURACY).alias("_b"),
-    )
-    # One salted copy of the bounds per share of the group keeps a large group off one task.
-    bounds = bounds.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = df.select(*keys, value, F.pmod(F.hash(value), F.lit(SALTS)).alias("_salt"))
-    rows = rows.join(bounds, [*keys, "_salt"])
-    # In a small group one rank is more than the margin; it is sorted whole.
-    large = F.col("_n") > ACCURACY
-    above = large & (F.col(value) > F.col("_b")[1]) if high < 1 else F.lit(False)
-    below = large & (F.col(value) < F.col("_b")[0]) if low > 0 else F.lit(False)
-    counted = (
-        rows.filter(~above)
-        .withColumn("_v", F.when(~below, F.col(value)))
-        .groupBy(*keys, "_salt", "_v")
-        .agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"))
-        .groupBy(*keys, "_v")
-        .agg(F.sum("_c").alias("_c"), F.first("_n").alias("_n"))
-    )
-    order = Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first())
-    cum = counted.withColumn(
-        "_cum", F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    times = F.lit(1) if weight is None else F.col(weight)
+    rows = df.select(*keys, F.col(value).alias("_v"), times.alias("_t")).filter("_v IS NOT NULL")
+    counted = rows.groupBy(*keys, "_v").agg(F.sum("_t").alias("_c"))
+    counted = counted.withColumn("_r", value_range(F.col("_v")))
+
+    group = Window.partitionBy(*keys)
+    upto = group.orderBy("_r").rowsBetween(Window.unboundedPreceding, 0)
+    totals = counted.groupBy(*keys, "_r").agg(F.sum("_c").alias("_c"))
+    rank = F.lit(q) * (F.sum("_c").over(group) - 1)
+    placed = totals.select(
+        *[F.col(k).alias(f"_{k}") for k in keys],
+        F.col("_r").alias("_range"),
+        (F.sum("_c").over(upto) - F.col("_c")).alias("_before"),
+        F.sum("_c").over(upto).alias("_upto"),
+        rank.alias("_rank"),
     )
-    rank = F.lit(q) * (F.col("_n") - 1)
-    picked = cum.groupBy(*keys).agg(
-        F.min(F.when(F.col("_cum") > F.floor(rank), F.col("_v"))).alias("_lo"),
-        F.min(F.when(F.col("_cum") > F.ceil(rank), F.col("_v"))).alias("_hi"),
-        F.first(rank - F.floor(rank)).alias("_w"),
+    holds = (F.col("_before") <= F.ceil("_rank")) & (F.col("_upto") > F.floor("_rank"))
+    held = placed.filter(holds).drop("_upto")
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    near = counted.join(held, reduce(Column.__and__, same, F.col("_r") == F.col("_range")))
+
+    inside = Window.partitionBy(*keys, "_r").orderBy("_v")
+    cum = F.col("_before") + F.sum("_c").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    picked = near.withColumn("_cum", cum).groupBy(*keys).agg(
+        F.min(F.when(F.col("_cum") > F.floor("_rank"), F.col("_v"))).alias("_lo"),
+        F.min(F.when(F.col("_cum") > F.ceil("_rank"), F.col("_v"))).alias("_hi"),
+        F.first(F.col("_rank") - F.floor("_rank")).alias("_w"),
     )
     return picked.select(
         *keys,

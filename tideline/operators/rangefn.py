@@ -126,12 +126,15 @@ def over_time(v: DataFrame, how: str, d, grid: Grid, shift=0, q: float | None =
 
 
 def _quantile_over_time(v: DataFrame, q: float, d: int, grid: Grid, off: int) -> DataFrame:
-    # Quantiles do not merge, so samples are repeated for the windows they lie in.
+    # Counts per value merge: samples that lie in the same windows are counted once, and
+    # only these counts are repeated for the windows.
     near = in_reach(v, grid, d, off).select(*SERIES, "x", "value")
     first = F.greatest(F.lit(0), F.ceil((F.col("x") - F.lit(d)) / F.lit(grid.step)))
     last = F.least(F.lit(grid.last), F.call_function("div", F.col("x"), F.lit(grid.step)))
-    spread = near.select(*SERIES, "value", F.explode(F.sequence(first, last)).alias("j"))
-    out = exact_quantile(spread, [*SERIES, "j"], "value", q)
+    slices = near.groupBy(*SERIES, first.alias("first"), last.alias("last"), "value")
+    counts = slices.agg(F.count(F.lit(1)).alias("n"))
+    spread = counts.select(*SERIES, "value", "n", F.explode(F.sequence("first", "last")).alias("j"))
+    out = exact_quantile(spread, [*SERIES, "j"], "value", q, weight="n")
     ts = F.timestamp_micros(F.lit(grid.start) + F.col("j") * F.lit(grid.step))
     return as_vector(out.withColumn("ts", ts), "value")
 

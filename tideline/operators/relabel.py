@@ -27,10 +27,25 @@ class Rule:
     target: str = ""
 
 
-def _java_replacement(text: str) -> str:
-    """``${1}`` and ``$1`` group references; other text is literal."""
-    escaped = text.replace("\\", "\\\\")
-    return re.sub(r"\$\{(\d+)\}", r"$\1", escaped)
+def _expanded(text: str, source: Column, regex: str) -> Column:
+    """The replacement with its group references ``$1``, ``${1}`` or ``${name}`` filled in.
+
+    A reference reaches over all letters, digits and underscores after it; one to a group that
+    the regex lacks is empty text, and ``$$`` is a dollar sign.
+    """
+    known = re.compile(regex.replace("(?<", "(?P<").replace("(?P<=", "(?<=").replace("(?P<!", "(?<!"))
+    parts, at = [], 0
+    for found in re.finditer(r"\$(?:(\$)|(\w+)|\{(\w+)\})", text):
+        parts.append(F.lit(text[at : found.start()]))
+        at = found.end()
+        name = found[2] or found[3]
+        if found[1]:
+            parts.append(F.lit("$"))
+        else:
+            group = int(name) if name.isdigit() else known.groupindex.get(name, known.groups + 1)
+            if group <= known.groups:
+                parts.append(F.call_function("regexp_extract", source, F.lit(anchored(regex)), F.lit(group)))
+    return F.concat(*parts, F.lit(text[at:]))
 
 
 def _source(names: tuple[str, ...]) -> Column:
@@ -65,23 +80,19 @@ def apply_rule(df: DataFrame, rule: Rule) -> DataFrame:
     elif "$" not in rule.replacement:
         value = F.lit(rule.replacement)
     else:
-        value = F.regexp_replace(
-            source, F.lit(anchored(rule.regex)), F.lit(_java_replacement(rule.replacement))
-        )
+        value = _expanded(rule.replacement, source, rule.regex)
     return _set(df, rule.target, value, matched)
 
 
 def _labelmap(df: DataFrame, rule: Rule) -> DataFrame:
     """Copy labels whose name matches to the name built from the match."""
-    pattern = F.lit(anchored(rule.regex))
-    named = F.lit(_java_replacement(rule.replacement))
     entries = F.filter(
         F.array_sort(F.map_entries("labels")), lambda e: e["key"].rlike(anchored(rule.regex))
     )
     copies = F.transform(
         entries,
         lambda e: F.struct(
-            F.regexp_replace(e["key"], pattern, named).alias("key"), e["value"].alias("value")
+            _expanded(rule.replacement, e["key"], rule.regex).alias("key"), e["value"].alias("value")
         ),
     )
     # Two sources may lead to one name: the later source name wins.
@@ -113,7 +124,8 @@ def attach_target_labels(v: DataFrame, targets: DataFrame, key: str, honor: bool
     """Join target labels to samples on ``key``.
 
     With ``honor`` the sample keeps a label both sides have; otherwise the target's
-    value is used and the sample's is kept as ``exported_<name>``.
+    value is used and the sample's is kept as ``exported_<name>``, with further prefixes while
+    a label of that name exists.
     """
     side = targets.select(F.col("labels")[key].alias("_k"), F.col("labels").alias("_t"))
     joined = v.withColumn("_k", label(key)).join(side, "_k")
@@ -122,16 +134,35 @@ def attach_target_labels(v: DataFrame, targets: DataFrame, key: str, honor: bool
         merged = merge_labels(target, own)
     else:
         # the label that identifies the target is the same on both sides
-        renamed = F.transform_keys(
-            own,
-            lambda k, _: F.when(
-                F.map_contains_key(target, k) & (k != key), F.concat(F.lit("exported_"), k)
-            ).otherwise(k),
-        )
-        merged = merge_labels(renamed, target)
+        merged = merge_labels(_moved_aside(own, target, key), target)
     return rekey(joined.withColumn("labels", merged))
 
 
+def _moved_aside(own: Column, target: Column, key: str) -> Column:
+    """``own`` with the labels that ``target`` has too under free ``exported_`` names."""
+    prefix = F.lit("exported_")
+    clashes = F.array_sort(F.filter(F.map_keys(own), lambda k: F.map_contains_key(target, k) & (k != key)))
+    none = F.array().cast("array<struct<old:string,new:string>>")
+    tries = F.sequence(F.lit(0), F.size(own) + F.size(target))
+
+    def place(done: Column, k: Column) -> Column:
+        def longer(name: Column, _: Column) -> Column:
+            taken = F.map_contains_key(own, name) | F.map_contains_key(target, name)
+            return F.when(taken | F.exists(done, lambda d: d["new"] == name), F.concat(prefix, name)).otherwise(name)
+
+        free = F.aggregate(tries, F.concat(prefix, k), longer)
+        return F.concat(done, F.array(F.struct(k.alias("old"), free.alias("new"))))
+
+    moves = F.map_from_entries(F.aggregate(clashes, none, place))
+    entries = F.transform(
+        F.map_entries(own),
+        lambda e: F.struct(
+            F.coalesce(F.try_element_at(moves, e["key"]), e["key"]).alias("key"), e["value"].alias("value")
+        ),
+    )
+    return F.map_from_entries(entries)
+
+
 def label_replace(v: DataFrame, dst: str, replacement: str, src: str, regex: str) -> DataFrame:
     source = (src,) if src else ()
     return relabel(v, [Rule("replace", source, regex, replacement, dst)])
@@ -153,15 +184,15 @@ def check_unique(v: DataFrame) -> DataFrame:
     return grouped.select("metric", labels.alias("labels"), "series_id", "ts", value.alias("value"))
 
 
-def probe_target_rules(exporter: str, suffix: str | None = None) -> list[Rule]:
-    """Turn a probed address into probe parameters and point the scrape at the exporter."""
-    target = "${1}${2}" if suffix is None else suffix
-    return [
-        Rule("replace", ("__address__",), "([a-z0-9-.]+)(:[0-9]+)?", target, "__param_target"),
-        Rule("replace", ("module",), "(.*)", "${1}", "__param_module"),
-        Rule("replace", ("__address__",), "(.*)", "${1}", "instance"),
-        Rule("replace", (), ".*", exporter, "__address__"),
-    ]
+def probe_target_rules(exporter: str, address: str = "(.+)", target: str = "$1") -> list[Rule]:
+    """Turn a probed address into probe parameters and point the scrape at the exporter.
+
+    ``address`` matches the probed address and ``target`` builds the probe's target from it.
+    """
+    copies = {"instance": "__address__", "__param_module": "module"}
+    rules = [Rule("replace", (source,), target=name) for name, source in copies.items()]
+    rules.append(Rule("replace", ("__address__",), address, target, "__param_target"))
+    return [*rules, Rule("replace", (), ".*", exporter, "__address__")]
 
 
 def host_rules(source: str, host: str, site: str) -> list[Rule]:

@@ -1,6 +1,8 @@
 """Sliding windows over sliced partial states.
 
-A trailing window of ``d`` evaluated every ``s`` is cut into slices that divide both.
+Trailing windows of ``d`` evaluated every ``s`` start at multiples of ``s`` and end ``d`` later.
+The time axis is cut at just these instants, so a step has two slices (one if ``s`` divides
+``d``), whatever the divisors of the two are.
 Samples are first folded to one mergeable state per (series, slice), which spreads a
 busy series over its slices; only slice states, whose number per series is bounded by
 the time axis, meet per series.  They are combined in one of two exact ways:
@@ -8,7 +10,7 @@ the time axis, meet per series.  They are combined in one of two exact ways:
 * a short window (``d / s`` up to ``SPREAD``) repeats each state for the evaluations it
   belongs to and aggregates, which costs nothing for evaluations without samples;
 * a long window doubles: the state of 2k slices is the merge of two states of k
-  slices, so an evaluation costs ``log2(d / slice)`` merges instead of ``d / s`` rows.
+  slices, so an evaluation costs ``log2`` of its slices in merges instead of ``d / s`` rows.
 
 Windows are closed on both ends, so a slice also keeps the sample that lies exactly on
 its right edge, for the window that starts there.
@@ -18,7 +20,6 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from math import gcd
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -67,43 +68,73 @@ def in_reach(v: DataFrame, grid: Grid, d: int, offset: int) -> DataFrame:
     return near
 
 
-def slice_width(grid: Grid, d: int, ordered: bool) -> int:
-    """Widest slice that divides window and step, at most an hour when order matters."""
-    width = gcd(grid.step, d)
-    if not ordered or width <= ORDERED_SLICE:
-        return width
-    parts = -(-width // ORDERED_SLICE)
-    while width % parts:
-        parts += 1
-    return width // parts
+@dataclass(frozen=True)
+class Cuts:
+    """Slices of the time axis, by number.
+
+    In each step, windows start at 0 and end at ``end``; the two stretches between are cut
+    into ``head`` and ``tail`` equal parts (several only when order matters, so that no
+    slice is longer than an hour).  Slice k covers ``(at(k - 1), at(k)]``.
+    """
+
+    step: int
+    end: int
+    head: int
+    tail: int
+
+    @classmethod
+    def of(cls, grid: Grid, d: int, ordered: bool) -> Cuts:
+        end = d % grid.step
+        longest = ORDERED_SLICE if ordered else grid.step
+        return cls(grid.step, end, -(-end // longest), -(-(grid.step - end) // longest))
+
+    @property
+    def stride(self) -> int:
+        """Slices from one evaluation to the next."""
+        return self.head + self.tail
+
+    def length(self, d: int) -> int:
+        """Slices of a window."""
+        return d // self.step * self.stride + self.head
+
+    def number(self, x: str = "x") -> str:
+        """SQL of the slice that holds instant ``x``."""
+        p, rest = f"pmod({x}, {self.step})", self.step - self.end
+        tail = f"{self.head} + (({p} - {self.end}) * {self.tail} + {rest - 1}) div {rest}"
+        part = f"WHEN {p} <= {self.end} THEN ({p} * {self.head} + {self.end - 1}) div {self.end} " if self.end else ""
+        return f"{x} div {self.step} * {self.stride} + CASE WHEN {p} = 0 THEN 0L {part}ELSE {tail} END"
+
+    def at(self, k: str = "k") -> str:
+        """SQL of the right end of slice ``k``."""
+        r = f"pmod({k}, {self.stride})"
+        tail = f"{self.end} + ({r} - {self.head}) * {self.step - self.end} div {self.tail}"
+        part = f"CASE WHEN {r} <= {self.head} THEN {r} * {self.end} div {self.head} ELSE {tail} END" if self.head else tail
+        return f"({k} div {self.stride} * {self.step} + {part})"
 
 
 def windows(v: DataFrame, d: int, grid: Grid, family: Family, offset: int = 0) -> DataFrame:
     """``(metric, series_id, ts, state)`` for every evaluation whose window has a sample."""
-    width = slice_width(grid, d, family.ordered)
-    length, stride = d // width, grid.step // width
+    cuts = Cuts.of(grid, d, family.ordered)
+    length, stride = cuts.length(d), cuts.stride
 
     if not family.ordered and family.gather and d <= DIRECT * grid.step:
         return _direct(in_reach(v, grid, d, offset), family, d, grid)
 
-    # slice k covers ((k-1)*width, k*width]
-    cut = in_reach(v, grid, d, offset).selectExpr(
-        *SERIES, "x", "value", f"(x + {width - 1}) div {width} AS k"
-    )
+    cut = in_reach(v, grid, d, offset).selectExpr(*SERIES, "x", "value", f"{cuts.number()} AS k")
     if family.ordered:
         within = "OVER (PARTITION BY metric, series_id, k ORDER BY x, value)"
         cut = cut.selectExpr("*", f"lag(x) {within} AS prev_x", f"lag(value) {within} AS prev_value")
     partial = cut.groupBy(*SERIES, "k").agg(
         F.expr(f"{family.build} AS state"),
-        F.expr(f"max(CASE WHEN x = k * {width} THEN value END) AS edge"),
+        F.expr(f"max(CASE WHEN x = {cuts.at()} THEN value END) AS edge"),
     )
-    edge = family.edge.replace("{x}", f"(k * {width})").replace("{y}", "edge")
+    edge = family.edge.replace("{x}", cuts.at()).replace("{y}", "edge")
     partial = partial.selectExpr(
         *SERIES, "k", "state", f"CASE WHEN edge IS NOT NULL THEN {edge} END AS edge"
     )
     if family.gather and d <= SPREAD * grid.step:
-        return _spread(partial, family, length, stride, grid, width)
-    return _doubled(partial, family, length, stride, grid, width)
+        return _spread(partial, family, length, stride, grid)
+    return _doubled(partial, family, length, stride, grid)
 
 
 def _direct(near: DataFrame, family: Family, d: int, grid: Grid) -> DataFrame:
@@ -118,7 +149,7 @@ def _direct(near: DataFrame, family: Family, d: int, grid: Grid) -> DataFrame:
     )
 
 
-def _spread(partial, family, length, stride, grid, width) -> DataFrame:
+def _spread(partial, family, length, stride, grid) -> DataFrame:
     """Repeat each slice state for the evaluations ``j`` whose window holds it."""
     # All evaluations of a series meet in one place, so repeated states are not shuffled.
     # The count is explicit: merging partitions by their size before the repeat makes them
@@ -143,7 +174,7 @@ def _spread(partial, family, length, stride, grid, width) -> DataFrame:
     each = each.selectExpr(
         *SERIES,
         "j",
-        f"j * {stride * width} AS w0",
+        f"j * {grid.step} AS w0",
         *before,
         f"CASE WHEN k = j * {stride} THEN edge ELSE state END AS c",
     )
@@ -155,7 +186,7 @@ def _spread(partial, family, length, stride, grid, width) -> DataFrame:
     )
 
 
-def _doubled(partial, family, length, stride, grid, width) -> DataFrame:
+def _doubled(partial, family, length, stride, grid) -> DataFrame:
     last = length + grid.last * stride
     by_series = "OVER (PARTITION BY metric, series_id ORDER BY k)"
     spread = partial.selectExpr("*", f"lag(k) {by_series} AS before", f"lead(k) {by_series} AS after")
@@ -199,7 +230,7 @@ def _doubled(partial, family, length, stride, grid, width) -> DataFrame:
     frame = frame.filter(f"{tick} >= 0 AND pmod({tick}, {stride}) = 0")
     done = frame.selectExpr(
         *SERIES,
-        f"timestamp_micros({grid.start} + {tick} * {width}) AS ts",
+        f"timestamp_micros({grid.start} + {tick} div {stride} * {grid.step}) AS ts",
         _settled(family.joined("before_first", "acc"), "state"),
     )
     return done.filter("state IS NOT NULL")

@@ -240,10 +240,12 @@ def rate_limit_hits(log: DataFrame, asof: datetime, signature: str) -> DataFrame
 
 @report("tests_with_discards")
 def tests_with_discards(
-    tests: dict[str, DataFrame], switch: DataFrame, asof: datetime, poll: timedelta, invalid: str
+    tests: dict[str, DataFrame], switch: DataFrame, asof: datetime, poll: timedelta, invalid: str, metro: str
 ) -> DataFrame:
     """Tests whose start or end fell into a switch poll with discards, per site and node.
 
+    ``metro`` is a regex whose first group takes the metro from a site.
+
     ``tests``: (date, uuid, tstart, tend, machine, site); ``switch``: (date, machine,
     site, collected, discards).
     """
@@ -263,9 +265,9 @@ def tests_with_discards(
     # counted before the join, so a repeated id travels as one row
     counts = rows.groupBy("uuid", "site", node).agg(F.count(F.lit(1)).alias("n"))
     flagged = flag_in(counts, touched, "uuid", "discards")
-    metro = rx_extract(F.col("site"), "([a-z]{3})[0-9]{2}").alias("metro")
+    named = rx_extract(F.col("site"), metro).alias("metro")
     hit = F.when(F.col("discards") == "true", F.col("n")).otherwise(0)
-    out = flagged.groupBy(metro, "site", "node").agg(
+    out = flagged.groupBy(named, "site", "node").agg(
         F.sum(hit).alias("value_with_discards"), F.sum("n").alias("value_total")
     )
     return order_out(out, "metro", "site", "node")
@@ -412,17 +414,17 @@ def queries_per_user_hour(log: DataFrame, from_ms: int, to_ms: int, service: str
 
 
 def storage_rows(
-    log: DataFrame, from_ms: int, to_ms: int, asof: datetime, method: str, robots: str, days: int
+    log: DataFrame, from_ms: int, to_ms: int, asof: datetime, method: str, robots: str, days: int, dated: str
 ) -> DataFrame:
     """Storage operations of people; with ``days`` only on objects dated that long ago.
 
-    Object dates are compared as ``yyyy/MM/dd`` text.
+    ``dated`` is a regex for the date in an object's name, compared as ``yyyy/MM/dd`` text.
     """
     rows = _audit(log, from_ms, to_ms)
     rows = rows.filter(F.col("action").like(method) & ~F.col("user").like(robots))
-    dated = rx_extract(F.col("resource"), r"\d{4}\/\d{2}\/\d{2}", 0)
+    day = rx_extract(F.col("resource"), dated, 0)
     limit = fmt_date(F.lit(day_of(asof) - timedelta(days=days)), "yyyy/MM/dd")
-    return rows.filter(maybe(days, dated <= limit))
+    return rows.filter(maybe(days, day <= limit))
 
 
 @report("storage_per_user_hour")

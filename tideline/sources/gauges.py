@@ -36,11 +36,16 @@ def report_to_samples(df: DataFrame, name: str, eval_ts: Column) -> DataFrame:
     return vector(out.filter(F.col("value").isNotNull()))
 
 
-def report_series(runs: DataFrame, grid: Grid) -> DataFrame:
-    """Gauge values between refreshes: each run's value holds until the series' next run."""
-    order = Window.partitionBy("metric", "series_id").orderBy("ts")
-    us = F.unix_micros("ts")
-    held = runs.withColumn("_from", us).withColumn("_to", F.lead(us).over(order))
+def report_series(runs: DataFrame, grid: Grid, instants: DataFrame | None = None) -> DataFrame:
+    """Gauge values between refreshes: a row holds until the next run of its report.
+
+    A series that the next run lacks ends there.  Runs are the instants of the report's rows;
+    ``instants`` ``(metric, ts)`` names them where a run can be without any row.
+    """
+    named = runs.select("metric", "ts") if instants is None else instants.select("metric", "ts")
+    order = Window.partitionBy("metric").orderBy("ts")  # a row per run
+    after = named.distinct().withColumn("_to", F.unix_micros(F.lead("ts").over(order)))
+    held = runs.join(after, ["metric", "ts"]).withColumn("_from", F.unix_micros("ts"))
     first = F.greatest(
         F.lit(0), F.ceil((F.col("_from") - F.lit(grid.start)) / F.lit(grid.step))
     )
