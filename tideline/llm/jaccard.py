@@ -52,7 +52,8 @@ def shingle_sets(column: pa.ListArray) -> list[np.ndarray]:
     A text of fewer words than a shingle has its whole sequence as one; hashes differ by length.
     """
     offsets = column.offsets.to_numpy()
-    flat = column.values.to_numpy(zero_copy_only=False).view(np.uint64)
+    offsets = offsets - offsets[0]
+    flat = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
     rolled = np.zeros(max(0, len(flat) - SHINGLE + 1), np.uint64)
     for k in range(SHINGLE):
         rolled = _mix(rolled + flat[k : k + len(rolled)] + np.uint64(SHINGLE))
