@@ -12,11 +12,11 @@ every pair to be found stands together in the region of such a shingle.
     the pivot is one component with it and needs no comparison among itself.
 3.  Members out of the pivot's reach join again, with each other and with the members inside the
     window that the triangle inequality leaves: distances to the pivot may differ by the reach at
-    most.  Pairs of one component, of sizes too different, or with too few shingles in common among
-    the first ones are ruled out; the rest are compared.
+    most.  Pairs of one component are left out.
 
-Only a bound on the order of shingles depends on counts, never the result.  Sets are never sent out
-whole for all texts: a bitmap of fixed size marks those that some comparison needs.
+Before two sets are compared, their sizes and the number of first shingles they have in common must
+leave it possible that they link.  Sets are stored once and only those that some comparison needs
+are sent out.  The order of shingles depends on counts, the result does not.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ COMMON = 1 << 16
 #: Shingles counted at once per task, and the share of texts from which on a shingle is reported.
 STEP, REPORT = 2_000_000, 512
 #: Bits of the map of sets that are needed, members compared with one copy of a pivot, parts of a common region.
-MAP, MEMBERS, PARTS = 1 << 20, 256, 32
+MAP, MEMBERS, PARTS = 1 << 22, 256, 32
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -97,85 +97,90 @@ def hashed_words(df: DataFrame, text: str, carry: list[str]) -> DataFrame:
     )
 
 
-def signed(rows: DataFrame, count: bool = False) -> DataFrame:
-    """``__row, n, s1, s2`` of every row, and with ``count`` further rows ``shingle, seen`` for
-    shingles that many texts of a task share; equal sets of one step are counted once."""
+def signed(rows: DataFrame) -> DataFrame:
+    """``__row, n, s1, s2`` of every row: the size and 128 bits of its set."""
+    kind = rows.schema["__row"].dataType.simpleString()
 
     def run(batches):
-        held, size = {}, 0
+        for batch in batches:
+            for part in _parts(batch):
+                columns = map(pa.array, _signatures(shingle_sets(part.column("w"))))
+                yield pa.RecordBatch.from_arrays([part.column("__row"), *columns], names=["__row", "n", "s1", "s2"])
+
+    return rows.mapInArrow(run, f"__row {kind}, n long, s1 long, s2 long")
+
+
+def with_sets(rows: DataFrame) -> DataFrame:
+    """As ``signed``, with the set itself in ``own`` for the first row of each class in a task, and
+    further rows ``shingle, seen`` for shingles that many classes of a task share."""
+    kind = rows.schema["__row"].dataType.simpleString()
+    names = ["__row", "n", "s1", "s2", "own", "shingle", "seen"]
+
+    def run(batches):
+        done, held, size, row = set(), [], 0, None
 
         def report():
-            each, seen = np.unique(np.concatenate(list(held.values())), return_counts=True)
+            each, seen = np.unique(np.concatenate(held), return_counts=True)
             often = seen >= max(3, len(held) // REPORT)
             k = int(often.sum())
-            none = [pa.nulls(k, kinds[0]), *[pa.nulls(k, pa.int64())] * 3]
+            none = [pa.nulls(k, row), *[pa.nulls(k, pa.int64())] * 3, pa.nulls(k, pa.binary())]
             return pa.RecordBatch.from_arrays([*none, pa.array(each[often].view(np.int64)), pa.array(seen[often])], names=names)
 
         for batch in batches:
-            kinds = [batch.schema.field("__row").type]
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in _parts(batch):
+                row = part.column("__row").type
                 sets = shingle_sets(part.column("w"))
                 sizes, s1, s2 = _signatures(sets)
+                own = []
+                for key, values in zip(zip(s1.tolist(), s2.tolist(), strict=True), sets, strict=True):
+                    fresh = len(values) > 0 and key not in done
+                    own.append(values.tobytes() if fresh else None)
+                    if fresh:
+                        done.add(key)
+                        held.append(values)
+                        size += len(values)
                 empty = [pa.nulls(len(sets), pa.int64())] * 2
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("__row"), pa.array(sizes), pa.array(s1), pa.array(s2), *empty], names=names
+                    [part.column("__row"), pa.array(sizes), pa.array(s1), pa.array(s2), pa.array(own, pa.binary()), *empty], names=names
                 )
-                if count:
-                    for key, own in zip(zip(s1.tolist(), s2.tolist(), strict=True), sets, strict=True):
-                        if key not in held:
-                            held[key] = own
-                            size += len(own)
-                    if size >= STEP:
-                        yield report()
-                        held, size = {}, 0
-        if size:
+                if size >= STEP:
+                    yield report()
+                    held, size = [], 0
+        if held:
             yield report()
 
-    names = ["__row", "n", "s1", "s2", "shingle", "seen"]
-    kind = rows.schema["__row"].dataType.simpleString()
-    return rows.mapInArrow(run, f"__row {kind}, n long, s1 long, s2 long, shingle long, seen long")
+    return rows.mapInArrow(run, f"__row {kind}, n long, s1 long, s2 long, own binary, shingle long, seen long")
+
+
+def _parts(batch):
+    return (batch.slice(at, 500) for at in range(0, batch.num_rows, 500))
 
 
-def _distinct_sets(batches, salt: int):
-    """Class number and set of each text, once per task and class; empty sets are left out."""
-    done = set()
-    for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            sets = shingle_sets(batch.slice(at, 500).column("w"))
-            for cid, own in zip(class_ids(*_signatures(sets), salt).tolist(), sets, strict=True):
-                if len(own) and cid not in done:
-                    done.add(cid)
-                    yield cid, own
+def _numbers(batch, salt: int) -> np.ndarray:
+    return class_ids(*(batch.column(c).to_numpy() for c in ("n", "s1", "s2")), salt)
 
 
-def first_shingles(rows: DataFrame, common: tuple[np.ndarray, np.ndarray], salt: int, least: int) -> DataFrame:
+def first_shingles(sets: DataFrame, common: tuple[np.ndarray, np.ndarray], salt: int, least: int) -> DataFrame:
     """``shingle, part, cid``: the first shingles of each class in the common order.  ``part`` deals
     the members of common shingles to several tasks; it is -1 for all others."""
 
     def run(batches):
         known, often = common
-        out, size = [], 0
-        for cid, own in _distinct_sets(batches, salt):
-            n = len(own)
-            k = n - ceil(least * n / 100) + 1
-            at = np.minimum(np.searchsorted(known, own), max(0, len(known) - 1))
-            seen = np.where(known[at] == own, often[at], 0) if len(known) else np.zeros(n, np.int64)
-            first = np.lexsort((own, seen))[:k] if seen.any() else np.arange(k)
-            part = np.where(seen[first] > 0, cid % PARTS, -1).astype(np.int32)
-            out.append((own[first], part, np.full(k, cid)))
-            size += k
-            if size > 100_000:
-                yield packed(out)
-                out, size = [], 0
-        if out:
-            yield packed(out)
-
-    def packed(out):
-        shingle, part, cid = (np.concatenate(c) for c in zip(*out, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(shingle.view(np.int64)), pa.array(part), pa.array(cid)], names=["shingle", "part", "cid"])
-
-    return rows.select("w").mapInArrow(run, "shingle long, part int, cid long")
+        for part in (p for batch in batches for p in _parts(batch)):
+            out = []
+            for cid, raw in zip(_numbers(part, salt).tolist(), part.column("own"), strict=True):
+                own = np.frombuffer(raw.as_buffer(), np.uint64)
+                n = len(own)
+                k = n - ceil(least * n / 100) + 1
+                at = np.minimum(np.searchsorted(known, own), max(0, len(known) - 1))
+                seen = np.where(known[at] == own, often[at], 0) if len(known) else np.zeros(n, np.int64)
+                first = np.lexsort((own, seen))[:k] if seen.any() else np.arange(k)
+                out.append((own[first], np.where(seen[first] > 0, cid % PARTS, -1).astype(np.int32), np.full(k, cid)))
+            if out:
+                shingle, deal, cid = (np.concatenate(c) for c in zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(shingle.view(np.int64)), pa.array(deal), pa.array(cid)], names=["shingle", "part", "cid"])
+
+    return sets.mapInArrow(run, "shingle long, part int, cid long")
 
 
 def regions(first: DataFrame) -> DataFrame:
@@ -228,33 +233,25 @@ def regions(first: DataFrame) -> DataFrame:
     return cut(found.where(F.col("pivot").isNotNull()).unionByName(parted.join(leads.drop("m"), "shingle")))
 
 
-def needed_sets(rows: DataFrame, pairs: DataFrame, salt: int) -> DataFrame:
-    """``cid, n, own`` for the classes of ``pairs``: their sets as bytes."""
+def needed_sets(sets: DataFrame, pairs: DataFrame, salt: int) -> DataFrame:
+    """``cid, own`` for the classes of ``pairs``.  A bitmap of fixed size keeps most others from
+    being shuffled; the join that follows is exact."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
     slots = wanted.select(F.pmod("cid", F.lit(MAP)).cast("int").alias("k")).distinct().toPandas()["k"].to_numpy()
-    marked = np.zeros(MAP, bool)  # MAP rows at most came to the driver
+    marked = np.zeros(MAP, bool)  # MAP numbers at most came to the driver
     marked[slots] = True
     bits = np.packbits(marked)
 
     def run(batches):
         marked = np.unpackbits(bits).astype(bool)
-        out, size = [], 0
-        for cid, own in _distinct_sets(batches, salt):
-            if marked[cid % MAP]:
-                out.append((cid, len(own), own.tobytes()))
-                size += len(own)
-            if size > 200_000:
-                yield packed(out)
-                out, size = [], 0
-        if out:
-            yield packed(out)
-
-    def packed(out):
-        cid, n, own = zip(*out, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(cid), pa.array(n), pa.array(own, pa.binary())], names=["cid", "n", "own"])
+        for batch in batches:
+            cid = _numbers(batch, salt)
+            hit = pa.array(np.flatnonzero(marked[cid % MAP]))
+            if len(hit):
+                yield pa.RecordBatch.from_arrays([pa.array(cid).take(hit), batch.column("own").take(hit)], names=["cid", "own"])
 
-    sets = rows.select("w").mapInArrow(run, "cid long, n long, own binary")
-    return stored(sets.join(wanted, "cid", "left_semi").dropDuplicates(["cid"]), "sets")
+    found = sets.mapInArrow(run, "cid long, own binary")
+    return stored(found.join(wanted, "cid", "left_semi").dropDuplicates(["cid"]), "needed")
 
 
 def shared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -288,13 +285,28 @@ def shared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long, both long, union long")
 
 
-def _links(df: DataFrame, text: str, key: str, least: int, size: int = SHINGLE):
-    """Narrow rows ``id, n, cid`` and the component of each class that links with another."""
-    counted = stored(signed(hashed_words(df, text, [key]), count=True), "signed")
+def _plausible(pairs: DataFrame, found: DataFrame, sizes: DataFrame, least: int) -> DataFrame:
+    """The pairs ``a, b`` whose sizes and whose number of first shingles in common leave it possible
+    that they link: these and all later shingles of either text must make up the overlap."""
+    a = sizes.select(F.col("cid").alias("a"), F.col("n").alias("na"))
+    b = sizes.select(F.col("cid").alias("b"), F.col("n").alias("nb"))
+    sized = pairs.join(a, "a").join(b, "b").where(f"100 * least(na, nb) >= {least} * greatest(na, nb)")
+    mine = found.select("shingle", F.col("cid").alias("a"))
+    theirs = found.select("shingle", F.col("cid").alias("b"))
+    met = sized.join(mine, "a").join(theirs, ["shingle", "b"]).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("common"))
+    later = F.greatest(*[F.ceil(least * F.col(c) / 100) - 1 for c in ("na", "nb")])
+    enough = (100 + least) * (F.col("common") + later) >= least * (F.col("na") + F.col("nb"))
+    return cut(met.where(enough).select("a", "b"))
+
+
+def _links(df: DataFrame, text: str, key: str, least: int):
+    """Rows ``id, n, cid``, the component of every class, and the salt of the class numbers."""
+    counted = stored(with_sets(hashed_words(df, text, [key])), "sets")
     listed = counted.where(F.col("shingle").isNotNull()).groupBy("shingle").agg(F.sum("seen").alias("seen"))
-    top = listed.orderBy(F.desc("seen"), "shingle").limit(COMMON).toPandas().sort_values("shingle")
-    order = np.argsort(top["shingle"].to_numpy(np.int64).view(np.uint64))
-    common = top["shingle"].to_numpy(np.int64).view(np.uint64)[order], top["seen"].to_numpy(np.int64)[order]
+    top = listed.orderBy(F.desc("seen"), "shingle").limit(COMMON).toPandas()
+    known = top["shingle"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(known)
+    common = known[order], top["seen"].to_numpy(np.int64)[order]
     whole = counted.where(F.col("shingle").isNull()).select(F.col(f"__row.`{key}`").alias("id"), "n", "s1", "s2")
     salt = 0
     while True:  # class numbers of 64 bits; another salt in the unlikely case that two classes meet
@@ -303,16 +315,15 @@ def _links(df: DataFrame, text: str, key: str, least: int, size: int = SHINGLE):
         if classes.groupBy("cid").count().where("count > 1").isEmpty():
             break
         salt += 1
-    rows = hashed_words(df, text, [])
-    found = regions(first_shingles(rows, common, salt, least))
+    sets = counted.where(F.col("own").isNotNull()).select("n", "s1", "s2", "own")
+    found = regions(first_shingles(sets, common, salt, least))
     sizes = classes.where("n > 0").select("cid", "n")
+    linked = f"100 * both >= {least} * union"
 
-    # Compare members with their pivots, unless sizes alone keep them apart.
+    # Compare members with their pivots.
     pairs = found.where("cid <> pivot").select(F.col("cid").alias("a"), F.col("pivot").alias("b")).distinct()
-    near = _sized(pairs, sizes).where(f"100 * least(na, nb) >= {least} * greatest(na, nb)").select("a", "b")
-    near = cut(near)
-    met = cut(shared(near, needed_sets(rows, near, salt)))
-    linked = f"100 * both >= {least} * union"
+    near = _plausible(pairs, found, sizes, least)
+    met = cut(shared(near, needed_sets(sets, near, salt)))
     part = components(met.where(linked), "a", "b")
 
     # Join again what lies out of a pivot's reach.
@@ -322,30 +333,22 @@ def _links(df: DataFrame, text: str, key: str, least: int, size: int = SHINGLE):
     distance = F.when(F.col("cid") == F.col("pivot"), 0.0).otherwise(1 - F.col("both") / F.col("union"))
     placed = cut(placed.select("shingle", "cid", "n", F.coalesce("component", "cid").alias("comp"), inside.alias("inside"), distance.alias("d")))
     x = placed.where("not inside").select("shingle", *[F.col(c).alias(f"x_{c}") for c in ("cid", "n", "comp", "d")])
-    y = placed.select("shingle", *[F.col(c).alias(f"y_{c}") for c in ("cid", "n", "comp", "d", "inside")])
-    reach = 1 - least / 100
+    y = placed.select(F.col("shingle").alias("y_shingle"), *[F.col(c).alias(f"y_{c}") for c in ("cid", "n", "comp", "d", "inside")])
     apart = (
-        (F.col("x_comp") != F.col("y_comp"))
+        (F.col("shingle") == F.col("y_shingle"))
+        & (F.col("x_comp") != F.col("y_comp"))
         & (F.col("y_inside") | (F.col("x_cid") < F.col("y_cid")))
         & (100 * F.least("x_n", "y_n") >= least * F.greatest("x_n", "y_n"))
-        & (F.coalesce(F.abs(F.col("x_d") - F.col("y_d")), F.lit(0.0)) <= reach + 1e-9)
+        & (F.coalesce(F.abs(F.col("x_d") - F.col("y_d")), F.lit(0.0)) <= 1 - least / 100 + 1e-9)
     )
-    first = {v: F.col(f"{v}_n") - F.ceil(least * F.col(f"{v}_n") / 100) + 1 for v in "xy"}
-    beyond = F.greatest(*[F.col(f"{v}_n") - first[v] for v in "xy"])
-    again = x.join(y, (x["shingle"] == y["shingle"]) & apart).select(
-        F.greatest("x_cid", "y_cid").alias("a"), F.least("x_cid", "y_cid").alias("b"), (F.col("x_n") + F.col("y_n")).alias("total"), beyond.alias("beyond")
-    )
-    # Shared first shingles and all later ones of either text must be able to make up the overlap.
-    enough = (100 + least) * (F.col("common") + F.col("beyond")) >= least * F.col("total")
-    again = again.groupBy("a", "b", "total", "beyond").agg(F.count(F.lit(1)).alias("common")).where(enough).select("a", "b")
-    again = cut(again.join(met.select("a", "b"), ["a", "b"], "left_anti"))
-    more = cut(shared(again, needed_sets(rows, again, salt)).where(linked))
-    edges = met.where(linked).select("a", "b").unionByName(more.select("a", "b"))
-    parts = components(edges, "a", "b").withColumnRenamed("node", "cid")
+    again = x.join(y, apart).select(F.greatest("x_cid", "y_cid").alias("a"), F.least("x_cid", "y_cid").alias("b")).distinct()
+    again = again.join(met.select("a", "b"), ["a", "b"], "left_anti")
+    again = _plausible(again, found, sizes, least)
+    more = cut(shared(again, needed_sets(sets, again, salt)).where(linked))
+    parts = components(met.where(linked).select("a", "b").unionByName(more.select("a", "b")), "a", "b").withColumnRenamed("node", "cid")
     named = classes.select("cid", "low").join(parts, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     named = cut(named)
     lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    # An empty set links with nothing, so its class is no group.
     return numbered.select("id", "n", "cid"), named.join(lowest, "component").select("cid", "component", "component_id"), salt
 
 
@@ -359,12 +362,6 @@ def _class_column(salt: int):
     return number("n", "s1", "s2")
 
 
-def _sized(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
-    a = sizes.select(F.col("cid").alias("a"), F.col("n").alias("na"))
-    b = sizes.select(F.col("cid").alias("b"), F.col("n").alias("nb"))
-    return pairs.join(a, "a").join(b, "b")
-
-
 def join(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
     """``id, n_shingles, component_id`` of every row.
 

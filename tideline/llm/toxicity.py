@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import sample_keys
+from tideline.llm.common import sample_keys, stored
 
 #: Words per window and between the starts of windows.
 WINDOW, STRIDE = 32, 16
@@ -288,7 +288,7 @@ def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     words = F.regexp_count(F.col(text), F.lit("[^\\x20\\x09-\\x0D]+"))
     marks = labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).distinct()
     short = df.where(words.between(1, SAMPLE_WORDS)).select(F.col(key).alias("key"), F.col(text).alias("text"))
-    marked = short.select("key").join(marks, "key")
+    marked = stored(short.select("key").join(marks, "key"), "marked")
     drawn = sample_keys(marked, "label", "key", SAMPLE)
     rows = short.join(drawn, "key").groupBy("label", "key").agg(F.min("text").alias("text")).toPandas().sort_values(["key", "label"])
     return fit(list(rows["text"]), rows["label"].to_numpy(dtype=np.float32))
