@@ -14,14 +14,17 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.bpe import CHUNKS, PIECES, Tokens, chunker
+from tideline.llm.bpe import Tokens, chunker
 from tideline.llm.common import Memo
 
 RANKS = "byte_bpe_50k.tiktoken"
+#: Rows whose ids are held at once, and entries of a memo's generation.
+ROWS, CHUNKS, PIECES = 200, 200_000, 120_000
 
 
 class ByteCoder:
@@ -117,20 +120,24 @@ def round_trip(df: DataFrame, text: str = "text", ids: str | None = None, path:
     and clashes as in ``encode``.
     """
     path = _ranks(path)
+    kinds = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"} | ({ids: "array<int>"} if ids else {})
+    kept = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in kinds])
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if ids else ""))
-    def run(texts: pd.Series) -> pd.DataFrame:
+    def run(batches):
         own = coder(path)
-        rows = []
-        for t in texts:
-            packed = own.encode(t or "")
-            decoded = own.decode(packed)
-            row = len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256(decoded).hexdigest()
-            rows.append((*row, np.frombuffer(packed, dtype="<i4")) if ids else row)
-        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * bool(ids))
-
-    made = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * bool(ids)
-    names = {"ids": ids}
-    kept = [F.col(f"`{c}`") for c in df.columns if c not in {names.get(m, m) for m in made}]
-    done = df.select(*kept, run(F.col(text)).alias("__r"))
-    return done.select(*kept, *[F.col(f"__r.{c}").alias(names.get(c, c)) for c in made])
+        for batch in batches:
+            for part in (batch.slice(i, ROWS) for i in range(0, batch.num_rows, ROWS)):
+                texts = (t.as_py() or "" for t in part.column(part.schema.get_field_index(text)))
+                packed = [own.encode(t) for t in texts]
+                made = [
+                    pa.array([len(x) // 4 for x in packed], pa.int64()),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in packed]),
+                    pa.array([hashlib.sha256(own.decode(x)).hexdigest() for x in packed]),
+                ]
+                if ids:
+                    ends = np.cumsum([0, *[len(x) // 4 for x in packed]]).astype(np.int32)
+                    made.append(pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(packed), "<i4"))))
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *kinds])
+
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema] + [f"`{k}` {v}" for k, v in kinds.items()]
+    return kept.mapInArrow(run, ", ".join(fields))

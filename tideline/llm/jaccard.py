@@ -120,7 +120,7 @@ def with_sets(rows: DataFrame) -> DataFrame:
         done, held, size, row = set(), [], 0, None
 
         def report():
-            each, seen = np.unique(np.concatenate(held), return_counts=True)
+            each, seen = np.unique(np.concatenate(held) >> np.uint64(16) << np.uint64(16), return_counts=True)
             often = seen >= max(3, len(held) // REPORT)
             k = int(often.sum())
             none = [pa.nulls(k, row), *[pa.nulls(k, pa.int64())] * 3, pa.nulls(k, pa.binary())]
@@ -134,7 +134,7 @@ def with_sets(rows: DataFrame) -> DataFrame:
                 own = []
                 for key, values in zip(zip(s1.tolist(), s2.tolist(), strict=True), sets, strict=True):
                     fresh = len(values) > 0 and key not in done
-                    own.append(values.tobytes() if fresh else None)
+                    own.append(_packed(values) if fresh else None)
                     if fresh:
                         done.add(key)
                         held.append(values)
@@ -152,6 +152,17 @@ def with_sets(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"__row {kind}, n long, s1 long, s2 long, own binary, shingle long, seen long")
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """The upper six bytes of each hash, still in order: what regions and comparisons go by."""
+    return values.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def _unpacked(raw) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
 def _parts(batch):
     return (batch.slice(at, 500) for at in range(0, batch.num_rows, 500))
 
@@ -169,7 +180,7 @@ def first_shingles(sets: DataFrame, common: tuple[np.ndarray, np.ndarray], salt:
         for part in (p for batch in batches for p in _parts(batch)):
             out = []
             for cid, raw in zip(_numbers(part, salt).tolist(), part.column("own"), strict=True):
-                own = np.frombuffer(raw.as_buffer(), np.uint64)
+                own = _unpacked(raw.as_buffer())
                 n = len(own)
                 k = n - ceil(least * n / 100) + 1
                 at = np.minimum(np.searchsorted(known, own), max(0, len(known) - 1))
@@ -230,7 +241,7 @@ def regions(first: DataFrame) -> DataFrame:
     )
     parted = found.where(F.col("pivot").isNull()).select("shingle", "cid").distinct()
     leads = parted.groupBy("shingle").agg(F.min("cid").alias("pivot"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    return cut(found.where(F.col("pivot").isNotNull()).unionByName(parted.join(leads.drop("m"), "shingle")))
+    return stored(found.where(F.col("pivot").isNotNull()).unionByName(parted.join(leads.drop("m"), "shingle")), "found")
 
 
 def needed_sets(sets: DataFrame, pairs: DataFrame, salt: int) -> DataFrame:
@@ -270,7 +281,7 @@ def shared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             a, b, kind, own = (batch.column(c).to_pylist() for c in ("a", "b", "kind", "own"))
             rows = []
             for x, y, k, raw in zip(a, b, kind, own, strict=True):
-                values = np.frombuffer(raw, np.uint64)
+                values = _unpacked(raw)
                 if not k:
                     pivot = values
                     continue
@@ -285,18 +296,21 @@ def shared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long, both long, union long")
 
 
+def _enough(common, na, nb, least: int):
+    """Whether first shingles in common and all later ones of either text can make up the overlap."""
+    later = F.greatest(*[F.ceil(least * n / 100) - 1 for n in (na, nb)])
+    return (100 + least) * (common + later) >= least * (na + nb)
+
+
 def _plausible(pairs: DataFrame, found: DataFrame, sizes: DataFrame, least: int) -> DataFrame:
-    """The pairs ``a, b`` whose sizes and whose number of first shingles in common leave it possible
-    that they link: these and all later shingles of either text must make up the overlap."""
-    a = sizes.select(F.col("cid").alias("a"), F.col("n").alias("na"))
-    b = sizes.select(F.col("cid").alias("b"), F.col("n").alias("nb"))
-    sized = pairs.join(a, "a").join(b, "b").where(f"100 * least(na, nb) >= {least} * greatest(na, nb)")
-    mine = found.select("shingle", F.col("cid").alias("a"))
-    theirs = found.select("shingle", F.col("cid").alias("b"))
-    met = sized.join(mine, "a").join(theirs, ["shingle", "b"]).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("common"))
-    later = F.greatest(*[F.ceil(least * F.col(c) / 100) - 1 for c in ("na", "nb")])
-    enough = (100 + least) * (F.col("common") + later) >= least * (F.col("na") + F.col("nb"))
-    return cut(met.where(enough).select("a", "b"))
+    """The pairs ``a, b`` whose sizes and whose numbers of first shingles in regions leave it
+    possible that they link: no more than these can be in common."""
+    held = found.groupBy("cid").agg(F.count(F.lit(1)).alias("r")).join(sizes, "cid")
+    a = held.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("r").alias("ra"))
+    b = held.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("r").alias("rb"))
+    na, nb = F.col("na"), F.col("nb")
+    sized = pairs.join(a, "a").join(b, "b").where(100 * F.least(na, nb) >= least * F.greatest(na, nb))
+    return cut(sized.where(_enough(F.least("ra", "rb"), na, nb, least)).select("a", "b"))
 
 
 def _links(df: DataFrame, text: str, key: str, least: int):
@@ -327,11 +341,18 @@ def _links(df: DataFrame, text: str, key: str, least: int):
     part = components(met.where(linked), "a", "b")
 
     # Join again what lies out of a pivot's reach.
-    placed = found.join(met.select(F.col("a").alias("cid"), F.col("b").alias("pivot"), "both", "union"), ["cid", "pivot"], "left")
-    placed = placed.join(part.withColumnRenamed("node", "cid"), "cid", "left").join(sizes, "cid")
-    inside = F.coalesce(F.expr(linked), F.lit(False)) | (F.col("cid") == F.col("pivot"))
-    distance = F.when(F.col("cid") == F.col("pivot"), 0.0).otherwise(1 - F.col("both") / F.col("union"))
-    placed = cut(placed.select("shingle", "cid", "n", F.coalesce("component", "cid").alias("comp"), inside.alias("inside"), distance.alias("d")))
+    # What is known of a class travels to its regions at once, so they are shuffled once.
+    tried = met.groupBy(F.col("a").alias("cid")).agg(
+        F.map_from_entries(F.collect_list(F.struct("b", F.struct(F.expr(linked).alias("inside"), (1 - F.col("both") / F.col("union")).alias("d"))))).alias("tried")
+    )
+    facts = sizes.join(part.withColumnRenamed("node", "cid"), "cid", "left").join(tried, "cid", "left")
+    placed = found.join(facts, "cid").withColumn("t", F.try_element_at("tried", "pivot"))
+    lead = F.col("cid") == F.col("pivot")
+    placed = placed.select(
+        "shingle", "cid", "n", F.coalesce("component", "cid").alias("comp"),
+        (lead | F.coalesce("t.inside", F.lit(False))).alias("inside"), F.when(lead, 0.0).otherwise(F.col("t.d")).alias("d"),
+    )
+    placed = stored(placed, "placed")
     x = placed.where("not inside").select("shingle", *[F.col(c).alias(f"x_{c}") for c in ("cid", "n", "comp", "d")])
     y = placed.select(F.col("shingle").alias("y_shingle"), *[F.col(c).alias(f"y_{c}") for c in ("cid", "n", "comp", "d", "inside")])
     apart = (
@@ -341,9 +362,16 @@ def _links(df: DataFrame, text: str, key: str, least: int):
         & (100 * F.least("x_n", "y_n") >= least * F.greatest("x_n", "y_n"))
         & (F.coalesce(F.abs(F.col("x_d") - F.col("y_d")), F.lit(0.0)) <= 1 - least / 100 + 1e-9)
     )
-    again = x.join(y, apart).select(F.greatest("x_cid", "y_cid").alias("a"), F.least("x_cid", "y_cid").alias("b")).distinct()
-    again = again.join(met.select("a", "b"), ["a", "b"], "left_anti")
-    again = _plausible(again, found, sizes, least)
+    # In every region that two classes of different components share, one is out of the pivot's
+    # reach, so the rows of a pair here number its first shingles in common.
+    again = x.join(y, apart).groupBy(
+        F.greatest("x_cid", "y_cid").alias("a"), F.least("x_cid", "y_cid").alias("b"), "x_n", "y_n"
+    )
+    again = again.agg(F.count(F.lit(1)).alias("common")).groupBy("a", "b").agg(
+        F.sum("common").alias("common"), F.first("x_n").alias("na"), F.first("y_n").alias("nb")
+    )
+    again = again.where(_enough(F.col("common"), F.col("na"), F.col("nb"), least)).select("a", "b")
+    again = cut(again.join(met.select("a", "b"), ["a", "b"], "left_anti"))
     more = cut(shared(again, needed_sets(sets, again, salt)).where(linked))
     parts = components(met.where(linked).select("a", "b").unionByName(more.select("a", "b")), "a", "b").withColumnRenamed("node", "cid")
     named = classes.select("cid", "low").join(parts, "cid", "left").withColumn("component", F.coalesce("component", "cid"))

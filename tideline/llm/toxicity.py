@@ -62,7 +62,8 @@ class Words:
         left = ends[owner] - np.arange(len(codes))  # characters up to the word's end
         found, owners, rolling = [], [], np.zeros(len(codes), dtype=np.uint64)
         for k in range(1, max(GRAM_SIZES) + 1):
-            rolling[: len(codes) - k + 1] = _mix(rolling[: len(codes) - k + 1] + codes[k - 1 :] + np.uint64(k))
+            n = max(0, len(codes) - k + 1)
+            rolling[:n] = _mix(rolling[:n] + codes[k - 1 :] + np.uint64(k))
             if k in GRAM_SIZES:
                 at = np.flatnonzero(left >= k)
                 found.append((rolling[at] % np.uint64(GRAMS)).astype(np.int64))
@@ -227,7 +228,8 @@ class Scorer:
                 owner, _, logit = self.window_logits(held)
                 best = np.full(len(held), -np.inf)
                 np.maximum.at(best, owner, logit)
-                out[done : k + 1] = _sigmoid(np.clip(best, -700, 700))
+                with np.errstate(over="ignore"):
+                    out[done : k + 1] = _sigmoid(best)
                 held, size, done = [], 0, k + 1
         return out
 
