@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from checks.registry import (
@@ -31,7 +33,7 @@ from tideline.operators.select import eq, ne, rx, sel
 from tideline.operators.vector import compare
 from tideline.plans import alerts as X
 from tideline.plans import rules
-from tideline.plans.evaluate import AlertRule, Evaluator, eval_rule
+from tideline.plans.evaluate import AlertRule, Evaluator, RecordingRule, eval_rule, eval_rules
 from tideline.sources.samples import samples_from
 
 DAY = 24 * HOUR
@@ -145,11 +147,33 @@ rule(
     rules.missing_for(sel("event_value", eq("type", "view"), ne("usr", "1")), "2h"),
     "type",
 )
-rule(
+#: Seconds since midnight; the counter of views stands still on two days of three.
+STOPPED = (
+    "s AS (SELECT event_type AS type, epoch_us(ts) AS us, CASE WHEN event_type = 'view' AND (epoch_us(ts) // 86400000000) % 3 <> 0"
+    " THEN 86400.0::DOUBLE ELSE CAST(epoch_us(ts) % 86400000000 AS DOUBLE) / 1e6 END AS value FROM events)"
+)
+
+
+def _standing(t):
+    day = F.floor(F.unix_micros("ts") / 86_400_000_000)
+    still = (F.col("labels")["type"] == "view") & (day % 3 != 0)
+    v = t.counter.withColumn("value", F.when(still, 86400.0).otherwise(F.col("value")))
+    return Evaluator(v, HOURLY, lookback="1h")
+
+
+@query(
     "rule_files_stopped",
-    f"WITH {GAUGE}, {windowed(HOUR)}, n AS (SELECT type, usr, j FROM w GROUP BY ALL), {GRID}, z AS (SELECT DISTINCT j FROM n) SELECT {T}, 1.0::DOUBLE AS value FROM g WHERE j NOT IN (SELECT j FROM z)",
-    lambda ev: rules.files_stopped(sel("event_value", eq("type", "nothing")), ["type"], "1d", VALUE)(ev),
+    f"WITH {STOPPED}, {counter_cte('type', DAY)}, now_ AS (SELECT type, j, sum(value) AS v FROM x GROUP BY type, j),"
+    f" early AS (WITH {counter_cte('type', DAY, off=DAY)} SELECT type, j, sum(value) AS v FROM x GROUP BY type, j),"
+    f" {windowed(HOUR, name='lw')}, n AS (SELECT DISTINCT j FROM lw), {GRID}"
+    f" SELECT type, {T} FROM now_ JOIN early USING (type, j) WHERE now_.v = 0 AND early.v > 0"
+    f" UNION ALL SELECT '' AS type, {T} FROM g WHERE j NOT IN (SELECT j FROM n)",
 )
+def _(t):
+    found = rules.files_stopped(BUSY, ["type"], "1d", BUSY)(_standing(t))
+    return found.select(label("type").alias("type"), seconds("ts").alias("t"))
+
+
 rule(
     "rule_counts_differ",
     f"WITH {GI}, y AS (SELECT type, j, sum(value) AS v FROM i GROUP BY type, j), {COUNTER.replace('s AS', 'o AS')},"
@@ -298,22 +322,52 @@ rule(
 
 @query(
     "rule_slow_share",
-    "WITH b AS (SELECT event_type AS type, epoch_us(ts) AS us, CASE WHEN value <= 20 THEN 1 ELSE 0 END AS fast FROM events),"
-    f" {windowed(DAY, src='b')}, k AS (SELECT j, sum(fast) / count(*) AS r FROM w GROUP BY j) SELECT {T}, round(r, 6) AS value FROM k WHERE r < 0.65",
+    "WITH b AS (SELECT DISTINCT epoch_us(ts) AS us, CAST(epoch_us(ts) % 86400000000 AS DOUBLE) / 1e6 AS sec, epoch_us(ts) // 86400000000 AS day FROM events),"
+    " s AS (SELECT '+Inf' AS le, us, sec AS value FROM b UNION ALL SELECT '20', us, sec * (0.5 + 0.1 * (day % 3)) FROM b),"
+    f" {counter_cte('le', DAY)}, k AS (SELECT a.j, a.value / b.value AS r FROM x a JOIN x b ON a.j = b.j AND a.le = '20' AND b.le = '+Inf')"
+    f" SELECT {T}, round(r, 6) AS value FROM k WHERE r < 0.62",
 )
 def _(t):
-    """Share under a bound of bucket counts that are summed (not counters) per day."""
-    from tideline.operators.aggregate import bucket_share
-    from tideline.sources.samples import samples_from
-
+    """Buckets as counters that reset at midnight; the share under the bound depends on the day."""
+    us = F.unix_micros("ts")
+    second, day = F.pmod(us, F.lit(86_400_000_000)) / 1e6, F.floor(us / 86_400_000_000)
     cells = F.array(
-        F.struct(F.lit("20").alias("le"), F.when(F.col("value") <= 20, 1.0).otherwise(0.0).alias("n")),
-        F.struct(F.lit("+Inf").alias("le"), F.lit(1.0).alias("n")),
+        F.struct(F.lit("20").alias("le"), (second * (0.5 + 0.1 * (day % 3))).alias("n")),
+        F.struct(F.lit("+Inf").alias("le"), second.alias("n")),
     )
-    rows = t.ev.select("ts", F.explode(cells).alias("c")).groupBy("ts", "c.le").agg(F.sum("c.n").alias("n"))
+    rows = t.ev.select("ts").distinct().select("ts", F.explode(cells).alias("c")).select("ts", "c.le", "c.n")
     v = samples_from(rows, "latency_bucket", {"le": F.col("le")}, "ts", F.col("n"))
-    daily = R.over_time(v, "sum", "1d", HOURLY)
-    return out(compare(bucket_share(daily, "20", HOURLY), "<", 0.65))
+    return out(rules.slow_share(sel("latency_bucket"), "20", "1d", 0.62)(Evaluator(v, HOURLY, lookback="1h")))
+
+
+#: As ``CX``, beside the gauges: other names for its inputs and steps.
+GROWN = re.sub(r"\b([swcapq])( AS \()", r"c\1\2", re.sub(r"FROM ([swcapq])\b", r"FROM c\1", CX))
+TEN = [0.5 * k for k in range(1, 9)]
+
+
+@query(
+    "x1_rule_set",
+    f"WITH {GI}, {GROWN},"
+    f" {MS}, grown AS (SELECT type, j, sum(value) AS v FROM x GROUP BY type, j),"
+    f" r AS (SELECT * FROM grown UNION ALL SELECT type, j + 1, v FROM grown a WHERE j < {N} AND NOT EXISTS (SELECT 1 FROM grown b WHERE b.type = a.type AND b.j = a.j + 1))"
+    + "".join(
+        f"{' UNION ALL' if k else ''} SELECT 'Low{k}' AS alert, type, usr, {T}, round(value, 6) AS value FROM i WHERE value < {10 * limit}"
+        for k, limit in enumerate(TEN)
+    )
+    + f" UNION ALL SELECT 'Maintained', '', site, {T}, value FROM mi WHERE value = 1"
+    f" UNION ALL SELECT 'Busy', type, '', {T}, round(v, 3) FROM r WHERE v > 20000",
+)
+def _(t):
+    """Ten alert rules over one scan; the last reads a series that a recording rule makes."""
+    samples = t.gauge.unionByName(t.maint).unionByName(t.counter)
+    alerts = [AlertRule(f"Low{k}", rules.gauge(VALUE, "<", 10 * limit)) for k, limit in enumerate(TEN)]
+    alerts.append(AlertRule("Maintained", rules.gauge(MAINT_SEL, "==", 1)))
+    alerts.append(AlertRule("Busy", rules.gauge(sel("type:busy:increase6h"), ">", 20000)))
+    recording = [RecordingRule("type:busy:increase6h", rules.recorded_increase(BUSY, "6h", ["type"]))]
+    found = eval_rules(alerts, samples, HOURLY, lookback="1h", recording=recording)
+    who = F.concat(label("usr"), label("site"))
+    digits = F.when(F.col("alert") == "Busy", F.round("value", 3)).otherwise(F.round("value", 6))
+    return found.select("alert", label("type").alias("type"), who.alias("usr"), seconds("ts").alias("t"), digits.alias("value"))
 
 
 # --- lifecycle -----------------------------------------------------------------------

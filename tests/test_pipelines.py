@@ -56,13 +56,19 @@ def test_target_files(spark, folder):
 
 def test_target_stream_replaces_the_snapshot(spark, folder):
     write_groups(folder)
-    job = TG.stream_targets(spark, f"{folder}/t", f"{folder}/now", f"{folder}/ck")
-    job.trigger(availableNow=True).start().awaitTermination()
-    assert spark.read.parquet(f"{folder}/now").count() == 3
+
+    def tick(checkpoint="ck"):
+        job = TG.stream_targets(spark, f"{folder}/t", f"{folder}/now", f"{folder}/{checkpoint}")
+        job.trigger(once=True).start().awaitTermination()
+        return sorted(dict(r.labels)["__address__"] for r in TG.current_targets(spark, f"{folder}/now").collect())
+
+    assert len(tick()) == 3
     (folder / "t" / "b.json").write_text(json.dumps([{"labels": {}, "targets": ["new"]}]))
-    job = TG.stream_targets(spark, f"{folder}/t", f"{folder}/now", f"{folder}/ck")
-    job.trigger(availableNow=True).start().awaitTermination()
-    assert spark.read.parquet(f"{folder}/now").count() == 4
+    assert len(tick()) == 4
+    (folder / "t" / "b.json").write_text(json.dumps([{"labels": {}, "targets": ["other"]}]))
+    assert "other" in tick() and "new" not in tick()  # rewritten in place
+    (folder / "t" / "a.json").unlink()
+    assert tick(checkpoint="ck2") == ["other"]  # deleted; a new checkpoint reads on
 
 
 def test_probe_pipeline(spark, folder):
@@ -224,6 +230,8 @@ def test_recorded_series_round_trip(spark, folder):
     v = vector(spark.createDataFrame(rows, SCHEMA))
     SRC.write_recorded(v, "a:m:sum", f"{folder}/rec")
     SRC.write_recorded(v, "a:m:other", f"{folder}/rec")
+    SRC.write_recorded(v, "a:m:sum", f"{folder}/rec")  # a repeated run
+    assert spark.read.parquet(f"{folder}/rec").count() == 24
     days = (date(2024, 1, 2), date(2024, 1, 3))
     back = SRC.read_samples(spark, f"{folder}/rec", days)
     assert {r.metric for r in back.collect()} == {"a:m:sum", "a:m:other"}

@@ -121,6 +121,10 @@ def test_recorded_increase_equals_batch(spark, folder, parts):
     batch = agg(R.increase(v, "20m", grid), "sum", ["site"])
     want = {(r.labels["site"], r.ts): r.value for r in batch.collect()}
     assert got.keys() == want.keys()
+    rows = spark.read.parquet(f"{folder}/out").count()
+    again = recorded_sink(recorded_samples(recorded, "site:c:increase20m", ["site"]), f"{folder}/out", f"{folder}/ck2")
+    again.trigger(availableNow=True).start().awaitTermination()
+    assert spark.read.parquet(f"{folder}/out").count() == 2 * rows  # a new checkpoint replaces no row of the first
     for key, value in want.items():
         assert got[key] == pytest.approx(value, rel=1e-9), key
 

@@ -130,5 +130,7 @@ def schedule_notifications(intervals: DataFrame, end, timing: Timing | None = No
 
 
 def write_notifications(notes: DataFrame, path: str) -> None:
-    """Append notification rows, partitioned by receiver."""
-    notes.write.mode("append").partitionBy("receiver").parquet(path)
+    """Write notification rows by receiver and day; a repeated run replaces the days it has."""
+    rows = notes.withColumn("date", F.to_date("sent_at"))
+    replacing = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    replacing.partitionBy("receiver", "date").parquet(path)

@@ -54,20 +54,30 @@ def federate(v: DataFrame, selectors: Iterable[Selector], add_labels: dict[str,
     return rekey(found.withColumn("labels", merge_labels(F.col("labels"), added)))
 
 
-def write_samples(v: DataFrame, path: str) -> None:
-    """Append samples partitioned by day, with their keys.
+def _laid_out(v: DataFrame) -> DataFrame:
+    """Stored columns, with each day and stretch of series in one task and sorted.
 
-    Rows are sorted by metric and series inside each file, so that row groups can be
-    skipped by metric and the keys compress to runs.
+    A task then writes few files, row groups can be skipped by metric, and keys compress to runs.
     """
     out = v.select("metric", "labels", "series_id", "ts", "value", F.to_date("ts").alias("date"))
-    out = out.sortWithinPartitions("date", "metric", "series_id", "ts")
-    out.write.mode("append").partitionBy("date").parquet(path)
+    dealt = out.repartitionByRange("date", "metric", "series_id")
+    return dealt.sortWithinPartitions("date", "metric", "series_id", "ts")
+
+
+def write_samples(v: DataFrame, path: str) -> None:
+    """Append samples partitioned by day, with their keys."""
+    _laid_out(v).write.mode("append").partitionBy("date").parquet(path)
 
 
 def write_recorded(v: DataFrame, name: str, path: str) -> None:
-    """Append a rule result as a new series."""
-    write_samples(v.withColumn("metric", F.lit(name)), path)
+    """Write a rule result as a series of its own, below ``record=<name>/date=<day>``.
+
+    A run replaces the days it has rows for, so a repeated run doubles nothing; runs should
+    therefore evaluate whole days.
+    """
+    rows = _laid_out(v.withColumn("metric", F.lit(name))).withColumn("record", F.lit(name))
+    replacing = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    replacing.partitionBy("record", "date").parquet(path)
 
 
 def retain(v: DataFrame, days: int, asof: date) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,24 +35,35 @@ def read_targets(spark: SparkSession, glob: str, extra: dict[str, str] | None =
 
 
 def stream_targets(spark: SparkSession, directory: str, out: str, checkpoint: str, every="5m"):
-    """Re-read the directory when files change and replace the table of current targets.
+    """Re-read the whole directory at every tick, as a new version of the targets.
 
-    Each batch rewrites the snapshot from the whole directory, so targets that left
-    disappear and a replayed batch gives the same table.
+    Files that were rewritten, added or deleted show at the next tick.  A version is one file that
+    appears at once, so readers of ``current_targets`` see the version before or the new one,
+    never a part; a mark without labels lets a version be empty.
     """
 
     def refresh(_batch: DataFrame, _epoch: int) -> None:
-        read_targets(spark, f"{directory}/*.json").write.mode("overwrite").parquet(out)
+        mark = spark.createDataFrame([(None,)], "labels map<string,string>")
+        rows = read_targets(spark, f"{directory}/*.json").unionByName(mark)
+        version = time.time_ns() // 1000
+        rows.withColumn("version", F.lit(version)).coalesce(1).write.mode("append").parquet(out)
 
-    changes = spark.readStream.schema(GROUP_SCHEMA).option("multiLine", True).json(directory)
+    ticks = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
     seconds = micros(every) // 1_000_000
     return (
-        changes.writeStream.foreachBatch(refresh)
+        ticks.writeStream.foreachBatch(refresh)
         .option("checkpointLocation", checkpoint)
         .trigger(processingTime=f"{seconds} seconds")
     )
 
 
+def current_targets(spark: SparkSession, out: str) -> DataFrame:
+    """Targets of the newest version."""
+    versions = spark.read.schema("labels map<string,string>, version long").parquet(out)
+    newest = versions.agg(F.max("version")).first()[0]
+    return versions.filter((F.col("version") == newest) & F.col("labels").isNotNull()).select("labels")
+
+
 def static_targets(spark: SparkSession, addresses: list[str], labels: dict[str, str]) -> DataFrame:
     groups = spark.createDataFrame([(labels, addresses)], GROUP_SCHEMA)
     return expand_groups(groups)
