@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tideline.shared import cut, fresh_path, shared_dir, stored
+
+__all__ = ["cut", "fresh_path", "shared_dir", "stored"]
+
 #: ASCII white space between words: blank, tab, line feed, vertical tab, form feed, return.
 WHITE = "[\\x20\\x09-\\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -34,35 +35,6 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % FOLDS == 0, F.lit(True))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        context = spark.sparkContext
-        if not context.getCheckpointDir():
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="run-", dir="/tmp"))
-        folder = context.getCheckpointDir()
-    return folder
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder, cutting the lineage (survives lost executors)."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write as Parquet in the shared folder and read back: cuts lineage, keeps column pruning,
-    and lets Spark plan later joins from the table's measured size."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def sample_keys(df: DataFrame, group: str, key: str, limit: int) -> DataFrame:
     """``group, key`` of at most ``limit`` keys per group: those of the smallest hashes.
 
