@@ -34,7 +34,7 @@ from tideline.operators.vector import compare
 from tideline.plans import alerts as X
 from tideline.plans import rules
 from tideline.plans.evaluate import AlertRule, Evaluator, RecordingRule, eval_rule, eval_rules
-from tideline.sources.samples import samples_from
+from tideline.sources.samples import recorded_rows, samples_from
 
 DAY = 24 * HOUR
 UPS = f"{UP}, {windowed(HOUR)}, {latest('instance, site')}"
@@ -304,6 +304,52 @@ rule(
         below=0.9,
     ),
 )
+def _site_flag(name: str, value: str) -> str:
+    """A gauge per site as CTEs ``<name>w`` and ``<name>i``."""
+    return (
+        f"{name} AS (SELECT CAST(user_id % 10 AS VARCHAR) AS site, epoch_us(ts) AS us, {value} AS value FROM events),"
+        f" {windowed(HOUR, src=name, name=name + 'w')}, {latest('site', name + 'w', name + 'i')}"
+    )
+
+
+def _is(event: str) -> str:
+    return f"CASE WHEN event_type = '{event}' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"
+
+
+@query(
+    "rule_fleet_all_signals",
+    f"WITH {UPS}, {MS}, {_site_flag('disk', 'value % 60')}, {_site_flag('drained', _is('purchase'))}, {_site_flag('vetoed', _is('error'))},"
+    " sig AS (SELECT site, j, value FROM i UNION ALL SELECT site, j, CASE WHEN value <> 1 THEN 1.0 ELSE 0.0 END FROM mi"
+    " UNION ALL SELECT site, j, CASE WHEN (60 - value) / 60 < 0.8 THEN 1.0 ELSE 0.0 END FROM diski"
+    " UNION ALL SELECT site, j, CASE WHEN value <> 1 THEN 1.0 ELSE 0.0 END FROM drainedi"
+    " UNION ALL SELECT site, j, CASE WHEN value <> 1 THEN 1.0 ELSE 0.0 END FROM vetoedi),"
+    " worst AS (SELECT site, j, min(value) AS value FROM sig GROUP BY site, j), ok AS (SELECT j, sum(value) AS ok FROM worst GROUP BY j),"
+    " den AS (SELECT j, count(*) AS n FROM i WHERE (site, j) NOT IN (SELECT site, j FROM mi WHERE value = 1 AND (site, j) NOT IN (SELECT site, j FROM i)) GROUP BY j)"
+    f" SELECT {T}, round(ok / n, 6) AS value FROM ok JOIN den USING (j) WHERE ok / n < 0.5",
+)
+def _(t):
+    """Probe, disk, exclusion flag and the fleet's own flag together; each has a label of its own,
+    since of equal series ``or`` keeps the first."""
+
+    def gauge(name, value):
+        labels = {"site": F.col("user_id") % 10, "kind": F.lit(name.partition("_")[0])}
+        return samples_from(t.ev, name, labels, "ts", value)
+
+    def flag(event):
+        return F.when(F.col("event_type") == event, 1.0).otherwise(0.0)
+
+    parts = [gauge("disk_size", F.lit(60.0)), gauge("disk_free", F.col("value") % 60)]
+    parts += [gauge("drained", flag("purchase")), gauge("vetoed", flag("error")), t.maint]
+    samples = t.up
+    for part in parts:
+        samples = samples.unionByName(part)
+    expr = rules.fleet_unavailable(
+        probe=UP_SEL, group="experiment", value="", size=sel("disk_size"), free=sel("disk_free"), disk_limit=0.8,
+        excluded=[sel("drained")], own_flags=[sel("vetoed")], maintenance=MAINT_SEL, known=UP_SEL, member="site", below=0.5,
+    )
+    return out(expr(Evaluator(samples, HOURLY, lookback="1h")))
+
+
 rule(
     "rule_any_expr",
     f"WITH {UPS} SELECT instance, site, {T}, value FROM i",
@@ -311,6 +357,18 @@ rule(
     "instance",
     "site",
 )
+@query(
+    "s12_recorded_rows",
+    f"WITH {CX} SELECT 'type:busy:increase6h' AS metric, '{{\"type\":\"' || type || '\"}}' AS series_id, {T},"
+    f" CAST(make_timestamp({LO} + j * {HOUR}) AS DATE)::VARCHAR AS date, 'type:busy:increase6h' AS record, round(sum(value), 4) AS value FROM x GROUP BY type, j",
+)
+def _(t):
+    """Rows as the recorded sink lays them out."""
+    v = agg(R.increase(t.counter, "6h", HOURLY), "sum", ["type"])
+    rows = recorded_rows(v, "type:busy:increase6h")
+    return rows.select("metric", "series_id", seconds("ts").alias("t"), F.col("date").cast("string").alias("date"), "record", F.round("value", 4).alias("value"))
+
+
 rule(
     "rule_recorded_increase",
     f"WITH {CX} SELECT type, {T}, round(sum(value), 4) AS value FROM x GROUP BY type, j",

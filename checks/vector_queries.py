@@ -25,7 +25,7 @@ from checks.registry import (
     special_text,
     windowed,
 )
-from tideline.model import Grid, label
+from tideline.model import Grid, label, rekey
 from tideline.operators import aggregate as G
 from tideline.operators import histogram as H
 from tideline.operators import rangefn as R
@@ -280,6 +280,19 @@ def _(t):
     return out(H.histogram_quantile(t.buckets, 0.9), "flag", digits=4)
 
 
+@query("g9_histogram_odd_bounds", _histogram_sql(0.9))
+def _(t):
+    """Series without a number in ``le`` are no buckets, and a bound may be written in two ways."""
+    other = F.when(F.col("labels")["le"] == "25000", "2.5e4").when(F.col("labels")["le"] == "50000", "none")
+    half = t.buckets.withColumn("value", F.col("value") / 2)
+    odd = half.filter(F.col("labels")["le"] == "25000")
+    rest = t.buckets.filter(F.col("labels")["le"] != "25000")
+    written = half.filter(F.col("labels")["le"].isin("25000", "50000"))
+    renamed = F.map_concat(F.map_filter("labels", lambda k, _: k != "le"), F.create_map(F.lit("le"), other))
+    v = rest.unionByName(odd).unionByName(rekey(written.withColumn("labels", renamed)))
+    return out(H.histogram_quantile(v, 0.9), "flag", digits=4)
+
+
 @query("g9_histogram_median", _histogram_sql(0.5))
 def _(t):
     return out(H.histogram_quantile(t.buckets, 0.5), "flag", digits=4)

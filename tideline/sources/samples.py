@@ -69,14 +69,18 @@ def write_samples(v: DataFrame, path: str) -> None:
     _laid_out(v).write.mode("append").partitionBy("date").parquet(path)
 
 
+def recorded_rows(v: DataFrame, name: str) -> DataFrame:
+    """A rule result as stored rows: under its name, with its record and day."""
+    return _laid_out(v.withColumn("metric", F.lit(name))).withColumn("record", F.lit(name))
+
+
 def write_recorded(v: DataFrame, name: str, path: str) -> None:
     """Write a rule result as a series of its own, below ``record=<name>/date=<day>``.
 
     A run replaces the days it has rows for, so a repeated run doubles nothing; runs should
     therefore evaluate whole days.
     """
-    rows = _laid_out(v.withColumn("metric", F.lit(name))).withColumn("record", F.lit(name))
-    replacing = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    replacing = recorded_rows(v, name).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     replacing.partitionBy("record", "date").parquet(path)
 
 
