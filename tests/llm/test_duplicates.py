@@ -168,6 +168,7 @@ def test_order_of_shingles_changes_no_result(spark, monkeypatch):
     rows = texts()[::3]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     one = sorted(map(str, jaccard.join(df).collect()))
-    monkeypatch.setattr(jaccard, "COMMON", 1)
+    monkeypatch.setattr(jaccard, "slot_counts", lambda counted: np.arange(jaccard.SLOTS).astype(np.uint16))
     monkeypatch.setattr(jaccard, "PARTS", 2)
+    monkeypatch.setattr(jaccard, "HOT", -(10**6))
     assert sorted(map(str, jaccard.join(df.select(F.col("doc_id"), "text")).collect())) == one

@@ -10,8 +10,8 @@ every pair to be found stands together in the region of such a shingle.
 2.  A region's pivot is its smallest class.  All members are compared with the pivot, a number of
     comparisons linear in the region, however many near copies it holds.  What lies within reach of
     the pivot is one component with it and needs no comparison among itself.
-3.  Members out of the pivot's reach join again, with each other and with the members inside the
-    window that the triangle inequality leaves: distances to the pivot may differ by the reach at
+3.  Members out of the pivot's reach meet a second pivot, and what is still apart then joins again,
+    with each other and with the members inside the window that the triangle inequality leaves: distances to the pivot may differ by the reach at
     most.  Pairs of one component are left out.
 
 Before two sets are compared, their sizes and the number of first shingles they have in common must
@@ -32,10 +32,9 @@ from tideline.llm.common import cut, lower_ascii, stored, words
 from tideline.llm.components import components
 
 SHINGLE, LEAST = 5, 75
-#: Most shingles that are ordered by how common they are; all others come before, by hash.
-COMMON = 1 << 16
-#: Shingles counted at once per task, and the share of texts from which on a shingle is reported.
-STEP, REPORT = 2_000_000, 512
+#: Slots by which shingles are counted to order them (a slot's count is at most too high), slots per
+#: stored row, shingles counted at once, and the count above the mean from which regions are dealt out.
+SLOTS, ROW, STEP, HOT = 1 << 22, 4096, 2_000_000, 256
 #: Bits of the map of sets that are needed, members compared with one copy of a pivot, parts of a common region.
 MAP, MEMBERS, PARTS = 1 << 22, 256, 32
 
@@ -111,21 +110,13 @@ def signed(rows: DataFrame) -> DataFrame:
 
 
 def with_sets(rows: DataFrame) -> DataFrame:
-    """As ``signed``, with the set itself in ``own`` for the first row of each class in a task, and
-    further rows ``shingle, seen`` for shingles that many classes of a task share."""
+    """As ``signed``, with the set itself in ``own`` for the first row of each class in a task; and
+    from each task its counts of shingles by slot, in further rows ``part`` with bytes in ``own``."""
     kind = rows.schema["__row"].dataType.simpleString()
-    names = ["__row", "n", "s1", "s2", "own", "shingle", "seen"]
+    names = ["__row", "n", "s1", "s2", "own", "part"]
 
     def run(batches):
-        done, held, size, row = set(), [], 0, None
-
-        def report():
-            each, seen = np.unique(np.concatenate(held) >> np.uint64(16) << np.uint64(16), return_counts=True)
-            often = seen >= max(3, len(held) // REPORT)
-            k = int(often.sum())
-            none = [pa.nulls(k, row), *[pa.nulls(k, pa.int64())] * 3, pa.nulls(k, pa.binary())]
-            return pa.RecordBatch.from_arrays([*none, pa.array(each[often].view(np.int64)), pa.array(seen[often])], names=names)
-
+        done, counts, held, size, row = set(), np.zeros(SLOTS, np.int64), [], 0, None
         for batch in batches:
             for part in _parts(batch):
                 row = part.column("__row").type
@@ -139,17 +130,46 @@ def with_sets(rows: DataFrame) -> DataFrame:
                         done.add(key)
                         held.append(values)
                         size += len(values)
-                empty = [pa.nulls(len(sets), pa.int64())] * 2
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("__row"), pa.array(sizes), pa.array(s1), pa.array(s2), pa.array(own, pa.binary()), *empty], names=names
-                )
+                made = [pa.array(sizes), pa.array(s1), pa.array(s2), pa.array(own, pa.binary()), pa.nulls(len(sets), pa.int32())]
+                yield pa.RecordBatch.from_arrays([part.column("__row"), *made], names=names)
                 if size >= STEP:
-                    yield report()
+                    counts += np.bincount(_slot(np.concatenate(held)), minlength=SLOTS)
                     held, size = [], 0
         if held:
-            yield report()
+            counts += np.bincount(_slot(np.concatenate(held)), minlength=SLOTS)
+        if row is not None:
+            parts = np.minimum(counts, 255).astype(np.uint8).reshape(-1, ROW)
+            none = [pa.nulls(len(parts), row), *[pa.nulls(len(parts), pa.int64())] * 3]
+            made = [pa.array([p.tobytes() for p in parts], pa.binary()), pa.array(np.arange(len(parts), dtype=np.int32))]
+            yield pa.RecordBatch.from_arrays([*none, *made], names=names)
+
+    return rows.mapInArrow(run, f"__row {kind}, n long, s1 long, s2 long, own binary, part int")
+
+
+def _slot(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+
 
-    return rows.mapInArrow(run, f"__row {kind}, n long, s1 long, s2 long, own binary, shingle long, seen long")
+def slot_counts(counted: DataFrame) -> np.ndarray:
+    """How often shingles of each slot occur, from the counts of all tasks.  SLOTS numbers in all,
+    whatever the corpus."""
+
+    def run(batches):
+        sums = {}
+        for batch in batches:
+            for part, own in zip(batch.column("part").to_pylist(), batch.column("own"), strict=True):
+                sums[part] = sums.get(part, 0) + np.frombuffer(own.as_buffer(), np.uint8).astype(np.int64)
+        if sums:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(sums), pa.int32()), pa.array([np.minimum(v, 65_535).astype(np.uint16).tobytes() for v in sums.values()], pa.binary())],
+                names=["part", "sums"],
+            )
+
+    told = counted.where(F.col("part").isNotNull()).select("part", "own").repartition("part").mapInArrow(run, "part int, sums binary")
+    out = np.zeros((SLOTS // ROW, ROW), np.uint16)
+    for r in told.collect():
+        out[r["part"]] = np.frombuffer(r["sums"], np.uint16)
+    return out.ravel()
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -171,22 +191,24 @@ def _numbers(batch, salt: int) -> np.ndarray:
     return class_ids(*(batch.column(c).to_numpy() for c in ("n", "s1", "s2")), salt)
 
 
-def first_shingles(sets: DataFrame, common: tuple[np.ndarray, np.ndarray], salt: int, least: int) -> DataFrame:
-    """``shingle, part, cid``: the first shingles of each class in the common order.  ``part`` deals
-    the members of common shingles to several tasks; it is -1 for all others."""
+def first_shingles(sets: DataFrame, counts: np.ndarray, salt: int, least: int) -> DataFrame:
+    """``shingle, part, cid``: the first shingles of each class in the order of their slots' counts,
+    then of their hashes.  ``part`` deals the members of shingles that are much more common than
+    others to several tasks; it is -1 for all others."""
+    share = sets.sparkSession.sparkContext.broadcast(counts)
+    hot = min(65_535, int(counts.mean()) + HOT)
 
     def run(batches):
-        known, often = common
         for part in (p for batch in batches for p in _parts(batch)):
             out = []
             for cid, raw in zip(_numbers(part, salt).tolist(), part.column("own"), strict=True):
                 own = _unpacked(raw.as_buffer())
-                n = len(own)
-                k = n - ceil(least * n / 100) + 1
-                at = np.minimum(np.searchsorted(known, own), max(0, len(known) - 1))
-                seen = np.where(known[at] == own, often[at], 0) if len(known) else np.zeros(n, np.int64)
-                first = np.lexsort((own, seen))[:k] if seen.any() else np.arange(k)
-                out.append((own[first], np.where(seen[first] > 0, cid % PARTS, -1).astype(np.int32), np.full(k, cid)))
+                seen = share.value[_slot(own)].astype(np.uint64)
+                k = len(own) - ceil(least * len(own) / 100) + 1
+                order = seen << np.uint64(48) | own >> np.uint64(16)
+                first = np.partition(order, k - 1)[:k]
+                deal = np.where(first >> np.uint64(48) >= hot, cid % PARTS, -1)
+                out.append((first << np.uint64(16), deal.astype(np.int32), np.full(k, cid)))
             if out:
                 shingle, deal, cid = (np.concatenate(c) for c in zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(shingle.view(np.int64)), pa.array(deal), pa.array(cid)], names=["shingle", "part", "cid"])
@@ -316,12 +338,7 @@ def _plausible(pairs: DataFrame, found: DataFrame, sizes: DataFrame, least: int)
 def _links(df: DataFrame, text: str, key: str, least: int):
     """Rows ``id, n, cid``, the component of every class, and the salt of the class numbers."""
     counted = stored(with_sets(hashed_words(df, text, [key])), "sets")
-    listed = counted.where(F.col("shingle").isNotNull()).groupBy("shingle").agg(F.sum("seen").alias("seen"))
-    top = listed.orderBy(F.desc("seen"), "shingle").limit(COMMON).toPandas()
-    known = top["shingle"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(known)
-    common = known[order], top["seen"].to_numpy(np.int64)[order]
-    whole = counted.where(F.col("shingle").isNull()).select(F.col(f"__row.`{key}`").alias("id"), "n", "s1", "s2")
+    whole = counted.where(F.col("part").isNull()).select(F.col(f"__row.`{key}`").alias("id"), "n", "s1", "s2")
     salt = 0
     while True:  # class numbers of 64 bits; another salt in the unlikely case that two classes meet
         numbered = whole.withColumn("cid", _class_column(salt))
@@ -329,8 +346,8 @@ def _links(df: DataFrame, text: str, key: str, least: int):
         if classes.groupBy("cid").count().where("count > 1").isEmpty():
             break
         salt += 1
-    sets = counted.where(F.col("own").isNotNull()).select("n", "s1", "s2", "own")
-    found = regions(first_shingles(sets, common, salt, least))
+    sets = counted.where(F.col("own").isNotNull() & F.col("part").isNull()).select("n", "s1", "s2", "own")
+    found = regions(first_shingles(sets, slot_counts(counted), salt, least))
     sizes = classes.where("n > 0").select("cid", "n")
     linked = f"100 * both >= {least} * union"
 
@@ -353,6 +370,20 @@ def _links(df: DataFrame, text: str, key: str, least: int):
         (lead | F.coalesce("t.inside", F.lit(False))).alias("inside"), F.when(lead, 0.0).otherwise(F.col("t.d")).alias("d"),
     )
     placed = stored(placed, "placed")
+    # A second pivot first: of the component with most members in a region, the member that a hash
+    # of region and class picks, so a class meets another member in each of its regions.
+    pick = F.max(F.struct(F.xxhash64("shingle", "cid").alias("h"), "cid")).alias("k")
+    most = placed.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("m"), pick).groupBy("shingle").agg(
+        F.max(F.struct("m", F.col("comp").alias("of"), F.col("k.cid").alias("second"))).alias("s")
+    )
+    tries = placed.where("not inside").join(most, "shingle").where("comp <> s.of").select(
+        F.greatest("cid", "s.second").alias("a"), F.least("cid", "s.second").alias("b")
+    ).distinct()
+    tries = _plausible(tries.join(met.select("a", "b"), ["a", "b"], "left_anti"), found, sizes, least)
+    met = cut(met.unionByName(shared(tries, needed_sets(sets, tries, salt))))
+    part = components(met.where(linked), "a", "b").toDF("comp", "joined")
+    placed = placed.join(part, "comp", "left").withColumn("comp", F.coalesce("joined", "comp")).drop("joined")
+
     x = placed.where("not inside").select("shingle", *[F.col(c).alias(f"x_{c}") for c in ("cid", "n", "comp", "d")])
     y = placed.select(F.col("shingle").alias("y_shingle"), *[F.col(c).alias(f"y_{c}") for c in ("cid", "n", "comp", "d", "inside")])
     apart = (
