@@ -34,7 +34,7 @@ from tideline.llm.components import components
 SHINGLE, LEAST = 5, 75
 #: Slots by which shingles are counted to order them (a slot's count is at most too high), slots per
 #: stored row, shingles counted at once, and the count above the mean from which regions are dealt out.
-SLOTS, ROW, STEP, HOT = 1 << 22, 4096, 2_000_000, 256
+SLOTS, ROW, STEP, HOT = 1 << 22, 4096, 500_000, 256
 #: Bits of the map of sets that are needed, members compared with one copy of a pivot, parts of a common region.
 MAP, MEMBERS, PARTS = 1 << 22, 256, 32
 
@@ -116,7 +116,12 @@ def with_sets(rows: DataFrame) -> DataFrame:
     names = ["__row", "n", "s1", "s2", "own", "part"]
 
     def run(batches):
-        done, counts, held, size, row = set(), np.zeros(SLOTS, np.int64), [], 0, None
+        done, counts, held, size, row = set(), np.zeros(SLOTS, np.uint8), [], 0, None
+
+        def count():
+            slots, seen = np.unique(_slot(np.concatenate(held)), return_counts=True)
+            counts[slots] = np.minimum(counts[slots] + seen, 255)
+
         for batch in batches:
             for part in _parts(batch):
                 row = part.column("__row").type
@@ -133,12 +138,12 @@ def with_sets(rows: DataFrame) -> DataFrame:
                 made = [pa.array(sizes), pa.array(s1), pa.array(s2), pa.array(own, pa.binary()), pa.nulls(len(sets), pa.int32())]
                 yield pa.RecordBatch.from_arrays([part.column("__row"), *made], names=names)
                 if size >= STEP:
-                    counts += np.bincount(_slot(np.concatenate(held)), minlength=SLOTS)
+                    count()
                     held, size = [], 0
         if held:
-            counts += np.bincount(_slot(np.concatenate(held)), minlength=SLOTS)
+            count()
         if row is not None:
-            parts = np.minimum(counts, 255).astype(np.uint8).reshape(-1, ROW)
+            parts = counts.reshape(-1, ROW)
             none = [pa.nulls(len(parts), row), *[pa.nulls(len(parts), pa.int64())] * 3]
             made = [pa.array([p.tobytes() for p in parts], pa.binary()), pa.array(np.arange(len(parts), dtype=np.int32))]
             yield pa.RecordBatch.from_arrays([*none, *made], names=names)
@@ -362,11 +367,12 @@ def _links(df: DataFrame, text: str, key: str, least: int):
     tried = met.groupBy(F.col("a").alias("cid")).agg(
         F.map_from_entries(F.collect_list(F.struct("b", F.struct(F.expr(linked).alias("inside"), (1 - F.col("both") / F.col("union")).alias("d"))))).alias("tried")
     )
-    facts = sizes.join(part.withColumnRenamed("node", "cid"), "cid", "left").join(tried, "cid", "left")
+    held = found.groupBy("cid").agg(F.count(F.lit(1)).alias("r"))
+    facts = sizes.join(held, "cid").join(part.withColumnRenamed("node", "cid"), "cid", "left").join(tried, "cid", "left")
     placed = found.join(facts, "cid").withColumn("t", F.try_element_at("tried", "pivot"))
     lead = F.col("cid") == F.col("pivot")
     placed = placed.select(
-        "shingle", "cid", "n", F.coalesce("component", "cid").alias("comp"),
+        "shingle", "cid", "n", "r", F.coalesce("component", "cid").alias("comp"),
         (lead | F.coalesce("t.inside", F.lit(False))).alias("inside"), F.when(lead, 0.0).otherwise(F.col("t.d")).alias("d"),
     )
     placed = stored(placed, "placed")
@@ -384,13 +390,14 @@ def _links(df: DataFrame, text: str, key: str, least: int):
     part = components(met.where(linked), "a", "b").toDF("comp", "joined")
     placed = placed.join(part, "comp", "left").withColumn("comp", F.coalesce("joined", "comp")).drop("joined")
 
-    x = placed.where("not inside").select("shingle", *[F.col(c).alias(f"x_{c}") for c in ("cid", "n", "comp", "d")])
-    y = placed.select(F.col("shingle").alias("y_shingle"), *[F.col(c).alias(f"y_{c}") for c in ("cid", "n", "comp", "d", "inside")])
+    x = placed.where("not inside").select("shingle", *[F.col(c).alias(f"x_{c}") for c in ("cid", "n", "r", "comp", "d")])
+    y = placed.select(F.col("shingle").alias("y_shingle"), *[F.col(c).alias(f"y_{c}") for c in ("cid", "n", "r", "comp", "d", "inside")])
     apart = (
         (F.col("shingle") == F.col("y_shingle"))
         & (F.col("x_comp") != F.col("y_comp"))
         & (F.col("y_inside") | (F.col("x_cid") < F.col("y_cid")))
         & (100 * F.least("x_n", "y_n") >= least * F.greatest("x_n", "y_n"))
+        & _enough(F.least("x_r", "y_r"), F.col("x_n"), F.col("y_n"), least)
         & (F.coalesce(F.abs(F.col("x_d") - F.col("y_d")), F.lit(0.0)) <= 1 - least / 100 + 1e-9)
     )
     # In every region that two classes of different components share, one is out of the pivot's
