@@ -315,7 +315,7 @@ def test_plans(spark):
 
     queries, oracle = all_queries()
     small = "/root/testdata/sf0.001"
-    for name in ("r4_increase", "g9_histogram_quantile", "q6_parse_freshness", "x2_alert_states", "l6_pod_pipeline"):
+    for name in ("r4_increase", "g9_histogram_quantile", "q6_parse_freshness", "x2_alert_states", "l6_rule_chain"):
         plan = plan_of(queries[name](spark, small))
         assert "Python" not in plan and "Pandas" not in plan, name
     assert "LeftAnti" in plan_of(queries["j5_unless_on"](spark, small))
