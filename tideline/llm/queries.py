@@ -93,6 +93,47 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("__row.doc_id", *quality.BASE, "kept")
 
 
+def _fences_sql(name: str, keys: str) -> str:
+    """Quartile fences of the sketch per language, and source too, as CTE ``name``."""
+    least = " ".join(f"WHEN '{m}' THEN {spread}" for m, (_, _, spread, _) in quality.MEASURES.items())
+    return f"""
+{name}_m AS (SELECT {keys}, m, v, sum(n) AS n FROM sketch GROUP BY ALL),
+{name}_r AS (SELECT {keys}, m, v, sum(n) OVER (PARTITION BY {keys}, m ORDER BY v) AS upto, sum(n) OVER (PARTITION BY {keys}, m) AS docs FROM {name}_m),
+{name}_q AS (SELECT {keys}, m, max(docs) AS docs, min(v) FILTER (4 * upto >= docs) AS q1, min(v) FILTER (4 * upto >= 3 * docs) AS q3 FROM {name}_r GROUP BY ALL),
+{name} AS (SELECT {keys}, m, docs, q1 - {quality.REACH} * greatest(q3 - q1, CASE m {least} END) AS lo,
+           q3 + {quality.REACH} * greatest(q3 - q1, CASE m {least} END) AS hi FROM {name}_q)"""
+
+
+_SCALED = ", ".join(f"{{'m': '{m}', 'x': ({units} * {over}) // greatest(n_words, 1)}}" for m, (over, units, _, _) in quality.MEASURES.items())
+_BELOW = ", ".join(f"'{m}'" for m, (_, _, _, below) in quality.MEASURES.items() if below)
+ORACLE["op7_quality_rules"] = rf"""
+WITH w AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t,
+                  regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS ws FROM documents),
+g AS (SELECT rid, i, array_to_string(ws[i:i + 4], ' ') AS gram FROM (SELECT rid, ws, unnest(range(1, len(ws) - 3)) AS i FROM w)),
+d AS (SELECT rid, i FROM g QUALIFY count(*) OVER (PARTITION BY rid, gram) > 1),
+c AS (SELECT rid, sum(k) AS n FROM (SELECT rid, least(5, coalesce(lead(i) OVER (PARTITION BY rid ORDER BY i) - i, 5)) AS k FROM d) GROUP BY rid),
+l AS (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS ls FROM w),
+m AS (SELECT rid, doc_id, lang, source, len(ws) AS n_words, length(regexp_replace(t, '[ 	-]+', '', 'g')) AS word_chars,
+             length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+             CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words FROM l LEFT JOIN c USING (rid)),
+b AS (SELECT *, n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > {quality.REPEAT_PERCENT} * n_words AS base_failed FROM m),
+e AS (SELECT rid, lang, source, base_failed, unnest([{_SCALED}], recursive := true) FROM b),
+sketch AS (SELECT lang, source, m, (x >> s) << s AS v, count(*) AS n FROM
+           (SELECT *, CAST(greatest(length(bin(x)) - 6, 0) AS BIGINT) AS s FROM e WHERE NOT base_failed) GROUP BY ALL),
+{_fences_sql('own', 'lang, source')},
+{_fences_sql('pooled', 'lang')},
+f AS (SELECT own.lang, own.source, own.m, CASE WHEN own.docs >= {quality.LEAST_GROUP} THEN own.lo ELSE pooled.lo END AS lo,
+             CASE WHEN own.docs >= {quality.LEAST_GROUP} THEN own.hi ELSE pooled.hi END AS hi
+      FROM own JOIN pooled ON own.m = pooled.m AND own.lang IS NOT DISTINCT FROM pooled.lang),
+v AS (SELECT rid, bool_and(x <= hi AND (m NOT IN ({_BELOW}) OR x >= lo)) AS inside
+      FROM (SELECT e.rid, e.m, e.x, f.lo, f.hi FROM e JOIN f ON e.m = f.m AND e.lang IS NOT DISTINCT FROM f.lang AND e.source IS NOT DISTINCT FROM f.source)
+      GROUP BY rid)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+       CAST(n_dup_lines AS BIGINT) AS n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(inside, false) AS kept
+FROM b LEFT JOIN v USING (rid)
+"""
+
+
 @query
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
