@@ -171,8 +171,9 @@ def _(t):
     return out(R.over_time(inner, "quantile", "6h", HOURLY, q=0.75), "type", "usr")
 
 
-ODD = Grid.of(datetime(2024, 1, 5), datetime(2024, 1, 5, 6), "61s")
-SEVEN = Grid.of(datetime(2024, 1, 5), datetime(2024, 1, 12), "7m")
+# the whole table like HOURLY, by steps that divide neither an hour nor a day
+ODD = Grid.of(datetime(2024, 1, 1), datetime(2024, 1, 31), "61s")
+SEVEN = Grid.of(datetime(2024, 1, 1), datetime(2024, 1, 31), "7m")
 
 
 def _on(grid: Grid, src: str, d: int) -> str:
