@@ -15,17 +15,18 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import sample_keys, stored
+from tideline.llm.common import sample_keys, stored, words
+from tideline.llm.quality import bind
 
 #: Words per window and between the starts of windows.
 WINDOW, STRIDE = 32, 16
 #: Hash rows of word and character vectors, their sizes, and units per direction.
 WORDS, GRAMS, WIDTH, UNITS = 1 << 13, 1 << 14, 12, 8
 GRAM_SIZES = (3, 4, 5)
-#: Training sample: texts per label, and words of the longest text that is taken.
+#: Training sample: texts per label, and words of a text from which on windows are drawn of it.
 SAMPLE, SAMPLE_WORDS = 1500, 600
 #: Updates, texts per update, learning rate and seed.
 UPDATES, BATCH, RATE, SEED = 560, 32, 0.01, 7
@@ -234,12 +235,13 @@ class Scorer:
         return out
 
 
-def fit(texts: list[str], labels: np.ndarray) -> Network:
-    """Adam on the highest window of each text; both labels weigh the same in total."""
+def fit(texts: list[list[str]], labels: np.ndarray) -> Network:
+    """Adam on the highest window of each text, given as parts; both labels weigh the same in total."""
     rng = np.random.default_rng(SEED)
     network = Network.fresh(rng)
-    split = [tokens(t) for t in texts]
-    usable = [i for i, t in enumerate(split) if t]
+    split = [tokens(part) for t in texts for part in t]
+    text_of = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    usable = sorted({int(text_of[p]) for p, t in enumerate(split) if t})
     if not usable or len({labels[i] for i in usable}) < 2:
         return network
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in network.w.items()}
@@ -252,14 +254,16 @@ def fit(texts: list[str], labels: np.ndarray) -> Network:
     step = 0
     while step < UPDATES:
         scorer = Scorer(network)
-        owner, first, logit = scorer.window_logits([split[i] for i in usable])
+        holder, first, logit = scorer.window_logits(split)
+        owner = text_of[holder]
         order = np.lexsort((-logit, owner))
         top = order[np.unique(owner[order], return_index=True)[1]]
-        starts = dict(zip(np.array(usable)[owner[top]].tolist(), first[top].tolist(), strict=True))
+        chosen = dict(zip(owner[top].tolist(), zip(holder[top].tolist(), first[top].tolist(), strict=True), strict=True))
         for own in np.array_split(rng.permutation(usable), max(1, len(usable) // BATCH)):
-            sizes = np.array([len(ids[i]) for i in own])
-            flat, begins = np.concatenate([ids[i] for i in own]), np.cumsum(sizes) - sizes
-            at, mask = laid_out(flat, begins, sizes, np.arange(len(own)), np.array([starts[i] for i in own]))
+            read, starts = zip(*[chosen[i] for i in own], strict=True)
+            sizes = np.array([len(ids[p]) for p in read])
+            flat, begins = np.concatenate([ids[p] for p in read]), np.cumsum(sizes) - sizes
+            at, mask = laid_out(flat, begins, sizes, np.arange(len(own)), np.array(starts))
             used, back = np.unique(at, return_inverse=True)
             part = [words.grams[words.starts[i] : words.starts[i] + counts[i]] for i in used]
             sub = Words(words.word[used], np.concatenate(part), np.cumsum(counts[used]) - counts[used])
@@ -284,16 +288,33 @@ def fit(texts: list[str], labels: np.ndarray) -> Network:
     return network
 
 
+def parts(text: Column, key: Column) -> Column:
+    """The text, or of one over ``SAMPLE_WORDS`` words as many windows as one of that size has,
+    drawn by a hash of key and place among those that cover the text."""
+
+    def drawn(w: Column) -> Column:
+        last = F.ceil((F.size(w) - WINDOW) / STRIDE).cast("int")
+        places = F.transform(F.sequence(F.lit(0), last), lambda k: F.struct(F.xxhash64(key, k).alias("h"), k.alias("k")))
+        few = F.slice(F.array_sort(places), 1, SAMPLE_WORDS // STRIDE)
+        return F.transform(few, lambda x: F.array_join(F.slice(w, x["k"] * STRIDE + 1, WINDOW), " "))
+
+    return F.when(_size(text) <= SAMPLE_WORDS, F.array(text)).otherwise(bind(words(text), drawn))
+
+
+def _size(text: Column) -> Column:
+    return F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+"))
+
+
 def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Network:
-    """Fit on at most ``SAMPLE`` texts per label 0 and 1, chosen by a hash of the key, among those
-    of at most ``SAMPLE_WORDS`` words; null keys, labels and texts teach nothing."""
-    words = F.regexp_count(F.col(text), F.lit("[^\\x20\\x09-\\x0D]+"))
+    """Fit on at most ``SAMPLE`` texts per label 0 and 1, chosen by a hash of the key among those of
+    any length; of long ones, windows are drawn.  Null keys, labels and texts teach nothing."""
     marks = labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).distinct()
-    short = df.where(words.between(1, SAMPLE_WORDS)).select(F.col(key).alias("key"), F.col(text).alias("text"))
-    marked = stored(short.select("key").join(marks, "key"), "marked")
+    named = df.where(_size(F.col(text)) > 0).select(F.col(key).alias("key"), F.col(text).alias("text"))
+    marked = stored(named.select("key").join(marks, "key"), "marked")
     drawn = sample_keys(marked, "label", "key", SAMPLE)
-    rows = short.join(drawn, "key").groupBy("label", "key").agg(F.min("text").alias("text")).toPandas().sort_values(["key", "label"])
-    return fit(list(rows["text"]), rows["label"].to_numpy(dtype=np.float32))
+    cut = named.join(drawn, "key").select("label", "key", parts(F.col("text"), F.col("key")).alias("parts"))
+    rows = cut.groupBy("label", "key").agg(F.min("parts").alias("parts")).toPandas().sort_values(["key", "label"])
+    return fit([list(p) for p in rows["parts"]], rows["label"].to_numpy(dtype=np.float32))
 
 
 def score(df: DataFrame, network: Network, text: str = "text") -> DataFrame:
