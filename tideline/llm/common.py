@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ __all__ = ["cut", "fresh_path", "shared_dir", "stored"]
 WHITE = "[\\x20\\x09-\\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Fewer groups than this can each hold more than this part of all rows; those are broadcast.
+HOT = 20_000
 #: One in so many documents is held out of training, by ``crc32`` of its id as text.
 FOLDS = 5
 
@@ -50,6 +54,27 @@ def sample_keys(df: DataFrame, group: str, key: str, limit: int) -> DataFrame:
     return stored(some.withColumn("__r", rank).where(F.col("__r") <= limit).drop("__r"), "sample")
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``groups``, which has one row per key and its number of rows ``size``.
+
+    A group of more than ``total / HOT`` rows would crowd a task of a shuffled join.  There are fewer
+    than ``HOT`` of these, so they are broadcast; only rows of smaller groups are shuffled.  Both
+    frames are read twice and should be stored; ``total`` is at least the number of rows.  Null keys
+    are a group.  The columns of ``groups`` must have other names than those of ``rows``, but for the keys.
+    """
+    named = groups.select(*[F.col(c).alias(f"__k_{c}" if c in keys else c) for c in groups.columns])
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) if _nullable(groups, k) else F.col(k) == F.col(f"__k_{k}") for k in keys])
+    crowded = F.col(size) * HOT > total
+    hot, made = F.broadcast(named.where(crowded)), [F.col(c) for c in groups.columns if c not in keys]
+    at_once = rows.join(hot, same).select(*rows.columns, *made)
+    others = rows.join(hot, same, "left_anti").join(named.where(~crowded), same).select(*rows.columns, *made)
+    return at_once.unionByName(others)
+
+
+def _nullable(df: DataFrame, column: str) -> bool:
+    return df.schema[column].nullable
+
+
 class Memo(dict):
     """Results of a function by key, bounded: two generations of ``limit`` entries at most.
 

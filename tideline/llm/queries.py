@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import byte_bpe, jaccard, langid, lattice, mixing, quality, token_counts, toxicity, url_filter, warc
+from tideline.llm import byte_bpe, exact_dedup, jaccard, langid, lattice, mixing, quality
+from tideline.llm import token_counts, token_links, toxicity, url_filter, vector_codes, warc
 from tideline.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,12 +109,15 @@ _SCALED = ", ".join(f"{{'m': '{m}', 'x': ({units} * {over}) // greatest(n_words,
 _BELOW = ", ".join(f"'{m}'" for m, (_, _, _, below) in quality.MEASURES.items() if below)
 ORACLE["op7_quality_rules"] = rf"""
 WITH w AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t,
-                  regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS ws FROM documents),
+                  regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS ws FROM documents),
 g AS (SELECT rid, i, array_to_string(ws[i:i + 4], ' ') AS gram FROM (SELECT rid, ws, unnest(range(1, len(ws) - 3)) AS i FROM w)),
 d AS (SELECT rid, i FROM g QUALIFY count(*) OVER (PARTITION BY rid, gram) > 1),
 c AS (SELECT rid, sum(k) AS n FROM (SELECT rid, least(5, coalesce(lead(i) OVER (PARTITION BY rid ORDER BY i) - i, 5)) AS k FROM d) GROUP BY rid),
-l AS (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS ls FROM w),
-m AS (SELECT rid, doc_id, lang, source, len(ws) AS n_words, length(regexp_replace(t, '[ 	-]+', '', 'g')) AS word_chars,
+l AS (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS ls FROM w),
+m AS (SELECT rid, doc_id, lang, source, len(ws) AS n_words, length(regexp_replace(t, '[ 	-
+]+', '', 'g')) AS word_chars,
              length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
              CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words FROM l LEFT JOIN c USING (rid)),
 b AS (SELECT *, n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > {quality.REPEAT_PERCENT} * n_words AS base_failed FROM m),
@@ -151,3 +155,60 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return byte_bpe.round_trip(documents).drop("text")
+
+
+@query
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    coded, codec = vector_codes.compress(vectors, carry=["vec_id", "label"])
+    books = codec.sha256 if codec else ""
+    return vector_codes.with_label_error(coded, F.col("__row.label")).select(
+        "__row.vec_id", "code", "error", "label_error", F.lit(books).alias("codebooks_sha256")
+    )
+
+
+def _round_sql(k: int) -> str:
+    """CTEs ``a{k}``, each part with its nearest entry of ``e{k}``, and ``e{k + 1}``, the entries after the round."""
+    return f"""
+a{k} AS (SELECT rid, part, x, min({{'d': d, 'k': k}}) AS near FROM
+         (SELECT p.rid, p.part, p.x, e.k, CAST(list_sum(list_transform(list_zip(p.x, e.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d
+          FROM p JOIN e{k} AS e ON p.part = e.part) GROUP BY rid, part, x),
+m{k} AS (SELECT part, k, i, CAST(sum(y) AS BIGINT) AS s, count(*) AS n FROM
+         (SELECT part, near.k AS k, generate_subscripts(x, 1) AS i, unnest(x) AS y FROM a{k}) GROUP BY part, k, i),
+e{k + 1} AS (SELECT e.part, e.k, coalesce(c.c, e.c) AS c FROM e{k} AS e LEFT JOIN
+         (SELECT part, k, list((s - (s % n + n) % n) // n ORDER BY i) AS c FROM m{k} GROUP BY part, k) AS c ON e.part = c.part AND e.k = c.k)"""
+
+
+ORACLE["op11_vector_codes"] = f"""
+WITH v AS (SELECT row_number() OVER () AS rid, vec_id, label,
+                  list_transform(embedding, lambda x: CAST(floor({vector_codes.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS w
+           FROM embeddings WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+p AS (SELECT rid, vec_id, part, list_slice(w, part * len(w) // {vector_codes.PARTS} + 1, (part + 1) * len(w) // {vector_codes.PARTS}) AS x
+      FROM (SELECT *, unnest(range({vector_codes.PARTS})) AS part FROM v)),
+e0 AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS k, x AS c FROM p QUALIFY k < {vector_codes.ENTRIES}),
+{",".join(_round_sql(k) for k in range(vector_codes.ROUNDS + 1))},
+b AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, k)) AS codebooks_sha256 FROM e{vector_codes.ROUNDS}),
+c AS (SELECT rid, string_agg(printf('%02x', near.k), '' ORDER BY part) AS code, CAST(sum(near.d) AS BIGINT) AS error FROM a{vector_codes.ROUNDS} GROUP BY rid)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM v JOIN c USING (rid), b
+"""
+
+
+@query
+def op12_token_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_links.link_counts(documents, carry=["doc_id"]).select("__row.doc_id", "*").drop("__row")
+
+
+@query
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return exact_dedup.deduplicate(exact_dedup.two_loads(documents), exact_dedup.fresh_index(spark))
+
+
+ORACLE["op13_exact_dedup"] = """
+WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
+       row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id) = 1 AS kept, text_sha256
+FROM d
+"""
