@@ -8,7 +8,6 @@ of either side a group holds, so tokens that overlap are found as ranges, withou
 
 from __future__ import annotations
 
-import base64
 import hashlib
 import json
 from bisect import bisect_left
@@ -32,18 +31,22 @@ ROWS, LISTED = 64, 1 << 12
 
 def common_ends(short: list[int], long: list[int]) -> tuple[list[int], list[int]]:
     """Ranks in both ascending lists of the ends that both hold; ``short`` drives the search."""
-    mine, theirs, low, n = [], [], 0, len(long)
+    mine, theirs, n = [], [], len(long)
+    ends = [*long, 1 << 62]  # no end lies beyond the last
+    low, at = 0, ends[0]
     for rank, end in enumerate(short):
-        if low < n and long[low] < end:
+        if at < end:
             step, high = 1, low + 1
-            while high < n and long[high] < end:
+            while ends[high] < end:
                 low, step = high, 2 * step
-                high = low + step
-            low = bisect_left(long, end, low + 1, min(high, n))
-        if low < n and long[low] == end:
+                high = min(low + step, n)
+            low = bisect_left(ends, end, low + 1, high)
+            at = ends[low]
+        if at == end:
             mine.append(rank)
             theirs.append(low)
             low += 1
+            at = ends[low]
     return mine, theirs
 
 
@@ -59,7 +62,7 @@ def links_of(a: np.ndarray, b: np.ndarray, a_last: np.ndarray, b_last: np.ndarra
     """Distinct pairs of ids linked in a text, how often each is, and the number of all links."""
     a_n, b_n = np.diff(a_last, prepend=-1), np.diff(b_last, prepend=-1)
     many = a_n * b_n
-    codes, times = [a[a_last[many == 1]] << 32 | b[b_last[many == 1]]], []
+    codes = [a[a_last[many == 1]] << 32 | b[b_last[many == 1]]]
     some = np.flatnonzero((many > 1) & (many <= LISTED))
     if len(some):
         size = many[some]
@@ -68,16 +71,19 @@ def links_of(a: np.ndarray, b: np.ndarray, a_last: np.ndarray, b_last: np.ndarra
         left = np.repeat(a_last[some] - a_n[some] + 1, size) + k // width
         right = np.repeat(b_last[some] - b_n[some] + 1, size) + k % width
         codes.append(a[left] << 32 | b[right])
+    large = np.flatnonzero(many > LISTED)
+    if not len(large):
+        pairs, counts = np.unique(np.concatenate(codes), return_counts=True)
+        return pairs, counts, int(many.sum())
     times = [np.ones(sum(map(len, codes)), np.int64)]
-    for g in np.flatnonzero(many > LISTED):
+    for g in large:
         x, x_n = np.unique(a[a_last[g] - a_n[g] + 1 : a_last[g] + 1], return_counts=True)
         y, y_n = np.unique(b[b_last[g] - b_n[g] + 1 : b_last[g] + 1], return_counts=True)
         codes.append((x[:, None] << 32 | y[None, :]).reshape(-1))
         times.append((x_n[:, None] * y_n[None, :]).reshape(-1))
-    codes, times = np.concatenate(codes), np.concatenate(times)
-    pairs, at = np.unique(codes, return_inverse=True)
+    pairs, at = np.unique(np.concatenate(codes), return_inverse=True)
     counts = np.zeros(len(pairs), np.int64)
-    np.add.at(counts, at, times)
+    np.add.at(counts, at, np.concatenate(times))
     return pairs, counts, int(many.sum())
 
 
@@ -102,7 +108,10 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_text = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.b_size = np.array(list(map(len, self.b_text)), np.int64)
-        self.a_name, self.b_name = list(map(str, range(len(self.a_size)))), list(map(str, range(len(pieces))))
+        #: Ids as text with what follows: ids of one side of a group, then of the other, then of the next group.
+        self.named = [f"{i}{end}" for end in ",|" for i in range(len(self.a_size))]
+        self.b_named = len(self.named)
+        self.named += [f"{i}{end}" for end in ",;" for i in range(len(pieces))]
 
     @staticmethod
     def _ranks(tokens: Tokens, vocab: dict[str, int]) -> dict[bytes, int]:
@@ -126,20 +135,23 @@ class Aligner:
             out.append((np.array(a, np.int64), np.array(b, np.int64)))
         return out
 
-    def align(self, text: str, a: np.ndarray, b: np.ndarray):
-        a_last, b_last = groups_of(np.cumsum(self.a_size[a]).tolist(), np.cumsum(self.b_size[b]).tolist())
-        return a_last, b_last
+    def align(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks of the last tokens of each group on both sides."""
+        found = groups_of(np.cumsum(self.a_size[a]).tolist(), np.cumsum(self.b_size[b]).tolist())
+        return tuple(np.array(ranks, np.int64) for ranks in found)
 
-    def digest(self, a: np.ndarray, b: np.ndarray, a_last: list[int], b_last: list[int]) -> str:
+    def digest(self, a: np.ndarray, b: np.ndarray, a_last: np.ndarray, b_last: np.ndarray) -> str:
         """SHA-256 of ``a1,a2|b1;a3|b2,b3``: the ids of all groups."""
         if not len(a):
             return ""
-        x, y = list(map(self.a_name.__getitem__, a.tolist())), list(map(self.b_name.__getitem__, b.tolist()))
-        parts, i, j = [], 0, 0
-        for p, q in zip(a_last, b_last, strict=True):
-            parts.append(f"{x[p]}|{y[q]}" if p == i and q == j else f"{','.join(x[i : p + 1])}|{','.join(y[j : q + 1])}")
-            i, j = p + 1, q + 1
-        return hashlib.sha256(";".join(parts).encode()).hexdigest()
+        a_n, b_n = np.diff(a_last, prepend=-1), np.diff(b_last, prepend=-1)
+        at = np.empty(len(a) + len(b), np.int64)
+        codes, own = a.copy(), b + self.b_named
+        codes[a_last] += len(self.a_size)
+        own[b_last] += len(self.b_size)
+        at[np.arange(len(a)) + np.repeat(np.cumsum(b_n) - b_n, a_n)] = codes
+        at[np.arange(len(b)) + np.repeat(np.cumsum(a_n), b_n)] = own
+        return hashlib.sha256("".join(map(self.named.__getitem__, at.tolist()))[:-1].encode()).hexdigest()
 
 
 @lru_cache(maxsize=1)
@@ -178,10 +190,9 @@ def align(df: DataFrame, text: str = "text", carry: list[str] | None = None, ran
             for piece in (batch.slice(i, ROWS) for i in range(0, batch.num_rows, ROWS)):
                 numbers, digests, links, spans = [], [], [], []
                 texts = [t or "" for t in piece.column("text").to_pylist()]
-                for t, (a, b) in zip(texts, own.encode(texts), strict=True):
-                    a_last, b_last = own.align(t, a, b)
-                    digests.append(own.digest(a, b, a_last, b_last))
-                    p, q = np.array(a_last, np.int64), np.array(b_last, np.int64)
+                for a, b in own.encode(texts):
+                    p, q = own.align(a, b)
+                    digests.append(own.digest(a, b, p, q))
                     pairs, times, n = links_of(a, b, p, q)
                     numbers.append((len(a), len(b), len(p), n))
                     links.append((pairs >> 32, pairs & 0xFFFFFFFF, times))
