@@ -171,6 +171,20 @@ def _(t):
     return out(R.over_time(inner, "quantile", "6h", HOURLY, q=0.75), "type", "usr")
 
 
+QUARTER = Grid.of(datetime(2024, 1, 1), datetime(2024, 1, 31), "15m")
+
+
+@query(
+    "r10_quantile_over_day",
+    f"WITH {COUNTER}, w AS (SELECT *, unnest(generate_series(greatest(0, CAST(ceil((us - {QUARTER.start}) / {QUARTER.step}) AS BIGINT)),"
+    f" least({QUARTER.last}, CAST(floor((us + {DAY} - {QUARTER.start}) / {QUARTER.step}) AS BIGINT)))) AS j FROM s)"
+    f" SELECT type, CAST(({QUARTER.start} + j * {QUARTER.step}) // 1000000 AS BIGINT) AS t, round(quantile_cont(value, 0.9), 6) AS value FROM w GROUP BY type, j",
+)
+def _(t):
+    """A day's window every 15 minutes, whose samples are not repeated for each."""
+    return out(R.over_time(t.counter, "quantile", "1d", QUARTER, q=0.9), "type")
+
+
 # the whole table like HOURLY, by steps that divide neither an hour nor a day
 ODD = Grid.of(datetime(2024, 1, 1), datetime(2024, 1, 31), "61s")
 SEVEN = Grid.of(datetime(2024, 1, 1), datetime(2024, 1, 31), "7m")

@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 from tideline.model import Grid, micros, vector
 from tideline.operators import rangefn as R
 from tideline.operators import slices
+from tideline.sources.samples import bucketed_samples, write_bucketed
 
 START = datetime(2024, 1, 1, tzinfo=timezone.utc)
 BASE = micros(START)
@@ -113,12 +114,12 @@ def expected(series, model, d, grid):
 SHAPES = [("5m", "1m"), ("1m", "1m"), ("7m", "2m"), ("90s", "1m"), ("30s", "2m")]
 
 
-@pytest.mark.parametrize("plan", ["direct", "spread", "doubled"])
+@pytest.mark.parametrize("plan", ["direct", "spread", "blocks"])
 @pytest.mark.parametrize("name", list(MODELS))
 def test_against_model(spark, monkeypatch, plan, name):
     if plan != "direct":
         monkeypatch.setattr(slices, "DIRECT", 0)
-    if plan == "doubled":
+    if plan == "blocks":
         monkeypatch.setattr(slices, "SPREAD", 0)
     series = random_series(7)
     model, fn = MODELS[name]
@@ -132,7 +133,7 @@ def test_against_model(spark, monkeypatch, plan, name):
             assert got[key] == pytest.approx(want[key], rel=1e-9, abs=1e-9), (d, step, key)
 
 
-def test_long_window_doubles(spark):
+def test_long_window(spark):
     series = random_series(3, n=3, length=200)
     grid = Grid.of(START, micros(START) / 1e6 + 9000, "1m")
     got = collect(R.increase(frame(spark, series), "100m", grid))
@@ -201,3 +202,81 @@ def test_offset_and_subquery_alignment(spark):
 def test_rate_interval():
     assert R.rate_interval("15s", "60s") == micros("4m")
     assert R.rate_interval("10m", "60s") == micros("11m")
+
+
+def test_stored_by_day_is_folded_in_place(spark, folder):
+    """Samples bucketed by series and day: equal rows, and no exchange below the first aggregate."""
+    series = random_series(11, n=6, length=400)
+    series["edge"] = [(h * 3600 * SECOND, float(h)) for h in range(60)]  # some exactly at midnight
+    v = frame(spark, series)
+    table = f"samples_{folder.name.replace('-', '_')}"
+    write_bucketed(v, table, f"{folder}/table", 4)
+    stored = bucketed_samples(spark, table)
+    end = micros(START) / 1e6 + 2.5 * 86400
+    for fn in (
+        lambda x, g: R.increase(x, "6h", g), lambda x, g: R.rate(x, "30m", g), lambda x, g: R.irate(x, "1h", g),
+        lambda x, g: R.resets(x, "1d", g), lambda x, g: R.over_time(x, "sum", "1d", g), lambda x, g: R.instant(x, g, "2h"),
+    ):
+        grid = Grid.of(START, end, "30m")
+        want, got = fn(v, grid), fn(stored, grid)
+        assert collect(got) == pytest.approx(collect(want), rel=1e-9, abs=1e-9)
+        lines = got._jdf.queryExecution().sparkPlan().toString(), got._jdf.queryExecution().executedPlan().toString()
+        below = []
+        for line in reversed(lines[1].split("== Initial Plan ==")[-1].strip().splitlines()):
+            if "Aggregate" in line:
+                break
+            below.append(line)
+        assert any("Bucketed: true" in line for line in below), lines[1]
+        assert not any("Exchange" in line for line in below), lines[1]
+    odd = Grid.of(micros(START) / 1e6 + 11, end, "61s")  # days do not end at cuts
+    assert collect(R.over_time(stored, "sum", "2h", odd)) == pytest.approx(collect(R.over_time(v, "sum", "2h", odd)), rel=1e-9)
+    pruned = bucketed_samples(spark, table, (START.date(), START.date()))
+    assert "PartitionFilters: [isnotnull(date" in pruned._jdf.queryExecution().executedPlan().toString()
+
+
+def test_work_of_a_long_window_does_not_grow_with_it(spark):
+    """Rows between the samples and the evaluations: slices and changes, not slices times their number in a window."""
+    v = frame(spark, random_series(2, n=2, length=30))
+    for d in ("90m", "1d", "30d"):
+        grid = Grid.of(START, micros(START) / 1e6 + 40 * 86400, "61s")
+        plan = R.over_time(v, "sum", d, grid)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("sequence(") <= 2 * plan.count("Generate explode(sequence(at")
+        assert plan.count("Window [") <= 8
+
+
+def test_nan_stays_in_its_window(spark):
+    points = [(i * 60 * SECOND, math.nan if i == 100 else float(i)) for i in range(300)]
+    grid = Grid.of(START, micros(START) / 1e6 + 18000, "1m")
+    got = collect(R.over_time(frame(spark, {"s": points}), "sum", "70m", grid))
+    for t in range(0, 301):
+        inside = [v for at, v in points if (t - 70) * 60 * SECOND <= at <= t * 60 * SECOND]
+        value = got["s", t * 60 * SECOND]
+        assert math.isnan(value) if 100 <= t <= 170 else value == pytest.approx(sum(inside))
+
+
+@pytest.mark.parametrize("q", [0.0, 0.25, 0.7, 1.0, 1.5, math.nan])
+def test_sliding_quantile_of_long_windows(spark, q):
+    rng = random.Random(8)
+    series = {
+        "normal": [(i * 53 * SECOND, rng.gauss(0, 100)) for i in range(300)],
+        "few": [(i * 97 * SECOND, float(rng.choice([0, 0, 0, 1, 2]))) for i in range(200)],
+        "odd": [(i * 61 * SECOND, rng.choice([math.nan, math.inf, -math.inf, 5.0, 5.0, -0.5])) for i in range(150)],
+        "gaps": [(i * 1117 * SECOND, float(i)) for i in range(20)],
+        "nan": [(600 * SECOND, math.nan)],
+    }
+    grid = Grid.of(START, micros(START) / 1e6 + 30000, "45s")
+    found = R.over_time(frame(spark, series), "quantile", "70m", grid, q=q)
+    got, want = collect(found), expected(series, lambda p, lo, hi, d: model_quantile(p, q), micros("70m"), grid)
+    assert got.keys() == want.keys()
+    for key in want:
+        assert got[key] == pytest.approx(want[key], rel=1e-9, abs=1e-9, nan_ok=True), key
+
+
+def model_quantile(points, q):
+    if math.isnan(q) or q > 1:
+        return q if math.isnan(q) else math.inf
+    values = sorted((v for _, v in points), key=lambda v: (v != v, v))
+    rank = q * (len(values) - 1)
+    low, high = values[math.floor(rank)], values[math.ceil(rank)]
+    w = rank - math.floor(rank)
+    return low if w == 0 else low * (1 - w) + high * w

@@ -80,6 +80,15 @@ def instant_literal(us: int) -> Column:
     return F.timestamp_micros(F.lit(us))
 
 
+DAY = 86_400_000_000
+
+
+def sample_day(ts: Column | str) -> Column:
+    """Number of the day that ends with or after an instant: midnight belongs to the day before, as
+    windows and slices are closed on the right."""
+    return F.floor((F.unix_micros(ts) - 1) / F.lit(DAY)).cast("int")
+
+
 def clean_labels(labels: Column) -> Column:
     """Drop absent and empty labels: an empty label equals a missing one."""
     return F.map_filter(labels, lambda _, v: F.coalesce(v, F.lit("")) != "")

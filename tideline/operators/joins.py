@@ -40,30 +40,28 @@ def zero_fill(all_keys: DataFrame, present: DataFrame, keys: list[str], value: s
 def interval_touch_semi(tests: DataFrame, polls: DataFrame, width, key: str = "node") -> DataFrame:
     """Tests whose start or end lies in some poll interval ``[tstart, tend]`` of their node.
 
-    A test that contains a poll without ending in it does not count.  Both sides are cut
-    into time buckets of ``width``: the equi-join key is (node, bucket), which spreads a
-    busy node over time, and the semi joins list no pairs.  A test is found by its start or,
-    failing that, by its end, so each row is kept once and equal rows are all kept.
+    A test that contains a poll without ending in it does not count.  Polls are covered by dyadic
+    stretches of time buckets of ``width`` (see ``_covered``) and points look for the stretches
+    they lie in: the equi-join key is (node, level, stretch), which spreads a busy node over time,
+    and the semi joins list no pairs.  A test is found by its start or, failing that, by its end,
+    so each row is kept once and equal rows are all kept.
     """
-    cut = _bucketed(polls, width, key)
+    cut = _covered(polls, width, key)
+    points = tests.select(key, F.explode(F.array("tstart", "tend")).alias("_at"))
+    inside = _stretches(points, cut, width).join(cut, _inside(key), "left_semi")
+    touched = inside.select(F.col(key).alias("_key"), "_at")
 
-    def touched(rows: DataFrame, at: str, how: str) -> DataFrame:
-        inside = (
-            (rows[key] == cut["_key"])
-            & (_bucket(rows[at], width) == cut["_b"])
-            & (rows[at] >= cut["_s"])
-            & (rows[at] <= cut["_e"])
-        )
-        return rows.join(cut, inside, how)
+    def at(rows: DataFrame, end: str, how: str) -> DataFrame:
+        return rows.join(touched, (rows[key] == touched["_key"]) & (rows[end] == touched["_at"]), how)
 
-    rest = touched(tests, "tstart", "left_anti")
-    return touched(tests, "tstart", "left_semi").unionByName(touched(rest, "tend", "left_semi"))
+    rest = at(tests, "tstart", "left_anti")
+    return at(tests, "tstart", "left_semi").unionByName(at(rest, "tend", "left_semi"))
 
 
 def interval_touch_join(tests: DataFrame, polls: DataFrame, width, key: str = "node") -> DataFrame:
     """Matching (test, poll) pairs, each once; ``polls`` brings ``tstart``, ``tend`` and ``poll_*``."""
     extra = [c for c in polls.columns if c.startswith("poll_")]
-    cut = _bucketed(polls, width, key, extra)
+    cut = _covered(polls, width, key, extra)
     points = tests.select(
         "*",
         F.explode(
@@ -73,33 +71,56 @@ def interval_touch_join(tests: DataFrame, polls: DataFrame, width, key: str = "n
             )
         ).alias("_p"),
     )
-    points = points.withColumn("_at", F.col("_p.at")).withColumn("_side", F.col("_p.side"))
-    points = points.withColumn("_bucket", _bucket(F.col("_at"), width)).drop("_p")
-    touch = (
-        (points[key] == cut["_key"])
-        & (points["_bucket"] == cut["_b"])
-        & (points["_at"] >= cut["_s"])
-        & (points["_at"] <= cut["_e"])
-    )
+    points = points.withColumn("_at", F.col("_p.at")).withColumn("_side", F.col("_p.side")).drop("_p")
     # a poll touched by both ends is reported for the start only
-    both = (points["tstart"] >= cut["_s"]) & (points["tstart"] <= cut["_e"])
-    joined = points.join(cut, touch & ((points["_side"] == 0) | ~both))
-    return joined.select(*[points[c] for c in tests.columns], *[cut[c] for c in extra])
+    both = (F.col("tstart") >= F.col("_s")) & (F.col("tstart") <= F.col("_e"))
+    joined = _stretches(points, cut, width).join(cut, _inside(key) & ((F.col("_side") == 0) | ~both))
+    return joined.select(*tests.columns, *extra)
+
+
+def _inside(key: str) -> Column:
+    """A point lies in a stretch of the cover and in the poll itself."""
+    same = (F.col(key) == F.col("_key")) & (F.col("_level") == F.col("_l")) & (F.col("_stretch") == F.col("_b"))
+    return same & (F.col("_at") >= F.col("_s")) & (F.col("_at") <= F.col("_e"))
 
 
 def _bucket(at: Column, width) -> Column:
     return F.floor(F.unix_micros(at) / F.lit(micros(width)))
 
 
-def _bucketed(polls: DataFrame, width, key: str, extra: list[str] | None = None) -> DataFrame:
+#: Stretches of level n are 2^n buckets long.
+LEVELS = 40
+
+
+def _covered(polls: DataFrame, width, key: str, extra: list[str] | None = None) -> DataFrame:
+    """Polls cut into the fewest dyadic stretches ``(_l, _b)`` of buckets, at most two per level.
+
+    A stretch belongs to the cover if it lies in the poll and the one twice as long around it does not.
+    """
     spread = polls.select(
         F.col(key).alias("_key"),
         F.col("tstart").alias("_s"),
         F.col("tend").alias("_e"),
         *(extra or []),
+        _bucket(F.col("tstart"), width).alias("_lo"),
+        _bucket(F.col("tend"), width).alias("_hi"),
+    )
+    cover = F.expr(
+        f"flatten(transform(filter(sequence(0, {LEVELS}), n -> shiftleft(1L, n) <= _hi - _lo + 1), n -> filter(array("
+        "named_struct('l', n, 'b', shiftright(_lo + shiftleft(1L, n) - 1, n), 'odd', 1),"
+        "named_struct('l', n, 'b', shiftright(_hi + 1, n) - 1, 'odd', 0)),"
+        " x -> shiftright(_lo + shiftleft(1L, n) - 1, n) <= shiftright(_hi + 1, n) - 1 AND pmod(x.b, 2) = x.odd)))"
+    )
+    return spread.select("_key", "_s", "_e", *(extra or []), F.explode(cover).alias("_c")).select(
+        "_key", "_s", "_e", *(extra or []), F.col("_c.l").alias("_l"), F.col("_c.b").alias("_b")
     )
-    low, high = _bucket(F.col("_s"), width), _bucket(F.col("_e"), width)
-    return spread.withColumn("_b", F.explode(F.sequence(low, high)))
+
+
+def _stretches(points: DataFrame, cut: DataFrame, width) -> DataFrame:
+    """Points repeated for the levels that the cover has, of which there are ``LEVELS`` at most."""
+    levels = cut.agg(F.collect_set("_l").alias("levels")).scalar()
+    leveled = points.withColumn("_level", F.explode(levels))
+    return leveled.withColumn("_stretch", F.shiftright(_bucket(F.col("_at"), width).cast("long"), F.col("_level")))
 
 
 def flag_in(df: DataFrame, ids: DataFrame, key: str, name: str = "flag") -> DataFrame:

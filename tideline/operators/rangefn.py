@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.model import Grid, micros
+from tideline.operators import slices
 from tideline.operators.quantile import exact_quantile
+from tideline.operators.sliding_quantile import sliding_quantile
 from tideline.operators.slices import SERIES, Family, as_vector, in_reach, windows
 
 COUNT = Family(
@@ -16,30 +18,35 @@ COUNT = Family(
     edge="named_struct('n', 1L)",
     merge="named_struct('n', a.n + b.n)",
     gather="named_struct('n', sum(c.n))",
+    running="named_struct('n', sum(state.n) {w})",
 )
 SUM = Family(
     build="named_struct('n', count(value), 's', sum(value))",
     edge="named_struct('n', 1L, 's', {y})",
     merge="named_struct('n', a.n + b.n, 's', a.s + b.s)",
     gather="named_struct('n', sum(c.n), 's', sum(c.s))",
+    running="named_struct('n', sum(state.n) {w}, 's', sum(state.s) {w})",
 )
 LOW = Family(
     build="named_struct('s', min(value))",
     edge="named_struct('s', {y})",
     merge="named_struct('s', least(a.s, b.s))",
     gather="named_struct('s', min(c.s))",
+    running="named_struct('s', min(state.s) {w})",
 )
 HIGH = Family(  # NaN is the largest value in Spark; it must not win
     build="named_struct('s', max(CASE WHEN NOT isnan(value) THEN value END))",
     edge="named_struct('s', CASE WHEN NOT isnan({y}) THEN {y} END)",
     merge="named_struct('s', greatest(a.s, b.s))",
     gather="named_struct('s', max(c.s))",
+    running="named_struct('s', max(state.s) {w})",
 )
 LAST = Family(
     build="named_struct('x', max(x), 'value', max_by(value, x))",
     edge="named_struct('x', {x}, 'value', {y})",
     merge="b",
     gather="named_struct('x', max(c.x), 'value', max_by(c.value, c.x))",
+    running="named_struct('x', max(state.x) {w}, 'value', max_by(state.value, state.x) {w})",
 )
 _FELL = "before_x >= w0 AND c.first.value < before_value"
 COUNTER = Family(
@@ -65,6 +72,11 @@ COUNTER = Family(
         f" 'lost', sum(c.lost + CASE WHEN {_FELL} THEN before_value ELSE 0D END),"
         f" 'resets', sum(c.resets + CASE WHEN {_FELL} THEN 1L ELSE 0L END))"
     ),
+    running=(
+        "named_struct('n', sum(state.n) {w}, 'first', min(state.first) {w}, 'last', max(state.last) {w}, 'lost', sum(state.lost"
+        " + CASE WHEN later.first.value < earlier.last.value THEN earlier.last.value ELSE 0D END) {w}, 'resets', sum(state.resets"
+        " + CASE WHEN later.first.value < earlier.last.value THEN 1L ELSE 0L END) {w})"
+    ),
 )
 PAIR = Family(
     ordered=True,
@@ -82,6 +94,10 @@ PAIR = Family(
         "'x', max_by(coalesce(c.prev.x, CASE WHEN before_x >= w0 THEN before_x END), c.last.x),"
         " 'value', max_by(CASE WHEN c.prev.x IS NOT NULL THEN c.prev.value WHEN before_x >= w0 THEN before_value END, c.last.x)))"
     ),
+    running=(  # the sample before the last one ends a slice or is second in it
+        "named_struct('last', max(state.last) {w}, 'prev', coalesce(greatest(max(CASE WHEN state.prev.x IS NOT NULL"
+        " THEN state.prev END) {w}, max(earlier.last) {w}), named_struct('x', CAST(NULL AS bigint), 'value', CAST(NULL AS double))))"
+    ),
 )
 REGRESSION = Family(  # means and centred sums, which merge without cancellation
     build=(
@@ -95,6 +111,12 @@ REGRESSION = Family(  # means and centred sums, which merge without cancellation
         " 'sxx', a.sxx + b.sxx + (b.mx - a.mx) * (b.mx - a.mx) * a.n * b.n / (a.n + b.n),"
         " 'sxy', a.sxy + b.sxy + (b.mx - a.mx) * (b.my - a.my) * a.n * b.n / (a.n + b.n))"
     ),
+    running=(  # around a point of the frame itself, so little cancels
+        "named_struct('n', sum(state.n) {w}, 'mx', origin.mx + sum(state.n * _X) {w} / sum(state.n) {w},"
+        " 'my', origin.my + sum(state.n * _Y) {w} / sum(state.n) {w},"
+        " 'sxx', sum(state.sxx + state.n * _X * _X) {w} - sum(state.n * _X) {w} * sum(state.n * _X) {w} / sum(state.n) {w},"
+        " 'sxy', sum(state.sxy + state.n * _X * _Y) {w} - sum(state.n * _X) {w} * sum(state.n * _Y) {w} / sum(state.n) {w})"
+    ).replace("_X", "(state.mx - origin.mx)").replace("_Y", "(state.my - origin.my)"),
 )
 
 
@@ -126,15 +148,19 @@ def over_time(v: DataFrame, how: str, d, grid: Grid, shift=0, q: float | None =
 
 
 def _quantile_over_time(v: DataFrame, q: float, d: int, grid: Grid, off: int) -> DataFrame:
-    # Counts per value merge: samples that lie in the same windows are counted once, and
-    # only these counts are repeated for the windows.
     near = in_reach(v, grid, d, off).select(*SERIES, "x", "value")
     first = F.greatest(F.lit(0), F.ceil((F.col("x") - F.lit(d)) / F.lit(grid.step)))
     last = F.least(F.lit(grid.last), F.call_function("div", F.col("x"), F.lit(grid.step)))
-    slices = near.groupBy(*SERIES, first.alias("first"), last.alias("last"), "value")
-    counts = slices.agg(F.count(F.lit(1)).alias("n"))
-    spread = counts.select(*SERIES, "value", "n", F.explode(F.sequence("first", "last")).alias("j"))
-    out = exact_quantile(spread, [*SERIES, "j"], "value", q, weight="n")
+    if d > slices.SPREAD * grid.step:
+        held = near.select(*SERIES, "value", first.alias("first"), last.alias("final"))
+        out = sliding_quantile(held, q, d // grid.step + 1, grid.last)
+    else:
+        # Counts per value merge: samples that lie in the same windows are counted once, and
+        # only these counts are repeated for the windows.
+        same = near.groupBy(*SERIES, first.alias("first"), last.alias("last"), "value")
+        counts = same.agg(F.count(F.lit(1)).alias("n"))
+        spread = counts.select(*SERIES, "value", "n", F.explode(F.sequence("first", "last")).alias("j"))
+        out = exact_quantile(spread, [*SERIES, "j"], "value", q, weight="n")
     ts = F.timestamp_micros(F.lit(grid.start) + F.col("j") * F.lit(grid.step))
     return as_vector(out.withColumn("ts", ts), "value")
 

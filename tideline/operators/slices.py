@@ -9,8 +9,9 @@ the time axis, meet per series.  They are combined in one of two exact ways:
 
 * a short window (``d / s`` up to ``SPREAD``) repeats each state for the evaluations it
   belongs to and aggregates, which costs nothing for evaluations without samples;
-* a long window doubles: the state of 2k slices is the merge of two states of k
-  slices, so an evaluation costs ``log2`` of its slices in merges instead of ``d / s`` rows.
+* a long window is the end of one block of slices and the beginning of the next, so it is
+  merged from a state that runs backwards and one that runs forwards, at a constant cost per
+  slice however long the window is.
 
 Windows are closed on both ends, so a slice also keeps the sample that lies exactly on
 its right edge, for the window that starts there.
@@ -24,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.model import LABELS, Grid, instant_literal
+from tideline.model import DAY, LABELS, Grid, instant_literal
 
 SERIES = ["metric", "series_id"]
 ORDERED_SLICE = 3_600_000_000
@@ -42,12 +43,16 @@ class Family:
     state ``a`` with a later state ``b``, both non-null; ``gather`` aggregates states
     ``c`` of one window that starts at ``w0``, where an ordered state also has the last
     sample ``before_x``, ``before_value`` of the series' previous slice.  Aggregates are
-    over plain columns, which keeps them in hash aggregation.
+    over plain columns, which keeps them in hash aggregation.  ``running`` is the state of all
+    rows of a frame ``{w}`` that grows from one end of a block (``origin`` is the state there);
+    ``earlier`` and ``later`` are the state and its neighbour in the frame, in order of time,
+    null where there is no neighbour.
     """
 
     build: str
     edge: str
     merge: str
+    running: str
     gather: str | None = None
     ordered: bool = False
 
@@ -62,12 +67,16 @@ def in_reach(v: DataFrame, grid: Grid, d: int, offset: int) -> DataFrame:
     origin = grid.start - d - offset
     low, high = instant_literal(origin), instant_literal(grid.start + grid.last * grid.step - offset)
     near = v.filter(F.col("ts").between(low, high))
-    near = near.selectExpr(*SERIES, "value", f"unix_micros(ts) - {origin} AS x")
+    near = near.selectExpr(*SERIES, *_day(near), "value", f"unix_micros(ts) - {origin} AS x")
     if d < grid.step:
         near = near.filter(f"pmod(x, {grid.step}) <= {d}")
     return near
 
 
+def _day(v: DataFrame) -> list[str]:
+    return ["day"] if "day" in v.columns else []
+
+
 @dataclass(frozen=True)
 class Cuts:
     """Slices of the time axis, by number.
@@ -116,15 +125,19 @@ def windows(v: DataFrame, d: int, grid: Grid, family: Family, offset: int = 0) -
     """``(metric, series_id, ts, state)`` for every evaluation whose window has a sample."""
     cuts = Cuts.of(grid, d, family.ordered)
     length, stride = cuts.length(d), cuts.stride
+    near = in_reach(v, grid, d, offset)
+    # Where days end at cuts, slices lie within days, and samples stored by day are folded in place.
+    whole_days = DAY % grid.step == 0 and (grid.start - d - offset) % grid.step == 0
+    day = _day(near) if whole_days else []
 
-    if not family.ordered and family.gather and d <= DIRECT * grid.step:
-        return _direct(in_reach(v, grid, d, offset), family, d, grid)
+    if not day and not family.ordered and family.gather and d <= DIRECT * grid.step:
+        return _direct(near, family, d, grid)
 
-    cut = in_reach(v, grid, d, offset).selectExpr(*SERIES, "x", "value", f"{cuts.number()} AS k")
+    cut = near.selectExpr(*SERIES, *day, "x", "value", f"{cuts.number()} AS k")
     if family.ordered:
-        within = "OVER (PARTITION BY metric, series_id, k ORDER BY x, value)"
+        within = f"OVER (PARTITION BY {', '.join([*SERIES, *day, 'k'])} ORDER BY x, value)"
         cut = cut.selectExpr("*", f"lag(x) {within} AS prev_x", f"lag(value) {within} AS prev_value")
-    partial = cut.groupBy(*SERIES, "k").agg(
+    partial = cut.groupBy(*SERIES, *day, "k").agg(
         F.expr(f"{family.build} AS state"),
         F.expr(f"max(CASE WHEN x = {cuts.at()} THEN value END) AS edge"),
     )
@@ -134,7 +147,7 @@ def windows(v: DataFrame, d: int, grid: Grid, family: Family, offset: int = 0) -
     )
     if family.gather and d <= SPREAD * grid.step:
         return _spread(partial, family, length, stride, grid)
-    return _doubled(partial, family, length, stride, grid)
+    return _blocks(partial, family, length, stride, grid)
 
 
 def _direct(near: DataFrame, family: Family, d: int, grid: Grid) -> DataFrame:
@@ -186,54 +199,76 @@ def _spread(partial, family, length, stride, grid) -> DataFrame:
     )
 
 
-def _doubled(partial, family, length, stride, grid) -> DataFrame:
-    last = length + grid.last * stride
-    by_series = "OVER (PARTITION BY metric, series_id ORDER BY k)"
-    spread = partial.selectExpr("*", f"lag(k) {by_series} AS before", f"lead(k) {by_series} AS after")
-    # A gap longer than a window starts a new run; shorter gaps get empty slices.
-    starts = f"before IS NULL OR k - before > {length + 1}"
-    until = f"least(coalesce(after - 1, {last}L), k + {length}, {last}L)"
-    spread = spread.selectExpr(
+def _blocks(partial, family, length, stride, grid) -> DataFrame:
+    """Merge each window from two running states.
+
+    The time axis is cut into blocks of one window's length.  A window is the end of one block
+    and the beginning of the next, so its state is the merge of a state that runs backwards
+    through the first and one that runs forwards through the second: two running states per
+    slice and one merge per change of a window, whatever the length.  Slices without samples
+    have no rows, and evaluations whose windows hold the same slices share one state.  Rows are
+    keyed by series and block, so a busy series is spread over its blocks.
+    """
+    states = partial.selectExpr("*", f"(k + {length - 1}) div {length} - 1 AS block")
+    inside = states.filter("k > 0")
+    # Window j holds the slices (j*stride, j*stride + length]; it belongs to the block of its first.
+    tail = _running(inside, family, forward=False).selectExpr(
+        *SERIES, "block", "state", f"coalesce(beyond, block * {length}) AS low", "k - 1 AS high", "1 AS part"
+    )
+    head = _running(inside, family, forward=True).selectExpr(
         *SERIES,
-        "k",
+        "block - 1 AS block",
         "state",
-        "edge",
-        f"sum(CASE WHEN {starts} THEN 1 ELSE 0 END) {by_series} AS run",
-        f"explode(sequence(k, {until})) AS at",
+        f"k - {length} AS low",
+        f"coalesce(beyond, (block + 1) * {length}) - 1 - {length} AS high",
+        "2 AS part",
     )
-    base = [*SERIES, "run", "at"]
-    frame = spread.selectExpr(
-        *base, "CASE WHEN at = k THEN state END AS block", "CASE WHEN at = k THEN edge END AS edge"
+    on_edge = states.filter(f"edge IS NOT NULL AND k % {stride} = 0").selectExpr(
+        *SERIES, f"k div {length} AS block", "edge AS state", "k AS low", "k AS high", "0 AS part"
     )
-
-    # block spans the last `size` slices, acc the last `covered` ones
-    along = "OVER (PARTITION BY metric, series_id, run ORDER BY at)"
-    size, covered = 1, 0
-    while size <= length:
-        kept, needed = ["edge"], []
-        if length & size:
-            if covered == 0:
-                kept.append(_settled("block", "acc"))
-            else:
-                needed.append(f"lag(block, {covered}) {along} AS part")
-                kept.append(_settled(family.joined("part", "acc"), "acc"))
-            covered += size
-        elif covered:
-            kept.append("acc")
-        if size * 2 <= length:
-            needed.append(f"lag(block, {size}) {along} AS older")
-            kept.append(f"{family.joined('older', 'block')} AS block")
-        frame = frame.selectExpr("*", *needed).selectExpr(*base, *kept)
-        size *= 2
-    tick = f"(at - {length})"
-    frame = frame.selectExpr(*base, "acc", f"lag(edge, {length}) {along} AS before_first")
-    frame = frame.filter(f"{tick} >= 0 AND pmod({tick}, {stride}) = 0")
-    done = frame.selectExpr(
+    held = tail.unionByName(head).unionByName(on_edge).selectExpr(
+        *SERIES,
+        "block",
+        "part",
+        f"greatest(low + {stride - 1}, 0L) div {stride} AS first",
+        f"CASE WHEN high < 0 THEN -1L ELSE least(high div {stride}, {grid.last}L) END AS final",
+        "state",
+    )
+    # A state is held from its first evaluation to its last; each end is a place where windows change.
+    ends = "explode(array(named_struct('at', first, 'on', true), named_struct('at', final + 1, 'on', false))) AS e"
+    ends = held.filter("first <= final").selectExpr(*SERIES, "block", "part", "final", "state", ends)
+    by_block = "OVER (PARTITION BY metric, series_id, block ORDER BY at)"
+    parts = [
+        f"last(CASE WHEN on AND part = {n} THEN named_struct('final', final, 'state', state) END, true) {by_block} AS p{n}"
+        for n in range(3)
+    ]
+    changes = ends.selectExpr(*SERIES, "block", "part", "final", "state", "e.at", "e.on")
+    changes = changes.selectExpr(*SERIES, "at", f"lead(at) {by_block} - 1 AS until", *parts).filter("until >= at")
+    valid = [f"CASE WHEN p{n}.final >= at THEN p{n}.state END AS s{n}" for n in range(3)]
+    found = changes.selectExpr(*SERIES, "at", "until", *valid)
+    found = found.selectExpr(*SERIES, "at", "until", "s2", _settled(family.joined("s0", "s1"), "s01"))
+    found = found.selectExpr(*SERIES, "at", "until", _settled(family.joined("s01", "s2"), "state"))
+    each = found.filter("state IS NOT NULL").selectExpr(*SERIES, "state", "explode(sequence(at, until)) AS j")
+    return each.selectExpr(*SERIES, f"timestamp_micros({grid.start} + j * {grid.step}) AS ts", "state")
+
+
+def _running(states: DataFrame, family: Family, forward: bool) -> DataFrame:
+    """State of each block from its beginning to a slice (or, backwards, from its end), and the
+    neighbouring slice ``beyond`` that the state does not cover."""
+    order = f"PARTITION BY metric, series_id, block ORDER BY k {'ASC' if forward else 'DESC'}"
+    earlier, later = ("near", "CASE WHEN near IS NOT NULL THEN state END")[:: 1 if forward else -1]
+    near = states.selectExpr(
         *SERIES,
-        f"timestamp_micros({grid.start} + {tick} div {stride} * {grid.step}) AS ts",
-        _settled(family.joined("before_first", "acc"), "state"),
+        "block",
+        "k",
+        "state",
+        f"lag(state) OVER ({order}) AS near",
+        f"first(state) OVER ({order}) AS origin",
+        f"lead(k) OVER ({order}) AS beyond",
     )
-    return done.filter("state IS NOT NULL")
+    near = near.selectExpr(*SERIES, "block", "k", "state", "origin", "beyond", f"{earlier} AS earlier", f"{later} AS later")
+    so_far = f"OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    return near.selectExpr(*SERIES, "block", "k", "beyond", f"{family.running.format(w=so_far)} AS state")
 
 
 def _settled(value: str, name: str) -> str:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.operators.select import Selector, anchored
+from tideline.shared import stored
 
 
 def tagged_union(tables: dict[str, DataFrame], column: str, keep: list | None = None) -> DataFrame:
@@ -38,16 +39,60 @@ def label_values(v: DataFrame, name: str, selector: Selector | None = None, rege
     return values.orderBy("value")
 
 
+def _in_order(df: DataFrame, by: str | Column) -> DataFrame:
+    """Rows dealt to tasks by ranges of ``by``, with their range ``_range``.
+
+    Rows of equal ``by`` are ordered by a hash of the row (``_tie``), so a value that many rows share
+    is dealt to several ranges too.  The ranges are stored, as they come from a sample.
+    """
+    tied = df.withColumn("_by", by if isinstance(by, Column) else F.col(by)).withColumn("_tie", F.xxhash64(*df.columns))
+    return stored(tied.repartitionByRange("_by", "_tie").withColumn("_range", F.spark_partition_id()), "ranges")
+
+
+def _before(rows: DataFrame, amount: Column, kind: str) -> DataFrame:
+    """``_range, _before``: the total of ``amount`` in all earlier ranges.
+
+    The totals, one per task, are added up in one array and joined back to their ranges.
+    """
+    totals = rows.groupBy("_range").agg(amount.alias("_n"))
+    in_order = totals.agg(F.array_sort(F.collect_list(F.struct("_range", "_n"))).alias("_all"))
+    sums = F.expr(
+        "transform(_all, (x, i) -> named_struct('_at', x._range, '_before',"
+        f" aggregate(slice(_all, 1, i), CAST(0 AS {kind}), (a, y) -> CAST(a + coalesce(y._n, 0) AS {kind}))))"
+    )
+    return in_order.select(F.inline(sums))
+
+
+def _numbered(df: DataFrame, by: str | Column, amount: Column, kind: str, own: Column, name: str) -> DataFrame:
+    rows = _in_order(df, by)
+    placed = rows.join(F.broadcast(_before(rows, amount, kind)), F.col("_range") == F.col("_at"))
+    return placed.withColumn(name, own + F.col("_before")).drop("_by", "_tie", "_range", "_at", "_before")
+
+
+def _within(frame: bool = False):
+    order = Window.partitionBy("_range").orderBy("_by", "_tie")
+    return order.rowsBetween(Window.unboundedPreceding, 0) if frame else order
+
+
+def row_number(df: DataFrame, by: str | Column, name: str) -> DataFrame:
+    """Number of each row in the order of ``by``, from 1, without bringing all rows to one task.
+
+    Rows are counted per range of ``by``; the counts of the ranges before are added to the number
+    inside the range.
+    """
+    return _numbered(df, by, F.count(F.lit(1)), "bigint", F.row_number().over(_within()), name)
+
+
 def neg_row_number(df: DataFrame, by: Column, name: str = "le") -> DataFrame:
-    """Negative row number as text.  The input is already aggregated (one row per day)."""
-    order = Window.orderBy(by)
-    return df.withColumn(name, F.format_string("%d", -F.row_number().over(order)))
+    """Negative row number as text."""
+    return row_number(df, by, name).withColumn(name, F.format_string("%d", -F.col(name)))
 
 
 def running_sum(df: DataFrame, column: str, by: str, name: str | None = None) -> DataFrame:
-    """Cumulative sum over an aggregated frame (one row per day)."""
-    order = Window.orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(name or column, F.sum(column).over(order))
+    """Cumulative sum in the order of ``by``, without bringing all rows to one task; nulls add nothing."""
+    kind = df.select(F.sum(column)).schema[0].dataType.simpleString()
+    own = F.coalesce(F.sum(column).over(_within(frame=True)), F.lit(0))
+    return _numbered(df, by, F.sum(column), kind, own, name or column)
 
 
 def share_of(df: DataFrame, column: str, part: list[str], name: str) -> DataFrame:

@@ -8,7 +8,7 @@ from datetime import date, timedelta
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.model import COLUMNS, SAMPLE_SCHEMA, label_map, labels_of, merge_labels, rekey, vector
+from tideline.model import COLUMNS, SAMPLE_SCHEMA, label_map, labels_of, merge_labels, rekey, sample_day, vector
 from tideline.operators.select import Selector, any_of
 
 
@@ -69,6 +69,26 @@ def write_samples(v: DataFrame, path: str) -> None:
     _laid_out(v).write.mode("append").partitionBy("date").parquet(path)
 
 
+def write_bucketed(v: DataFrame, table: str, path: str, buckets: int) -> None:
+    """Append samples to a table in the folder ``path``, partitioned by date and bucketed by series and day.
+
+    Window functions over ``bucketed_samples`` fold a series' samples of a day where they are stored, without
+    a shuffle of samples.  A busy series lies in another bucket each day.  Each task writes one bucket.
+    """
+    placed = v.select("metric", "labels", "series_id", "ts", "value", F.to_date("ts").alias("date"), sample_day("ts").alias("day"))
+    dealt = placed.repartition(buckets, "series_id", "day")
+    writer = dealt.write.mode("append").partitionBy("date").bucketBy(buckets, "series_id", "day").sortBy("series_id", "ts")
+    writer.option("path", path).saveAsTable(table, format="parquet")
+
+
+def bucketed_samples(spark: SparkSession, table: str, days: tuple[date, date] | None = None) -> DataFrame:
+    """Vector of a bucketed table, with the column ``day`` that its buckets go by; ``days`` prunes."""
+    df = spark.table(table)
+    if days is not None:
+        df = df.filter(F.col("date").between(F.lit(days[0]), F.lit(days[1])))
+    return df.select(*COLUMNS, "day")
+
+
 def recorded_rows(v: DataFrame, name: str) -> DataFrame:
     """A rule result as stored rows: under its name, with its record and day."""
     return _laid_out(v.withColumn("metric", F.lit(name))).withColumn("record", F.lit(name))
