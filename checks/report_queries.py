@@ -871,7 +871,7 @@ def _(t):
 )
 def _(t):
     days = t.orders.select(F.to_date("o_orderdate").alias("date")).distinct()
-    return text_date(U.neg_row_number(days, F.col("date").desc()))
+    return text_date(U.neg_row_number(days, "date"))
 
 
 @query(

@@ -32,6 +32,7 @@ from tideline.operators import rangefn as R
 from tideline.operators import select as P
 from tideline.operators import vector as A
 from tideline.operators.matching import binop, or_default, v_and, v_or, v_or_all, v_unless
+from tideline.plans.evaluate import eval_shared
 from tideline.sources.samples import federate, retain
 
 DAY = 24 * HOUR
@@ -367,9 +368,15 @@ def _(t):
     f" SELECT {T}, round(ok / n, 6) AS value FROM up_ JOIN den USING (j)",
 )
 def _(t):
-    flag = A.compare(_maint(t), "!=", 1, as_bool=True)
-    excused = v_unless(A.compare(_maint(t), "==", 1), A.compare(_up(t), "==", 0), on=["site"])
-    return out(G.availability([_up(t), flag], _up(t), excused, ["site"]))
+    """Both gauges are read several times, from one scan and one window job."""
+
+    def expr(ev):
+        up, maint = ev.at(P.sel("up")), ev.at(P.sel("maint"))
+        flag = A.compare(maint, "!=", 1, as_bool=True)
+        excused = v_unless(A.compare(maint, "==", 1), A.compare(up, "==", 0), on=["site"])
+        return G.availability([up, flag], up, excused, ["site"])
+
+    return out(eval_shared(expr, t.up.unionByName(t.maint), HOURLY, "1h"))
 
 
 SEASON = (

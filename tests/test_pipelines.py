@@ -69,6 +69,13 @@ def test_target_stream_replaces_the_snapshot(spark, folder):
     assert "other" in tick() and "new" not in tick()  # rewritten in place
     (folder / "t" / "a.json").unlink()
     assert tick(checkpoint="ck2") == ["other"]  # deleted; a new checkpoint reads on
+    # a later version whose writer was lost before it was marked is not seen
+    lost = spark.createDataFrame([({"__address__": "part"},)], "labels map<string,string>")
+    lost.write.parquet(f"{folder}/now/targets/version={2**60}")
+    assert [dict(r.labels)["__address__"] for r in TG.current_targets(spark, f"{folder}/now").collect()] == ["other"]
+    TG.mark_version(spark, f"{folder}/now", 2**60)
+    assert [dict(r.labels)["__address__"] for r in TG.current_targets(spark, f"{folder}/now").collect()] == ["part"]
+    (folder / "t" / "b.json").write_text("[]")
 
 
 def test_probe_pipeline(spark, folder):
@@ -323,6 +330,9 @@ def test_plans(spark):
     assert "LeftAnti" in plan_of(queries["j11_zero_fill"](spark, small))
     assert "CartesianProduct" not in plan_of(queries["j12_interval_touch_pairs"](spark, small))
     assert "WindowGroupLimit" in plan_of(queries["g8_topk"](spark, small))
+    available = plan_of(queries["g13_availability"](spark, small))
+    assert "events.parquet" not in available and "instants-" in available  # the events were scanned once, before
+    assert "SinglePartition" not in plan_of(queries["w1_negative_row_number"](spark, small)).split("BroadcastExchange")[0]
     pruned = plan_of(queries["s8_nested_scan"](spark, small))
     assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint>" in pruned
     assert QUERIES
@@ -334,3 +344,53 @@ def test_scan_prunes_partitions(spark, folder):
     df = scan(spark, f"{folder}/t", date(2024, 1, 3), date(2024, 1, 4))
     assert "PartitionFilters: [isnotnull(date" in plan_of(df)
     assert df.count() == 2
+
+
+def test_long_polls_have_few_stretches(spark):
+    """A year of ten-minute buckets is covered by two stretches per level at most, each bucket once."""
+    polls = spark.createDataFrame(
+        [("n", at(0), at(365 * 1440), "year"), ("n", at(3), at(4), "short"), ("n", at(-500), at(777), "before")],
+        "node string, tstart timestamp, tend timestamp, poll_id string",
+    )
+    cover = J._covered(polls, "10m", "node", ["poll_id"]).collect()
+    assert max(sum(r.poll_id == name for r in cover) for name in ("year", "short", "before")) < 60
+    for row in polls.collect():
+        held = [b for r in cover if r.poll_id == row.poll_id for b in range(r._b << r._l, (r._b + 1) << r._l)]
+        low, high = (micros(row[c]) // micros("10m") for c in ("tstart", "tend"))
+        assert sorted(held) == list(range(low, high + 1))
+
+
+def test_touch_of_polls_of_any_length(spark):
+    import random
+
+    rng = random.Random(6)
+    spans = [0, 1, 7, 60, 1440, 20_000]
+    tests, polls = ([(i, rng.choice("abc"), s := at(rng.randint(0, 30_000)), s + timedelta(minutes=rng.choice(spans))) for i in range(n)] for n in (400, 60))
+    left = spark.createDataFrame([*tests, *tests[:20], (900, None, at(1), at(2)), (901, "a", None, None)], "id int, node string, tstart timestamp, tend timestamp")
+    right = spark.createDataFrame(polls, "poll_id int, node string, tstart timestamp, tend timestamp")
+    pairs = {(i, p) for i, n, s, e in tests for p, m, lo, hi in polls if n == m and (lo <= s <= hi or lo <= e <= hi)}
+    got = J.interval_touch_join(left, right, "10m").select("id", "poll_id").collect()
+    assert {tuple(r) for r in got} == pairs and len(got) == len(pairs) + sum(i < 20 for i, _ in pairs)
+    kept = sorted(r.id for r in J.interval_touch_semi(left, right, "10m").collect())
+    assert kept == sorted([i for i, *_ in tests if i in {x for x, _ in pairs}] + [i for i in range(20) if i in {x for x, _ in pairs}])
+
+
+def test_running_results_over_many_tasks(spark):
+    from itertools import accumulate
+
+    from tideline.operators import tables as U
+
+    rows = [(i % 37 if i % 5 else 20, i, None if i % 11 == 0 else i * 0.5) for i in range(500)]  # a fifth shares one key
+    df = spark.createDataFrame(rows, "by int, id int, x double").repartition(7)
+    numbered = U.row_number(df, "by", "n", descending=True).collect()
+    assert sorted(r.n for r in numbered) == list(range(1, 501))
+    assert [r.by for r in sorted(numbered, key=lambda r: r.n)] == sorted((r[0] for r in rows), reverse=True)
+    total = U.running_sum(df, "x", "by", "upto").collect()
+    last = {}
+    for by, _, x in sorted(rows, key=lambda r: r[0]):
+        last[by] = last.get(by, 0) + (x or 0)
+    ends = dict(zip(sorted(last), accumulate(last[k] for k in sorted(last)), strict=True))
+    assert all(max(r.upto for r in total if r.by == k) == ends[k] for k in ends)
+    assert U.running_sum(df.limit(0), "x", "by").count() == 0
+    plan = plan_of(U.row_number(df, "by", "n"))
+    assert "Window" in plan and "SinglePartition" not in plan.split("Window")[1].split("BroadcastExchange")[0]

@@ -120,7 +120,8 @@ def _stretches(points: DataFrame, cut: DataFrame, width) -> DataFrame:
     """Points repeated for the levels that the cover has, of which there are ``LEVELS`` at most."""
     levels = cut.agg(F.collect_set("_l").alias("levels")).scalar()
     leveled = points.withColumn("_level", F.explode(levels))
-    return leveled.withColumn("_stretch", F.shiftright(_bucket(F.col("_at"), width).cast("long"), F.col("_level")))
+    numbered = leveled.withColumn("_stretch", _bucket(F.col("_at"), width).cast("long"))
+    return numbered.withColumn("_stretch", F.expr("shiftright(_stretch, _level)"))
 
 
 def flag_in(df: DataFrame, ids: DataFrame, key: str, name: str = "flag") -> DataFrame:

@@ -39,14 +39,15 @@ def label_values(v: DataFrame, name: str, selector: Selector | None = None, rege
     return values.orderBy("value")
 
 
-def _in_order(df: DataFrame, by: str | Column) -> DataFrame:
+def _in_order(df: DataFrame, by: str, descending: bool) -> DataFrame:
     """Rows dealt to tasks by ranges of ``by``, with their range ``_range``.
 
     Rows of equal ``by`` are ordered by a hash of the row (``_tie``), so a value that many rows share
     is dealt to several ranges too.  The ranges are stored, as they come from a sample.
     """
-    tied = df.withColumn("_by", by if isinstance(by, Column) else F.col(by)).withColumn("_tie", F.xxhash64(*df.columns))
-    return stored(tied.repartitionByRange("_by", "_tie").withColumn("_range", F.spark_partition_id()), "ranges")
+    tied = df.withColumn("_tie", F.xxhash64(*df.columns))
+    dealt = tied.repartitionByRange(F.desc(by) if descending else F.asc(by), "_tie")
+    return stored(dealt.withColumn("_range", F.spark_partition_id()), "ranges")
 
 
 def _before(rows: DataFrame, amount: Column, kind: str) -> DataFrame:
@@ -63,36 +64,32 @@ def _before(rows: DataFrame, amount: Column, kind: str) -> DataFrame:
     return in_order.select(F.inline(sums))
 
 
-def _numbered(df: DataFrame, by: str | Column, amount: Column, kind: str, own: Column, name: str) -> DataFrame:
-    rows = _in_order(df, by)
+def _numbered(rows: DataFrame, amount: Column, kind: str, own: Column, name: str) -> DataFrame:
     placed = rows.join(F.broadcast(_before(rows, amount, kind)), F.col("_range") == F.col("_at"))
-    return placed.withColumn(name, own + F.col("_before")).drop("_by", "_tie", "_range", "_at", "_before")
+    return placed.withColumn(name, own + F.col("_before")).drop("_tie", "_range", "_at", "_before")
 
 
-def _within(frame: bool = False):
-    order = Window.partitionBy("_range").orderBy("_by", "_tie")
-    return order.rowsBetween(Window.unboundedPreceding, 0) if frame else order
-
-
-def row_number(df: DataFrame, by: str | Column, name: str) -> DataFrame:
+def row_number(df: DataFrame, by: str, name: str, descending: bool = False) -> DataFrame:
     """Number of each row in the order of ``by``, from 1, without bringing all rows to one task.
 
     Rows are counted per range of ``by``; the counts of the ranges before are added to the number
     inside the range.
     """
-    return _numbered(df, by, F.count(F.lit(1)), "bigint", F.row_number().over(_within()), name)
+    order = Window.partitionBy("_range").orderBy(F.desc(by) if descending else F.asc(by), "_tie")
+    return _numbered(_in_order(df, by, descending), F.count(F.lit(1)), "bigint", F.row_number().over(order), name)
 
 
-def neg_row_number(df: DataFrame, by: Column, name: str = "le") -> DataFrame:
-    """Negative row number as text."""
-    return row_number(df, by, name).withColumn(name, F.format_string("%d", -F.col(name)))
+def neg_row_number(df: DataFrame, by: str, name: str = "le", descending: bool = True) -> DataFrame:
+    """Negative row number as text, from the largest ``by`` on."""
+    return row_number(df, by, name, descending).withColumn(name, F.format_string("%d", -F.col(name)))
 
 
 def running_sum(df: DataFrame, column: str, by: str, name: str | None = None) -> DataFrame:
     """Cumulative sum in the order of ``by``, without bringing all rows to one task; nulls add nothing."""
     kind = df.select(F.sum(column)).schema[0].dataType.simpleString()
-    own = F.coalesce(F.sum(column).over(_within(frame=True)), F.lit(0))
-    return _numbered(df, by, F.sum(column), kind, own, name or column)
+    order = Window.partitionBy("_range").orderBy(by, "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    own = F.coalesce(F.sum(column).over(order), F.lit(0))
+    return _numbered(_in_order(df, by, False), F.sum(column), kind, own, name or column)
 
 
 def share_of(df: DataFrame, column: str, part: list[str], name: str) -> DataFrame:

@@ -124,6 +124,14 @@ class SharedEvaluator(Evaluator):
 Expression = Callable[[Evaluator], DataFrame]
 
 
+def eval_shared(expr: Expression, samples: DataFrame, grid: Grid, lookback="5m") -> DataFrame:
+    """One expression that reads several selections, or one of them several times, over one scan."""
+    ev = SharedEvaluator(samples, grid, lookback)
+    expr(ev)
+    ev.settle()
+    return expr(ev)
+
+
 @dataclass(frozen=True)
 class RecordingRule:
     name: str

@@ -158,7 +158,7 @@ def cumulative_tests(first: DataFrame, second: DataFrame, asof: datetime) -> Dat
 
     both = daily(first, "a").join(daily(second, "b"), "date")
     counts = both.select("date", (F.col("a") + F.col("b")).alias("n"))
-    numbered = neg_row_number(counts, F.col("date").desc())
+    numbered = neg_row_number(counts, "date")
     return running_sum(numbered, "n", "date", "value_count").select("le", "value_count")
 
 

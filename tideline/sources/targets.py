@@ -37,16 +37,15 @@ def read_targets(spark: SparkSession, glob: str, extra: dict[str, str] | None =
 def stream_targets(spark: SparkSession, directory: str, out: str, checkpoint: str, every="5m"):
     """Re-read the whole directory at every tick, as a new version of the targets.
 
-    Files that were rewritten, added or deleted show at the next tick.  A version is one file that
-    appears at once, so readers of ``current_targets`` see the version before or the new one,
-    never a part; a mark without labels lets a version be empty.
+    Files that were rewritten, added or deleted show at the next tick.  A version is written in
+    parallel to a folder of its own; then one row marks it as whole.  Readers of ``current_targets``
+    see marked versions only, so never a part of one.
     """
 
     def refresh(_batch: DataFrame, _epoch: int) -> None:
-        mark = spark.createDataFrame([(None,)], "labels map<string,string>")
-        rows = read_targets(spark, f"{directory}/*.json").unionByName(mark)
         version = time.time_ns() // 1000
-        rows.withColumn("version", F.lit(version)).coalesce(1).write.mode("append").parquet(out)
+        read_targets(spark, f"{directory}/*.json").write.parquet(f"{out}/targets/version={version}")
+        mark_version(spark, out, version)
 
     ticks = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
     seconds = micros(every) // 1_000_000
@@ -57,11 +56,14 @@ def stream_targets(spark: SparkSession, directory: str, out: str, checkpoint: st
     )
 
 
+def mark_version(spark: SparkSession, out: str, version: int) -> None:
+    spark.range(version, version + 1, 1, 1).toDF("version").write.mode("append").parquet(f"{out}/versions")
+
+
 def current_targets(spark: SparkSession, out: str) -> DataFrame:
-    """Targets of the newest version."""
-    versions = spark.read.schema("labels map<string,string>, version long").parquet(out)
-    newest = versions.agg(F.max("version")).first()[0]
-    return versions.filter((F.col("version") == newest) & F.col("labels").isNotNull()).select("labels")
+    """Targets of the newest version that is whole."""
+    newest = spark.read.schema("version long").parquet(f"{out}/versions").agg(F.max("version")).first()[0]
+    return spark.read.schema("labels map<string,string>").parquet(f"{out}/targets/version={newest}")
 
 
 def static_targets(spark: SparkSession, addresses: list[str], labels: dict[str, str]) -> DataFrame:

@@ -89,9 +89,11 @@ class HoldProcessor(StatefulProcessor):
 def stream_alerts(active: DataFrame, hold, step, lateness: str = "0 seconds") -> DataFrame:
     """Events of a stream of active evaluations ``(alert, series_id, ts)``.
 
-    ``lateness`` is how long rows are waited for.  Needs the RocksDB state store.
+    ``lateness`` is how long rows are waited for; rows that come from a stream with a watermark of
+    its own, as evaluations of ``streaming.instants``, keep that.  Needs the RocksDB state store.
     """
-    rows = active.withWatermark("ts", lateness).select(
+    marked = "spark.watermarkDelayMs" in active.schema["ts"].metadata
+    rows = (active if marked else active.withWatermark("ts", lateness)).select(
         "alert", "series_id", "ts", F.unix_millis("ts").alias("at_ms")
     )
     events = rows.groupBy("alert", "series_id").transformWithStateInPandas(

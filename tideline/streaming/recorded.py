@@ -1,46 +1,164 @@
 """Streaming recording rule: windowed increase summed by labels.
 
-Samples are folded to one state per series and step first, so a window merges
-``d / step`` states and never holds the samples themselves.
+A series keeps one state per closed slice of a window, whatever the number of steps in it.  Slices
+are cut into blocks of one window's length: when a block is full, its states are replaced by states
+that run from a slice to the end of the block, and the new block has one state that runs from its
+beginning.  A window is the merge of one of each, so a step costs the same however long the window is.
 """
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+from typing import NamedTuple
+
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tideline.model import label_key, label_map, micros
 
-POINT = "struct<x:bigint,value:double>"
-STATE = f"struct<n:bigint,first:{POINT},last:{POINT},lost:double>"
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+WINDOW = "n long, fx long, fv double, lx long, lv double, lost double"
+RESULT = f"series_id string, window_at timestamp, t long, {WINDOW}"
 
-def _fold(points: str) -> str:
-    """Slice state of an array of ``(x, value)`` in time order."""
-    return (
-        f"aggregate({points}, CAST(NULL AS {STATE}), (s, p) -> IF(s IS NULL,"
-        " named_struct('n', 1L, 'first', p, 'last', p, 'lost', 0D),"
-        " named_struct('n', s.n + 1L, 'first', s.first, 'last', p,"
-        " 'lost', s.lost + IF(p.value < s.last.value, s.last.value, 0D))))"
-    )
+
+class Growth(NamedTuple):
+    """Samples in time order: their number, the first, the last, and what resets took away."""
+
+    n: int
+    fx: int
+    fv: float
+    lx: int
+    lv: float
+    lost: float
+
+    @classmethod
+    def of(cls, points: list[tuple[int, float]]) -> Growth:
+        fallen = sum((a for (_, a), (_, b) in zip(points, points[1:], strict=False) if b < a), 0.0)
+        return cls(len(points), *points[0], *points[-1], fallen)
 
 
-def _merge(slices: str, left: str) -> str:
-    """Window state of slices in time order.
+def merged(a: Growth | None, b: Growth | None) -> Growth | None:
+    """An earlier and a later state as one."""
+    if a is None or b is None:
+        return b if a is None else a
+    return Growth(a.n + b.n, a.fx, a.fv, b.lx, b.lv, a.lost + b.lost + (a.lv if b.fv < a.lv else 0.0))
 
-    The window is closed on its left, so of the slice that ends there only the sample on
-    the edge counts.
+
+class WindowProcessor(StatefulProcessor):
+    """States of the closed windows of one series, ``length`` slices of ``width`` microseconds each.
+
+    Slice ``k`` ends at ``k * width`` and holds that instant; windows also hold the one on their left
+    edge.  State: samples of open slices; a row per closed slice that a coming window can touch,
+    with its own sample on the edge and the next slice in its block; the last tick, the running
+    state of the present block, the slice at which the tail begins, and the number of rows.
     """
-    part = (
-        f"IF(p.at = {left}, IF(p.state.last.x = {left}, named_struct('n', 1L, 'first', p.state.last,"
-        " 'last', p.state.last, 'lost', 0D), NULL), p.state)"
-    )
-    return (
-        f"aggregate(transform({slices}, p -> {part}), CAST(NULL AS {STATE}), (a, b) -> "
-        "CASE WHEN a IS NULL THEN b WHEN b IS NULL THEN a ELSE named_struct('n', a.n + b.n,"
-        " 'first', a.first, 'last', b.last, 'lost', a.lost + b.lost"
-        " + IF(b.first.value < a.last.value, a.last.value, 0D)) END)"
-    )
+
+    def __init__(self, width: int, length: int):
+        self.width, self.length = width, length
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "x long, value double")
+        self.slices = handle.getMapState("slices", "k long", f"{WINDOW}, edged boolean, edge double, after long")
+        self.run = handle.getValueState("run", f"tick long, tail long, rows long, {WINDOW}")
+
+    def _end(self, x: int) -> int:
+        return -(-x // self.width)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for frame in rows:
+            points = list(zip(frame["x"].tolist(), frame["value"].tolist(), strict=True))
+            self.waiting.appendList(points)
+            first = min([x for x, _ in points] + ([] if first is None else [first]))
+        if first is not None:
+            self.handle.registerTimer(self._end(first) * self.width // 1000)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        final = timerValues.getCurrentWatermarkInMs() * 1000 // self.width
+        tick, tail, rows, head = None, -1, 0, None
+        if self.run.exists():
+            tick, tail, rows, *state = self.run.get()
+            head = Growth(*state) if state[0] else None
+        if tick is not None and tick >= final:
+            return
+        due: dict[int, list] = {}
+        open_ = []
+        for x, value in self.waiting.get():
+            if self._end(x) <= final:
+                due.setdefault(self._end(x), []).append((x, value))
+            else:
+                open_.append((x, value))
+        starts, found = sorted(due), []
+        tick = starts[0] - 1 if tick is None and starts else tick
+        while tick is not None and tick < final:
+            if not rows and head is None:  # nothing in reach: go on where samples are
+                starts = [k for k in starts if k > tick]
+                if not starts:
+                    break
+                tick = starts[0] - 1
+            tick += 1
+            if (tick - 1) % self.length == 0:
+                tail, head = self._close_block(tick), None
+            if tick in due:
+                points = sorted(due[tick])
+                own = Growth.of(points)
+                edged = points[-1][0] == tick * self.width
+                self.slices.updateValue((tick,), (*own, edged, points[-1][1] if edged else 0.0, -1))
+                head, rows = merged(head, own), rows + 1
+            gone = tick - self.length
+            while tail != -1 and tail <= gone:
+                tail = self.slices.getValue((tail,))[8]
+            window = merged(Growth(*self.slices.getValue((tail,))[:6]) if tail != -1 else None, head)
+            if rows and self.slices.containsKey((gone,)):
+                *_, edged, edge, _ = self.slices.getValue((gone,))
+                if edged:
+                    at = gone * self.width
+                    window = merged(Growth(1, at, edge, at, edge, 0.0), window)
+                self.slices.removeKey((gone,))
+                rows -= 1
+            if window is not None and window.n > 1:
+                found.append((*key, tick * self.width, *window))
+            if not rows:
+                head = None
+        if len(open_) + len(due):
+            if open_:
+                self.waiting.put(open_)
+            else:
+                self.waiting.clear()
+        if rows:
+            self.run.update((tick, tail, rows, *(head or Growth(0, 0, 0.0, 0, 0.0, 0.0))))
+            self.handle.registerTimer((final + 1) * self.width // 1000)
+        else:
+            self.run.clear()
+            if open_:
+                self.handle.registerTimer(self._end(min(open_)[0]) * self.width // 1000)
+        if found:
+            out = pd.DataFrame(found, columns=["series_id", "t", "n", "fx", "fv", "lx", "lv", "lost"])
+            # event-time windows are half open on the right
+            yield out.assign(window_at=pd.to_datetime(out["t"] - 1, unit="us"))[
+                ["series_id", "window_at", "t", "n", "fx", "fv", "lx", "lv", "lost"]
+            ]
+
+    def _close_block(self, tick: int) -> int:
+        """Turn the states of the block before ``tick`` into states to its end; the first slice of them."""
+        closed = sorted(((k[0], Growth(*row[:6]), row[6:]) for k, row in self.slices.iterator()), reverse=True)
+        so_far, after = None, -1
+        for k, state, (edged, edge, _) in closed:
+            if k > tick - 1 - self.length:
+                so_far = merged(state, so_far)
+                self.slices.updateValue((k,), (*so_far, edged, edge, after))
+                after = k
+        return after
+
+    def close(self) -> None:
+        pass
 
 
 def stream_recorded(
@@ -49,47 +167,27 @@ def stream_recorded(
     """``sum by(labels) (increase(samples[d]))`` at every step, as ``(labels…, ts, value)``.
 
     A step is emitted when the watermark (``lateness`` behind the newest sample) passes
-    its end; ``d`` must be a multiple of ``step``.
+    its end; ``d`` must be a multiple of ``step``.  Needs the RocksDB state store.
     """
     width, size = micros(step), micros(d)
     if size % width:
         raise ValueError("the window must be a multiple of the step")
     # Event-time windows are half open on the right; one microsecond less closes them there.
-    rows = samples.select(
-        "series_id",
-        F.struct(F.unix_micros("ts").alias("x"), "value").alias("p"),
-        F.timestamp_micros(F.unix_micros("ts") - 1).alias("at"),
-    ).withWatermark("at", lateness)
-    slices = rows.groupBy(F.window("at", f"{width} microseconds").alias("w"), "series_id").agg(
-        F.array_sort(F.collect_list("p")).alias("points")
+    if width % 1000:
+        raise ValueError("the step must be whole milliseconds")
+    rows = samples.withWatermark("ts", lateness).select("series_id", "ts", F.unix_micros("ts").alias("x"), "value")
+    found = rows.groupBy("series_id").transformWithStateInPandas(
+        WindowProcessor(width, size // width), RESULT, "Append", "eventTime", eventTimeColumnName="window_at"
     )
-    partial = slices.select(
-        "series_id",
-        F.window_time("w").alias("slice_at"),
-        F.struct(
-            F.unix_micros("w.end").alias("at"), F.expr(_fold("points")).alias("state")
-        ).alias("s"),
-    )
-    span = f"{size + width} microseconds"
-    spread = partial.groupBy(
-        F.window("slice_at", span, f"{width} microseconds").alias("w"), "series_id"
-    ).agg(F.array_sort(F.collect_list("s")).alias("slices"))
-    left = f"(unix_micros(w.end) - {size})"
-    found = spread.select(
-        "series_id",
-        F.window_time("w").alias("window_at"),
-        F.unix_micros("w.end").alias("t"),
-        F.expr(_merge("slices", left)).alias("s"),
-    ).filter("s.n > 1")
     parts = found.selectExpr(
         "series_id",
         "window_at",
-        "s.last.value - s.first.value + s.lost AS grown",
-        "s.first.value AS first",
-        "(s.last.x - s.first.x) / 1e6D AS covered",
-        "(s.last.x - s.first.x) / 1e6D / (s.n - 1) AS gap",
-        f"(s.first.x - (t - {size})) / 1e6D AS to_start",
-        "(t - s.last.x) / 1e6D AS to_end",
+        "lv - fv + lost AS grown",
+        "fv AS first",
+        "(lx - fx) / 1e6D AS covered",
+        "(lx - fx) / 1e6D / (n - 1) AS gap",
+        f"(fx - (t - {size})) / 1e6D AS to_start",
+        "(t - lx) / 1e6D AS to_end",
     )
     near = "CASE WHEN {0} >= gap * 1.1D THEN gap / 2 ELSE {0} END"
     start, end = near.format("to_start"), near.format("to_end")
