@@ -178,11 +178,11 @@ QUARTER = Grid.of(datetime(2024, 1, 1), datetime(2024, 1, 31), "15m")
     "r10_quantile_over_day",
     f"WITH {COUNTER}, w AS (SELECT *, unnest(generate_series(greatest(0, CAST(ceil((us - {QUARTER.start}) / {QUARTER.step}) AS BIGINT)),"
     f" least({QUARTER.last}, CAST(floor((us + {DAY} - {QUARTER.start}) / {QUARTER.step}) AS BIGINT)))) AS j FROM s)"
-    f" SELECT type, CAST(({QUARTER.start} + j * {QUARTER.step}) // 1000000 AS BIGINT) AS t, round(quantile_cont(value, 0.9), 6) AS value FROM w GROUP BY type, j",
+    f" SELECT type, CAST(({QUARTER.start} + j * {QUARTER.step}) // 1000000 AS BIGINT) AS t, round(quantile_cont(value, 0.9), 8) AS value FROM w GROUP BY type, j",
 )
 def _(t):
     """A day's window every 15 minutes, whose samples are not repeated for each."""
-    return out(R.over_time(t.counter, "quantile", "1d", QUARTER, q=0.9), "type")
+    return out(R.over_time(t.counter, "quantile", "1d", QUARTER, q=0.9), "type", digits=8)
 
 
 # the whole table like HOURLY, by steps that divide neither an hour nor a day
@@ -211,9 +211,9 @@ for _name, _grid in (("61s", ODD), ("7m", SEVEN)):
     query(
         f"r15_increase_step_{_name}",
         f"WITH {COUNTER}, {_on(_grid, 's', DAY)}, c AS (SELECT type, j, us, value, lag(value) OVER (PARTITION BY type, j ORDER BY us) AS pv FROM w)"
-        f" SELECT type, {_tick(_grid)}, round(arg_max(value, us) - arg_min(value, us) + sum(CASE WHEN value < pv THEN pv ELSE 0 END), 4) AS value"
+        f" SELECT type, {_tick(_grid)}, round(arg_max(value, us) - arg_min(value, us) + sum(CASE WHEN value < pv THEN pv ELSE 0 END), 6) AS value"
         " FROM c GROUP BY type, j HAVING count(*) > 1",
-    )(lambda t, g=_grid: out(R.increase(t.counter, "1d", g, mode="raw"), "type", digits=4))
+    )(lambda t, g=_grid: out(R.increase(t.counter, "1d", g, mode="raw"), "type"))
 
 
 @query(

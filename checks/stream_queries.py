@@ -28,7 +28,8 @@ class StreamTables(Tables):
         if name.startswith("_"):
             raise AttributeError(name)
         path = f"{self.dir}/{name}.parquet"
-        return self.spark.readStream.schema(self.spark.read.parquet(path).schema).parquet(path)
+        # A table may be one file.  Streams read folders or patterns, so it is named by a pattern.
+        return self.spark.readStream.schema(self.spark.read.parquet(path).schema).parquet(f"{path[:-1]}[t]")
 
 
 def replay(t: Tables, make: Callable[[StreamTables], DataFrame]) -> DataFrame:
@@ -53,14 +54,14 @@ def _(t):
     )
 
 
-PASSED = "p AS (SELECT CAST(floor(max(us) / 1000) * 1000 AS BIGINT) AS wm FROM s)"
+PASSED = "passed AS (SELECT CAST(floor(max(us) / 1000) * 1000 AS BIGINT) AS wm FROM s)"
 T = f"CAST({LO // 1_000_000} + j * 3600 AS BIGINT) AS t"
 
 
 @query(
     "s2_stream_instants",
     f"WITH {instant_cte(GAUGE, 'type, usr', 2 * HOUR)}, {PASSED}"
-    f" SELECT type, usr, {T}, round(value, 6) AS value FROM i, p WHERE {LO} + j * {HOUR} <= wm",
+    f" SELECT type, usr, {T}, round(value, 6) AS value FROM i, passed WHERE {LO} + j * {HOUR} <= wm",
 )
 def _(t):
     """Latest samples within two hours, hourly, from one state per series."""
@@ -71,7 +72,7 @@ def _(t):
 @query(
     "x14_stream_recorded",
     f"WITH {COUNTER}, {counter_cte('type', 24 * HOUR, step=HOUR // 4)}, {PASSED}"
-    f" SELECT type, CAST(({LO} + j * {HOUR // 4}) // 1000000 AS BIGINT) AS t, round(value, 4) AS value FROM x, p"
+    f" SELECT type, CAST(({LO} + j * {HOUR // 4}) // 1000000 AS BIGINT) AS t, round(value, 4) AS value FROM x, passed"
     f" WHERE {LO} + j * {HOUR // 4} <= wm",
 )
 def _(t):
@@ -85,15 +86,15 @@ EVENTS = (
     " runs AS (SELECT {keys}, min(j) AS since, max(j) AS last FROM r GROUP BY {keys}, run),"
     " ev AS (SELECT {keys}, 'pending' AS event, since AS j FROM runs"
     " UNION ALL SELECT {keys}, 'firing', since + {hold} FROM runs WHERE last >= since + {hold}"
-    f" UNION ALL SELECT {{keys}}, 'resolved', last + 1 FROM runs, p WHERE last >= since + {{hold}} AND {LO} + (last + 1) * {HOUR} < wm)"
+    f" UNION ALL SELECT {{keys}}, 'resolved', last + 1 FROM runs, passed WHERE last >= since + {{hold}} AND {LO} + (last + 1) * {HOUR} < wm)"
 )
 
 
 @query(
     "x3_stream_gauge_alerts",
     f"WITH {instant_cte(GAUGE, 'type, usr', 2 * HOUR)}, {PASSED},"
-    f" act AS (SELECT 'Low' AS alert, type, usr, j FROM i, p WHERE value < 30 AND {LO} + j * {HOUR} <= wm"
-    f" UNION ALL SELECT 'Odd', type, usr, j FROM i, p WHERE type = 'click' AND value > 10 AND {LO} + j * {HOUR} <= wm),"
+    f" act AS (SELECT 'Low' AS alert, type, usr, j FROM i, passed WHERE value < 30 AND {LO} + j * {HOUR} <= wm"
+    f" UNION ALL SELECT 'Odd', type, usr, j FROM i, passed WHERE type = 'click' AND value > 10 AND {LO} + j * {HOUR} <= wm),"
     f"{EVENTS.format(keys='alert, type, usr', hold=1)} SELECT alert, type, usr, event, {T} FROM ev",
 )
 def _(t):
@@ -113,7 +114,7 @@ def _(t):
     f"WITH {GAUGE}, g AS (SELECT unnest(generate_series(0, {HOURLY.last})) AS j), {PASSED.replace('max(us)', '(max(us) - 1)')},"
     f" seen AS (SELECT DISTINCT unnest(generate_series(greatest(0, CAST(ceil((us - {LO}) / {HOUR}) AS BIGINT)),"
     f" least({HOURLY.last}, CAST(floor((us + {HOUR} - {LO}) / {HOUR}) AS BIGINT)))) AS j FROM s WHERE usr = '7'),"
-    f" act AS (SELECT 'Silent' AS alert, j FROM g, p WHERE {LO} + j * {HOUR} <= wm AND j NOT IN (SELECT j FROM seen)),"
+    f" act AS (SELECT 'Silent' AS alert, j FROM g, passed WHERE {LO} + j * {HOUR} <= wm AND j NOT IN (SELECT j FROM seen)),"
     f"{EVENTS.format(keys='alert', hold=2)} SELECT alert, event, {T} FROM ev",
 )
 def _(t):

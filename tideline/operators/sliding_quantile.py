@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions.floats import INF
 from tideline.operators.slices import SERIES
+from tideline.shared import stored
 
 #: Cuts between ranges, and the accuracy of the sketch they come from.
 CUTS, ACCURACY = 15, 1000
@@ -38,13 +39,13 @@ def sliding_quantile(near: DataFrame, q: float, length: int, last: int) -> DataF
     if q < 0 or q > 1 or math.isnan(q):
         held = _stretched(rows.select(*SERIES, F.lit(0).alias("range"), "value", "first", "final"), length)
         edge = F.lit(q if math.isnan(q) else math.copysign(INF, q))
-        return _unfolded(_changes(held).filter("n0 > 0")).select(*SERIES, "j", edge.alias("value"))
+        return _unfolded(_changes(held).filter(f"n{RANGES - 1} > 0")).select(*SERIES, "j", edge.alias("value"))
 
-    ranged = _ranged(rows)
+    ranged = stored(_ranged(rows), "ranged")
     counts = _changes(_stretched(ranged, length))
-    total = reduce(Column.__add__, [F.col(f"n{i}") for i in range(RANGES)])
+    total = F.col(f"n{RANGES - 1}")
     rank = F.lit(q) * (total - 1)
-    placed = counts.withColumn("total", total).filter("total > 0").select(
+    placed = counts.filter(total > 0).select(
         *SERIES,
         "stretch",
         "at",
@@ -85,11 +86,11 @@ def _stretched(rows: DataFrame, length: int) -> DataFrame:
 
 
 def _changes(held: DataFrame) -> DataFrame:
-    """Counts per range ``n0 …`` between two changes ``at`` and ``until``, per series and stretch."""
+    """Counts ``n0 …`` of values up to each range, between two changes ``at`` and ``until``, per series and stretch."""
     columns = held.filter("first <= final").selectExpr(
         *SERIES, "stretch", "range", "explode(array(named_struct('at', first, 'd', 1L), named_struct('at', final + 1, 'd', -1L))) AS e"
     )
-    by_range = [f"sum(CASE WHEN range = {i} THEN e.d ELSE 0L END) AS d{i}" for i in range(RANGES)]
+    by_range = [f"sum(CASE WHEN range <= {i} THEN e.d ELSE 0L END) AS d{i}" for i in range(RANGES)]
     changes = columns.groupBy(*SERIES, "stretch", F.col("e.at").alias("at")).agg(*map(F.expr, by_range))
     order = "OVER (PARTITION BY metric, series_id, stretch ORDER BY at)"
     upto = "OVER (PARTITION BY metric, series_id, stretch ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
@@ -99,15 +100,9 @@ def _changes(held: DataFrame) -> DataFrame:
 
 def _place(rank: Column, side: str) -> Column:
     """Range of a rank and the rank inside it, counted from 0."""
-    found, before = F.lit(None), F.lit(0)
-    cases = []
-    for i in range(RANGES):
-        cases.append((before, i))
-        before = before + F.col(f"n{i}")
-    for start, i in reversed(cases):
-        here = F.struct(F.lit(side).alias("side"), F.lit(i).alias("range"), (rank - start).cast("long").alias("rank"))
-        found = F.when(rank < start + F.col(f"n{i}"), here).otherwise(found)
-    return found
+    below = F.filter(F.array(*[F.col(f"n{i}") for i in range(RANGES)]), lambda n: n <= rank)
+    inside = rank.cast("long") - F.coalesce(F.array_max(below), F.lit(0))
+    return F.struct(F.lit(side).alias("side"), F.size(below).alias("range"), inside.alias("rank"))
 
 
 def _interpolated(placed: DataFrame, held: DataFrame) -> DataFrame:
