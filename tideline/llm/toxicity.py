@@ -80,6 +80,10 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(np.append(self.starts, len(self.grams)))
 
+    def part(self, low: int, high: int) -> Words:
+        ends = np.append(self.starts, len(self.grams))
+        return Words(self.word[low:high], self.grams[ends[low] : ends[min(high, len(self.starts))]], self.starts[low:high] - ends[low])
+
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
@@ -113,6 +117,23 @@ class Network:
     def gates(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return tuple(x @ self.w[f"in_{s}"] + self.w[f"b_{s}"] for s in "fb")
 
+    def word_gates(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Gate inputs of all words, some thousand at a time."""
+        known = tuple(np.empty((len(words.word), 3 * UNITS), np.float32) for _ in "fb")
+        for low in range(0, len(words.word), STEP):
+            for whole, made in zip(known, self.gates(self.inputs(words.part(low, low + STEP))), strict=True):
+                whole[low : low + STEP] = made
+        return known
+
+    def window_logits(self, known: tuple, flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Owner, first word and logit of every window of texts, given as word numbers end to end."""
+        owner, first = windows(sizes)
+        out, begins = np.zeros(len(owner), np.float32), np.cumsum(sizes) - sizes
+        for i in range(0, len(owner), STEP):
+            ids, mask = laid_out(flat, begins, sizes, owner[i : i + STEP], first[i : i + STEP])
+            out[i : i + STEP] = self.logits(known[0][ids], known[1][ids], mask)
+        return owner, first, out
+
     def run(self, gates: np.ndarray, mask: np.ndarray, side: str, trace: list | None = None) -> np.ndarray:
         """States ``(time, windows, UNITS)`` of one direction; masked steps keep the state."""
         u, n = self.w[f"u_{side}"], gates.shape[0]
@@ -204,21 +225,17 @@ class Scorer:
             self.index, self.known, fresh = {}, None, list(seen)
         if fresh:
             self.index |= {w: len(self.index) + k for k, w in enumerate(fresh)}
-            made = self.network.gates(self.network.inputs(Words.of(fresh)))
+            made = self.network.word_gates(Words.of(fresh))
             self.known = made if self.known is None else tuple(map(np.concatenate, zip(self.known, made, strict=True)))
         return np.fromiter(map(self.index.__getitem__, chain.from_iterable(texts)), dtype=np.int64)
 
     def window_logits(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Owner, first word and logit of every window."""
         sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-        owner, first = windows(sizes)
-        out = np.zeros(len(owner), np.float32)
-        if len(owner):
-            flat, begins = self.look_up(texts), np.cumsum(sizes) - sizes
-            for i in range(0, len(owner), STEP):
-                ids, mask = laid_out(flat, begins, sizes, owner[i : i + STEP], first[i : i + STEP])
-                out[i : i + STEP] = self.network.logits(self.known[0][ids], self.known[1][ids], mask)
-        return owner, first, out
+        if not sizes.any():
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
+        flat = self.look_up(texts)
+        return self.network.window_logits(self.known, flat, sizes)
 
     def scores(self, values: list[str | None]) -> np.ndarray:
         out, held, size, done = np.zeros(len(values)), [], 0, 0
@@ -235,27 +252,35 @@ class Scorer:
         return out
 
 
-def fit(texts: list[list[str]], labels: np.ndarray) -> Network:
-    """Adam on the highest window of each text, given as parts; both labels weigh the same in total."""
+@dataclass
+class Sample:
+    """Training texts as numbers: the label of each text, the text and size of each of its parts, the
+    words of all parts end to end, and the features of the distinct words."""
+
+    labels: np.ndarray
+    text_of: np.ndarray
+    sizes: np.ndarray
+    ids: np.ndarray
+    words: Words
+
+
+def fit(sample: Sample) -> Network:
+    """Adam on the highest window of each text; both labels weigh the same in total."""
     rng = np.random.default_rng(SEED)
     network = Network.fresh(rng)
-    split = [tokens(part) for t in texts for part in t]
-    text_of = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-    usable = sorted({int(text_of[p]) for p, t in enumerate(split) if t})
-    if not usable or len({labels[i] for i in usable}) < 2:
+    labels, words = sample.labels, sample.words
+    usable = np.unique(sample.text_of[sample.sizes > 0])
+    if not len(usable) or len(set(labels[usable])) < 2:
         return network
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in network.w.items()}
-    vocabulary = {w: i for i, w in enumerate(sorted(set(chain.from_iterable(split))))}
-    words = Words.of(list(vocabulary))
     counts = words.counts()
-    ids = [np.fromiter(map(vocabulary.__getitem__, t), dtype=np.int64, count=len(t)) for t in split]
+    ids = np.split(sample.ids, np.cumsum(sample.sizes)[:-1])
     share = labels[usable].mean()
     weights = np.where(labels > 0, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
     step = 0
     while step < UPDATES:
-        scorer = Scorer(network)
-        holder, first, logit = scorer.window_logits(split)
-        owner = text_of[holder]
+        holder, first, logit = network.window_logits(network.word_gates(words), sample.ids, sample.sizes)
+        owner = sample.text_of[holder]
         order = np.lexsort((-logit, owner))
         top = order[np.unique(owner[order], return_index=True)[1]]
         chosen = dict(zip(owner[top].tolist(), zip(holder[top].tolist(), first[top].tolist(), strict=True), strict=True))
@@ -305,6 +330,47 @@ def _size(text: Column) -> Column:
     return F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+"))
 
 
+def numbered(rows: DataFrame) -> Sample:
+    """``key, label, parts`` as a ``Sample``.  Texts are split and hashed in tasks; the driver gets numbers
+    only, a hash per word and the features of each distinct word."""
+
+    @F.pandas_udf("array<array<string>>")
+    def split_parts(texts: pd.Series) -> pd.Series:
+        return pd.Series([[tokens(part) for part in t] for t in texts])
+
+    @F.pandas_udf("word int, grams array<int>")
+    def word_features(words: pd.Series) -> pd.DataFrame:
+        made = Words.of(list(words))
+        grams = np.split(made.grams.astype(np.int32), made.starts[1:]) if len(words) else []
+        return pd.DataFrame({"word": made.word.astype(np.int32), "grams": grams})
+
+    split = stored(rows.select("key", "label", split_parts("parts").alias("parts")), "parts")
+    listed = split.select(F.explode(F.flatten("parts")).alias("word")).distinct()
+    known = listed.select(F.xxhash64("word").alias("code"), word_features("word").alias("f")).select("code", "f.*").toArrow()
+    codes = known.column("code").to_numpy()
+    order = np.argsort(codes, kind="stable")
+    grams = known.column("grams").combine_chunks()
+    sizes, flat = grams.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), grams.flatten().to_numpy()
+    begins = np.cumsum(sizes) - sizes
+    words = Words(
+        known.column("word").to_numpy()[order].astype(np.int64),
+        np.concatenate([flat[begins[i] : begins[i] + sizes[i]] for i in order] or [flat]),
+        np.cumsum(sizes[order]) - sizes[order],
+    )
+    hashed = F.transform("parts", lambda part: F.transform(part, lambda w: F.xxhash64(w)))
+    texts = split.select("key", "label", hashed.alias("parts")).toArrow().sort_by([("key", "ascending"), ("label", "ascending")])
+    held = texts.column("parts").combine_chunks()
+    each = held.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    inner = held.flatten()
+    return Sample(
+        texts.column("label").to_numpy().astype(np.float32),
+        np.repeat(np.arange(len(each)), each),
+        inner.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64),
+        np.searchsorted(codes[order], inner.flatten().to_numpy()),
+        words,
+    )
+
+
 def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Network:
     """Fit on at most ``SAMPLE`` texts per label 0 and 1, chosen by a hash of the key among those of
     any length; of long ones, windows are drawn.  Null keys, labels and texts teach nothing."""
@@ -313,8 +379,7 @@ def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     marked = stored(named.select("key").join(marks, "key"), "marked")
     drawn = sample_keys(marked, "label", "key", SAMPLE)
     cut = named.join(drawn, "key").select("label", "key", parts(F.col("text"), F.col("key")).alias("parts"))
-    rows = cut.groupBy("label", "key").agg(F.min("parts").alias("parts")).toPandas().sort_values(["key", "label"])
-    return fit([list(p) for p in rows["parts"]], rows["label"].to_numpy(dtype=np.float32))
+    return fit(numbered(cut.groupBy("label", "key").agg(F.min("parts").alias("parts"))))
 
 
 def score(df: DataFrame, network: Network, text: str = "text") -> DataFrame:
