@@ -84,6 +84,7 @@ def test_links_are_those_of_a_plain_count(spark, libraries, monkeypatch, listed,
     from tideline.llm import common
 
     monkeypatch.setattr(common, "HOT", hot)
+    monkeypatch.setattr(token_links, "CHARS", 500 if listed == 1 else 1 << 18)
     monkeypatch.setattr(token_links, "LISTED", listed)
     rows = made(150)
     found = token_links.link_counts(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()
@@ -100,16 +101,21 @@ def test_large_groups_count_like_listed_ones(monkeypatch):
         exact.update((int(x), int(y)) for x in a[x0:x1] for y in b[y0:y1])
     for listed in (1, 1 << 20):
         monkeypatch.setattr(token_links, "LISTED", listed)
-        pairs, times, n = token_links.links_of(a, b, a_last, b_last)
-        assert {(int(p >> 32), int(p & 0xFFFFFFFF)): int(t) for p, t in zip(pairs, times, strict=True)} == exact and n == exact.total()
+        pairs, times, many = token_links.links_of(a, b, a_last, b_last, np.array([3, 3, 3, 3]), 10)
+        got = {(int(p // 10 % 10), int(p % 10)): int(t) for p, t in zip(pairs, times, strict=True)}
+        assert got == exact and many.sum() == exact.total() and set(pairs // 100) == {3}
 
 
 def test_galloping_finds_all_common_ends():
     rng = random.Random(4)
-    for n, m in [(0, 0), (1, 1), (3, 900), (200, 220), (900, 2)]:
-        x, y = sorted(rng.sample(range(1, 1000), n)), sorted(rng.sample(range(1, 1000), m))
-        left, right = token_links.groups_of(x, y)
-        assert [x[i] for i in left] == [y[j] for j in right] == sorted(set(x) & set(y))
+    for n, m in [(0, 0), (0, 3), (1, 1), (3, 900), (200, 220), (900, 2), (500, 900), (999, 999)]:
+        for high in (1000, 5000):
+            x, y = (np.array(sorted(rng.sample(range(1, high), k)), np.int64) for k in (n, m))
+            left, right = token_links.groups_of(x, y)
+            assert x[left].tolist() == y[right].tolist() == sorted(set(x.tolist()) & set(y.tolist()))
+    x, y = np.arange(1, 3000), np.concatenate([np.arange(5, 50), np.arange(2000, 9000, 3)])  # long leaps
+    left, right = token_links.groups_of(x, y)
+    assert x[left].tolist() == y[right].tolist() == sorted(set(x.tolist()) & set(y.tolist()))
 
 
 def test_ranges_cover_both_sides(spark, libraries):

@@ -1,7 +1,8 @@
 """Alignment of the tokens of two tokenizers by the byte offsets where both have an end.
 
-The end offsets of both encodings of a text are ascending lists.  The shorter drives: from where the
-last search stopped, an exponential search and then a binary one find each of its ends in the longer.
+The end offsets of both encodings of a text are ascending lists.  The shorter drives: an
+exponential search and then a binary one find each of its ends in the longer, from near where its
+neighbours are.
 Common ends cut both encodings into groups; the differences of their ranks tell how many tokens
 of either side a group holds, so tokens that overlap are found as ranges, without comparing bytes.
 """
@@ -10,8 +11,8 @@ from __future__ import annotations
 
 import hashlib
 import json
-from bisect import bisect_left
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import public_tokenizers
@@ -25,66 +26,81 @@ from tideline.llm.bpe import Tokens
 from tideline.llm.common import join_groups, stored
 
 FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Texts encoded at once, and links listed one by one in a group; larger groups are counted per id.
-ROWS, LISTED = 64, 1 << 12
-
-
-def common_ends(short: list[int], long: list[int]) -> tuple[list[int], list[int]]:
-    """Ranks in both ascending lists of the ends that both hold; ``short`` drives the search."""
-    mine, theirs, n = [], [], len(long)
-    ends = [*long, 1 << 62]  # no end lies beyond the last
-    low, at = 0, ends[0]
-    for rank, end in enumerate(short):
-        if at < end:
-            step, high = 1, low + 1
-            while ends[high] < end:
-                low, step = high, 2 * step
-                high = min(low + step, n)
-            low = bisect_left(ends, end, low + 1, high)
-            at = ends[low]
-        if at == end:
-            mine.append(rank)
-            theirs.append(low)
-            low += 1
-            at = ends[low]
-    return mine, theirs
-
-
-def groups_of(a_ends: list[int], b_ends: list[int]) -> tuple[list[int], list[int]]:
+#: Texts and characters worked on at once, ends in a lane of the search, and links listed one by one
+#: in a group; larger groups are counted per id.
+ROWS, CHARS, LANE, LISTED = 256, 1 << 18, 32, 1 << 12
+
+
+def common_ends(short: np.ndarray, long: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks in both ascending lists of the ends that both hold; ``short`` drives the search.
+
+    Neighbouring ends form lanes, which are searched side by side: a lane starts where its first end
+    belongs, each of its ends at as many places on, and from there steps double until they pass the
+    end; the last step is halved.
+    """
+    k, n = np.arange(len(short)), len(long)
+    lanes = np.searchsorted(long, short[::LANE])
+    padded = np.concatenate([[-1], long, [np.iinfo(np.int64).max]])
+    at = np.minimum(lanes[k // LANE] + k % LANE + 1, n + 1)
+    low, high = at.copy(), at.copy()  # at the end, padded[low] < end <= padded[high]
+    before = padded[at] < short
+    moving, step = np.flatnonzero(before), 1
+    high[moving] += 1
+    while len(moving):
+        moving, step = moving[padded[high[moving]] < short[moving]], 2 * step
+        low[moving] = high[moving]
+        high[moving] = np.minimum(low[moving] + step, n + 1)
+    moving, step = np.flatnonzero(~before), 1
+    low[moving] -= 1
+    while len(moving):
+        moving, step = moving[padded[low[moving]] >= short[moving]], 2 * step
+        high[moving] = low[moving]
+        low[moving] = np.maximum(high[moving] - step, 0)
+    moving = np.flatnonzero(high - low > 1)
+    while len(moving):
+        middle = (low[moving] + high[moving]) >> 1
+        less = padded[middle] < short[moving]
+        low[moving], high[moving] = np.where(less, middle, low[moving]), np.where(less, high[moving], middle)
+        moving = moving[high[moving] - low[moving] > 1]
+    hit = padded[high] == short
+    return k[hit], high[hit] - 1
+
+
+def groups_of(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ranks of the last tokens of each group on both sides."""
     if len(a_ends) <= len(b_ends):
         return common_ends(a_ends, b_ends)
-    b_last, a_last = common_ends(b_ends, a_ends)
-    return a_last, b_last
+    return common_ends(b_ends, a_ends)[::-1]
 
 
-def links_of(a: np.ndarray, b: np.ndarray, a_last: np.ndarray, b_last: np.ndarray):
-    """Distinct pairs of ids linked in a text, how often each is, and the number of all links."""
+def links_of(a: np.ndarray, b: np.ndarray, a_last: np.ndarray, b_last: np.ndarray, text: np.ndarray, size: int):
+    """Distinct pairs of ids linked in each text, as ``(text * size + a) * size + b`` in order, how often
+    each is, and the number of links of each group; ``text`` numbers the text of each group."""
     a_n, b_n = np.diff(a_last, prepend=-1), np.diff(b_last, prepend=-1)
-    many = a_n * b_n
-    codes = [a[a_last[many == 1]] << 32 | b[b_last[many == 1]]]
+    many, base = a_n * b_n, text * size
+    one = many == 1
+    codes = [(base[one] + a[a_last[one]]) * size + b[b_last[one]]]
     some = np.flatnonzero((many > 1) & (many <= LISTED))
     if len(some):
-        size = many[some]
-        k = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        width = np.repeat(b_n[some], size)
-        left = np.repeat(a_last[some] - a_n[some] + 1, size) + k // width
-        right = np.repeat(b_last[some] - b_n[some] + 1, size) + k % width
-        codes.append(a[left] << 32 | b[right])
+        each = many[some]
+        k = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        width = np.repeat(b_n[some], each)
+        left = np.repeat(a_last[some] - a_n[some] + 1, each) + k // width
+        right = np.repeat(b_last[some] - b_n[some] + 1, each) + k % width
+        codes.append((np.repeat(base[some], each) + a[left]) * size + b[right])
     large = np.flatnonzero(many > LISTED)
     if not len(large):
-        pairs, counts = np.unique(np.concatenate(codes), return_counts=True)
-        return pairs, counts, int(many.sum())
+        return *np.unique(np.concatenate(codes), return_counts=True), many
     times = [np.ones(sum(map(len, codes)), np.int64)]
     for g in large:
         x, x_n = np.unique(a[a_last[g] - a_n[g] + 1 : a_last[g] + 1], return_counts=True)
         y, y_n = np.unique(b[b_last[g] - b_n[g] + 1 : b_last[g] + 1], return_counts=True)
-        codes.append((x[:, None] << 32 | y[None, :]).reshape(-1))
+        codes.append(((base[g] + x[:, None]) * size + y[None, :]).reshape(-1))
         times.append((x_n[:, None] * y_n[None, :]).reshape(-1))
     pairs, at = np.unique(np.concatenate(codes), return_inverse=True)
     counts = np.zeros(len(pairs), np.int64)
     np.add.at(counts, at, np.concatenate(times))
-    return pairs, counts, int(many.sum())
+    return pairs, counts, many
 
 
 class Aligner:
@@ -135,23 +151,64 @@ class Aligner:
             out.append((np.array(a, np.int64), np.array(b, np.int64)))
         return out
 
-    def align(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ranks of the last tokens of each group on both sides."""
-        found = groups_of(np.cumsum(self.a_size[a]).tolist(), np.cumsum(self.b_size[b]).tolist())
-        return tuple(np.array(ranks, np.int64) for ranks in found)
+    def align(self, texts: list[str]) -> Aligned:
+        """Groups and links of some texts, worked out end to end: as both sides of a text have the same
+        bytes, its last ends are common and no group crosses from one text to the next."""
+        coded = self.encode(texts)
+        a, b = (np.concatenate([c[side] for c in coded]) for side in (0, 1))
+        a_to, b_to = (np.cumsum([len(c[side]) for c in coded]) for side in (0, 1))
+        a_last, b_last = groups_of(np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b]))
+        to = np.searchsorted(a_last, a_to)  # groups up to the end of each text
+        text = np.repeat(np.arange(len(texts)), np.diff(to, prepend=0))
+        size = max(len(self.a_size), len(self.b_size))
+        pairs, times, many = links_of(a, b, a_last, b_last, text, size)
+        links = np.bincount(text, weights=many, minlength=len(texts)).astype(np.int64)
+        return Aligned(
+            a_to, b_to, to, a_last, b_last, links, pairs // size % size, pairs % size, times,
+            np.searchsorted(pairs // size // size, np.arange(len(texts)), side="right"), self.digests(a, b, a_last, b_last, a_to + b_to),
+        )
 
-    def digest(self, a: np.ndarray, b: np.ndarray, a_last: np.ndarray, b_last: np.ndarray) -> str:
-        """SHA-256 of ``a1,a2|b1;a3|b2,b3``: the ids of all groups."""
-        if not len(a):
-            return ""
+    def digests(self, a: np.ndarray, b: np.ndarray, a_last: np.ndarray, b_last: np.ndarray, to: np.ndarray) -> list[str]:
+        """SHA-256 of ``a1,a2|b1;a3|b2,b3``, the ids of all groups, of each text; '' without tokens."""
         a_n, b_n = np.diff(a_last, prepend=-1), np.diff(b_last, prepend=-1)
-        at = np.empty(len(a) + len(b), np.int64)
-        codes, own = a.copy(), b + self.b_named
+        laid, codes, own = np.empty(len(a) + len(b), np.int64), a.copy(), b + self.b_named
         codes[a_last] += len(self.a_size)
         own[b_last] += len(self.b_size)
-        at[np.arange(len(a)) + np.repeat(np.cumsum(b_n) - b_n, a_n)] = codes
-        at[np.arange(len(b)) + np.repeat(np.cumsum(a_n), b_n)] = own
-        return hashlib.sha256("".join(map(self.named.__getitem__, at.tolist()))[:-1].encode()).hexdigest()
+        laid[np.arange(len(a)) + np.repeat(np.cumsum(b_n) - b_n, a_n)] = codes
+        laid[np.arange(len(b)) + np.repeat(np.cumsum(a_n), b_n)] = own
+        names = list(map(self.named.__getitem__, laid.tolist()))
+        texts = ("".join(names[i:j])[:-1] for i, j in zip([0, *to[:-1].tolist()], to.tolist(), strict=True))
+        return [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in texts]
+
+
+class Aligned(NamedTuple):
+    """Groups and links of some texts end to end; ``a_to, b_to, to, links_to`` are the ends of each
+    text's tokens, groups and distinct links."""
+
+    a_to: np.ndarray
+    b_to: np.ndarray
+    to: np.ndarray
+    a_last: np.ndarray
+    b_last: np.ndarray
+    links: np.ndarray
+    a: np.ndarray
+    b: np.ndarray
+    times: np.ndarray
+    links_to: np.ndarray
+    digests: list[str]
+
+    def columns(self, ranges: bool) -> list[pa.Array]:
+        counts = [np.diff(x, prepend=0) for x in (self.a_to, self.b_to, self.to)] + [self.links]
+        made = [pa.array(x, pa.int64()) for x in counts] + [pa.array(self.digests, pa.string())]
+        made.append(_lists(self.links_to, [self.a, self.b, self.times], LINK))
+        if ranges:
+            text = np.repeat(np.arange(len(self.to)), counts[2])
+            spans = []
+            for last, to in ((self.a_last, self.a_to), (self.b_last, self.b_to)):
+                begin = np.concatenate([[0], to])[text]
+                spans += [np.concatenate([[0], last + 1])[: len(last)] - begin, last + 1 - begin]
+            made.append(_lists(self.to, spans, RANGE))
+        return made
 
 
 @lru_cache(maxsize=1)
@@ -163,11 +220,23 @@ RANGE = pa.struct([(n, pa.int32()) for n in ("a_from", "a_to", "b_from", "b_to")
 LINK = pa.struct([("a", pa.int32()), ("b", pa.int32()), ("times", pa.int32())])
 
 
-def _lists(columns: list[list[np.ndarray]], kind: pa.StructType) -> pa.ListArray:
-    """A list of structs per row from a tuple of equally long arrays per row."""
-    ends = np.cumsum([0, *[len(row[0]) for row in columns]]).astype(np.int32)
-    flat = [pa.array(np.concatenate([row[k] for row in columns]).astype(np.int32)) for k in range(kind.num_fields)]
-    return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(flat, names=[f.name for f in kind]))
+def _lists(to: np.ndarray, flat: list[np.ndarray], kind: pa.StructType) -> pa.ListArray:
+    """A list of structs per row, from the ends of rows and the fields end to end."""
+    ends = np.concatenate([[0], to]).astype(np.int32)
+    fields = [pa.array(x.astype(np.int32)) for x in flat]
+    return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(fields, names=[f.name for f in kind]))
+
+
+def _some(texts: list[str]):
+    """Ranges of texts that are worked on at once: few, and not many characters."""
+    begin, size = 0, 0
+    for i, t in enumerate(texts):
+        if i > begin and (size + len(t) > CHARS or i - begin == ROWS):
+            yield begin, i
+            begin, size = i, 0
+        size += len(t)
+    if texts:
+        yield begin, len(texts)
 
 
 def align(df: DataFrame, text: str = "text", carry: list[str] | None = None, ranges: bool = True,
@@ -187,19 +256,11 @@ def align(df: DataFrame, text: str = "text", carry: list[str] | None = None, ran
     def run(batches):
         own = aligner(*paths)
         for batch in batches:
-            for piece in (batch.slice(i, ROWS) for i in range(0, batch.num_rows, ROWS)):
-                numbers, digests, links, spans = [], [], [], []
-                texts = [t or "" for t in piece.column("text").to_pylist()]
-                for a, b in own.encode(texts):
-                    p, q = own.align(a, b)
-                    digests.append(own.digest(a, b, p, q))
-                    pairs, times, n = links_of(a, b, p, q)
-                    numbers.append((len(a), len(b), len(p), n))
-                    links.append((pairs >> 32, pairs & 0xFFFFFFFF, times))
-                    spans.append((np.concatenate([[0], p + 1])[: len(p)], p + 1, np.concatenate([[0], q + 1])[: len(q)], q + 1))
-                made = [pa.array([r[k] for r in numbers], pa.int64()) for k in range(4)]
-                made += [pa.array(digests, pa.string()), _lists(links, LINK)] + ([_lists(spans, RANGE)] if ranges else [])
-                yield pa.RecordBatch.from_arrays([piece.column("__row"), *made], names=["__row", *counted, "groups_sha256", "links", "groups"][: 1 + len(made)])
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            for i, j in _some(texts):
+                made = own.align(texts[i:j]).columns(ranges)
+                names = ["__row", *counted, "groups_sha256", "links", "groups"]
+                yield pa.RecordBatch.from_arrays([batch.column("__row").slice(i, j - i), *made], names=names[: 1 + len(made)])
 
     kinds = [f"{n} long" for n in counted] + ["groups_sha256 string", "links array<struct<a:int,b:int,times:int>>"]
     kinds += ["groups array<struct<a_from:int,a_to:int,b_from:int,b_to:int>>"] if ranges else []
