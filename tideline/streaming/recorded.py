@@ -49,6 +49,38 @@ def merged(a: Growth | None, b: Growth | None) -> Growth | None:
     return Growth(a.n + b.n, a.fx, a.fv, b.lx, b.lv, a.lost + b.lost + (a.lv if b.fv < a.lv else 0.0))
 
 
+class Slices:
+    """Rows of a map state by slice, read at most once and written when all ticks are done."""
+
+    def __init__(self, state, none: bool, all_: bool):
+        self.state, self.whole, self.rows, self.changed = state, none or all_, {}, set()
+        if all_ and not none:
+            self.rows = {k[0]: tuple(row) for k, row in state.iterator()}
+
+    def get(self, k: int) -> tuple | None:
+        if k not in self.rows and not self.whole:
+            self.rows[k] = tuple(self.state.getValue((k,))) if self.state.containsKey((k,)) else None
+        return self.rows.get(k)
+
+    def put(self, k: int, row: tuple | None) -> None:
+        self.rows[k] = row
+        self.changed.add(k)
+
+    def present(self) -> list[tuple[int, tuple]]:
+        """All rows, the latest slice first."""
+        if not self.whole:
+            stored = {k[0]: tuple(row) for k, row in self.state.iterator()}
+            self.rows, self.whole = stored | self.rows, True
+        return sorted(((k, row) for k, row in self.rows.items() if row is not None), reverse=True)
+
+    def write(self) -> None:
+        for k in self.changed:
+            if self.rows[k] is not None:
+                self.state.updateValue((k,), self.rows[k])
+            elif self.state.containsKey((k,)):
+                self.state.removeKey((k,))
+
+
 class WindowProcessor(StatefulProcessor):
     """States of the closed windows of one series, ``length`` slices of ``width`` microseconds each.
 
@@ -96,6 +128,7 @@ class WindowProcessor(StatefulProcessor):
             else:
                 open_.append((x, value))
         starts, found = sorted(due), []
+        slices = Slices(self.slices, none=not rows, all_=tick is not None and final - tick > 4)
         tick = starts[0] - 1 if tick is None and starts else tick
         while tick is not None and tick < final:
             if not rows and head is None:  # nothing in reach: go on where samples are
@@ -105,28 +138,29 @@ class WindowProcessor(StatefulProcessor):
                 tick = starts[0] - 1
             tick += 1
             if (tick - 1) % self.length == 0:
-                tail, head = self._close_block(tick), None
+                tail, head = self._close_block(slices, tick), None
             if tick in due:
                 points = sorted(due[tick])
                 own = Growth.of(points)
                 edged = points[-1][0] == tick * self.width
-                self.slices.updateValue((tick,), (*own, edged, points[-1][1] if edged else 0.0, -1))
+                slices.put(tick, (*own, edged, points[-1][1] if edged else 0.0, -1))
                 head, rows = merged(head, own), rows + 1
             gone = tick - self.length
             while tail != -1 and tail <= gone:
-                tail = self.slices.getValue((tail,))[8]
-            window = merged(Growth(*self.slices.getValue((tail,))[:6]) if tail != -1 else None, head)
-            if rows and self.slices.containsKey((gone,)):
-                *_, edged, edge, _ = self.slices.getValue((gone,))
+                tail = slices.get(tail)[8]
+            window = merged(Growth(*slices.get(tail)[:6]) if tail != -1 else None, head)
+            if rows and slices.get(gone) is not None:
+                *_, edged, edge, _ = slices.get(gone)
                 if edged:
                     at = gone * self.width
                     window = merged(Growth(1, at, edge, at, edge, 0.0), window)
-                self.slices.removeKey((gone,))
+                slices.put(gone, None)
                 rows -= 1
             if window is not None and window.n > 1:
                 found.append((*key, tick * self.width, *window))
             if not rows:
                 head = None
+        slices.write()
         if len(open_) + len(due):
             if open_:
                 self.waiting.put(open_)
@@ -146,14 +180,13 @@ class WindowProcessor(StatefulProcessor):
                 ["series_id", "window_at", "t", "n", "fx", "fv", "lx", "lv", "lost"]
             ]
 
-    def _close_block(self, tick: int) -> int:
+    def _close_block(self, slices: Slices, tick: int) -> int:
         """Turn the states of the block before ``tick`` into states to its end; the first slice of them."""
-        closed = sorted(((k[0], Growth(*row[:6]), row[6:]) for k, row in self.slices.iterator()), reverse=True)
         so_far, after = None, -1
-        for k, state, (edged, edge, _) in closed:
+        for k, row in slices.present():
             if k > tick - 1 - self.length:
-                so_far = merged(state, so_far)
-                self.slices.updateValue((k,), (*so_far, edged, edge, after))
+                so_far = merged(Growth(*row[:6]), so_far)
+                slices.put(k, (*so_far, *row[6:8], after))
                 after = k
         return after
 
