@@ -14,8 +14,8 @@ every pair to be found stands together in the region of such a shingle.
     with each other and with the members inside the window that the triangle inequality leaves: distances to the pivot may differ by the reach at
     most.  Pairs of one component are left out.
 
-Before two sets are compared, their sizes and the number of first shingles they have in common must
-leave it possible that they link.  Sets are stored once and only those that some comparison needs
+Before two sets are compared, their sizes, the number of their first shingles in any region, and the
+places of a shared shingle in both orders must leave it possible that they link.  Sets are stored once and only those that some comparison needs
 are sent out.  The order of shingles depends on counts, the result does not.
 """
 
@@ -197,8 +197,8 @@ def _numbers(batch, salt: int) -> np.ndarray:
 
 
 def first_shingles(sets: DataFrame, counts: np.ndarray, salt: int, least: int) -> DataFrame:
-    """``shingle, part, cid``: the first shingles of each class in the order of their slots' counts,
-    then of their hashes.  ``part`` deals the members of shingles that are much more common than
+    """``shingle, part, cid, pos``: the first shingles of each class in the order of their slots' counts,
+    then of their hashes, and their places in it.  ``part`` deals the members of shingles that are much more common than
     others to several tasks; it is -1 for all others."""
     share = sets.sparkSession.sparkContext.broadcast(counts)
     hot = min(65_535, int(counts.mean()) + HOT)
@@ -211,18 +211,19 @@ def first_shingles(sets: DataFrame, counts: np.ndarray, salt: int, least: int) -
                 seen = share.value[_slot(own)].astype(np.uint64)
                 k = len(own) - ceil(least * len(own) / 100) + 1
                 order = seen << np.uint64(48) | own >> np.uint64(16)
-                first = np.partition(order, k - 1)[:k]
+                first = np.sort(np.partition(order, k - 1)[:k])
                 deal = np.where(first >> np.uint64(48) >= hot, cid % PARTS, -1)
-                out.append((first << np.uint64(16), deal.astype(np.int32), np.full(k, cid)))
+                out.append((first << np.uint64(16), deal.astype(np.int32), np.full(k, cid), np.arange(k, dtype=np.int32)))
             if out:
-                shingle, deal, cid = (np.concatenate(c) for c in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(shingle.view(np.int64)), pa.array(deal), pa.array(cid)], names=["shingle", "part", "cid"])
+                shingle, deal, cid, pos = (np.concatenate(c) for c in zip(*out, strict=True))
+                made = [pa.array(shingle.view(np.int64)), pa.array(deal), pa.array(cid), pa.array(pos)]
+                yield pa.RecordBatch.from_arrays(made, names=["shingle", "part", "cid", "pos"])
 
-    return sets.mapInArrow(run, "shingle long, part int, cid long")
+    return sets.mapInArrow(run, "shingle long, part int, cid long, pos int")
 
 
 def regions(first: DataFrame) -> DataFrame:
-    """``shingle, cid, pivot`` of all regions of two or more classes.
+    """``shingle, cid, pos, pivot`` of all regions of two or more classes.
 
     Rows are sorted within partitions, so a region streams by and only its first member is held.
     Regions of common shingles come in parts; their pivot is found by a partial minimum.
@@ -231,7 +232,7 @@ def regions(first: DataFrame) -> DataFrame:
     def run(batches):
         last, lead, told = None, None, True  # the row before; its region's first member; whether that is out
         for batch in batches:
-            s, part, c = (batch.column(k).to_numpy() for k in ("shingle", "part", "cid"))
+            s, part, c, p = (batch.column(k).to_numpy() for k in ("shingle", "part", "cid", "pos"))
             before = np.concatenate([[0], s[:-1]]), np.concatenate([[0], part[:-1]]), np.concatenate([[0], c[:-1]])
             same = (s == before[0]) & (part == before[1])
             again = same & (c == before[2])
@@ -241,7 +242,7 @@ def regions(first: DataFrame) -> DataFrame:
                 same[0] = (s[0], part[0]) == last[:2]
                 again[0] = bool(same[0]) and c[0] == last[2]
             last = (s[-1], part[-1], c[-1])
-            s, part, c, same = s[~again], part[~again], c[~again], same[~again]
+            s, part, c, p, same = s[~again], part[~again], c[~again], p[~again], same[~again]
             if not len(s):
                 continue
             at = np.maximum.accumulate(np.where(same, -1, np.arange(len(s))))
@@ -249,24 +250,24 @@ def regions(first: DataFrame) -> DataFrame:
             follow = np.append(same[1:], False)
             cold = part < 0
             out = cold & (same | follow)
-            rows = [(s[out], c[out], pivot[out])]
+            rows = [(s[out], c[out], p[out], pivot[out])]
             if same[0] and cold[0] and not told:
-                rows.insert(0, tuple(np.array([x]) for x in (lead[0], lead[2], lead[2])))
+                rows.insert(0, tuple(np.array([x]) for x in (lead[0], lead[2], lead[3], lead[2])))
                 told = True
             if at[-1] >= 0:
                 k = at[-1]
-                lead, told = (s[k], part[k], c[k]), bool(out[k])
+                lead, told = (s[k], part[k], c[k], p[k]), bool(out[k])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows, strict=True)], names=names)
             if (~cold).any():
                 k = int((~cold).sum())
-                yield pa.RecordBatch.from_arrays([pa.array(s[~cold]), pa.array(c[~cold]), pa.nulls(k, pa.int64())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(s[~cold]), pa.array(c[~cold]), pa.array(p[~cold]), pa.nulls(k, pa.int64())], names=names)
 
-    names = ["shingle", "cid", "pivot"]
+    names = ["shingle", "cid", "pos", "pivot"]
     by = ["shingle", "part"]
     found = stored(
-        first.repartition(*by).sortWithinPartitions(*by, "cid").mapInArrow(run, "shingle long, cid long, pivot long"), "regions"
+        first.repartition(*by).sortWithinPartitions(*by, "cid").mapInArrow(run, "shingle long, cid long, pos int, pivot long"), "regions"
     )
-    parted = found.where(F.col("pivot").isNull()).select("shingle", "cid").distinct()
+    parted = found.where(F.col("pivot").isNull()).select("shingle", "cid", "pos").dropDuplicates(["shingle", "cid"])
     leads = parted.groupBy("shingle").agg(F.min("cid").alias("pivot"), F.count(F.lit(1)).alias("m")).where("m > 1")
     return stored(found.where(F.col("pivot").isNotNull()).unionByName(parted.join(leads.drop("m"), "shingle")), "found")
 
@@ -372,7 +373,7 @@ def _links(df: DataFrame, text: str, key: str, least: int):
     placed = found.join(facts, "cid").withColumn("t", F.try_element_at("tried", "pivot"))
     lead = F.col("cid") == F.col("pivot")
     placed = placed.select(
-        "shingle", "cid", "n", "r", F.coalesce("component", "cid").alias("comp"),
+        "shingle", "cid", "pos", "n", "r", F.coalesce("component", "cid").alias("comp"),
         (lead | F.coalesce("t.inside", F.lit(False))).alias("inside"), F.when(lead, 0.0).otherwise(F.col("t.d")).alias("d"),
     )
     placed = stored(placed, "placed")
@@ -390,25 +391,21 @@ def _links(df: DataFrame, text: str, key: str, least: int):
     part = components(met.where(linked), "a", "b").toDF("comp", "joined")
     placed = placed.join(part, "comp", "left").withColumn("comp", F.coalesce("joined", "comp")).drop("joined")
 
-    x = placed.where("not inside").select("shingle", *[F.col(c).alias(f"x_{c}") for c in ("cid", "n", "r", "comp", "d")])
-    y = placed.select(F.col("shingle").alias("y_shingle"), *[F.col(c).alias(f"y_{c}") for c in ("cid", "n", "r", "comp", "d", "inside")])
+    x = placed.where("not inside").select("shingle", *[F.col(c).alias(f"x_{c}") for c in ("cid", "pos", "n", "r", "comp", "d")])
+    y = placed.select(F.col("shingle").alias("y_shingle"), *[F.col(c).alias(f"y_{c}") for c in ("cid", "pos", "n", "r", "comp", "d", "inside")])
     apart = (
         (F.col("shingle") == F.col("y_shingle"))
         & (F.col("x_comp") != F.col("y_comp"))
         & (F.col("y_inside") | (F.col("x_cid") < F.col("y_cid")))
         & (100 * F.least("x_n", "y_n") >= least * F.greatest("x_n", "y_n"))
         & _enough(F.least("x_r", "y_r"), F.col("x_n"), F.col("y_n"), least)
+        & ((100 + least) * F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos")) >= least * (F.col("x_n") + F.col("y_n")))
         & (F.coalesce(F.abs(F.col("x_d") - F.col("y_d")), F.lit(0.0)) <= 1 - least / 100 + 1e-9)
     )
-    # In every region that two classes of different components share, one is out of the pivot's
-    # reach, so the rows of a pair here number its first shingles in common.
-    again = x.join(y, apart).groupBy(
-        F.greatest("x_cid", "y_cid").alias("a"), F.least("x_cid", "y_cid").alias("b"), "x_n", "y_n"
-    )
-    again = again.agg(F.count(F.lit(1)).alias("common")).groupBy("a", "b").agg(
-        F.sum("common").alias("common"), F.first("x_n").alias("na"), F.first("y_n").alias("nb")
-    )
-    again = again.where(_enough(F.col("common"), F.col("na"), F.col("nb"), least)).select("a", "b")
+    # Of the shingles that two classes share, the first in order has all others behind it on both
+    # sides.  A pair that links has enough there, so it has a row from that region; regions in which
+    # too little is left make none.
+    again = x.join(y, apart).select(F.greatest("x_cid", "y_cid").alias("a"), F.least("x_cid", "y_cid").alias("b")).distinct()
     again = cut(again.join(met.select("a", "b"), ["a", "b"], "left_anti"))
     more = cut(shared(again, needed_sets(sets, again, salt)).where(linked))
     parts = components(met.where(linked).select("a", "b").unionByName(more.select("a", "b")), "a", "b").withColumnRenamed("node", "cid")
