@@ -24,6 +24,7 @@ JOBS = {
     "b8_sum_over_time_24h": "r7_sum_over_time_day",
     "b9_availability": "g13_availability",
     "b10_quantile_by": "g7_quantile_by",
+    "b11_increase_24h_odd_step": "r15_increase_step_61s",
 }
 
 

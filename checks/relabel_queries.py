@@ -12,7 +12,7 @@ from tideline.operators.matching import v_or_all
 from tideline.operators.relabel import Rule
 from tideline.sources.targets import expand_groups
 
-HOST = "concat('node', {k} % 4 + 1, '-', CASE {k} % 3 WHEN 0 THEN 'lga' WHEN 1 THEN 'ams' ELSE 'x' END, '0', {n} % 5, '.pop.example.org')"
+HOST = "concat('supplier', {k}, '.nation', {n}, '.example.org')"
 # Working labels of a target, valid in both engines.
 FIELDS = {
     "address": f"concat({HOST}, CASE WHEN k % 3 = 0 THEN '' ELSE ':9100' END)",
@@ -57,10 +57,13 @@ def _rules(name, sql, rules, *shown):
     query(name, f"WITH {SUPP} {sql}")(lambda t: show(L.relabel(targets(t), rules), *shown))
 
 
+#: Suppliers whose number ends in 1 to 6 are placed at their nation, the others nowhere.
+ENDS_LOW = "supplier[0-9]*[1-6][.](nation[0-9]+)[.]"
+
 _rules(
     "l1_replace_capture",
-    "SELECT k, CASE WHEN regexp_full_match(address, '[^.]*-([a-z]{3}[0-9]).*') THEN regexp_extract(address, '^[^.]*-([a-z]{3}[0-9]).*$', 1) ELSE '' END AS site FROM d",
-    [Rule("replace", ("__address__",), "[^.]*-([a-z]{3}[0-9]).*", "${1}", "site")],
+    f"SELECT k, CASE WHEN regexp_full_match(address, '{ENDS_LOW}.*') THEN regexp_extract(address, '^{ENDS_LOW}.*$', 1) ELSE '' END AS site FROM d",
+    [Rule("replace", ("__address__",), f"{ENDS_LOW}.*", "${1}", "site")],
     "site",
 )
 _rules(

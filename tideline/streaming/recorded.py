@@ -52,32 +52,41 @@ def merged(a: Growth | None, b: Growth | None) -> Growth | None:
 class Slices:
     """Rows of a map state by slice, read at most once and written when all ticks are done."""
 
-    def __init__(self, state, none: bool, all_: bool):
-        self.state, self.whole, self.rows, self.changed = state, none or all_, {}, set()
-        if all_ and not none:
-            self.rows = {k[0]: tuple(row) for k, row in state.iterator()}
+    def __init__(self, state, none: bool, at_once: bool):
+        self.state, self.rows, self.stored, self.changed = state, {}, set(), set()
+        self.whole = none
+        if at_once:
+            self._read_all()
+
+    def _read_all(self) -> None:
+        if not self.whole:
+            read = {k[0]: tuple(row) for k, row in self.state.iterator()}
+            self.stored |= read.keys()
+            self.rows, self.whole = read | self.rows, True
 
     def get(self, k: int) -> tuple | None:
         if k not in self.rows and not self.whole:
-            self.rows[k] = tuple(self.state.getValue((k,))) if self.state.containsKey((k,)) else None
+            held = self.state.containsKey((k,))
+            self.rows[k] = tuple(self.state.getValue((k,))) if held else None
+            if held:
+                self.stored.add(k)
         return self.rows.get(k)
 
     def put(self, k: int, row: tuple | None) -> None:
+        """A row of a new slice, or instead of one that was read."""
         self.rows[k] = row
         self.changed.add(k)
 
     def present(self) -> list[tuple[int, tuple]]:
         """All rows, the latest slice first."""
-        if not self.whole:
-            stored = {k[0]: tuple(row) for k, row in self.state.iterator()}
-            self.rows, self.whole = stored | self.rows, True
+        self._read_all()
         return sorted(((k, row) for k, row in self.rows.items() if row is not None), reverse=True)
 
     def write(self) -> None:
         for k in self.changed:
             if self.rows[k] is not None:
                 self.state.updateValue((k,), self.rows[k])
-            elif self.state.containsKey((k,)):
+            elif k in self.stored:
                 self.state.removeKey((k,))
 
 
@@ -128,7 +137,7 @@ class WindowProcessor(StatefulProcessor):
             else:
                 open_.append((x, value))
         starts, found = sorted(due), []
-        slices = Slices(self.slices, none=not rows, all_=tick is not None and final - tick > 4)
+        slices = Slices(self.slices, none=not rows, at_once=tick is not None and final - tick > 4)
         tick = starts[0] - 1 if tick is None and starts else tick
         while tick is not None and tick < final:
             if not rows and head is None:  # nothing in reach: go on where samples are
