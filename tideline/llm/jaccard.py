@@ -25,7 +25,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.llm.common import cut, lower_ascii, stored, words
@@ -373,7 +373,8 @@ def _links(df: DataFrame, text: str, key: str, least: int):
     placed = found.join(facts, "cid").withColumn("t", F.try_element_at("tried", "pivot"))
     lead = F.col("cid") == F.col("pivot")
     placed = placed.select(
-        "shingle", "cid", "pos", "n", "r", F.coalesce("component", "cid").alias("comp"),
+        "shingle", "cid", "pos", "n", "r", F.lag("shingle").over(Window.partitionBy("cid").orderBy("pos")).alias("prev"),
+        F.coalesce("component", "cid").alias("comp"),
         (lead | F.coalesce("t.inside", F.lit(False))).alias("inside"), F.when(lead, 0.0).otherwise(F.col("t.d")).alias("d"),
     )
     placed = stored(placed, "placed")
@@ -391,8 +392,8 @@ def _links(df: DataFrame, text: str, key: str, least: int):
     part = components(met.where(linked), "a", "b").toDF("comp", "joined")
     placed = placed.join(part, "comp", "left").withColumn("comp", F.coalesce("joined", "comp")).drop("joined")
 
-    x = placed.where("not inside").select("shingle", *[F.col(c).alias(f"x_{c}") for c in ("cid", "pos", "n", "r", "comp", "d")])
-    y = placed.select(F.col("shingle").alias("y_shingle"), *[F.col(c).alias(f"y_{c}") for c in ("cid", "pos", "n", "r", "comp", "d", "inside")])
+    x = placed.where("not inside").select("shingle", *[F.col(c).alias(f"x_{c}") for c in ("cid", "pos", "prev", "n", "r", "comp", "d")])
+    y = placed.select(F.col("shingle").alias("y_shingle"), *[F.col(c).alias(f"y_{c}") for c in ("cid", "pos", "prev", "n", "r", "comp", "d", "inside")])
     apart = (
         (F.col("shingle") == F.col("y_shingle"))
         & (F.col("x_comp") != F.col("y_comp"))
@@ -400,11 +401,13 @@ def _links(df: DataFrame, text: str, key: str, least: int):
         & (100 * F.least("x_n", "y_n") >= least * F.greatest("x_n", "y_n"))
         & _enough(F.least("x_r", "y_r"), F.col("x_n"), F.col("y_n"), least)
         & ((100 + least) * F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos")) >= least * (F.col("x_n") + F.col("y_n")))
+        & F.coalesce(F.col("x_prev") != F.col("y_prev"), F.lit(True))
         & (F.coalesce(F.abs(F.col("x_d") - F.col("y_d")), F.lit(0.0)) <= 1 - least / 100 + 1e-9)
     )
     # Of the shingles that two classes share, the first in order has all others behind it on both
     # sides.  A pair that links has enough there, so it has a row from that region; regions in which
-    # too little is left make none.
+    # too little is left make none, and none do those whose region before is one of both, as that is
+    # a region earlier in the order where the same pair meets.
     again = x.join(y, apart).select(F.greatest("x_cid", "y_cid").alias("a"), F.least("x_cid", "y_cid").alias("b")).distinct()
     again = cut(again.join(met.select("a", "b"), ["a", "b"], "left_anti"))
     more = cut(shared(again, needed_sets(sets, again, salt)).where(linked))
