@@ -3,6 +3,8 @@
 import base64
 import hashlib
 import random
+import time
+from sys import getsizeof
 
 import numpy as np
 import public_tokenizers
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tideline.llm import byte_bpe, token_counts
+from tideline.llm.common import TextMemo
 
 PARTS = ["a", "b", " ", "  ", "\n", "\t", "'s", "'re", "'ll", "'", "1", "23", "é", "日本", "𝒳", "!", "...", "<|endoftext|>", "<|end"]
 PARTS += ["the", "ing", "ABC", " ", "\x1c", "\x85", "ß", "don't", "\r\n", "\x00"]
@@ -83,3 +86,36 @@ def test_long_pieces_take_linear_steps(coder):
     rng = random.Random(1)
     for text in ("a" * 20_000, "".join(rng.choice("abe") for _ in range(5000)), "é" * 5000):
         assert np.frombuffer(own.encode(text), "<u4").tolist() == coder.encode_ordinary(text)
+
+
+def test_budgets_of_texts_without_blanks_take_linear_steps(library):
+    own = token_counts.counter(public_tokenizers.path(token_counts.VOCABULARY))
+    rng = random.Random(2)
+    size = 100_000
+    for text in (
+        "".join(chr(rng.randint(0x4E00, 0x9FA0)) for _ in range(size)),
+        base64.b64encode(rng.randbytes(size * 3 // 4)).decode(),
+        " " * size,
+        "ab" * (size // 2) + "<|endoftext|>",
+    ):
+        began = time.perf_counter()
+        table = own.table(text)
+        fits = {budget: table.fit(budget) for budget in (512, table.total - 1)}
+        assert time.perf_counter() - began < 4
+        for budget, p in fits.items():
+            assert table.at(p) <= budget and p < len(text)
+        for p in (*range(500), *(rng.randrange(3000) for _ in range(20))):
+            assert table.at(p) == count(library, text[:p])
+        assert table.total == count(library, text)
+
+
+def test_memos_are_bounded_by_bytes():
+    made = []
+    memo = TextMemo(lambda key: made.append(key) or key * 2, limit=5000)
+    keys = [str(k).zfill(50) for k in range(200)]
+    for key in keys:
+        assert memo[key] == key * 2
+        held = sum(memo.ENTRY + getsizeof(k) + getsizeof(v) for part in (memo, memo.old) for k, v in part.items())
+        assert held <= 2 * 5000
+    assert memo[keys[-1]] and len(made) == 200  # remembered
+    assert memo["x" * 65] and memo["x" * 65] and len(made) == 202 and "x" * 65 not in memo  # long ones are not

@@ -19,8 +19,8 @@ from tideline.llm.common import Memo
 
 #: White space of Unicode; fixed values.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: Entries of a memo's generation, per Python worker.
-PAIRS, CHUNKS, PIECES = 500_000, 300_000, 200_000
+#: Of a memo's generation, per Python worker: entries of pairs, bytes of chunks and of pieces.
+PAIRS, CHUNKS, PIECES = 500_000, 48 << 20, 32 << 20
 
 
 class Tokens:

@@ -20,11 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.bpe import Tokens, chunker
-from tideline.llm.common import Memo
+from tideline.llm.common import TextMemo
 
 RANKS = "byte_bpe_50k.tiktoken"
-#: Rows whose ids are held at once, and entries of a memo's generation.
-ROWS, CHUNKS, PIECES = 200, 200_000, 120_000
+#: Rows whose ids are held at once, and bytes of a memo's generation of chunks and of pieces.
+ROWS, CHUNKS, PIECES = 200, 48 << 20, 16 << 20
 
 
 class ByteCoder:
@@ -34,8 +34,8 @@ class ByteCoder:
         self.tokens = Tokens.from_ranks(path)
         self.split = regex.compile(public_tokenizers.PATTERN)
         self.chunks = chunker()
-        self.piece = Memo(self._piece, PIECES)
-        self.packed = Memo(self._packed, CHUNKS)
+        self.piece = TextMemo(self._piece, PIECES)
+        self.packed = TextMemo(self._packed, CHUNKS)
 
     def _packed(self, chunk: str) -> bytes:
         ids = [i for piece in self.split.findall(chunk) for i in self.piece[piece]]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from sys import getsizeof
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -84,14 +85,37 @@ class Memo(dict):
 
     def __init__(self, fn, limit: int):
         super().__init__()
-        self.fn, self.limit, self.old = fn, limit, {}
+        self.fn, self.limit, self.held, self.old = fn, limit, 0, {}
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.fn(key)
-        if len(self) >= self.limit:
+        self._keep(key, value, 1)
+        return value
+
+    def _keep(self, key, value, size: int) -> None:
+        if self.held + size > self.limit and self:
             self.old = dict(self)
             self.clear()
+            self.held = 0
         self[key] = value
+        self.held += size
+
+
+class TextMemo(Memo):
+    """A memo of texts whose ``limit`` is in bytes; texts of over ``LONGEST`` characters, which
+    seldom come again, are worked out each time."""
+
+    LONGEST = 64
+    #: Bytes of an entry beside its key and value.
+    ENTRY = 100
+
+    def __missing__(self, key):
+        if len(key) > self.LONGEST:
+            return self.fn(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.fn(key)
+        self._keep(key, value, self.ENTRY + getsizeof(key) + getsizeof(value))
         return value

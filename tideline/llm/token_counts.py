@@ -3,8 +3,9 @@
 For each prefix the last token of its encoding is unique: of the tokens that end there, the one
 compatible with the last token of the prefix before it.  Its count is one more than the count of
 that prefix.  Texts are cut into chunks that encode independently; each distinct chunk is worked
-out once per Python worker and keeps a count per prefix, so questions about truncation and budgets
-are look-ups.  Work per text is linear, memory is bounded by the two generations of the memo.
+out once while the worker remembers it, and the chunk that a question falls into keeps a count per
+prefix, so questions about truncation and budgets are look-ups.  Work per text is linear; memory is
+bounded by the bytes of two generations of the memo and one text.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.bpe import CHUNKS, PIECES, Tokens, chunker
-from tideline.llm.common import Memo
+from tideline.llm.common import TextMemo
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 512
@@ -36,18 +37,24 @@ class PrefixCounter:
         self.split = regex.compile(public_tokenizers.PATTERN)
         self.chunks = chunker()
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
-        self.piece = Memo(self._piece, PIECES)
-        self.total = Memo(self._total, CHUNKS)
+        self.piece = TextMemo(self._piece, PIECES)
+        self.total = TextMemo(self._total, CHUNKS)
 
     def _total(self, chunk: str) -> int:
         return sum(self.piece[piece][-1] for piece in self.split.findall(chunk))
 
-    def prefixes(self, chunk: str) -> list[int]:
-        """Token counts of the prefixes of a chunk, one per character, after 0 for the empty one."""
-        counts = [0]
-        for piece in self.split.findall(chunk):
-            base = counts[-1]
-            counts += [base + n for n in self.piece[piece]]
+    def prefixes(self, text: str) -> list[int]:
+        """Token counts of the prefixes of a text without special strings, one per character, after
+        0 for the empty one."""
+        counts, before = [0], ""
+        for chunk in self.chunks.findall(text):
+            first = len(counts)
+            for piece in self.split.findall(chunk):
+                base = counts[-1]
+                counts += [base + n for n in self.piece[piece]]
+            if before.isspace() and chunk[0].isspace():  # cut there, both are one run of white space
+                counts[first] = counts[first - 1 - len(before)] + self.total[before + chunk[0]]
+            before = chunk
         return counts
 
     def _piece(self, piece: str) -> list[int]:
@@ -91,8 +98,8 @@ class PrefixCounter:
 
 
 class PrefixTable:
-    """Counts at every prefix of one text, held as a running total per chunk and one shared table
-    of prefix counts per distinct chunk."""
+    """Counts at every prefix of one text, held as a running total per chunk; the prefix counts of
+    the chunk asked about are worked out once and kept until another chunk is asked about."""
 
     def __init__(self, counter: PrefixCounter, text: str):
         self.counter, self.text = counter, text
@@ -100,11 +107,18 @@ class PrefixTable:
         self.starts = [start for start, _, _ in self.parts]
         sizes = (1 if special else counter.total[chunk] for _, chunk, special in self.parts)
         self.before = [0, *accumulate(sizes)]
+        self.span, self.counts = (0, 0), [0]
 
     @property
     def total(self) -> int:
         return self.before[-1]
 
+    def _within(self, start: int, stop: int, chars: int) -> int:
+        """Tokens of ``text[start:chars]``, read as text without special strings."""
+        if self.span != (start, stop):
+            self.span, self.counts = (start, stop), self.counter.prefixes(self.text[start:stop])
+        return self.counts[chars - start]
+
     def at(self, chars: int) -> int:
         """Tokens of ``text[:chars]``."""
         if chars <= 0:
@@ -113,16 +127,17 @@ class PrefixTable:
             return self.total
         k = bisect_right(self.starts, chars - 1) - 1
         start, chunk, special = self.parts[k]
+        stop = start + len(chunk)
         if special:
-            if chars == start + len(chunk):
+            if chars == stop:
                 return self.before[k + 1]
             if k and not self.parts[k - 1][2]:  # a cut special string is text and joins what stands before
                 k -= 1
                 start = self.parts[k][0]
-            return self.before[k] + sum(map(self.counter.total.__getitem__, self.counter.chunks.findall(self.text[start:chars])))
+            return self.before[k] + self._within(start, stop, chars)
         if chars == start + 1 and k and not self.parts[k - 1][2] and chunk[0].isspace() and self.parts[k - 1][1].isspace():
             return self.before[k - 1] + self.counter.total[self.parts[k - 1][1] + chunk[0]]  # one run of white space
-        return self.before[k] + self.counter.prefixes(chunk)[chars - start]
+        return self.before[k] + self._within(start, stop, chars)
 
     def fit(self, budget: int) -> int:
         """Characters of the longest prefix of at most ``budget`` tokens."""
