@@ -25,6 +25,8 @@ from tideline.llm.common import TextMemo
 RANKS = "byte_bpe_50k.tiktoken"
 #: Rows whose ids are held at once, and bytes of a memo's generation of chunks and of pieces.
 ROWS, CHUNKS, PIECES = 200, 48 << 20, 16 << 20
+#: Characters of a text, and ids, that are taken at once.
+LONG = 1 << 16
 
 
 class ByteCoder:
@@ -69,10 +71,17 @@ class ByteCoder:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self.packed.__getitem__, self.chunks.findall(text)))
+        if len(text) <= LONG:
+            return b"".join(map(self.packed.__getitem__, self.chunks.findall(text)))
+        made = bytearray()  # a list of all chunks would outweigh the text many times
+        for match in self.chunks.finditer(text):
+            made += self.packed[match[0]]
+        return bytes(made)
 
     def decode(self, packed: bytes) -> bytes:
-        return b"".join(map(self.tokens.texts.__getitem__, np.frombuffer(packed, dtype="<u4").tolist()))
+        ids, texts = np.frombuffer(packed, dtype="<u4"), self.tokens.texts
+        steps = (ids[i : i + LONG].tolist() for i in range(0, len(ids), LONG))
+        return b"".join(b"".join(map(texts.__getitem__, step)) for step in steps)
 
 
 @lru_cache(maxsize=2)
