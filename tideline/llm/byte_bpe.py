@@ -3,7 +3,8 @@
 Bytes are written as Latin-1 text, an automaton finds all tokens in it, and the encoder goes
 forward with the longest match that is compatible with the token before, falling back to shorter
 ones and, at dead ends, to the token before.  Each position is given up at most once, so time is
-linear, and the result is that of replaying the merges.
+linear, and the result is that of replaying the merges.  Rows come and go as Arrow batches; workers
+do not load pandas, which would take as much memory as the tokens.
 """
 
 from __future__ import annotations
@@ -12,7 +13,6 @@ import hashlib
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import regex
@@ -93,6 +93,12 @@ def _ranks(path: str | None) -> str:
     return path or public_tokenizers.path(RANKS)
 
 
+def _id_lists(packed: list[bytes]) -> pa.Array:
+    """Arrays of ints from ids as little-endian integers."""
+    ends = np.cumsum([0, *[len(x) // 4 for x in packed]]).astype(np.int32)
+    return pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(packed), "<i4")))
+
+
 def encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str | None = None) -> DataFrame:
     """Add the ids of every text as an array of ints; null texts encode as empty arrays.
 
@@ -101,10 +107,10 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str | None
     """
     path = _ranks(path)
 
-    @F.pandas_udf("array<int>")
-    def run(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<int>")
+    def run(texts: pa.Array) -> pa.Array:
         own = coder(path)
-        return pd.Series([np.frombuffer(own.encode(t or ""), dtype="<i4") for t in texts])
+        return _id_lists([own.encode(t.as_py() or "") for t in texts])
 
     return df.withColumn(ids, run(F.col(text)))
 
@@ -113,10 +119,11 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", path: str | No
     """Add the bytes that the ids stand for as a binary column; a null array decodes to empty bytes."""
     path = _ranks(path)
 
-    @F.pandas_udf("binary")
-    def run(arrays: pd.Series) -> pd.Series:
+    @F.arrow_udf("binary")
+    def run(arrays: pa.Array) -> pa.Array:
         own = coder(path)
-        return pd.Series([b"" if a is None else own.decode(np.asarray(a, dtype="<u4").tobytes()) for a in arrays])
+        packed = (a.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes() if a.is_valid else b"" for a in arrays)
+        return pa.array([own.decode(x) for x in packed], pa.binary())
 
     return df.withColumn(out, run(F.col(ids)))
 
@@ -144,8 +151,7 @@ def round_trip(df: DataFrame, text: str = "text", ids: str | None = None, path:
                     pa.array([hashlib.sha256(own.decode(x)).hexdigest() for x in packed]),
                 ]
                 if ids:
-                    ends = np.cumsum([0, *[len(x) // 4 for x in packed]]).astype(np.int32)
-                    made.append(pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(packed), "<i4"))))
+                    made.append(_id_lists(packed))
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *kinds])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema] + [f"`{k}` {v}" for k, v in kinds.items()]
