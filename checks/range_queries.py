@@ -32,6 +32,7 @@ from tideline.operators import select as P
 from tideline.operators import vector as A
 from tideline.operators.aggregate import agg
 from tideline.operators.matching import binop
+from tideline.shared import expanded
 
 DAY = 24 * HOUR
 
@@ -228,7 +229,7 @@ def _(t):
     v = R.predict_linear(t.gauge, "1d", 3600.0, HOURLY)
     # two samples can be microseconds apart, which no two summations round alike: there the side is compared
     n = R.over_time(t.gauge, "count", "1d", HOURLY).select("series_id", "ts", F.col("value").alias("n"))
-    both = v.join(n, ["series_id", "ts"])
+    both = v.join(expanded(n), ["series_id", "ts"])
     side = F.when(F.col("value") > 1e4, "above").when(F.col("value") < -1e4, "below").otherwise("near")
     return both.select(
         label("type").alias("type"), label("usr").alias("usr"), seconds("ts").alias("t"),

@@ -28,6 +28,15 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def expanded(df: DataFrame) -> DataFrame:
+    """A side of a join whose rows were repeated, for evaluations or windows, and is sorted and merged.
+
+    Spark takes its size for that of the rows before they were repeated, and would send a table that is
+    many times as large whole through the driver.
+    """
+    return df.hint("merge")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise in the shared folder, cutting the lineage (survives lost executors)."""
     shared_dir(df.sparkSession)
