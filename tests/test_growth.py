@@ -25,7 +25,7 @@ def plan(df):
     return df._jdf.queryExecution().sparkPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["r12_predict_linear"])
+@pytest.mark.parametrize("name", ["r12_predict_linear", "r10_quantile_over_subquery", "a4_binop_one_to_one"])
 def test_repeated_rows_are_not_broadcast(spark, tables, name):
     """Spark takes rows repeated per evaluation for as few as before, and sent them through the driver."""
     assert "BroadcastHashJoin" not in plan(QUERIES[name](spark, tables))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tideline.functions.floats import arithmetic, ieee_compare
 from tideline.model import COLUMNS, Grid, label, label_key, label_map, labels_of
 from tideline.operators.vector import constant
+from tideline.shared import expanded
 
 COMPARISONS = {"==", "!=", ">", "<", ">=", "<="}
 
@@ -41,7 +42,7 @@ def _counted(v: DataFrame, keys: list[str], side: str, named: bool) -> DataFrame
 def _paired(left: DataFrame, right: DataFrame, keys: list[str], named: bool) -> DataFrame:
     """Values ``l`` and ``r`` per key of both sides; where a key has a partner, a second series
     under it is an error, not a choice."""
-    joined = _counted(left, keys, "l", named).join(_counted(right, keys, "r", False), keys)
+    joined = _counted(left, keys, "l", named).join(expanded(_counted(right, keys, "r", False)), keys)
     message = F.lit("several series share one match key")
     single = (F.col("l_n") == 1) & (F.col("r_n") == 1)
     checked = F.when(single, F.col("l")).otherwise(F.raise_error(message).cast("double"))
@@ -94,12 +95,12 @@ def _keys_only(v: DataFrame, on, ignoring) -> tuple[DataFrame, list[str]]:
 
 def v_and(a: DataFrame, b: DataFrame, on=None, ignoring=None) -> DataFrame:
     left, keys = keyed(a, on, ignoring)
-    return left.join(_keys_only(b, on, ignoring)[0], keys, "left_semi").select(*COLUMNS)
+    return left.join(expanded(_keys_only(b, on, ignoring)[0]), keys, "left_semi").select(*COLUMNS)
 
 
 def v_unless(a: DataFrame, b: DataFrame, on=None, ignoring=None) -> DataFrame:
     left, keys = keyed(a, on, ignoring)
-    return left.join(_keys_only(b, on, ignoring)[0], keys, "left_anti").select(*COLUMNS)
+    return left.join(expanded(_keys_only(b, on, ignoring)[0]), keys, "left_anti").select(*COLUMNS)
 
 
 def v_or(a: DataFrame, b: DataFrame, on=None, ignoring=None) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.functions.floats import INF
+from tideline.shared import expanded
 
 #: Ranges per doubling of a value.
 RANGES = 1024
@@ -61,7 +62,7 @@ def exact_quantile(
     holds = (F.col("_before") <= F.ceil("_rank")) & (F.col("_upto") > F.floor("_rank"))
     held = placed.filter(holds).drop("_upto")
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    near = counted.join(held, reduce(Column.__and__, same, F.col("_r") == F.col("_range")))
+    near = counted.join(expanded(held), reduce(Column.__and__, same, F.col("_r") == F.col("_range")))
 
     inside = Window.partitionBy(*keys, "_r").orderBy("_v")
     cum = F.col("_before") + F.sum("_c").over(inside.rowsBetween(Window.unboundedPreceding, 0))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions.floats import INF
 from tideline.operators.slices import SERIES
-from tideline.shared import stored
+from tideline.shared import expanded, stored
 
 #: Cuts between ranges, and the accuracy of the sketch they come from.
 CUTS, ACCURACY = 15, 1000
@@ -109,13 +109,13 @@ def _interpolated(placed: DataFrame, held: DataFrame) -> DataFrame:
     """Read the wanted values and interpolate between the lower and the higher."""
     cut_value = held.filter("range % 2 = 1").groupBy(*SERIES, "range").agg(F.min("value").alias("value"))
     on_cut = placed.filter("range % 2 = 1").alias("p").join(
-        cut_value.alias("c"), _same("p", "c") & (F.col("p.range") == F.col("c.range"))
+        expanded(cut_value).alias("c"), _same("p", "c") & (F.col("p.range") == F.col("c.range"))
     )
     keys = [*SERIES, "stretch", "at", "until", "weight", "side"]
     plain = on_cut.select(*[f"p.{k}" for k in keys], "c.value")
 
     between = placed.filter("range % 2 = 0").alias("p").join(
-        held.filter("range % 2 = 0").alias("h"),
+        expanded(held.filter("range % 2 = 0")).alias("h"),
         _same("p", "h")
         & (F.col("p.stretch") == F.col("h.stretch"))
         & (F.col("p.range") == F.col("h.range"))
