@@ -5,6 +5,7 @@ from datetime import datetime
 import pytest
 
 from checks import all_queries
+from tideline.operators.relabel import Rule, relabel
 
 QUERIES = all_queries()[0]
 
@@ -29,3 +30,16 @@ def plan(df):
 def test_repeated_rows_are_not_broadcast(spark, tables, name):
     """Spark takes rows repeated per evaluation for as few as before, and sent them through the driver."""
     assert "BroadcastHashJoin" not in plan(QUERIES[name](spark, tables))
+
+
+def test_work_of_a_rule_chain_grows_with_its_rules(spark):
+    """The map of one rule is formed once, not in each of its uses by later rules and filters."""
+
+    def uses(n):
+        rules = [Rule("replace", ("a", f"t{i}"), "(.*);(.*)", "$1$2", f"t{i + 1}") for i in range(n)]
+        rows = spark.createDataFrame([(1, {"a": "x", "t0": "y"}), (2, {"a": "z"})], "k long, labels map<string,string>")
+        return relabel(rows, [*rules, Rule("drop", (f"t{n}",), "z.*")])
+
+    assert {r.k: r.labels for r in uses(3).collect()} == {1: {"a": "x", "t0": "y", "t1": "xy", "t2": "xxy", "t3": "xxxy"}}
+    found = [uses(n)._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract") for n in (2, 4)]
+    assert found[1] == 2 * found[0]

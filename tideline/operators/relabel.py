@@ -60,10 +60,19 @@ def _named(df: DataFrame) -> bool:
 
 def _set(df: DataFrame, name: str, value: Column, when: Column) -> DataFrame:
     if name == "__name__" and _named(df):
-        return df.withColumn("metric", F.when(when, value).otherwise(F.col("metric")))
+        return df.withColumn("metric", _settled(F.when(when, value).otherwise(F.col("metric"))))
     changed = merge_labels(F.col("labels"), F.create_map(F.lit(name), value))
     # An empty result deletes the label.
-    return df.withColumn("labels", clean_labels(F.when(when, changed).otherwise(F.col("labels"))))
+    return df.withColumn("labels", _settled(clean_labels(F.when(when, changed).otherwise(F.col("labels")))))
+
+
+def _settled(value: Column) -> Column:
+    """A value behind a generator, so that it is formed once.
+
+    Catalyst would inline the map of one rule into each of its uses by the next, and filters into the
+    maps below them: the work of a chain would double with every rule.
+    """
+    return F.explode(F.array(value))
 
 
 def apply_rule(df: DataFrame, rule: Rule) -> DataFrame:
@@ -99,7 +108,7 @@ def _labelmap(df: DataFrame, rule: Rule) -> DataFrame:
     kept = F.filter(
         copies, lambda e, i: ~F.exists(F.slice(copies, i + 2, F.size(copies)), lambda o: o["key"] == e["key"])
     )
-    return df.withColumn("labels", merge_labels(F.col("labels"), F.map_from_entries(kept)))
+    return df.withColumn("labels", _settled(merge_labels(F.col("labels"), F.map_from_entries(kept))))
 
 
 def relabel(df: DataFrame, rules: list[Rule]) -> DataFrame:
