@@ -3,9 +3,11 @@
 from datetime import datetime
 
 import pytest
+from pyspark.sql import Row
 
 from checks import all_queries
 from tideline.operators.relabel import Rule, relabel
+from tideline.streaming.alerts import HoldProcessor
 
 QUERIES = all_queries()[0]
 
@@ -43,3 +45,34 @@ def test_work_of_a_rule_chain_grows_with_its_rules(spark):
     assert {r.k: r.labels for r in uses(3).collect()} == {1: {"a": "x", "t0": "y", "t1": "xy", "t2": "xxy", "t3": "xxxy"}}
     found = [uses(n)._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract") for n in (2, 4)]
     assert found[1] == 2 * found[0]
+
+
+class Store:
+    """A state variable and the timers of one key, counting what is asked of it."""
+
+    def __init__(self):
+        self.rows, self.calls, self.timers = [], 0, []
+
+    def get(self):
+        self.calls += 1
+        return iter(self.rows)
+
+    def appendList(self, rows):
+        self.calls, self.rows = self.calls + 1, self.rows + rows
+
+    def appendValue(self, row):
+        self.appendList([row])
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.append(at)
+
+
+def test_an_alert_instance_has_one_timer(folder):
+    """However many evaluations wait, as a timer each made the state machine run for each."""
+    machine, store = HoldProcessor(3_600_000, 60_000), Store()
+    machine.handle = machine.waiting = store
+    rows = [Row(alert="a", series_id="s", at_ms=60_000 * i) for i in (3, 1, 2, *range(1, 500))]
+    assert list(machine.handleInputRows(("a", "s"), iter(rows), None)) == []
+    assert store.timers == [60_000] and store.calls == 3
+    assert [at for at, in store.rows] == [60_000 * i for i in range(1, 500)]

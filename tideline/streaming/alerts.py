@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -35,21 +35,22 @@ class HoldProcessor(StatefulProcessor):
         self.run = handle.getValueState("run", "since long, last long, fired boolean")
         self.waiting = handle.getListState("waiting", "at long")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         known = {row[0] for row in self.waiting.get()}
-        for frame in rows:
-            for at in frame["at_ms"].tolist():
-                if at not in known:
-                    known.add(at)
-                    self.waiting.appendValue((at,))
-                    self.handle.registerTimer(at)
+        new = sorted({row.at_ms for row in rows} - known)
+        if new:
+            self.waiting.appendList([(at,) for at in new])
+            # One timer for all that waits: it takes whatever is due and registers the next.
+            if not known or new[0] < min(known):
+                self.handle.registerTimer(new[0])
         return iter([])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs()
         waiting = sorted(row[0] for row in self.waiting.get())
         due = [at for at in waiting if at <= now]
-        since, last, fired = self.run.get() if self.run.exists() else (None, None, False)
+        before = self.run.get()
+        since, last, fired = before or (None, None, False)
         out = []
         for at in due:
             if last is not None and at <= last:
@@ -70,17 +71,19 @@ class HoldProcessor(StatefulProcessor):
             if fired:
                 out.append((*key, "resolved", last + self.step_ms, since))
             since = last = None
-        if len(due) < len(waiting):
-            self.waiting.put([(at,) for at in waiting if at > now])
-        else:
-            self.waiting.clear()
+        left = waiting[len(due) :]
+        if due:
+            self.waiting.put([(at,) for at in left]) if left else self.waiting.clear()
         if last is None:
-            self.run.clear()
+            if before:
+                self.run.clear()
         else:
             self.run.update((since, last, fired))
-            self.handle.registerTimer(last + self.step_ms + 1)
-        if out:
-            yield pd.DataFrame(out, columns=["alert", "series_id", "event", "at_ms", "since_ms"])
+        ends = [] if last is None else [last + self.step_ms + 1]
+        if left or ends:
+            self.handle.registerTimer(min(left[:1] + ends))
+        for event in out:
+            yield Row(**dict(zip(("alert", "series_id", "event", "at_ms", "since_ms"), event, strict=True)))
 
     def close(self) -> None:
         pass
@@ -96,7 +99,7 @@ def stream_alerts(active: DataFrame, hold, step, lateness: str = "0 seconds") ->
     rows = (active if marked else active.withWatermark("ts", lateness)).select(
         "alert", "series_id", "ts", F.unix_millis("ts").alias("at_ms")
     )
-    events = rows.groupBy("alert", "series_id").transformWithStateInPandas(
+    events = rows.groupBy("alert", "series_id").transformWithState(
         HoldProcessor(micros(hold) // 1000, micros(step) // 1000), EVENTS, "Append", "eventTime"
     )
     return events.select(
