@@ -7,13 +7,14 @@ lookback, so results do not depend on how the input is cut into micro-batches.
 
 from __future__ import annotations
 
+import math
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from datetime import datetime, timedelta, timezone
 
-import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -24,6 +25,10 @@ from tideline.operators.select import Selector, any_of
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
+#: Samples of a key that a task holds before they are appended to its state.
+PORTION = 10_000
+
 
 class TickProcessor(StatefulProcessor):
     """Evaluations ``start + j * step`` of one key, from its samples ``(x, value)``.
@@ -44,19 +49,24 @@ class TickProcessor(StatefulProcessor):
     def _register(self, j: int) -> None:
         self.handle.registerTimer(-(-(self.start + j * self.step) // 1000))
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        first = None
-        for frame in rows:
-            points = list(zip(frame["x"].tolist(), frame["value"].tolist(), strict=True))
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        first, points = None, []
+        for row in rows:
+            points.append((row.x, math.nan if row.value is None else row.value))
+            first = row.x if first is None else min(first, row.x)
+            if len(points) == PORTION:
+                self.waiting.appendList(points)
+                points = []
+        if points:
             self.waiting.appendList(points)
-            first = min([x for x, _ in points] + ([] if first is None else [first]))
         if first is not None:
             self._register(0 if self.absent and not self.run.exists() else max(0, -((self.start - first) // self.step)))
         return iter([])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         final = (timerValues.getCurrentWatermarkInMs() * 1000 - self.start) // self.step
-        j, known, x, value = self.run.get() if self.run.exists() else (-1, False, 0, 0.0)
+        before = self.run.get()
+        j, known, x, value = before or (-1, False, 0, 0.0)
         if j >= final:
             return
         points = sorted(self.waiting.get())
@@ -89,13 +99,13 @@ class TickProcessor(StatefulProcessor):
             self.run.update((j, known, x, value))
             self._register(j + 1)
         else:
-            self.run.clear()
+            if before:
+                self.run.clear()
             if at < len(points):
                 self._register(-((self.start - points[at][0]) // self.step))
-        if found:
-            out = pd.DataFrame(found, columns=["us", "value"])
-            names = {name: part for name, part in zip(("metric", "series_id"), key, strict=False)}
-            yield out.assign(**names, ts=pd.to_datetime(out["us"], unit="us"))[[*names, "ts", "value"]]
+        names = dict(zip(("metric", "series_id"), key, strict=False))
+        for us, value in found:
+            yield Row(**names, ts=EPOCH + timedelta(microseconds=us), value=None if value != value else value)
 
     def close(self) -> None:
         pass
@@ -110,7 +120,7 @@ def stream_instants(samples: DataFrame, start, step, lookback="5m", lateness: st
     rows = samples.withWatermark("ts", lateness).select(
         F.coalesce("metric", F.lit("")).alias("metric"), "series_id", "ts", F.unix_micros("ts").alias("x"), "value"
     )
-    found = rows.groupBy("metric", "series_id").transformWithStateInPandas(
+    found = rows.groupBy("metric", "series_id").transformWithState(
         TickProcessor(micros(start), micros(step), micros(lookback)),
         "metric string, series_id string, ts timestamp, value double",
         "Append",
@@ -140,7 +150,7 @@ def stream_absent(
     ticks = steps.select(
         F.lit("").alias("key"), F.window_time("w").alias("at"), F.coalesce("x", before).alias("x"), F.lit(1.0).alias("value")
     )
-    found = ticks.groupBy("key").transformWithStateInPandas(
+    found = ticks.groupBy("key").transformWithState(
         TickProcessor(micros(start), width, micros(lookback), absent=True),
         "metric string, ts timestamp, value double",
         "Append",
