@@ -30,7 +30,7 @@ from tideline.model import Grid, label, rekey
 from tideline.operators import rangefn as R
 from tideline.operators import select as P
 from tideline.operators import vector as A
-from tideline.operators.aggregate import agg
+from tideline.operators.aggregate import agg, merged
 from tideline.operators.matching import binop
 from tideline.shared import expanded
 
@@ -208,7 +208,7 @@ for _name, _grid in (("61s", ODD), ("7m", SEVEN)):
     query(
         f"r15_sum_over_time_step_{_name}",
         f"WITH {GAUGE}, {_on(_grid, 's', DAY)} SELECT type, {_tick(_grid)}, round(sum(value), 4) AS value FROM w GROUP BY type, j",
-    )(lambda t, g=_grid: out(agg(R.over_time(t.gauge, "sum", "1d", g), "sum", ["type"]), "type", digits=4))
+    )(lambda t, g=_grid: out(agg(R.over_time(merged(t.gauge, ["type"]), "sum", "1d", g), "sum", ["type"]), "type", digits=4))
     query(
         f"r15_increase_step_{_name}",
         f"WITH {COUNTER}, {_on(_grid, 's', DAY)}, c AS (SELECT type, j, us, value, lag(value) OVER (PARTITION BY type, j ORDER BY us) AS pv FROM w)"

@@ -1,11 +1,15 @@
 """Plans and rows of queries that stopped on larger tables."""
 
+import math
 from datetime import datetime
 
 import pytest
 from pyspark.sql import Row
 
 from checks import all_queries
+from tideline.model import Grid, vector
+from tideline.operators import rangefn as R
+from tideline.operators.aggregate import agg, merged
 from tideline.operators.relabel import Rule, relabel
 from tideline.streaming.alerts import HoldProcessor
 
@@ -76,3 +80,27 @@ def test_an_alert_instance_has_one_timer(folder):
     assert list(machine.handleInputRows(("a", "s"), iter(rows), None)) == []
     assert store.timers == [60_000] and store.calls == 3
     assert [at for at, in store.rows] == [60_000 * i for i in range(1, 500)]
+
+
+@pytest.mark.parametrize("step", ["61s", "7m", "1h"])
+def test_sums_of_merged_series_equal_sums_of_series(spark, step):
+    """Also where samples of several series lie on the same edge of a window; null and NaN too."""
+    start = datetime(2024, 1, 1)
+    grid = Grid.of(start, datetime(2024, 1, 1, 6), step)
+    at = [(j * grid.step * (1 + i % 2)) // 1000 * 1000 for i in range(3) for j in range(12)]
+    rows = [({"type": "ab"[n % 2], "usr": str(n)}, grid.start + x + 1_000_000 * (n % 4), float(n) if n % 9 else None) for n, x in enumerate(at)]
+    rows += [({"type": t, "usr": f"u{u}"}, grid.start + 3 * grid.step, float(u)) for t in "ab" for u in range(7)]
+    rows.append(({"type": "c", "usr": "1"}, grid.start + 5 * grid.step, math.nan))
+    v = spark.createDataFrame(rows, "labels map<string,string>, us long, value double").selectExpr("labels", "timestamp_micros(us) AS ts", "value")
+    v = vector(v, "m")
+
+    def sums(x):
+        found = agg(R.over_time(x, "sum", "2h", grid), "sum", ["type"])
+        return {(r.labels["type"], r.ts): r.value for r in found.collect()}
+
+    each, once = sums(v), sums(merged(v, ["type"]))
+    assert each.keys() == once.keys()
+    for key in each:
+        assert once[key] == pytest.approx(each[key], rel=1e-12, nan_ok=True), key
+    groups = merged(v, ["type"]).select("series_id").distinct().collect()
+    assert sorted(g.series_id for g in groups) == ['{"type":"a"}', '{"type":"b"}', '{"type":"c"}']

@@ -42,6 +42,16 @@ def agg(v: DataFrame, how: str, by: list[str] | None = None, q: float | None = N
     )
 
 
+def merged(v: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """The series of a group added up at every instant of a sample, before any window is formed.
+
+    A sum over windows adds up in any order, so ``agg(over_time(v, "sum", ...), "sum", by)`` has equal rows
+    on ``merged(v, by)``, where a window is formed once per group and not once per series.  Samples of one
+    instant become one, as windows expect of a series.
+    """
+    return agg(v, "sum", by)
+
+
 def topk(v: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:
     """The ``k`` largest samples per instant, ties broken by series; labels stay."""
     value = F.when(~F.isnan("value"), F.col("value"))
