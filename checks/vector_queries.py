@@ -392,7 +392,7 @@ SEASON = (
     f"WITH {SEASON} SELECT type, {T}, round(value, 4) AS value FROM v JOIN q USING (type, j) WHERE value < 0.9 * m",
 )
 def _(t):
-    daily = G.agg(R.over_time(t.gauge, "sum", "1d", HOURLY), "sum", ["type"])
+    daily = G.agg(R.over_time(G.merged(t.gauge, ["type"]), "sum", "1d", HOURLY), "sum", ["type"])
     earlier = {d: R.offset(daily, d) for d in ("1d", "3d", "5d", "7d")}
     return out(G.seasonal_low(daily, earlier, ["type"], 0.9), "type", digits=4)
 
