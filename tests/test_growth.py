@@ -10,6 +10,7 @@ from checks import all_queries
 from tideline.model import Grid, vector
 from tideline.operators import rangefn as R
 from tideline.operators.aggregate import agg, merged
+from tideline.operators.panels import null_as_zero
 from tideline.operators.relabel import Rule, relabel
 from tideline.streaming.alerts import HoldProcessor
 
@@ -104,3 +105,23 @@ def test_sums_of_merged_series_equal_sums_of_series(spark, step):
         assert once[key] == pytest.approx(each[key], rel=1e-12, nan_ok=True), key
     groups = merged(v, ["type"]).select("series_id").distinct().collect()
     assert sorted(g.series_id for g in groups) == ['{"type":"a"}', '{"type":"b"}', '{"type":"c"}']
+
+
+def test_null_as_zero_between_samples_off_and_on_the_grid(spark):
+    grid = Grid(1_000_000_000, 1_000_000_000 + 5 * 60_000_000, 60_000_000)
+    at = [grid.start + j * grid.step for j in range(6)]
+    points = {
+        "on": {at[0]: 1.0, at[3]: 2.0, at[5]: None},
+        "off": {at[1] + 7: 3.0, at[1] + 9: 4.0, at[4]: 5.0},
+        "out": {at[0] - 90_000_000: 6.0, at[5] + 1: 7.0},
+        "none": {None: 8.0, at[2]: 9.0},
+    }
+    rows = [({"s": s}, us, x) for s, found in points.items() for us, x in found.items()] * 2
+    rows.append(({"s": "on"}, at[3], -1.0))  # of one instant the largest counts
+    v = spark.createDataFrame(rows, "labels map<string,string>, us long, value double").selectExpr("labels", "timestamp_micros(us) AS ts", "value")
+    found = null_as_zero(vector(v, "m"), grid)
+    got = sorted(((r.labels["s"], r.us or -1, r.value) for r in found.selectExpr("labels", "unix_micros(ts) AS us", "value").collect()))
+    want = {(s, us or -1): x or 0.0 for s, values in points.items() for us, x in {**dict.fromkeys(at), **values}.items()}
+    assert got == sorted((*key, x) for key, x in want.items())
+    below = found._jdf.queryExecution().executedPlan().toString().split("Generate explode(sequence")[-1]
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1 and "Exchange" in below

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.functions.templates import render_text
-from tideline.model import COLUMNS, Grid, label, labels_of
+from tideline.model import COLUMNS, LABELS, Grid, label
 from tideline.operators.vector import neg
 
 
@@ -112,18 +112,53 @@ def hide_all(v: DataFrame, what: str) -> DataFrame:
 
 
 def null_as_zero(v: DataFrame, grid: Grid) -> DataFrame:
-    """Every series at every instant, zero where it has no sample."""
-    series = v.select("metric", "series_id").distinct()
-    tick = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(grid.last).cast("bigint")))
-    ts = F.timestamp_micros(F.lit(grid.start) + F.col("j") * F.lit(grid.step))
-    zeros = series.withColumn("j", tick).select(
-        "metric", "series_id", ts.alias("ts"), F.lit(None).cast("double").alias("value")
+    """Every series at every instant, zero where it has no sample.
+
+    Only samples are shuffled and sorted; the instants between two of a series are made where the samples
+    lie, and labels are read once per sample.
+    """
+    # Dealt by series first, so that samples of one instant and the order within a series need no other shuffle.
+    dealt = v.select("metric", "series_id", "ts", "value").repartition("series_id")
+    best = dealt.groupBy("metric", "series_id", "ts").agg(F.max("value").alias("value"))
+    by_series = "OVER (PARTITION BY metric, series_id ORDER BY ts)"
+    us, step = f"(unix_micros(ts) - {grid.start})", f"{grid.step}L"
+    upto = f"(({us} - pmod({us}, {step})) div {step})"  # last instant that is not after a sample
+    before = f"({upto} - CASE WHEN pmod({us}, {step}) = 0 THEN 1L ELSE 0L END)"
+    placed = best.selectExpr(
+        "metric",
+        "series_id",
+        "ts",
+        "coalesce(value, 0D) AS value",
+        f"greatest(coalesce({upto}, -1L) + 1, 0L) AS after",
+        f"least(coalesce({before}, -1L), {grid.last}L) AS until",
+    ).selectExpr(
+        "metric",
+        f"from_json(series_id, '{LABELS}') AS labels",
+        "series_id",
+        "ts",
+        "value",
+        "after",
+        "until",
+        f"lead(until, 1, {grid.last}L) {by_series} AS next",
+        f"row_number() {by_series} = 1 AS is_first",
+    )
+    # the sample itself, the instants after it, and for the first sample those before it
+    parts = (
+        "explode(array(named_struct('own', true, 'low', 0L, 'high', 0L),"
+        " named_struct('own', false, 'low', after, 'high', next),"
+        " named_struct('own', false, 'low', 0L, 'high', CASE WHEN is_first THEN until ELSE -1L END))) AS p"
+    )
+    spans = placed.selectExpr("metric", "labels", "series_id", "ts", "value", parts).filter("p.low <= p.high")
+    cells = spans.selectExpr(
+        "metric", "labels", "series_id", "ts", "value", "p.own AS own", "explode(sequence(p.low, p.high)) AS j"
     )
-    both = v.select("metric", "series_id", "ts", "value").unionByName(zeros)
-    filled = both.groupBy("metric", "series_id", "ts").agg(
-        F.coalesce(F.max("value"), F.lit(0.0)).alias("value")
+    return cells.selectExpr(
+        "metric",
+        "labels",
+        "series_id",
+        f"CASE WHEN own THEN ts ELSE timestamp_micros({grid.start} + j * {grid.step}) END AS ts",
+        "CASE WHEN own THEN value ELSE 0D END AS value",
     )
-    return filled.withColumn("labels", labels_of("series_id")).select(*COLUMNS)
 
 
 def series_total(v: DataFrame, by: list[str]) -> DataFrame:
