@@ -10,6 +10,7 @@ from checks import all_queries
 from tideline.model import Grid, vector
 from tideline.operators import rangefn as R
 from tideline.operators.aggregate import agg, merged
+from tideline.operators.joins import _covered
 from tideline.operators.panels import null_as_zero
 from tideline.operators.relabel import Rule, relabel
 from tideline.streaming.alerts import HoldProcessor
@@ -125,3 +126,15 @@ def test_null_as_zero_between_samples_off_and_on_the_grid(spark):
     assert got == sorted((*key, x) for key, x in want.items())
     below = found._jdf.queryExecution().executedPlan().toString().split("Generate explode(sequence")[-1]
     assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1 and "Exchange" in below
+
+
+def test_polls_of_two_buckets_take_one_level(spark):
+    """A point has a row per level, so polls of two buckets that start at even ones take no level of their own."""
+    day = 86_400
+    polls = spark.createDataFrame([(1, i * day, (i + 1) * day) for i in range(9)] + [(1, 20 * day, 27 * day)], "node long, s long, e long")
+    polls = polls.selectExpr("node", "timestamp_seconds(s) AS tstart", "timestamp_seconds(e) AS tend")
+    found = [(r._s.timestamp(), r._l, r._b) for r in _covered(polls, "1d", "node").collect()]
+    assert {l for s, l, _ in found if s < 20 * day} == {0}
+    assert sorted((l, b) for s, l, b in found if s == 20 * day) == [(2, 5), (2, 6)]
+    for i in range(9):
+        assert sorted(b for s, _, b in found if s == i * day) == [i, i + 1]

@@ -93,7 +93,7 @@ LEVELS = 40
 
 
 def _covered(polls: DataFrame, width, key: str, extra: list[str] | None = None) -> DataFrame:
-    """Polls cut into the fewest dyadic stretches ``(_l, _b)`` of buckets, at most two per level.
+    """Polls cut into dyadic stretches ``(_l, _b)`` of buckets, at most two per level (and six of level 0).
 
     A stretch belongs to the cover if it lies in the poll and the one twice as long around it does not.
     """
@@ -111,7 +111,12 @@ def _covered(polls: DataFrame, width, key: str, extra: list[str] | None = None)
         "named_struct('l', n, 'b', shiftright(_hi + 1, n) - 1, 'odd', 0)),"
         " x -> shiftright(_lo + shiftleft(1L, n) - 1, n) <= shiftright(_hi + 1, n) - 1 AND pmod(x.b, 2) = x.odd)))"
     )
-    return spread.select("_key", "_s", "_e", *(extra or []), F.explode(cover).alias("_c")).select(
+    # Two buckets are listed singly: points then need no row of their own for level 1, and polls two more at most.
+    single = F.transform(F.array(F.lit(0), F.lit(1)), lambda i: F.struct(F.lit(0).alias("l"), (2 * F.col("_c.b") + i).alias("b")))
+    whole = F.array(F.struct(F.col("_c.l").alias("l"), F.col("_c.b").alias("b")))
+    cells = spread.select("_key", "_s", "_e", *(extra or []), F.explode(cover).alias("_c"))
+    split = F.explode(F.when(F.col("_c.l") == 1, single).otherwise(whole)).alias("_c")
+    return cells.select("_key", "_s", "_e", *(extra or []), split).select(
         "_key", "_s", "_e", *(extra or []), F.col("_c.l").alias("_l"), F.col("_c.b").alias("_b")
     )
 
