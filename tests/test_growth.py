@@ -11,6 +11,7 @@ from tideline.model import Grid, vector
 from tideline.operators import rangefn as R
 from tideline.operators.aggregate import agg, merged
 from tideline.operators.joins import _covered
+from tideline.operators.matching import binop
 from tideline.operators.panels import null_as_zero
 from tideline.operators.relabel import Rule, relabel
 from tideline.streaming.alerts import HoldProcessor
@@ -138,3 +139,18 @@ def test_polls_of_two_buckets_take_one_level(spark):
     assert sorted((l, b) for s, l, b in found if s == 20 * day) == [(2, 5), (2, 6)]
     for i in range(9):
         assert sorted(b for s, _, b in found if s == i * day) == [i, i + 1]
+
+
+def test_sides_of_an_operator_meet_in_one_aggregation(spark, tables):
+    """Rows repeated per evaluation were aggregated on both sides, sorted and joined."""
+    found = plan(QUERIES["a4_binop_one_to_one"](spark, tables))
+    assert "Join" not in found
+
+    rows = [("m", "{}", 1, 4.0), ("m", "{}", 2, None), ("m", None, 1, 1.0), ("m", "{}", None, 1.0), ("m", "x", 1, 8.0)]
+    left = spark.createDataFrame(rows, "metric string, series_id string, ts int, value double")
+    right = spark.createDataFrame([(None, *r[1:3], 2.0) for r in rows[:4]], left.schema)
+    for op, want in (("/", {(None, 1, 2.0), (None, 2, None)}), (">", {("m", 1, 4.0)})):
+        assert {(r.metric, r.ts, r.value) for r in binop(op, left, right).collect()} == want
+    assert binop("+", left.where("series_id = 'x'").unionByName(left.where("value = 4")), right).count() == 1  # without a partner, no error
+    with pytest.raises(Exception, match="share one match key"):
+        binop("+", left.unionByName(left), right).collect()

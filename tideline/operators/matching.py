@@ -28,25 +28,28 @@ def keyed(v: DataFrame, on: list[str] | None, ignoring: list[str] | None):
     return v.withColumn("_key", F.col("series_id")), ["ts", "_key"]
 
 
-def _counted(v: DataFrame, keys: list[str], side: str, named: bool) -> DataFrame:
-    """One row per key with the number of its series.
+def _paired(left: DataFrame, right: DataFrame, keys: list[str], named: bool) -> DataFrame:
+    """Values ``l`` and ``r`` per key of both sides; where a key has a partner, a second series
+    under it is an error, not a choice.
 
-    The aggregation has the join's keys, so it adds no shuffle.
+    Both sides meet in one aggregation: nothing is joined, and rows repeated per evaluation are
+    neither sorted nor shuffled a second time for it.
     """
-    wanted = [F.count(F.lit(1)).alias(f"{side}_n"), F.first("value").alias(side)]
+    carried = [*keys, "value", "metric"] if named else [*keys, "value"]
+    both = left.select(*carried, F.lit(True).alias("_left")).unionByName(
+        right.select(*carried, F.lit(False).alias("_left"))
+    )
+    both = both.dropna(subset=keys)  # a missing key has no partner
+    ours, theirs = F.col("_left"), ~F.col("_left")
+    wanted = [F.count_if(ours).alias("l_n"), F.count_if(theirs).alias("r_n")]
+    wanted += [F.first(F.when(side, F.col("value")), ignorenulls=True).alias(x) for side, x in ((ours, "l"), (theirs, "r"))]
     if named:
-        wanted.append(F.first("metric").alias("_metric"))
-    return v.groupBy(*keys).agg(*wanted)
-
-
-def _paired(left: DataFrame, right: DataFrame, keys: list[str], named: bool) -> DataFrame:
-    """Values ``l`` and ``r`` per key of both sides; where a key has a partner, a second series
-    under it is an error, not a choice."""
-    joined = _counted(left, keys, "l", named).join(expanded(_counted(right, keys, "r", False)), keys)
+        wanted.append(F.first(F.when(ours, F.col("metric")), ignorenulls=True).alias("_metric"))
+    met = both.groupBy(*keys).agg(*wanted).where("l_n > 0 AND r_n > 0")
     message = F.lit("several series share one match key")
     single = (F.col("l_n") == 1) & (F.col("r_n") == 1)
     checked = F.when(single, F.col("l")).otherwise(F.raise_error(message).cast("double"))
-    return joined.withColumn("l", checked).drop("l_n", "r_n")
+    return met.withColumn("l", checked).drop("l_n", "r_n")
 
 
 def binop(
@@ -64,7 +67,7 @@ def binop(
     left, keys = keyed(a, on, ignoring)
     right, _ = keyed(b, on, ignoring)
     filters = op in COMPARISONS and not as_bool
-    joined = _paired(left, right, keys, named=filters)
+    met = _paired(left, right, keys, named=filters)
     lv, rv = F.col("l"), F.col("r")
     name = F.lit(None).cast("string")
     if op not in COMPARISONS:
@@ -72,14 +75,14 @@ def binop(
     elif as_bool:
         value = ieee_compare(op, lv, rv).cast("double")
     else:
-        joined, value = joined.filter(ieee_compare(op, lv, rv)), lv
+        met, value = met.filter(ieee_compare(op, lv, rv)), lv
         name = F.col("_metric")
     if on is None:
         series, labels = F.col("_key"), labels_of("_key")
     else:
         labels = label_map({x: F.col(n) for x, n in zip(on, keys[1:])})
         series = label_key(labels)
-    return joined.select(
+    return met.select(
         name.alias("metric"),
         labels.alias("labels"),
         series.alias("series_id"),
