@@ -109,6 +109,25 @@ def test_budgets_of_texts_without_blanks_take_linear_steps(library):
         assert table.total == count(library, text)
 
 
+def test_texts_over_the_limit_are_read_once(library):
+    """A text over the limit was cut and looked up twice, and remembered pieces held a count per character."""
+    own = token_counts.PrefixCounter(public_tokenizers.path(token_counts.VOCABULARY))
+    pattern, read = own.chunks, []
+
+    class Seen:
+        def findall(self, text):
+            read.append(len(text))
+            return pattern.findall(text)
+
+    own.chunks = Seen()
+    for text in ("some words, here. " * 500, "some words<|endoftext|> here. " * 500):
+        read.clear()
+        n, fit = own.measure(text, 512)
+        assert n == count(library, text) and count(library, text[:fit]) <= 512 < count(library, text[: fit + 1])
+        assert sum(read) < 1.1 * len(text)
+    assert own.piece and all(isinstance(n, int) for n in own.piece.values())
+
+
 def test_memos_are_bounded_by_bytes():
     made = []
     memo = TextMemo(lambda key: made.append(key) or key * 2, limit=5000)

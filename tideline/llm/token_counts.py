@@ -11,8 +11,7 @@ bounded by the bytes of two generations of the memo and one text.
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import accumulate
 
 import pandas as pd
@@ -41,7 +40,10 @@ class PrefixCounter:
         self.total = TextMemo(self._total, CHUNKS)
 
     def _total(self, chunk: str) -> int:
-        return sum(self.piece[piece][-1] for piece in self.split.findall(chunk))
+        return sum(map(self.piece.__getitem__, self.split.findall(chunk)))
+
+    def _piece(self, piece: str) -> int:
+        return self._by_byte(piece.encode().decode("latin-1"))[-1]
 
     def prefixes(self, text: str) -> list[int]:
         """Token counts of the prefixes of a text without special strings, one per character, after
@@ -51,13 +53,14 @@ class PrefixCounter:
             first = len(counts)
             for piece in self.split.findall(chunk):
                 base = counts[-1]
-                counts += [base + n for n in self.piece[piece]]
+                counts += [base + n for n in self._within(piece)]
             if before.isspace() and chunk[0].isspace():  # cut there, both are one run of white space
                 counts[first] = counts[first - 1 - len(before)] + self.total[before + chunk[0]]
             before = chunk
         return counts
 
-    def _piece(self, piece: str) -> list[int]:
+    def _within(self, piece: str) -> list[int]:
+        """Token counts of the prefixes of one match of the split pattern, one per character."""
         coded = piece.encode()
         counts = self._by_byte(coded.decode("latin-1"))
         if len(coded) > len(piece):
@@ -77,21 +80,28 @@ class PrefixCounter:
                 last[end], counts[end] = token, counts[start] + 1
         return counts
 
-    def parts(self, text: str) -> Iterator[tuple[int, str, bool]]:
-        """``(start, chunk, special)`` of a text in order."""
-        at = 0
-        for m in self.special.finditer(text) if self.special else ():
-            for c in self.chunks.finditer(text[at : m.start()]):
-                yield at + c.start(), c[0], False
-            yield m.start(), m[0], True
+    def parts(self, text: str) -> tuple[list[str], list[int]]:
+        """The chunks and special strings of a text in order, which leave out nothing, and the numbers
+        of tokens in each; special strings are marked by 0 tokens, but count as one."""
+        if self.special is None or not self.special.search(text):
+            chunks = self.chunks.findall(text)
+            return chunks, list(map(self.total.__getitem__, chunks))
+        parts, sizes, at = [], [], 0
+        for m in self.special.finditer(text):
+            chunks = self.chunks.findall(text[at : m.start()])
+            parts += [*chunks, m[0]]
+            sizes += [*map(self.total.__getitem__, chunks), 0]
             at = m.end()
-        for c in self.chunks.finditer(text[at:]):
-            yield at + c.start(), c[0], False
+        chunks = self.chunks.findall(text[at:])
+        return parts + chunks, sizes + list(map(self.total.__getitem__, chunks))
 
     def count(self, text: str) -> int:
-        if self.special is None or not self.special.search(text):
-            return sum(map(self.total.__getitem__, self.chunks.findall(text)))
-        return sum(1 if special else self.total[chunk] for _, chunk, special in self.parts(text))
+        return self.table(text).total
+
+    def measure(self, text: str, limit: int) -> tuple[int, int]:
+        """Tokens of a text, and characters of its longest prefix of at most ``limit`` tokens; one pass."""
+        table = self.table(text)
+        return table.total, table.fit(limit)
 
     def table(self, text: str) -> PrefixTable:
         return PrefixTable(self, text)
@@ -103,12 +113,14 @@ class PrefixTable:
 
     def __init__(self, counter: PrefixCounter, text: str):
         self.counter, self.text = counter, text
-        self.parts = list(counter.parts(text))
-        self.starts = [start for start, _, _ in self.parts]
-        sizes = (1 if special else counter.total[chunk] for _, chunk, special in self.parts)
-        self.before = [0, *accumulate(sizes)]
+        self.parts, self.sizes = counter.parts(text)
+        self.before = [0, *accumulate(n or 1 for n in self.sizes)]
         self.span, self.counts = (0, 0), [0]
 
+    @cached_property
+    def starts(self) -> list[int]:
+        return [0, *accumulate(map(len, self.parts))]
+
     @property
     def total(self) -> int:
         return self.before[-1]
@@ -126,17 +138,17 @@ class PrefixTable:
         if chars >= len(self.text):
             return self.total
         k = bisect_right(self.starts, chars - 1) - 1
-        start, chunk, special = self.parts[k]
-        stop = start + len(chunk)
-        if special:
+        chunk, start, stop = self.parts[k], self.starts[k], self.starts[k + 1]
+        after_text = k > 0 and self.sizes[k - 1] > 0
+        if not self.sizes[k]:
             if chars == stop:
                 return self.before[k + 1]
-            if k and not self.parts[k - 1][2]:  # a cut special string is text and joins what stands before
+            if after_text:  # a cut special string is text and joins what stands before
                 k -= 1
-                start = self.parts[k][0]
+                start = self.starts[k]
             return self.before[k] + self._within(start, stop, chars)
-        if chars == start + 1 and k and not self.parts[k - 1][2] and chunk[0].isspace() and self.parts[k - 1][1].isspace():
-            return self.before[k - 1] + self.counter.total[self.parts[k - 1][1] + chunk[0]]  # one run of white space
+        if chars == start + 1 and after_text and chunk[0].isspace() and self.parts[k - 1].isspace():
+            return self.before[k - 1] + self.counter.total[self.parts[k - 1] + chunk[0]]  # one run of white space
         return self.before[k] + self._within(start, stop, chars)
 
     def fit(self, budget: int) -> int:
@@ -145,8 +157,7 @@ class PrefixTable:
             return len(self.text)
         k = bisect_right(self.before, budget) - 1
         # A longer prefix can have fewer tokens, but only inside a chunk and the special string after it.
-        end = min(len(self.parts), k + 2)
-        stop = self.parts[end][0] if end < len(self.parts) else len(self.text)
+        stop = self.starts[min(len(self.parts), k + 2)]
         return next((p for p in range(stop, self.starts[k], -1) if self.at(p) <= budget), self.starts[k])
 
 
@@ -167,11 +178,7 @@ def count_tokens(df: DataFrame, limit: int = LIMIT, text: str = "text", vocabula
     @F.pandas_udf("n_tokens long, fit_chars long")
     def measure(texts: pd.Series) -> pd.DataFrame:
         own = counter(path)
-        rows = []
-        for value in texts:
-            value = value or ""
-            n = own.count(value)
-            rows.append((n, len(value) if n <= limit else own.table(value).fit(limit)))
+        rows = [own.measure(value or "", limit) for value in texts]
         return pd.DataFrame(rows, columns=["n_tokens", "fit_chars"])
 
     made = ["n_bytes", "n_tokens", "over_limit", "fit_chars"]
