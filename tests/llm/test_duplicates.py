@@ -172,3 +172,21 @@ def test_order_of_shingles_changes_no_result(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "PARTS", 2)
     monkeypatch.setattr(jaccard, "HOT", -(10**6))
     assert sorted(map(str, jaccard.join(df.select(F.col("doc_id"), "text")).collect())) == one
+
+
+def test_signing_takes_one_worker_a_task(spark):
+    """Class numbers came from a pandas function behind the one that signs: two workers a task, each with pandas."""
+    rows = [(i, t) for i, t in enumerate(["a b c d e f g h", "a b c d e f g h", "x y", "", None])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for made in (jaccard.join(df), jaccard.keep_one(df)):
+        assert "ArrowEvalPython" not in made._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.doc_id for r in jaccard.keep_one(df).collect()) == [0, 2, 3, 4]
+
+
+def test_another_salt_gives_other_class_numbers(spark):
+    rows = spark.createDataFrame([("a b", 1), ("a b", 2), ("c", 3)], "text string, doc_id long")
+    signed = jaccard.with_sets(jaccard.hashed_words(rows, "text", ["doc_id"])).where("part is null").drop("own", "part")
+    first, other = ({r["__row"].doc_id: r.cid for r in x.collect()} for x in (signed, jaccard._renumbered(signed, 1)))
+    plain = {r["__row"].doc_id: r.cid for r in jaccard.signed(jaccard.hashed_words(rows, "text", ["doc_id"]), 1).collect()}
+    assert first[1] == first[2] != first[3] and other[1] == other[2] != other[3] and first[1] != other[1]
+    assert other == plain

@@ -96,24 +96,26 @@ def hashed_words(df: DataFrame, text: str, carry: list[str]) -> DataFrame:
     )
 
 
-def signed(rows: DataFrame) -> DataFrame:
-    """``__row, n, s1, s2`` of every row: the size and 128 bits of its set."""
+def signed(rows: DataFrame, salt: int) -> DataFrame:
+    """``__row, n, cid`` of every row: the size of its set and the number of its class."""
     kind = rows.schema["__row"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             for part in _parts(batch):
-                columns = map(pa.array, _signatures(shingle_sets(part.column("w"))))
-                yield pa.RecordBatch.from_arrays([part.column("__row"), *columns], names=["__row", "n", "s1", "s2"])
+                sizes, s1, s2 = _signatures(shingle_sets(part.column("w")))
+                columns = map(pa.array, (sizes, class_ids(sizes, s1, s2, salt)))
+                yield pa.RecordBatch.from_arrays([part.column("__row"), *columns], names=["__row", "n", "cid"])
 
-    return rows.mapInArrow(run, f"__row {kind}, n long, s1 long, s2 long")
+    return rows.mapInArrow(run, f"__row {kind}, n long, cid long")
 
 
 def with_sets(rows: DataFrame) -> DataFrame:
-    """As ``signed``, with the set itself in ``own`` for the first row of each class in a task; and
+    """``__row, n, s1, s2, cid`` of every row: the size and 128 bits of its set, and the number of its
+    class without salt; with the set itself in ``own`` for the first row of each class in a task; and
     from each task its counts of shingles by slot, in further rows ``part`` with bytes in ``own``."""
     kind = rows.schema["__row"].dataType.simpleString()
-    names = ["__row", "n", "s1", "s2", "own", "part"]
+    names = ["__row", "n", "s1", "s2", "cid", "own", "part"]
 
     def run(batches):
         done, counts, held, size, row = set(), np.zeros(SLOTS, np.uint8), [], 0, None
@@ -135,7 +137,8 @@ def with_sets(rows: DataFrame) -> DataFrame:
                         done.add(key)
                         held.append(values)
                         size += len(values)
-                made = [pa.array(sizes), pa.array(s1), pa.array(s2), pa.array(own, pa.binary()), pa.nulls(len(sets), pa.int32())]
+                numbers = map(pa.array, (sizes, s1, s2, class_ids(sizes, s1, s2, 0)))
+                made = [*numbers, pa.array(own, pa.binary()), pa.nulls(len(sets), pa.int32())]
                 yield pa.RecordBatch.from_arrays([part.column("__row"), *made], names=names)
                 if size >= STEP:
                     count()
@@ -144,11 +147,11 @@ def with_sets(rows: DataFrame) -> DataFrame:
             count()
         if row is not None:
             parts = counts.reshape(-1, ROW)
-            none = [pa.nulls(len(parts), row), *[pa.nulls(len(parts), pa.int64())] * 3]
+            none = [pa.nulls(len(parts), row), *[pa.nulls(len(parts), pa.int64())] * 4]
             made = [pa.array([p.tobytes() for p in parts], pa.binary()), pa.array(np.arange(len(parts), dtype=np.int32))]
             yield pa.RecordBatch.from_arrays([*none, *made], names=names)
 
-    return rows.mapInArrow(run, f"__row {kind}, n long, s1 long, s2 long, own binary, part int")
+    return rows.mapInArrow(run, f"__row {kind}, n long, s1 long, s2 long, cid long, own binary, part int")
 
 
 def _slot(shingles: np.ndarray) -> np.ndarray:
@@ -282,12 +285,12 @@ def needed_sets(sets: DataFrame, pairs: DataFrame, salt: int) -> DataFrame:
     bits = np.packbits(marked)
 
     def run(batches):
-        marked = np.unpackbits(bits).astype(bool)
-        for batch in batches:
-            cid = _numbers(batch, salt)
+        marked = np.unpackbits(bits).view(bool)
+        for part in (p for batch in batches for p in _parts(batch)):
+            cid = _numbers(part, salt)
             hit = pa.array(np.flatnonzero(marked[cid % MAP]))
             if len(hit):
-                yield pa.RecordBatch.from_arrays([pa.array(cid).take(hit), batch.column("own").take(hit)], names=["cid", "own"])
+                yield pa.RecordBatch.from_arrays([pa.array(cid).take(hit), part.column("own").take(hit)], names=["cid", "own"])
 
     found = sets.mapInArrow(run, "cid long, own binary")
     return stored(found.join(wanted, "cid", "left_semi").dropDuplicates(["cid"]), "needed")
@@ -305,8 +308,8 @@ def shared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def run(batches):
         pivot = None
-        for batch in batches:
-            a, b, kind, own = (batch.column(c).to_pylist() for c in ("a", "b", "kind", "own"))
+        for part in (p for batch in batches for p in _parts(batch)):  # sets of a part are copied, not of a batch
+            a, b, kind, own = (part.column(c).to_pylist() for c in ("a", "b", "kind", "own"))
             rows = []
             for x, y, k, raw in zip(a, b, kind, own, strict=True):
                 values = _unpacked(raw)
@@ -344,10 +347,10 @@ def _plausible(pairs: DataFrame, found: DataFrame, sizes: DataFrame, least: int)
 def _links(df: DataFrame, text: str, key: str, least: int):
     """Rows ``id, n, cid``, the component of every class, and the salt of the class numbers."""
     counted = stored(with_sets(hashed_words(df, text, [key])), "sets")
-    whole = counted.where(F.col("part").isNull()).select(F.col(f"__row.`{key}`").alias("id"), "n", "s1", "s2")
+    whole = counted.where(F.col("part").isNull()).select(F.col(f"__row.`{key}`").alias("id"), "n", "s1", "s2", "cid")
     salt = 0
     while True:  # class numbers of 64 bits; another salt in the unlikely case that two classes meet
-        numbered = whole.withColumn("cid", _class_column(salt))
+        numbered = _renumbered(whole, salt) if salt else whole
         classes = cut(numbered.groupBy("n", "s1", "s2", "cid").agg(F.min("id").alias("low")))
         if classes.groupBy("cid").count().where("count > 1").isEmpty():
             break
@@ -418,14 +421,15 @@ def _links(df: DataFrame, text: str, key: str, least: int):
     return numbered.select("id", "n", "cid"), named.join(lowest, "component").select("cid", "component", "component_id"), salt
 
 
-def _class_column(salt: int):
-    @F.pandas_udf("long")
-    def number(n, s1, s2):
-        import pandas as pd
+def _renumbered(rows: DataFrame, salt: int) -> DataFrame:
+    """``rows`` with class numbers of another salt."""
 
-        return pd.Series(class_ids(n.to_numpy(), s1.to_numpy(), s2.to_numpy(), salt))
+    def run(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index("cid")
+            yield batch.set_column(at, "cid", pa.array(_numbers(batch, salt)))
 
-    return number("n", "s1", "s2")
+    return rows.mapInArrow(run, rows.schema)
 
 
 def join(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
@@ -453,7 +457,7 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", least: int
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "cid")).alias("k")
     stay = rows.where("n > 0").join(named, "cid").groupBy("component").agg(first)
     stay = stored(stay.select(F.col("k.id").alias("__id"), F.col("k.cid").alias("__cid")), "stay")
-    again = signed(hashed_words(df, text, df.columns)).withColumn("cid", _class_column(salt)).select("__row", "n", "cid")
+    again = signed(hashed_words(df, text, df.columns), salt)
     kept = again.where("n > 0").join(stay, (F.col("cid") == F.col("__cid")) & F.col(f"__row.`{key}`").eqNullSafe(F.col("__id")))
     once = kept.dropDuplicates(["__cid", "__id"]).select("__row.*")
     return once.unionByName(again.where("n = 0").select("__row.*"))
