@@ -128,6 +128,15 @@ def test_texts_over_the_limit_are_read_once(library):
     assert own.piece and all(isinstance(n, int) for n in own.piece.values())
 
 
+def test_chunks_and_pieces_share_one_memo(coder):
+    """Words stood in two memos, once as chunks and once as pieces, of two generations each."""
+    own = byte_bpe.ByteCoder(public_tokenizers.path(byte_bpe.RANKS))
+    for text in [*filter(None, TEXTS), *made(200, 40), "word. word, (word) don't ''s x''re"]:
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == coder.encode_ordinary(text)
+    assert [type(x) for x in vars(own).values()].count(TextMemo) == 1
+    assert {"word.", "word", "."} <= own.packed.keys()
+
+
 def test_memos_are_bounded_by_bytes():
     made = []
     memo = TextMemo(lambda key: made.append(key) or key * 2, limit=5000)

@@ -10,6 +10,7 @@ do not load pandas, which would take as much memory as the tokens.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -23,8 +24,8 @@ from tideline.llm.bpe import Tokens, chunker
 from tideline.llm.common import TextMemo
 
 RANKS = "byte_bpe_50k.tiktoken"
-#: Rows whose ids are held at once, and bytes of a memo's generation of chunks and of pieces.
-ROWS, CHUNKS, PIECES = 200, 48 << 20, 16 << 20
+#: Rows whose ids are held at once, and bytes of a generation of the memo of chunks and their pieces.
+ROWS, CHUNKS = 200, 48 << 20
 #: Characters of a text, and ids, that are taken at once.
 LONG = 1 << 16
 
@@ -36,12 +37,14 @@ class ByteCoder:
         self.tokens = Tokens.from_ranks(path)
         self.split = regex.compile(public_tokenizers.PATTERN)
         self.chunks = chunker()
-        self.piece = TextMemo(self._piece, PIECES)
         self.packed = TextMemo(self._packed, CHUNKS)
 
     def _packed(self, chunk: str) -> bytes:
-        ids = [i for piece in self.split.findall(chunk) for i in self.piece[piece]]
-        return np.array(ids, dtype="<u4").tobytes()
+        """Ids of a chunk; its pieces are looked up like chunks, as a piece by itself is one match again."""
+        pieces = self.split.findall(chunk)
+        if len(pieces) > 1:
+            return b"".join(map(self.packed.__getitem__, pieces))
+        return array("I", self._piece(chunk)).tobytes()
 
     def _piece(self, text: str) -> list[int]:
         """Tokens of one match of the split pattern."""
