@@ -190,3 +190,36 @@ def test_another_salt_gives_other_class_numbers(spark):
     plain = {r["__row"].doc_id: r.cid for r in jaccard.signed(jaccard.hashed_words(rows, "text", ["doc_id"]), 1).collect()}
     assert first[1] == first[2] != first[3] and other[1] == other[2] != other[3] and first[1] != other[1]
     assert other == plain
+
+
+def test_parity_bits_differ_in_no_more_places_than_sets():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 900).astype(np.uint64)
+    sets = [np.unique(rng.choice(base, n)) for n in (0, 1, 5, 130, 400, 900)]
+    bits = jaccard.parities(sets)
+    assert bits.shape == (len(sets), len(jaccard.MARKS))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            assert np.bitwise_count((bits[i] ^ bits[j]).view(np.uint64)).sum() <= len(np.setxor1d(x, y))
+    assert not len(jaccard.parities([]))
+
+
+def test_variants_that_do_not_link_make_few_pairs(spark, monkeypatch):
+    """Variants of one text, each out of reach of the others, were all compared with each other."""
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(4000)]
+    base, rows = [rng.choice(words) for _ in range(130)], []
+    for k in range(160):
+        copy = list(base)
+        for at in rng.sample(range(130), 3):
+            copy[at] = f"own{k}x{at}"
+        rows.append((k, " ".join(copy)))
+        if k % 16 == 0:
+            rows.append((1000 + k, " ".join(copy[:-1])))
+    counted, whole = [], jaccard.needed_sets
+    monkeypatch.setattr(jaccard, "needed_sets", lambda sets, pairs, salt: counted.append(pairs.count()) or whole(sets, pairs, salt))
+    got = {r.id: r.component_id for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    _, low = expected(rows)
+    assert got == {r[0]: low[i] for i, r in enumerate(rows)}
+    assert len(set(got.values())) > 50
+    assert sum(counted) < 10 * len(rows), counted

@@ -15,17 +15,20 @@ every pair to be found stands together in the region of such a shingle.
     most.  Pairs of one component are left out.
 
 Before two sets are compared, their sizes, the number of their first shingles in any region, and the
-places of a shared shingle in both orders must leave it possible that they link.  Sets are stored once and only those that some comparison needs
-are sent out.  The order of shingles depends on counts, the result does not.
+places of a shared shingle in both orders must leave it possible that they link.  After the first pivot the
+parity bits of the sets must do so too: every shingle turns one of ``BITS`` bits, so two sets differ in at
+least as many shingles as bits.  Members of one large group that do not link differ in too many bits and make
+no pair.  Sets are stored once and only those that some comparison needs are sent out.  The order of shingles depends on counts, the result does not.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.llm.common import cut, lower_ascii, stored, words
@@ -37,6 +40,9 @@ SHINGLE, LEAST = 5, 75
 SLOTS, ROW, STEP, HOT = 1 << 22, 4096, 500_000, 256
 #: Bits of the map of sets that are needed, members compared with one copy of a pivot, parts of a common region.
 MAP, MEMBERS, PARTS = 1 << 22, 256, 32
+#: Parity bits of a set, in columns of 64, and the count above the mean from which members of a region carry them.
+BITS, CROWD = 512, 32
+MARKS = [f"bits{k}" for k in range(BITS // 64)]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -83,6 +89,19 @@ def _signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndar
     return sizes, sums(_mix(flat)), sums(_mix(flat ^ np.uint64(0x5851F42D4C957F2D)))
 
 
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """``MARKS`` of each set: bits that are turned once by each shingle, told by the hash that is compared.
+
+    Shingles of both sets turn the same bits, so no more bits can differ than shingles do.
+    """
+    out = np.zeros((len(sets), BITS), np.uint8)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
+    turned = np.bincount(owner * BITS + (flat >> np.uint64(16) & np.uint64(BITS - 1)).astype(np.int64), minlength=out.size)
+    out[:] = (turned & 1).reshape(out.shape)
+    return np.packbits(out, axis=1).view(np.int64)
+
+
 def class_ids(sizes: np.ndarray, s1: np.ndarray, s2: np.ndarray, salt: int) -> np.ndarray:
     x = _mix(s1.view(np.uint64) + np.uint64(salt)) + s2.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     return _mix(x ^ sizes.astype(np.uint64)).view(np.int64)
@@ -112,10 +131,10 @@ def signed(rows: DataFrame, salt: int) -> DataFrame:
 
 def with_sets(rows: DataFrame) -> DataFrame:
     """``__row, n, s1, s2, cid`` of every row: the size and 128 bits of its set, and the number of its
-    class without salt; with the set itself in ``own`` for the first row of each class in a task; and
+    class without salt; with the set itself in ``own`` and its ``MARKS`` for the first row of each class in a task; and
     from each task its counts of shingles by slot, in further rows ``part`` with bytes in ``own``."""
     kind = rows.schema["__row"].dataType.simpleString()
-    names = ["__row", "n", "s1", "s2", "cid", "own", "part"]
+    names = ["__row", "n", "s1", "s2", "cid", *MARKS, "own", "part"]
 
     def run(batches):
         done, counts, held, size, row = set(), np.zeros(SLOTS, np.uint8), [], 0, None
@@ -138,7 +157,9 @@ def with_sets(rows: DataFrame) -> DataFrame:
                         held.append(values)
                         size += len(values)
                 numbers = map(pa.array, (sizes, s1, s2, class_ids(sizes, s1, s2, 0)))
-                made = [*numbers, pa.array(own, pa.binary()), pa.nulls(len(sets), pa.int32())]
+                none = np.array([x is None for x in own])
+                marks = [pa.array(np.ascontiguousarray(x), mask=none) for x in parities(sets).T]
+                made = [*numbers, *marks, pa.array(own, pa.binary()), pa.nulls(len(sets), pa.int32())]
                 yield pa.RecordBatch.from_arrays([part.column("__row"), *made], names=names)
                 if size >= STEP:
                     count()
@@ -147,11 +168,12 @@ def with_sets(rows: DataFrame) -> DataFrame:
             count()
         if row is not None:
             parts = counts.reshape(-1, ROW)
-            none = [pa.nulls(len(parts), row), *[pa.nulls(len(parts), pa.int64())] * 4]
+            none = [pa.nulls(len(parts), row), *[pa.nulls(len(parts), pa.int64())] * (4 + len(MARKS))]
             made = [pa.array([p.tobytes() for p in parts], pa.binary()), pa.array(np.arange(len(parts), dtype=np.int32))]
             yield pa.RecordBatch.from_arrays([*none, *made], names=names)
 
-    return rows.mapInArrow(run, f"__row {kind}, n long, s1 long, s2 long, cid long, own binary, part int")
+    marks = ", ".join(f"{c} long" for c in MARKS)
+    return rows.mapInArrow(run, f"__row {kind}, n long, s1 long, s2 long, cid long, {marks}, own binary, part int")
 
 
 def _slot(shingles: np.ndarray) -> np.ndarray:
@@ -333,36 +355,45 @@ def _enough(common, na, nb, least: int):
     return (100 + least) * (common + later) >= least * (na + nb)
 
 
-def _plausible(pairs: DataFrame, found: DataFrame, sizes: DataFrame, least: int) -> DataFrame:
-    """The pairs ``a, b`` whose sizes and whose numbers of first shingles in regions leave it
-    possible that they link: no more than these can be in common."""
-    held = found.groupBy("cid").agg(F.count(F.lit(1)).alias("r")).join(sizes, "cid")
-    a = held.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("r").alias("ra"))
-    b = held.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("r").alias("rb"))
-    na, nb = F.col("na"), F.col("nb")
+def _alike(a: list[str], b: list[str], na, nb, least: int):
+    """Whether no more parity bits differ than shingles may; true where a side has none."""
+    differ = reduce(Column.__add__, [F.bit_count(F.col(x).bitwiseXOR(F.col(y))) for x, y in zip(a, b, strict=True)])
+    return F.coalesce((100 + least) * differ <= (100 - least) * (na + nb), F.lit(True))
+
+
+def _plausible(pairs: DataFrame, found: DataFrame, sizes: DataFrame, least: int, marks: list[str]) -> DataFrame:
+    """The pairs ``a, b`` whose sizes, whose numbers of first shingles in regions, and whose ``marks``
+    leave it possible that they link: no more than these first shingles can be in common."""
+    held = found.groupBy("cid").agg(F.count(F.lit(1)).alias("r")).join(sizes.select("cid", "n", *marks), "cid")
+    a, b = (held.withColumnsRenamed({"cid": k} | {c: f"{c}_{k}" for c in ("n", "r", *marks)}) for k in "ab")
+    na, nb = F.col("n_a"), F.col("n_b")
     sized = pairs.join(a, "a").join(b, "b").where(100 * F.least(na, nb) >= least * F.greatest(na, nb))
-    return cut(sized.where(_enough(F.least("ra", "rb"), na, nb, least)).select("a", "b"))
+    sized = sized.where(_enough(F.least("r_a", "r_b"), na, nb, least))
+    if marks:
+        sized = sized.where(_alike([f"{c}_a" for c in marks], [f"{c}_b" for c in marks], na, nb, least))
+    return cut(sized.select("a", "b"))
 
 
 def _links(df: DataFrame, text: str, key: str, least: int):
     """Rows ``id, n, cid``, the component of every class, and the salt of the class numbers."""
     counted = stored(with_sets(hashed_words(df, text, [key])), "sets")
-    whole = counted.where(F.col("part").isNull()).select(F.col(f"__row.`{key}`").alias("id"), "n", "s1", "s2", "cid")
+    whole = counted.where(F.col("part").isNull()).select(F.col(f"__row.`{key}`").alias("id"), "n", "s1", "s2", "cid", *MARKS)
     salt = 0
     while True:  # class numbers of 64 bits; another salt in the unlikely case that two classes meet
         numbered = _renumbered(whole, salt) if salt else whole
-        classes = cut(numbered.groupBy("n", "s1", "s2", "cid").agg(F.min("id").alias("low")))
+        classes = cut(numbered.groupBy("n", "s1", "s2", "cid").agg(F.min("id").alias("low"), *[F.max(c).alias(c) for c in MARKS]))
         if classes.groupBy("cid").count().where("count > 1").isEmpty():
             break
         salt += 1
     sets = counted.where(F.col("own").isNotNull() & F.col("part").isNull()).select("n", "s1", "s2", "own")
-    found = regions(first_shingles(sets, slot_counts(counted), salt, least))
-    sizes = classes.where("n > 0").select("cid", "n")
+    counts = slot_counts(counted)
+    found = regions(first_shingles(sets, counts, salt, least))
+    sizes = classes.where("n > 0").select("cid", "n", *MARKS)
     linked = f"100 * both >= {least} * union"
 
-    # Compare members with their pivots.
+    # Compare members with their pivots; how far those out of reach are is used below.
     pairs = found.where("cid <> pivot").select(F.col("cid").alias("a"), F.col("pivot").alias("b")).distinct()
-    near = _plausible(pairs, found, sizes, least)
+    near = _plausible(pairs, found, sizes, least, [])
     met = cut(shared(near, needed_sets(sets, near, salt)))
     part = components(met.where(linked), "a", "b")
 
@@ -373,12 +404,15 @@ def _links(df: DataFrame, text: str, key: str, least: int):
     )
     held = found.groupBy("cid").agg(F.count(F.lit(1)).alias("r"))
     facts = sizes.join(held, "cid").join(part.withColumnRenamed("node", "cid"), "cid", "left").join(tried, "cid", "left")
-    placed = found.join(facts, "cid").withColumn("t", F.try_element_at("tried", "pivot"))
+    # The slot's count stands before the hash of a shingle.  Only members of large regions carry their marks there.
+    crowded = F.shiftrightunsigned("shingle", 48) > min(65_534, int(counts.mean()) + CROWD)
+    placed = found.join(facts, "cid").withColumns({"t": F.try_element_at("tried", "pivot"), "marks": F.when(crowded, F.struct(*MARKS))})
+    placed = placed.drop("tried", *MARKS)
     lead = F.col("cid") == F.col("pivot")
     placed = placed.select(
         "shingle", "cid", "pos", "n", "r", F.lag("shingle").over(Window.partitionBy("cid").orderBy("pos")).alias("prev"),
         F.coalesce("component", "cid").alias("comp"),
-        (lead | F.coalesce("t.inside", F.lit(False))).alias("inside"), F.when(lead, 0.0).otherwise(F.col("t.d")).alias("d"),
+        (lead | F.coalesce("t.inside", F.lit(False))).alias("inside"), F.when(lead, 0.0).otherwise(F.col("t.d")).alias("d"), "marks",
     )
     placed = stored(placed, "placed")
     # A second pivot first: of the component with most members in a region, the member that a hash
@@ -390,13 +424,13 @@ def _links(df: DataFrame, text: str, key: str, least: int):
     tries = placed.where("not inside").join(most, "shingle").where("comp <> s.of").select(
         F.greatest("cid", "s.second").alias("a"), F.least("cid", "s.second").alias("b")
     ).distinct()
-    tries = _plausible(tries.join(met.select("a", "b"), ["a", "b"], "left_anti"), found, sizes, least)
+    tries = _plausible(tries.join(met.select("a", "b"), ["a", "b"], "left_anti"), found, sizes, least, MARKS)
     met = cut(met.unionByName(shared(tries, needed_sets(sets, tries, salt))))
     part = components(met.where(linked), "a", "b").toDF("comp", "joined")
     placed = placed.join(part, "comp", "left").withColumn("comp", F.coalesce("joined", "comp")).drop("joined")
 
-    x = placed.where("not inside").select("shingle", *[F.col(c).alias(f"x_{c}") for c in ("cid", "pos", "prev", "n", "r", "comp", "d")])
-    y = placed.select(F.col("shingle").alias("y_shingle"), *[F.col(c).alias(f"y_{c}") for c in ("cid", "pos", "prev", "n", "r", "comp", "d", "inside")])
+    x = placed.where("not inside").select("shingle", *[F.col(c).alias(f"x_{c}") for c in ("cid", "pos", "prev", "n", "r", "comp", "d", "marks")])
+    y = placed.select(F.col("shingle").alias("y_shingle"), *[F.col(c).alias(f"y_{c}") for c in ("cid", "pos", "prev", "n", "r", "comp", "d", "inside", "marks")])
     apart = (
         (F.col("shingle") == F.col("y_shingle"))
         & (F.col("x_comp") != F.col("y_comp"))
@@ -406,6 +440,7 @@ def _links(df: DataFrame, text: str, key: str, least: int):
         & ((100 + least) * F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos")) >= least * (F.col("x_n") + F.col("y_n")))
         & F.coalesce(F.col("x_prev") != F.col("y_prev"), F.lit(True))
         & (F.coalesce(F.abs(F.col("x_d") - F.col("y_d")), F.lit(0.0)) <= 1 - least / 100 + 1e-9)
+        & _alike([f"x_marks.{c}" for c in MARKS], [f"y_marks.{c}" for c in MARKS], F.col("x_n"), F.col("y_n"), least)
     )
     # Of the shingles that two classes share, the first in order has all others behind it on both
     # sides.  A pair that links has enough there, so it has a row from that region; regions in which
