@@ -154,3 +154,10 @@ def test_sides_of_an_operator_meet_in_one_aggregation(spark, tables):
     assert binop("+", left.where("series_id = 'x'").unionByName(left.where("value = 4")), right).count() == 1  # without a partner, no error
     with pytest.raises(Exception, match="share one match key"):
         binop("+", left.unionByName(left), right).collect()
+
+
+def test_samples_of_a_subquery_are_not_shuffled_repeated(spark, tables):
+    """Each was repeated for its windows, and the repeated rows went through eight shuffles."""
+    found = QUERIES["r10_quantile_over_subquery"](spark, tables)._jdf.queryExecution().executedPlan().toString()
+    above, *below = found.split("Exchange")
+    assert "Generate inline(transform(sequence(" in above and len(below) == 2

@@ -272,6 +272,34 @@ def test_sliding_quantile_of_long_windows(spark, q):
         assert got[key] == pytest.approx(want[key], rel=1e-9, abs=1e-9, nan_ok=True), key
 
 
+@pytest.mark.parametrize("q", [0.0, 0.25, 0.7, 1.0, 1.5, math.nan])
+def test_quantile_of_windows_with_few_samples(spark, q):
+    """The step of a subquery bounds the samples of a window; without it the same rows come another way."""
+    rng = random.Random(9)
+    odd = [math.nan, math.inf, -math.inf, 5.0, 5.0, -0.5]
+    minutes = {"all": range(300), "some": sorted(rng.sample(range(300), 80)), "far": [0, 1, 150, 299], "odd": range(0, 300, 2)}
+    series = {s: [(m * 60 * SECOND, rng.choice(odd) if s == "odd" else rng.gauss(0, 9)) for m in at] for s, at in minutes.items()}
+    v = frame(spark, series)
+    v = v.unionByName(v.selectExpr("metric", "labels", "series_id", "ts", "CAST(NULL AS double) AS value"))
+    for d, step in (("7m", "1m"), ("20m", "45s"), ("3m", "11m"), ("0s", "1m")):
+        grid = Grid.of(START, micros(START) / 1e6 + 17000, step)
+        known = R.subquery(lambda g: v, d, "1m", grid)
+        found, other = R.over_time(known, "quantile", d, grid, q=q), R.over_time(v, "quantile", d, grid, q=q)
+        assert ["inline(" in x._jdf.queryExecution().optimizedPlan().toString() for x in (found, other)] == [0 <= q <= 1, False]
+        got, want = collect(found), expected(series, lambda p, lo, hi, d: model_quantile(p, q), micros(d), grid)
+        assert got.keys() == want.keys() == collect(other).keys()
+        for key in want:
+            assert got[key] == pytest.approx(want[key], rel=1e-9, abs=1e-9, nan_ok=True), (d, key)
+
+
+def test_windows_with_many_samples_are_not_gathered(spark):
+    v = frame(spark, {"s": [(i * SECOND, float(i)) for i in range(5)]})
+    grid = Grid.of(START, micros(START) / 1e6 + 3600, "1m")
+    for step, gathered in (("3s", True), ("1s", False)):
+        plan = R.over_time(R.subquery(lambda g: v, "10m", step, grid), "quantile", "10m", grid, q=0.5)._jdf.queryExecution()
+        assert ("collect_list" in plan.optimizedPlan().toString()) == gathered
+
+
 def model_quantile(points, q):
     if math.isnan(q) or q > 1:
         return q if math.isnan(q) else math.inf

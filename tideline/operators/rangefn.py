@@ -10,9 +10,14 @@ from pyspark.sql import functions as F
 from tideline.model import Grid, micros
 from tideline.operators import slices
 from tideline.operators.quantile import exact_quantile
-from tideline.operators.sliding_quantile import sliding_quantile
+from tideline.operators.sliding_quantile import gathered_quantile, sliding_quantile
 from tideline.operators.slices import SERIES, Family, as_vector, in_reach, windows
 
+#: Name of the step of a vector's instants in the metadata of ``ts``.
+STEP = "step"
+#: Windows that are known to have at most so many samples of a series are sorted in memory.
+FEW = 256
+
 COUNT = Family(
     build="named_struct('n', count(value))",
     edge="named_struct('n', 1L)",
@@ -151,9 +156,11 @@ def _quantile_over_time(v: DataFrame, q: float, d: int, grid: Grid, off: int) ->
     near = in_reach(v, grid, d, off).select(*SERIES, "x", "value")
     first = F.greatest(F.lit(0), F.ceil((F.col("x") - F.lit(d)) / F.lit(grid.step)))
     last = F.least(F.lit(grid.last), F.call_function("div", F.col("x"), F.lit(grid.step)))
+    held = near.select(*SERIES, "value", first.alias("first"), last.alias("final"))
     if d > slices.SPREAD * grid.step:
-        held = near.select(*SERIES, "value", first.alias("first"), last.alias("final"))
         out = sliding_quantile(held, q, d // grid.step + 1, grid.last)
+    elif 0 <= q <= 1 and _spaced(v, d // FEW):
+        out = gathered_quantile(held, q, d // grid.step + 1)
     else:
         # Counts per value merge: samples that lie in the same windows are counted once, and
         # only these counts are repeated for the windows.
@@ -165,6 +172,11 @@ def _quantile_over_time(v: DataFrame, q: float, d: int, grid: Grid, off: int) ->
     return as_vector(out.withColumn("ts", ts), "value")
 
 
+def _spaced(v: DataFrame, least: int) -> bool:
+    """Whether instants are known to lie more than ``least`` microseconds apart."""
+    return v.schema["ts"].metadata.get(STEP, 0) > least
+
+
 def increase(v: DataFrame, d, grid: Grid, shift=0, mode: str = "extrapolated") -> DataFrame:
     """Growth of a counter over the window, extrapolated towards its edges.
 
@@ -222,10 +234,14 @@ def predict_linear(v: DataFrame, d, seconds: float, grid: Grid, shift=0) -> Data
 
 
 def subquery(inner: Callable[[Grid], DataFrame], d, step, grid: Grid) -> DataFrame:
-    """Evaluate ``inner`` on its own grid, aligned to multiples of ``step``, as samples."""
+    """Evaluate ``inner`` on its own grid, aligned to multiples of ``step``, as samples.
+
+    The step is kept in the metadata of ``ts``: it bounds the samples of a window, and changes no result.
+    """
     size = micros(step)
     start = -(-(grid.start - micros(d)) // size) * size
-    return inner(Grid(start, grid.start + grid.last * grid.step, size))
+    found = inner(Grid(start, grid.start + grid.last * grid.step, size))
+    return found.withMetadata("ts", {STEP: size}) if isinstance(found, DataFrame) else found
 
 
 def rate_interval(step, scrape) -> int:

@@ -1,13 +1,16 @@
-"""Exact quantiles of long sliding windows.
+"""Exact quantiles of sliding windows that are long, or hold few samples each.
 
 Repeating each sample for every evaluation whose window holds it costs ``d / step`` rows a sample.
-Here a sample only changes two counts, where it enters the windows and where it leaves them:
+In long windows a sample only changes two counts, where it enters the windows and where it leaves them:
 
 * values of a series are cut into a few ranges, at quantiles of a mergeable sketch; a cut is a
   range of its own, so a value that fills much of a window needs no further look;
 * running sums of the changes give the counts of all ranges between two changes, hence the range
   that holds the wanted rank, and the rank inside it;
 * only where that range holds several values are its samples read again, those of the range alone.
+
+Windows of few samples (``gathered_quantile``) need no counts: the samples of a series in a stretch of
+several windows are shuffled once, unrepeated, and each window is sorted in memory.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from tideline.shared import expanded, stored
 #: Cuts between ranges, and the accuracy of the sketch they come from.
 CUTS, ACCURACY = 15, 1000
 RANGES = 2 * CUTS + 1
+#: Windows in a stretch whose samples are gathered.
+WINDOWS = 4
 
 
 def sliding_quantile(near: DataFrame, q: float, length: int, last: int) -> DataFrame:
@@ -59,6 +64,32 @@ def sliding_quantile(near: DataFrame, q: float, length: int, last: int) -> DataF
     return _interpolated(placed, _stretched(ranged, length))
 
 
+def gathered_quantile(near: DataFrame, q: float, length: int) -> DataFrame:
+    """The same for ``q`` from 0 to 1, where the samples of ``WINDOWS + 1`` windows of a series fit in memory.
+
+    Time is cut into stretches of ``WINDOWS`` windows, so most samples are in one.  The number of tasks is
+    explicit: merging partitions by their size before windows are formed makes them too large after it.
+    """
+    span = WINDOWS * length
+    parts = int(near.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = near.filter("value IS NOT NULL").selectExpr(
+        *SERIES, "value", "first", "final", f"explode(sequence(first div {span}, final div {span})) AS stretch"
+    )
+    together = rows.repartition(parts, "series_id", "stretch").groupBy(*SERIES, "stretch")
+    held = together.agg(F.expr("collect_list(struct(first, final, value)) AS held"))
+    ticks = (
+        f"sequence(greatest(array_min(held.first), stretch * {span}),"
+        f" least(array_max(held.final), (stretch + 1) * {span} - 1))"
+    )
+    inside = "sort_array(transform(filter(held, h -> h.first <= j AND h.final >= j), h -> h.value))"
+    each = held.selectExpr(*SERIES, f"inline(transform({ticks}, j -> struct(j, {inside} AS values)))")
+    rank = F.lit(q) * (F.size("values") - 1)
+    weight = rank - F.floor(rank)
+    low, high = [F.element_at("values", (place(rank) + 1).cast("int")) for place in (F.floor, F.ceil)]
+    value = F.when(weight == 0, low).otherwise(low * (1 - weight) + high * weight)
+    return each.filter("size(values) > 0").select(*SERIES, "j", value.alias("value"))
+
+
 def _same(left: str, right: str) -> Column:
     return reduce(Column.__and__, [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in SERIES])
 
